@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import simhash
+from tallywheel.llm import mixing, sharding, simhash
 from tallywheel.llm._common import table
 
 
+def op1_mixing_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents at 150%: doc_id, size, source_size, target, taken."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal counts: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: doc_id, fingerprint, component_id."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -16,7 +26,11 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing_systematic": op1_mixing_systematic,
+    "op6_sharding_label_propagation": op6_sharding_label_propagation,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing_systematic": mixing.ORACLE,
+}
