@@ -73,7 +73,8 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     offset = hash32(F.concat(F.lit(f"{seed}|"), F.col("__key"))) / F.lit(4294967296.0)
     text = [F.xxhash64("text")] if "text" in docs.columns else []
     rank = F.row_number().over(W.partitionBy(*cell).orderBy(size, "doc_id", *text)) + F.col("start")
-    out = rows.join(placed, cell).withColumns({"__rank": rank, "__rate": rate, "__offset": offset})
+    # Sort-merge, on the exchange that the row number needs anyway; the cells grow with the input and aren't for broadcast.
+    out = rows.join(placed.hint("merge"), cell).withColumns({"__rank": rank, "__rate": rate, "__offset": offset})
     crossed = F.floor(F.col("__offset") + F.col("__rate") * F.col("__rank")) - F.floor(F.col("__offset") + F.col("__rate") * (F.col("__rank") - 1))
     return out.select(*docs.columns, F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), crossed.cast("int").alias("__copies"))
 

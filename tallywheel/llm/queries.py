@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import mixing, sharding, simhash
+from tallywheel.llm import mixing, quality, sharding, simhash, toxicity
 from tallywheel.llm._common import table
 
 
@@ -14,11 +14,21 @@ def op1_mixing_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents: doc_id, held_out, score, predicted."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal counts: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents: doc_id, held_out, score, predicted."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: doc_id, fingerprint, component_id."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,7 +37,9 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing_systematic": op1_mixing_systematic,
+    "op2_quality_bradley_terry": op2_quality_bradley_terry,
     "op6_sharding_label_propagation": op6_sharding_label_propagation,
+    "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
     "op10_simhash_golay": op10_simhash_golay,
 }
 

@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, words_per_shingle: int =
     linked = nodes.join(group, "fp")
     first = linked.groupBy("component").agg(F.min("first").alias("least"))
     least = linked.join(first, "component").select("fp", "least")
-    of_fp = nodes.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # A table of its own, so that the join below has a plain exchange on either side: Spark can split a hot fingerprint.
+    of_fp = written(nodes.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-groups")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
