@@ -53,7 +53,6 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
         room = [max(0.0, capacity - x) for x in full]
         open_ = F.array(*(F.lit(x >= 1) for x in room))
         inside = F.zip_with("c", open_, lambda n, ok: F.when(ok, n).otherwise(F.lit(-1).cast("long")))
-        # Only what doesn't yet stand in a shard that the group shares with nobody it could join moves on.
         plan = state.withColumn("o", inside).withColumn("best", F.array_max("o")).filter("best >= 0")
         plan = plan.withColumn("to", (F.array_position("o", F.col("best")) - 1).cast("int"))
         movable = F.aggregate(F.filter("o", lambda n: n > 0), F.lit(0).cast("long"), lambda a, n: a + n) - F.col("best")
@@ -74,7 +73,7 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
         sure = (F.col("part") >= 1) | (F.col("moves") >= 64) | (_share(F.col("__hub"), 100 + number) < F.col("part"))
         some = F.when(F.col("part") >= 1, 1.0).when(F.col("moves") >= 64, F.col("part")).otherwise(1.0)
         chosen = plan.join(F.broadcast(quota), ["to", "gain"]).filter(sure).select(*HUB, "to", some.alias("part"), "moves", F.lit(True).alias("go"))
-        moved = state.join(chosen, HUB, "left")
+        moved = state.join(chosen.hint("merge"), HUB, "left")
         leaves = F.transform("c", lambda n, i: F.when((i != F.col("to")) & ((F.col("total") <= capacity) | open_[i]), F.floor(n * F.col("part"))).otherwise(F.lit(0)).cast("long"))
         moved = moved.withColumn("leaves", leaves)
         arrive = F.aggregate("leaves", F.lit(0).cast("long"), lambda a, n: a + n)
@@ -114,7 +113,7 @@ def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds:
     bucket = F.when(F.col("total").isNotNull(), F.pmod(F.xxhash64("__hub", F.lit(4)), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("__unit", F.lit(4)), F.lit(buckets)))
     salt = F.when(F.col("total") > cell_rows, F.pmod(F.xxhash64("__unit", F.lit(5)), F.ceil(F.col("total") / cell_rows))).otherwise(0)
     cell = ["__label", "__side", "__bucket", "__salt"]
-    lined = rows.join(alloc, HUB, "left").withColumns({"__label": label, "__side": side, "__bucket": bucket.cast("long"), "__salt": salt.cast("long")})
+    lined = rows.join(alloc.hint("merge"), HUB, "left").withColumns({"__label": label, "__side": side, "__bucket": bucket.cast("long"), "__salt": salt.cast("long")})
     cells = written(lined.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "shard-cells")
     labels = {r["__label"]: r["n"] for r in cells.groupBy("__label").agg(F.sum("n").alias("n")).collect()}  # a row a shard
     begins = [sum(labels.get(j, 0) for j in range(i)) for i in range(shards)]
@@ -123,7 +122,7 @@ def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds:
     starts = cells.select(*cell, start.alias("__start"))
     order = W.partitionBy(*cell).orderBy(*HUB, "__unit", "doc_id")
     rank = F.row_number().over(order) - 1 + F.col("__start")
-    ranked = lined.join(starts, cell).withColumn("__rank", rank)
+    ranked = lined.join(starts.hint("merge"), cell).withColumn("__rank", rank)
     each, more = divmod(total, shards)
     edge = more * (each + 1)
     r = F.col("__rank")

@@ -105,8 +105,8 @@ class Kernel:
         return out
 
 
-def _nystroem(kernel: Kernel, words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of words, their map back to triple weights)."""
+def _nystroem(kernel: Kernel, words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of words, the triples of the landmarks, the features' directions over those triples)."""
     parts = list(kernel.triples(landmarks))
     used = np.unique(np.concatenate([t for _, t, _ in parts]))
     marks = np.zeros((len(landmarks), len(used)))
@@ -119,14 +119,12 @@ def _nystroem(kernel: Kernel, words: list[str], landmarks: list[str]) -> tuple[n
     lookup = np.full(SYMBOLS**3, len(used), np.int64)
     lookup[used] = np.arange(len(used))
     out = np.empty((len(words), int(good.sum())))
-    for at in range(0, len(words), 1024):
-        dense = np.zeros((len(words[at : at + 1024]), len(used) + 1))
-        for who, triple, weight in kernel.triples(words[at : at + 1024]):
+    for at in range(0, len(words), 256):
+        dense = np.zeros((len(words[at : at + 256]), len(used) + 1))
+        for who, triple, weight in kernel.triples(words[at : at + 256]):
             np.add.at(dense, (who, lookup[triple]), weight)
-        out[at : at + 1024] = dense[:, :-1] @ basis.T
-    back = np.zeros((int(good.sum()), SYMBOLS**3), np.float32)
-    back[:, used] = basis
-    return out, back
+        out[at : at + 256] = dense[:, :-1] @ basis.T
+    return out, used, basis
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 0.02) -> np.ndarray:
@@ -266,11 +264,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         kernel = Kernel(alphabet)
         marks = good[: min(clear, LANDMARKS // 2)] + [bad[i] for i in rng.permutation(len(bad))[: LANDMARKS // 4]]
         marks = list(dict.fromkeys(marks + bad[-(LANDMARKS // 4) :]))
-        x, back = _nystroem(kernel, good + bad, marks)
+        x, used, basis = _nystroem(kernel, good + bad, marks)
         y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
         cost = np.r_[np.full(len(good), 2.0 * len(bad) ** 0.5 / len(good) ** 0.5), np.ones(len(bad))]
         w = _svm(x, y, cost)
-        machine = Scorer(alphabet, (w[:-1] @ back).astype(np.float32), float(w[-1]))
+        folded = np.zeros(SYMBOLS**3, np.float32)
+        folded[used] = w[:-1] @ basis
+        machine = Scorer(alphabet, folded, float(w[-1]))
         if turn == 0:  # the clean words that the first machine finds most toxic
 
             def judge(batches, machine=machine):
