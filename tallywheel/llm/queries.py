@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import mixing, quality, sharding, simhash, toxicity
+from tallywheel.llm import mixing, quality, sharding, simhash, tokens, toxicity, warc
 from tallywheel.llm._common import table
 
 
@@ -19,6 +19,16 @@ def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths of all documents, with its suffix sums."""
+    return tokens.length_table(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal counts: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
@@ -38,6 +48,8 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing_systematic": op1_mixing_systematic,
     "op2_quality_bradley_terry": op2_quality_bradley_terry,
+    "op3_warc_gzip_normaliser": op3_warc_gzip_normaliser,
+    "op4_token_length_histogram": op4_token_length_histogram,
     "op6_sharding_label_propagation": op6_sharding_label_propagation,
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
     "op10_simhash_golay": op10_simhash_golay,
@@ -45,4 +57,12 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing_systematic": mixing.ORACLE,
+    "op3_warc_gzip_normaliser": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AND last IS NOT NULL AS again FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last END AS refers_to
+FROM r
+""",
 }
