@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import mixing, quality, sharding, simhash, tokens, toxicity, warc
+from tallywheel.llm import decontam, mixing, quality, sharding, simhash, tokens, topk, toxicity, warc
 from tallywheel.llm._common import table
 
 
@@ -34,11 +34,21 @@ def op6_sharding_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op7_topk_dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best by inner product for every 50th vector: query_id, rank, vec_id, score."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of all documents: doc_id, held_out, score, predicted."""
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds: doc_id, item_id, edits, first_word."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: doc_id, fingerprint, component_id."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,7 +61,9 @@ QUERIES = {
     "op3_warc_gzip_normaliser": op3_warc_gzip_normaliser,
     "op4_token_length_histogram": op4_token_length_histogram,
     "op6_sharding_label_propagation": op6_sharding_label_propagation,
+    "op7_topk_dual_cover_tree": op7_topk_dual_cover_tree,
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
+    "op9_decontamination_cgk": op9_decontamination_cgk,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
@@ -65,4 +77,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
        CASE WHEN again THEN last END AS refers_to
 FROM r
 """,
+    "op7_topk_dual_cover_tree": topk.ORACLE,
 }
