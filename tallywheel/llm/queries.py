@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import decontam, mixing, quality, sharding, simhash, tokens, topk, toxicity, warc
+from tallywheel.llm import decontam, mixing, quality, secrets, sharding, simhash, tokens, topk, toxicity, warc
 from tallywheel.llm._common import table
 
 
@@ -29,6 +29,11 @@ def op4_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_table(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of all documents: doc_id, position, n_chars, digest, score, is_secret."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal counts: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_quality_bradley_terry": op2_quality_bradley_terry,
     "op3_warc_gzip_normaliser": op3_warc_gzip_normaliser,
     "op4_token_length_histogram": op4_token_length_histogram,
+    "op5_secret_random_forest": op5_secret_random_forest,
     "op6_sharding_label_propagation": op6_sharding_label_propagation,
     "op7_topk_dual_cover_tree": op7_topk_dual_cover_tree,
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
