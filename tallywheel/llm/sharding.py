@@ -2,8 +2,8 @@
 
 Linked are documents of equal text; the text's hash is the hub that links them, so a group of n copies is n links, not
 n * n. A group's state is one row: how many of its documents stand in each shard. Each round, every group proposes to
-move towards the shard where most of it stands among the shards that have room; proposals are summed by (shard, gain)
-and a shard accepts them in order of gain until its quota is full. Groups larger than a shard fill one after another.
+move towards the shard where most of it stands; proposals are summed by (shard, gain) and a shard accepts them in
+order of gain until its quota (its room, and what others leave) is full. Groups larger than a shard fill one after another.
 
 After the last round documents without links fill the shards up; then all rows stand in one line by shard and are cut
 at equal counts. Within a shard the unlinked documents stand at both ends, so a cut that has to shift moves them
@@ -52,29 +52,32 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
     for number in range(rounds):
         room = [max(0.0, capacity - x) for x in full]
         open_ = F.array(*(F.lit(x >= 1) for x in room))
-        inside = F.zip_with("c", open_, lambda n, ok: F.when(ok, n).otherwise(F.lit(-1).cast("long")))
-        plan = state.withColumn("o", inside).withColumn("best", F.array_max("o")).filter("best >= 0")
-        plan = plan.withColumn("to", (F.array_position("o", F.col("best")) - 1).cast("int"))
-        movable = F.aggregate(F.filter("o", lambda n: n > 0), F.lit(0).cast("long"), lambda a, n: a + n) - F.col("best")
         big = F.col("total") > capacity
-        movable = F.when(big, movable).otherwise(F.col("total") - F.array_max("c"))
-        at_best = F.when(big, True).otherwise(F.col("best") == F.array_max("c"))
-        plan = plan.withColumn("moves", movable).filter(at_best & (F.col("moves") > 0))
+        # Ties between shards are broken by a hash, so that no shard is everyone's choice. Small groups may choose any
+        # shard, as others leave it in the same round; a group larger than a shard chooses one with room.
+        inside = F.zip_with("c", F.sequence(F.lit(0), F.lit(shards - 1)), lambda n, i: F.when((n > 0) & (~big | F.get(open_, i)), n * 1024 + F.pmod(F.xxhash64("__hub", i), F.lit(1024))).otherwise(F.lit(-1).cast("long")))
+        plan = state.withColumn("o", inside).withColumn("top", F.array_max("o")).filter("top >= 0")
+        plan = plan.withColumns({"to": (F.array_position("o", F.col("top")) - 1).cast("int"), "best": F.floor(F.col("top") / 1024)})
+        leaving = F.zip_with("o", F.sequence(F.lit(0), F.lit(shards - 1)), lambda n, i: F.when((n > 0) & (i != F.col("to")), F.floor(n / 1024)).otherwise(F.lit(0)).cast("long"))
+        plan = plan.withColumn("leaving", leaving).withColumn("moves", F.aggregate("leaving", F.lit(0).cast("long"), lambda a, n: a + n)).filter("moves > 0")
         plan = plan.withColumn("gain", F.least(F.lit(60), F.floor(F.log2(F.col("best") + 1.0) * 2)).cast("int"))
-        asked = plan.groupBy("to", "gain").agg(F.sum("moves").alias("moves")).collect()  # shards * 61 rows at most
+        outs = [F.sum(F.col("leaving")[i]).alias(f"out{i}") for i in range(shards)]
+        asked = plan.groupBy("to", "gain").agg(F.sum("moves").alias("moves"), *outs).collect()  # shards * 61 rows at most
         if not asked:
             break
+        # What leaves a shard makes room for what comes.
+        room = [capacity - x + sum(r[f"out{i}"] for r in asked) for i, x in enumerate(full)]
         taken, left = [], list(room)
         for r in sorted(asked, key=lambda r: (r["to"], -r["gain"])):
-            part = min(1.0, left[r["to"]] / r["moves"])
+            part = min(1.0, max(0.0, left[r["to"]]) / r["moves"])
             left[r["to"]] -= part * r["moves"]
             taken.append((r["to"], r["gain"], part))
         quota = rows.sparkSession.createDataFrame(taken, "to int, gain int, part double")
-        sure = (F.col("part") >= 1) | (F.col("moves") >= 64) | (_share(F.col("__hub"), 100 + number) < F.col("part"))
-        some = F.when(F.col("part") >= 1, 1.0).when(F.col("moves") >= 64, F.col("part")).otherwise(1.0)
+        sure = (F.col("part") >= 1) | (F.col("moves") >= 64) | (F.col("total") > capacity) | (_share(F.col("__hub"), 100 + number) < F.col("part"))
+        some = F.when(F.col("part") >= 1, 1.0).when((F.col("moves") >= 64) | (F.col("total") > capacity), F.col("part")).otherwise(1.0)
         chosen = plan.join(F.broadcast(quota), ["to", "gain"]).filter(sure).select(*HUB, "to", some.alias("part"), "moves", F.lit(True).alias("go"))
         moved = state.join(chosen.hint("merge"), HUB, "left")
-        leaves = F.transform("c", lambda n, i: F.when((i != F.col("to")) & ((F.col("total") <= capacity) | open_[i]), F.floor(n * F.col("part"))).otherwise(F.lit(0)).cast("long"))
+        leaves = F.transform("c", lambda n, i: F.when((i != F.col("to")) & ((F.col("total") <= capacity) | F.get(open_, i)), F.when(F.col("total") > capacity, F.ceil(n * F.col("part"))).otherwise(F.floor(n * F.col("part")))).otherwise(F.lit(0)).cast("long"))
         moved = moved.withColumn("leaves", leaves)
         arrive = F.aggregate("leaves", F.lit(0).cast("long"), lambda a, n: a + n)
         after = F.transform("c", lambda n, i: n - F.col("leaves")[i] + F.when(i == F.col("to"), arrive).otherwise(F.lit(0).cast("long")))
@@ -84,7 +87,13 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
         full = load()
         if before == full and number:
             break
-    return state, full
+    # Groups that the quotas left divided settle where most of them stands: the last cut at equal counts shifts by so much.
+    best = F.array_position("c", F.array_max("c")) - 1
+    settled = F.transform("c", lambda n, i: F.when(F.col("total") > capacity, n).when(i == best, F.col("total")).otherwise(F.lit(0).cast("long")))
+    new = written(state.select(*HUB, "total", settled.alias("c")), "shard-groups")
+    forget(state)
+    state = new
+    return state, load()
 
 
 def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds: int = 24) -> DataFrame:
