@@ -250,14 +250,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT
     return out
 
 
+def _clean_column(spark, matcher: Matcher):
+    """A function of a binary text column: whether the text holds none of the matcher's items."""
+    shared = spark.sparkContext.broadcast(matcher)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.matches(t) for t in texts], dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_share: float = EDIT_SHARE) -> DataFrame:
     """The rows of docs that hold no item of the benchmark, with the columns of docs."""
     for block in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher(block, edit_share))
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.matches(t) for t in texts])
-
-        docs = docs.filter(clean(F.col("text").cast("binary")))
+        docs = docs.filter(_clean_column(docs.sparkSession, Matcher(block, edit_share))(F.col("text").cast("binary")))
     return docs
