@@ -36,7 +36,7 @@ def positions(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy(order)).cast("long"))
 
 
-def increments(rows: DataFrame, keys: Sequence[str], order: str, counters: Sequence[str], seed: str | None = None) -> DataFrame:
+def increments(rows: DataFrame, keys: Sequence[str], order: str, counters: Sequence[str], seed: str | None = None, also: Sequence[str] = ()) -> DataFrame:
     """Running totals to increments.
 
     rows have the structs `total` (running counters) and `last` (the increment as reported); either may be null. Added:
@@ -44,35 +44,42 @@ def increments(rows: DataFrame, keys: Sequence[str], order: str, counters: Seque
 
     An equal total says nothing, whatever `last` is; a non-zero `last` is the increment; else it is the total less the
     one before, or the total itself at the start and where any counter fell. A row without a total adds its `last` to
-    the running total. seed: a struct column with the total before the first row.
+    the running total. seed: a struct column with the total before the first row. also: further fields of the structs that
+    are carried along but not compared; their increment is 0 where either side has none.
     """
+    every = [*counters, *also]
     zero = lambda s: _all(F.coalesce(F.col(s)[c], F.lit(0)) == 0 for c in counters)
     has_total, has_last = F.col("total").isNotNull(), F.col("last").isNotNull() & ~zero("last")
     before = _past(keys, order, current=False)
     first = F.col(seed) if seed else F.lit(None).cast(rows.schema["total"].dataType)
     # Rows since the last total, and that total; the increments since then are added to it.
-    rows = rows.withColumn("__group", F.count("total").over(before))
-    rows = rows.withColumn("__base", F.coalesce(F.last("total", ignorenulls=True).over(before), first))
+    # A total of zeros without an increment is no report at all.
+    rows = rows.withColumn("__told", F.when(has_total & (~zero("total") | has_last), F.col("total")))
+    rows = rows.withColumn("__group", F.count("__told").over(before))
+    rows = rows.withColumn("__base", F.coalesce(F.last("__told", ignorenulls=True).over(before), first))
     since = W.partitionBy(*keys, "__group").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     loose = ~has_total & has_last
     rows = rows.withColumn("__any", F.coalesce(F.max(loose).over(since), F.lit(False)))
     limit = F.lit(2**63 - 1).cast("decimal(38,0)")
-    added = {c: F.coalesce(F.sum(F.when(loose, F.col("last")[c].cast("decimal(20,0)"))).over(since), F.lit(0)) for c in counters}
-    rows = rows.withColumn("__added", F.struct(*(added[c].alias(c) for c in counters)))
-    prev = {c: F.least(F.coalesce(F.col("__base")[c], F.lit(0)).cast("decimal(38,0)") + F.col("__added")[c], limit).cast("long") for c in counters}
-    rows = rows.withColumn("__prev", F.when(F.col("__base").isNotNull() | F.col("__any"), F.struct(*(prev[c].alias(c) for c in counters))))
+    added = {c: F.coalesce(F.sum(F.when(loose, F.col("last")[c].cast("decimal(20,0)"))).over(since), F.lit(0)) for c in every}
+    rows = rows.withColumn("__added", F.struct(*(added[c].alias(c) for c in every)))
+    prev = {c: F.least(F.coalesce(F.col("__base")[c], F.lit(0)).cast("decimal(38,0)") + F.col("__added")[c], limit).cast("long") for c in every}
+    rows = rows.withColumn("__prev", F.when(F.col("__base").isNotNull() | F.col("__any"), F.struct(*(prev[c].alias(c) for c in every))))
     known, p, t = F.col("__prev").isNotNull(), F.col("__prev"), F.col("total")
     equal = has_total & known & _all(t[c] == p[c] for c in counters)
     fell = has_total & known & ~_all(t[c] >= p[c] for c in counters)
     some = has_total & ~zero("total")
     delta = {c: F.when(has_last, F.col("last")[c]).when(some & known & ~fell, t[c] - p[c]).when(some, t[c]) for c in counters}
-    emits = F.coalesce(~equal & (has_last | some), F.lit(False))
+    step = lambda c: F.when((t[c] > 0) & (p[c] > 0) & (t[c] >= p[c]), t[c] - p[c]).otherwise(F.lit(0).cast("long"))
+    delta |= {c: F.when(has_last, F.col("last")[c]).when(some & known & ~fell, step(c)).when(some, t[c]) for c in also}
+    emits = F.coalesce(~F.coalesce(equal, F.lit(False)) & (has_last | some), F.lit(False))
     return rows.withColumns({
-        "delta": F.when(emits, F.struct(*(delta[c].alias(c) for c in counters))),
+        "delta": F.when(emits, F.struct(*(delta[c].alias(c) for c in every))),
         "emits": emits,
         "reset": F.coalesce(emits & fell, F.lit(False)),
+        "repeats": F.coalesce(equal, F.lit(False)),
         "previous": F.col("__prev"),
-    }).drop("__group", "__base", "__any", "__added", "__prev")
+    }).drop("__told", "__group", "__base", "__any", "__added", "__prev")
 
 
 def _all(parts) -> Column:
