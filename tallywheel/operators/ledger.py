@@ -62,9 +62,10 @@ class IngestReport:
 
 def compare_again(stored: DataFrame, again: DataFrame, facts: Sequence[str], keys: Sequence[str] = tuple(KEY)) -> DataFrame:
     """The events of `again` that are stored already, with conflict: whether any fact differs (null equals null)."""
-    theirs = stored.select(*keys, F.struct(*facts).alias("__stored"))
+    said = F.to_json(F.struct(*facts))  # as text: what may be null differs between a batch and the ledger
+    theirs = stored.select(*keys, said.alias("__stored"))
     both = again.join(theirs, list(keys))
-    return both.withColumn("conflict", ~F.struct(*facts).eqNullSafe(F.col("__stored"))).drop("__stored")
+    return both.withColumn("conflict", said != F.col("__stored")).drop("__stored")
 
 
 def validate(records: DataFrame) -> DataFrame:
@@ -229,13 +230,13 @@ class Ledger:
             raise IdentityConflict(f"{inside['event_id']} has several facts in one batch")
         once = batch.dropDuplicates(["event_id"])
         deleted = 0
-        if mode == "append":
+        if mode == "append" and self._parts("usage_events").get(source):
             stored = self.records(source)
             again = compare_again(stored, once, facts)
             if clash := again.filter("conflict").first():
                 raise IdentityConflict(f"{clash['event_id']} is stored with other facts")
             once = once.join(stored.select("event_id"), "event_id", "left_anti")
-        else:
+        elif mode == "replace":
             deleted = self.owned("usage_events", source).count()
         once = once.persist()
         inserted = once.count()
