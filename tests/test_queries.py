@@ -1,6 +1,10 @@
 """Every registered query that has SQL, against another engine; scalar functions against known values."""
 
+from numbers import Real
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ def oracle():
 
 def plain(df):
     cols = sorted(df.columns)
-    fix = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v == int(v) else v
+    fix = lambda v: None if pd.isna(v) else bool(v) if isinstance(v, (bool, np.bool_)) else int(v) if isinstance(v, Real) and v == int(v) else v
     return cols, sorted(str([fix(v) for v in row]) for row in df[cols].itertuples(index=False, name=None))
 
 
