@@ -269,11 +269,12 @@ def wide_forest(names: np.ndarray, sizes: np.ndarray, wide: np.ndarray) -> np.nd
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def similar_links(nodes: DataFrame, hot: int = 96, tile: int = 4096) -> DataFrame:
+def similar_links(nodes: DataFrame, hot: int = 12, tile: int = 4096) -> DataFrame:
     """(a, b) names of near-duplicate texts of nodes(name, n, w), enough that each linked group stays connected.
 
     Candidates share two Golay indices in one of the KEYED fingerprints; a pair is verified by size and on all VERIFIED
-    fingerprints. Crowded keys are handled as in links().
+    fingerprints. A key that more than ``hot`` texts reach gives a spanning forest of its verified links for each pair of
+    its tiles; so pairs stay in proportion to the texts however large a group of near copies is.
     """
     proof = F.slice("w", KEYED + 1, VERIFIED)
     far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
@@ -281,8 +282,10 @@ def similar_links(nodes: DataFrame, hot: int = 96, tile: int = 4096) -> DataFram
     for slot in range(KEYED):
         mine = nodes.select("name", F.col("w")[slot].alias("fp"))
         owners = written(_named_keys(mine, True), "golay-owned")
-        crowded = written(owners.groupBy("key").count().filter(F.col("count") > hot).select("key"), "golay-hot")
-        reach = _named_keys(mine, False)
+        # Of all keys that texts reach, those that some text owns; a text reaches at most about a hundred.
+        reach = written(_named_keys(mine, False).join(owners.select("key").distinct(), "key", "left_semi"), "golay-reached")
+        counts = reach.groupBy("key").count()
+        crowded = written(counts.filter(F.col("count") > hot).select("key"), "golay-hot")
         some = crowded.limit(1).count() > 0
         plain = owners.join(crowded, "key", "left_anti") if some else owners
         plain = plain.select("key", F.col("name").alias("other"), F.col("fp").alias("ofp"))
