@@ -202,25 +202,28 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Near-duplicate documents: similarity of sets of five-word shingles from SIMILARITY on. Texts of fewer than LEAST_WORDS
-#: words differ in a fifth of their shingles as soon as one word differs, so that only equal ones are near.
-SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 49
-#: Fingerprints a document has: KEYED of its distinct words (they find candidates), VERIFIED of its shingles.
-KEYED, VERIFIED = 4, 6
-KEYED_BITS = 14
-#: Of 384 bits, sets of similarity 0.8 differ in 58 on average (7 standard deviation), sets of 0.6 in 88.
-VERIFIED_BITS = 72
-#: Odd multipliers that draw the fingerprints from one hash; made by a rule.
-TURNS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) & (2**64 - 1) for i in range(KEYED + VERIFIED)], np.uint64)
+#: Near-duplicate documents: the sets of five-word shingles of two texts have at least LIKE / OF (0.8) of their union in
+#: common. Texts of fewer than LEAST_WORDS words have no keys, so that only equal ones are near.
+SHINGLE, LIKE, OF, LEAST_WORDS = 5, 4, 5, 49
+#: Keys a text has: KEYED Golay-coded SimHash fingerprints of its distinct words, and BANDS of BAND_ROWS minima of its
+#: shingles. Texts of similarity s share one of the latter with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99997 at 0.8.
+KEYED, BANDS, BAND_ROWS = 4, 20, 4
+#: Odd multipliers that draw the fingerprints and minima from one hash; made by a rule.
+TURNS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) & (2**64 - 1) for i in range(KEYED + BANDS * BAND_ROWS)], np.uint64)
+
+
+def _mixed(hashes: np.ndarray, turn) -> np.ndarray:
+    mixed = hashes * turn
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed
 
 
 def _majority(hashes: np.ndarray, turns: np.ndarray) -> list[int]:
     """One signed 64-bit fingerprint a turn: the bits set in more than half of the hashes, each remixed by the turn."""
     out = []
     for turn in turns:
-        mixed = hashes * turn
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed = _mixed(hashes, turn)
         ones = np.zeros(64, np.int64)
         for at in range(0, len(mixed), 1 << 16):
             ones += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -228,114 +231,138 @@ def _majority(hashes: np.ndarray, turns: np.ndarray) -> list[int]:
     return out
 
 
-def wide_fingerprint(text: bytes | None) -> tuple[int, int, list[int]]:
-    """(hash of the words, their number, KEYED + VERIFIED fingerprints) of a whole text; no fingerprints below LEAST_WORDS."""
+def _band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A signed key a band, of the minima of BAND_ROWS remixed hashes each."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, _mixed(shingles[at : at + 1024, None], TURNS[KEYED:]).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = _mixed(keys ^ row, TURNS[0])
+    return keys.view(np.int64)
+
+
+def golay_names(fps: np.ndarray) -> np.ndarray:
+    """(n, KEYED) keys of (n, KEYED) signed fingerprints: the slot and the Golay indices of all three segments."""
+    bits, out = fps.view(np.uint64), np.broadcast_to(np.arange(KEYED, dtype=np.int64), fps.shape)
+    for shift, width in SEGMENTS:
+        out = (out << 12) | golay_index(((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64))
+    return out
+
+
+def words_name(words: list[bytes]) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True)
+
+
+def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray, np.ndarray]:
+    """(hash of the words, their number, KEYED word fingerprints, BANDS keys, the distinct shingles' hashes) of a whole text;
+    the last three are empty below LEAST_WORDS."""
     words = (text or b"").lower().split()
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_digest
-    name = int.from_bytes(digest(joined, 42), "big", signed=True)
+    name, digest = words_name(words), xxhash.xxh64_digest
     if len(words) < LEAST_WORDS:
-        return name, len(words), []
+        return name, len(words), [], np.empty(0, np.int64), np.empty(0, np.int64)
+    joined = b" ".join(words)
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-SHINGLE])]
     single = np.frombuffer(b"".join([digest(w) for w in set(words)]), np.uint64)
     shingles = np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)]), np.uint64))
-    return name, len(words), _majority(single, TURNS[:KEYED]) + _majority(shingles, TURNS[KEYED:])
+    return name, len(words), _majority(single, TURNS[:KEYED]), _band_keys(shingles), shingles.view(np.int64)
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, n, w) for every row of docs."""
+def shingle_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, n, keys, s, row) for every row of docs; row numbers them."""
 
     def run(batches):
-        for batch in batches:
-            got = [wide_fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.int64()))], names=["doc_id", "name", "n", "w"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, name long, n long, w array<bigint>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                got = [shingled(t) for t in batch.column(1).to_pylist()]
+                golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
+                keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
+                columns = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([x[4] for x in got], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "name", "n", "keys", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, name long, n long, keys array<bigint>, s array<bigint>").withColumn("row", F.monotonically_increasing_id())
+
+
+def similar_forest(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """(a, b) names of a spanning forest of the links among sets at LIKE / OF and more, by breadth-first search."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    marked = np.zeros(int(flat.max()) + 1, np.int32)
+    left, out = np.arange(len(names)), []
 
+    def without(gone):
+        return left[~gone], flat[np.repeat(~gone, sizes[left])]
 
-def wide_forest(names: np.ndarray, sizes: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    """(a, b) names of a spanning forest of the near-duplicate links among documents, by breadth-first search."""
-    left, out = np.arange(len(names)), []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue = [left[0]]
+        left, flat = without(left == left[0])
         while queue and len(left):
             at = queue.pop()
-            fit = (np.minimum(sizes[left], sizes[at]) >= SIMILARITY * np.maximum(sizes[left], sizes[at])) & (np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1) <= VERIFIED_BITS)
+            marked[own[at]] = 1
+            starts = np.cumsum(sizes[left]) - sizes[left]
+            both = np.add.reduceat(marked[flat], starts)
+            marked[own[at]] = 0
+            fit = OF * both >= LIKE * (sizes[left] + sizes[at] - both)
             if fit.any():
                 out += [(names[at], names[i]) for i in left[fit]]
                 queue.extend(left[fit])
-                left = left[~fit]
+                left, flat = without(fit)
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def similar_links(nodes: DataFrame, hot: int = 12, tile: int = 4096) -> DataFrame:
-    """(a, b) names of near-duplicate texts of nodes(name, n, w), enough that each linked group stays connected.
+def similar_links(texts: DataFrame, hot: int = 12, tile: int = 8192) -> DataFrame:
+    """(a, b) names of near-duplicate texts of texts(name, n, keys, s), enough that each linked group stays connected.
 
-    Candidates share two Golay indices in one of the KEYED fingerprints; a pair is verified by size and on all VERIFIED
-    fingerprints. A key that more than ``hot`` texts reach gives a spanning forest of its verified links for each pair of
-    its tiles; so pairs stay in proportion to the texts however large a group of near copies is.
+    Candidates share a key; a pair is verified by the exact similarity of the sets of shingles. A key of at most ``hot``
+    texts gives its pairs, one of more a spanning forest of the same links for each pair of its tiles: ``hot`` and
+    ``tile`` decide how links are made, never which texts are linked.
     """
-    proof = F.slice("w", KEYED + 1, VERIFIED)
-    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    pairs, forests = None, None
-    for slot in range(KEYED):
-        mine = nodes.select("name", F.col("w")[slot].alias("fp"))
-        owners = written(_named_keys(mine, True), "golay-owned")
-        # Of all keys that texts reach, those that some text owns; a text reaches at most about a hundred.
-        reach = written(_named_keys(mine, False).join(owners.select("key").distinct(), "key", "left_semi"), "golay-reached")
-        counts = reach.groupBy("key").count()
-        crowded = written(counts.filter(F.col("count") > hot).select("key"), "golay-hot")
-        some = crowded.limit(1).count() > 0
-        plain = owners.join(crowded, "key", "left_anti") if some else owners
-        plain = plain.select("key", F.col("name").alias("other"), F.col("fp").alias("ofp"))
-        near = (F.col("name") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= KEYED_BITS)
-        got = reach.join(plain, "key").filter(near).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
-        got = written(got, "simhash-pairs")
-        pairs = got if pairs is None else pairs.unionByName(got)
-        if some:
-            members = written(reach.join(crowded, "key").select("key", "name"), "golay-members")
-            tiles = members.groupBy("key").count().select("key", F.ceil(F.col("count") / tile).cast("int").alias("t"))
-            dealt = members.join(tiles, "key").withColumn("m", F.pmod(F.xxhash64("name"), F.col("t")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-            dealt = dealt.select("key", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), "name").join(nodes.select("name", "n", proof.alias("p")), "name")
-
-            def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-                wide = np.array(pdf["p"].tolist(), np.int64).reshape(-1, VERIFIED).view(np.uint64)
-                return pd.DataFrame(wide_forest(pdf["name"].to_numpy(), pdf["n"].to_numpy(), wide), columns=["a", "b"])
-
-            more = written(dealt.groupBy("key", "x", "y").applyInPandas(forest, "a long, b long"), "simhash-forest")
-            forests = more if forests is None else forests.unionByName(more)
-    left = nodes.select(F.col("name").alias("a"), F.col("n").alias("an"), proof.alias("ap"))
-    right = nodes.select(F.col("name").alias("b"), F.col("n").alias("bn"), proof.alias("bp"))
-    found = pairs.distinct().join(left, "a").join(right, "b")
-    found = found.filter((F.least("an", "bn") >= SIMILARITY * F.greatest("an", "bn")) & (far("ap", "bp") <= VERIFIED_BITS)).select("a", "b")
-    return found if forests is None else found.unionByName(forests)
-
-
-def _named_keys(nodes: DataFrame, owned: bool) -> DataFrame:
-    """(key, name, fp) of nodes(name, fp)."""
-
-    def run(batches):
-        for batch in batches:
-            names, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for at in range(0, len(fps), 4096):
-                part = np.ascontiguousarray(fps[at : at + 4096])
-                rows, keys = fuzzy_keys(part, owned)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[at : at + 4096][rows]), pa.array(part[rows])], names=["key", "name", "fp"])
-
-    return nodes.select("name", "fp").mapInArrow(run, "key long, name long, fp long")
+    keyed = written(texts.select("name", "n", F.explode("keys").alias("key")), "simhash-keys")
+    counts = keyed.groupBy("key").count().filter("count > 1")
+    shared = written(keyed.join(counts, "key"), "simhash-shared")
+    plain, members = shared.filter(F.col("count") <= hot), shared.filter(F.col("count") > hot)
+    left = plain.select("key", F.col("name").alias("a"), F.col("n").alias("an"))
+    right = plain.select("key", F.col("name").alias("b"), F.col("n").alias("bn"))
+    alike = OF * F.least("an", "bn") >= LIKE * F.greatest("an", "bn")
+    pairs = written(left.join(right, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct(), "simhash-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select("name")).distinct()
+    sets = written(texts.select("name", "s").join(named, "name"), "simhash-sets")
+    found = pairs.join(sets.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = found.filter(OF * both >= LIKE * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    if not members.limit(1).count():
+        return found
+    dealt = members.withColumn("t", F.ceil(F.col("count") / tile).cast("int"))
+    dealt = dealt.withColumn("m", F.pmod(F.xxhash64("name"), F.col("t")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    dealt = dealt.select("key", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), "name").join(sets, "name")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(similar_forest(pdf["name"].to_numpy(), list(pdf["s"])), columns=["a", "b"])
+
+    return found.unionByName(written(dealt.groupBy("key", "x", "y").applyInPandas(forest, "a long, b long"), "simhash-forest"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, name) of the rows of docs and (name, group, component_id) of their texts."""
+    rows = written(shingle_rows(docs), "simhash-wide")
+    nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "simhash-nodes")
+    texts = rows.filter(F.col("n") >= LEAST_WORDS).join(nodes.select("row"), "row", "left_semi")
+    group = components(similar_links(texts))
+    linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")
+    least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("name", "component", "least")
+    of = nodes.select("name", "first").join(least, "name", "left").select("name", F.coalesce("component", "name").alias("group"), F.coalesce("least", "first").alias("component_id"))
+    return rows.select("doc_id", "name"), written(of, "simhash-groups")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, name, component_id) for every row of docs: groups of texts that are equal word for word or linked by
     similarity of five-word shingles; component_id is the smallest doc_id of the group."""
-    rows = written(wide_fingerprints(docs), "simhash-wide")
-    nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("w").alias("w")), "simhash-nodes")
-    group = components(similar_links(nodes.filter(F.col("n") >= LEAST_WORDS)))
-    linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")
-    least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("name", "least")
-    of = written(nodes.select("name", "first").join(least, "name", "left").select("name", F.coalesce("least", "first").alias("component_id")), "simhash-groups")
-    return rows.select("doc_id", "name").join(of, "name").select("doc_id", "name", "component_id")
+    rows, of = _grouped(docs)
+    return rows.join(of, "name").select("doc_id", "name", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -470,6 +470,34 @@ def test_similar_groups(spark, hot, monkeypatch):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [*(g * 10 for g in range(25)), 900, 902, 903, 905, None]
 
 
+def planted_groups(spark, pairs, hot=12):
+    """Whether each pair of texts ends in one group, all pairs in one table."""
+    docs = docs_of(spark, [(2 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)])
+    before = simhash.similar_links.__defaults__
+    simhash.similar_links.__defaults__ = (hot, 16)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    finally:
+        simhash.similar_links.__defaults__ = before
+    return [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_blocks(spark):
+    rng = random.Random(21)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(n)]
+    pairs = []
+    for i in range(60):
+        words, at = fresh(300), rng.randrange(240)
+        pairs.append((" ".join(words), " ".join([*words[:at], *fresh(53), *words[at:]] if i % 2 else words[:at] + words[at + 52 :])))
+    assert all(0.8 <= jaccard(*p) < 0.84 for p in pairs)
+    assert all(planted_groups(spark, pairs))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (101, 102), (7, 7), (300, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
