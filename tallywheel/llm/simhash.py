@@ -203,8 +203,8 @@ def hex_fingerprint(fp):
 
 
 #: Near-duplicate documents: the sets of five-word shingles of two texts have at least LIKE / OF (0.8) of their union in
-#: common. Texts of fewer than LEAST_WORDS words have no keys, so that only equal ones are near.
-SHINGLE, LIKE, OF, LEAST_WORDS = 5, 4, 5, 49
+#: common. Texts of fewer than SHINGLE words have none, so that only equal ones are near.
+SHINGLE, LIKE, OF = 5, 4, 5
 #: Keys a text has: KEYED Golay-coded SimHash fingerprints of its distinct words, and BANDS of BAND_ROWS minima of its
 #: shingles. Texts of similarity s share one of the latter with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99997 at 0.8.
 KEYED, BANDS, BAND_ROWS = 4, 20, 4
@@ -256,10 +256,10 @@ def words_name(words: list[bytes]) -> int:
 
 def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray, np.ndarray]:
     """(hash of the words, their number, KEYED word fingerprints, BANDS keys, the distinct shingles' hashes) of a whole text;
-    the last three are empty below LEAST_WORDS."""
+    the last three are empty below SHINGLE words."""
     words = (text or b"").lower().split()
     name, digest = words_name(words), xxhash.xxh64_digest
-    if len(words) < LEAST_WORDS:
+    if len(words) < SHINGLE:
         return name, len(words), [], np.empty(0, np.int64), np.empty(0, np.int64)
     joined = b" ".join(words)
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
@@ -350,7 +350,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (doc_id, name) of the rows of docs and (name, group, component_id) of their texts."""
     rows = written(shingle_rows(docs), "simhash-wide")
     nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "simhash-nodes")
-    texts = rows.filter(F.col("n") >= LEAST_WORDS).join(nodes.select("row"), "row", "left_semi")
+    texts = rows.filter(F.col("n") >= SHINGLE).join(nodes.select("row"), "row", "left_semi")
     group = components(similar_links(texts))
     linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")
     least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("name", "component", "least")

@@ -498,6 +498,23 @@ def test_similar_blocks(spark):
     assert all(planted_groups(spark, pairs))
 
 
+def test_similar_short_texts(spark):
+    rng = random.Random(22)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(n)]
+    pairs, apart = [], []
+    for n, more in [(9, 1), (13, 1), (20, 1), (30, 1), (48, 1), (48, 3)] * 3:
+        words = fresh(n)
+        pairs.append((" ".join(words), " ".join([*words, *fresh(more)])))
+        pairs.append((" ".join(words[::-1]), " ".join([*fresh(more), *words[::-1]])))
+        apart.append((" ".join(fresh(n)), " ".join(fresh(n))))
+    words = fresh(48)
+    pairs.append((" ".join(words), " ".join([*words[:20], *fresh(1), *words[20:]])))
+    inner = fresh(20)
+    apart += [(" ".join(inner), " ".join([*inner[:9], *fresh(1), *inner[10:]])), ("a b c d", "a b c d e"), ("a b", "a c"), ("", "a")]
+    got = planted_groups(spark, pairs + apart)
+    assert got == [jaccard(*p) >= 0.8 for p in pairs] + [False] * len(apart)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (101, 102), (7, 7), (300, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
