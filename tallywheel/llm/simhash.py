@@ -255,18 +255,18 @@ def words_name(words: list[bytes]) -> int:
 
 
 def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray, np.ndarray]:
-    """(hash of the words, their number, KEYED word fingerprints, BANDS keys, the distinct shingles' hashes) of a whole text;
+    """(hash of the words, the number of distinct shingles, KEYED word fingerprints, BANDS keys, the distinct shingles' hashes) of a whole text;
     the last three are empty below SHINGLE words."""
     words = (text or b"").lower().split()
     name, digest = words_name(words), xxhash.xxh64_digest
     if len(words) < SHINGLE:
-        return name, len(words), [], np.empty(0, np.int64), np.empty(0, np.int64)
+        return name, 0, [], np.empty(0, np.int64), np.empty(0, np.int64)
     joined = b" ".join(words)
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-SHINGLE])]
     single = np.frombuffer(b"".join([digest(w) for w in set(words)]), np.uint64)
     shingles = np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)]), np.uint64))
-    return name, len(words), _majority(single, TURNS[:KEYED]), _band_keys(shingles), shingles.view(np.int64)
+    return name, len(shingles), _majority(single, TURNS[:KEYED]), _band_keys(shingles), shingles.view(np.int64)
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (doc_id, name) of the rows of docs and (name, group, component_id) of their texts."""
     rows = written(shingle_rows(docs), "simhash-wide")
     nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "simhash-nodes")
-    texts = rows.filter(F.col("n") >= SHINGLE).join(nodes.select("row"), "row", "left_semi")
+    texts = rows.filter("n > 0").join(nodes.select("row"), "row", "left_semi")
     group = components(similar_links(texts))
     linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")
     least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("name", "component", "least")

@@ -515,6 +515,13 @@ def test_similar_short_texts(spark):
     assert got == [jaccard(*p) >= 0.8 for p in pairs] + [False] * len(apart)
 
 
+def test_similar_texts_that_repeat_passages(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(400)]
+    first, second = words[:200], words[200:]
+    assert planted_groups(spark, [(" ".join(first), " ".join(first + first[60:120])), (" ".join(second), " ".join(second * 2))]) == [True, True]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (101, 102), (7, 7), (300, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
