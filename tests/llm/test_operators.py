@@ -522,6 +522,18 @@ def test_similar_texts_that_repeat_passages(spark):
     assert planted_groups(spark, [(" ".join(first), " ".join(first + first[60:120])), (" ".join(second), " ".join(second * 2))]) == [True, True]
 
 
+def test_similar_pairs_do_not_depend_on_crowding(spark):
+    rng = random.Random(24)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(n)]
+    pairs = []
+    for i in range(48):
+        words, at = fresh(300), rng.randrange(240)
+        pairs.append((" ".join(words), " ".join([*words[:at], *fresh((53, 62, 90, 120)[i % 4]), *words[at:]])))
+    wanted = [jaccard(*p) >= 0.8 for p in pairs]
+    assert any(wanted) and not all(wanted)
+    assert planted_groups(spark, pairs, hot=12) == planted_groups(spark, pairs, hot=1) == wanted
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (101, 102), (7, 7), (300, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
