@@ -365,13 +365,24 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return rows.join(of, "name").select("doc_id", "name", "component_id")
 
 
+def _words_name(text):
+    @F.pandas_udf("long")
+    def name(t: pd.Series) -> pd.Series:
+        return pd.Series([words_name((x or b"").lower().split()) for x in t], dtype="int64")
+
+    return name(text.cast("binary"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The columns of docs; of each group of near-duplicate texts (similar_groups) the row with the smallest doc_id stays.
+    """The columns of docs; of each group of near-duplicate texts (similar_groups) a row with the smallest doc_id stays.
 
-    Of rows that repeat that doc_id, the one with the smallest text hash stays. Rows without an id are kept, as nothing
-    tells which of them to keep. An empty table gives an empty result.
+    Of rows of a group that repeat that doc_id, one with the least hash of its words stays, and of those the one with the
+    smallest text hash. An id that has texts of several groups stays once for each group that it names. Rows without an
+    id are kept, as nothing tells which of them to keep. An empty table gives an empty result.
     """
-    kept = similar_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    keep = docs.join(kept, "doc_id", "left_semi").withColumn("__once", once).filter("__once = 1").select(*docs.columns)
+    rows, of = _grouped(docs)
+    kept = rows.join(of, "name").filter("doc_id = component_id").groupBy("group").agg(F.min("doc_id").alias("__id"), F.min("name").alias("__name"))
+    once = F.row_number().over(W.partitionBy("doc_id", "__name").orderBy(F.xxhash64("text")))
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__name", _words_name(F.col("text")))
+    keep = named.join(kept.withColumnRenamed("__id", "doc_id"), ["doc_id", "__name"], "left_semi").withColumn("__once", once).filter("__once = 1").select(*docs.columns)
     return keep.unionByName(docs.filter(F.col("doc_id").isNull()))

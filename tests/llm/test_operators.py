@@ -534,6 +534,19 @@ def test_similar_pairs_do_not_depend_on_crowding(spark):
     assert planted_groups(spark, pairs, hot=12) == planted_groups(spark, pairs, hot=1) == wanted
 
 
+def test_near_duplicates_under_a_repeated_id(spark):
+    rng = random.Random(25)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(80)) for _ in range(14)]
+    rows = [(1, texts[0])]
+    # The id 10 + i has a copy of document 1's text and one of its own, so that either may have the smaller hash.
+    for i, own in enumerate(texts[1:13]):
+        rows += [(10 + i, texts[0] + f" more{i}"), (10 + i, own)]
+    rows += [(50, texts[13]), (50, texts[13] + " tail"), (50, texts[13]), (51, texts[13].upper())]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs_of(spark, rows)).collect())
+    assert kept[:13] == [(1, texts[0])] + [(10 + i, own) for i, own in enumerate(texts[1:13])]
+    assert [k for k, _ in kept[13:]] == [50]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 101), (101, 102), (7, 7), (300, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
