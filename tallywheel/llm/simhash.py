@@ -254,36 +254,62 @@ def words_name(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True)
 
 
-def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray, np.ndarray]:
-    """(hash of the words, the number of distinct shingles, KEYED word fingerprints, BANDS keys, the distinct shingles' hashes) of a whole text;
-    the last three are empty below SHINGLE words."""
-    words = (text or b"").lower().split()
-    name, digest = words_name(words), xxhash.xxh64_digest
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of words; none below SHINGLE words."""
     if len(words) < SHINGLE:
-        return name, 0, [], np.empty(0, np.int64), np.empty(0, np.int64)
-    joined = b" ".join(words)
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-SHINGLE])]
-    single = np.frombuffer(b"".join([digest(w) for w in set(words)]), np.uint64)
-    shingles = np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)]), np.uint64))
-    return name, len(shingles), _majority(single, TURNS[:KEYED]), _band_keys(shingles), shingles.view(np.int64)
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)]), np.uint64))
+
+
+def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray]:
+    """(hash of the words, the number of distinct shingles, KEYED word fingerprints, BANDS keys) of a whole text; the last
+    two are empty below SHINGLE words."""
+    words = (text or b"").lower().split()
+    shingles = shingle_set(words)
+    if not len(shingles):
+        return words_name(words), 0, [], np.empty(0, np.int64)
+    single = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in set(words)]), np.uint64)
+    return words_name(words), len(shingles), _majority(single, TURNS[:KEYED]), _band_keys(shingles)
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, n, keys, s, row) for every row of docs; row numbers them."""
+    """(doc_id, name, n, keys) for every row of docs."""
+
+    def run(batches):
+        for batch in batches:
+            got = [shingled(t) for t in batch.column(1).to_pylist()]
+            golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
+            keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
+            columns = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "name", "n", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, name long, n long, keys array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, s): the shingles of the texts of docs whose words have one of the hashes names(name), once each."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                got = [shingled(t) for t in batch.column(1).to_pylist()]
-                golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
-                keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
-                columns = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([x[4] for x in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "name", "n", "keys", "s"])
+                sets = [shingle_set(t.lower().split()).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["name", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, name long, n long, keys array<bigint>, s array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(_words_name(F.col("text")).alias("name"), F.col("text").cast("binary").alias("t")).join(names, "name")
+    return texts.groupBy("name").agg(F.first("t").alias("t")).mapInArrow(run, "name long, s array<bigint>")
+
+
+def _words_name(text):
+    @F.pandas_udf("long")
+    def name(t: pd.Series) -> pd.Series:
+        return pd.Series([words_name((x or b"").lower().split()) for x in t], dtype="int64")
+
+    return name(text.cast("binary"))
 
 
 def similar_forest(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -314,8 +340,8 @@ def similar_forest(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def similar_links(texts: DataFrame, hot: int = 12, tile: int = 8192) -> DataFrame:
-    """(a, b) names of near-duplicate texts of texts(name, n, keys, s), enough that each linked group stays connected.
+def similar_links(texts: DataFrame, docs: DataFrame, hot: int = 12, tile: int = 8192) -> DataFrame:
+    """(a, b) names of near-duplicate texts of docs, given as texts(name, n, keys), enough that each linked group stays connected.
 
     Candidates share a key; a pair is verified by the exact similarity of the sets of shingles. A key of at most ``hot``
     texts gives its pairs, one of more a spanning forest of the same links for each pair of its tiles: ``hot`` and
@@ -330,7 +356,8 @@ def similar_links(texts: DataFrame, hot: int = 12, tile: int = 8192) -> DataFram
     alike = OF * F.least("an", "bn") >= LIKE * F.greatest("an", "bn")
     pairs = written(left.join(right, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct(), "simhash-pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select("name")).distinct()
-    sets = written(texts.select("name", "s").join(named, "name"), "simhash-sets")
+    # Tables of their own, so that texts of which no part is wanted stay where they are while the names are few.
+    sets = written(shingle_sets(docs, written(named, "simhash-named")), "simhash-sets")
     found = pairs.join(sets.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     found = found.filter(OF * both >= LIKE * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -349,9 +376,8 @@ def similar_links(texts: DataFrame, hot: int = 12, tile: int = 8192) -> DataFram
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (doc_id, name) of the rows of docs and (name, group, component_id) of their texts."""
     rows = written(shingle_rows(docs), "simhash-wide")
-    nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "simhash-nodes")
-    texts = rows.filter("n > 0").join(nodes.select("row"), "row", "left_semi")
-    group = components(similar_links(texts))
+    nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "simhash-nodes")
+    group = components(similar_links(nodes.filter("n > 0").select("name", "n", "keys"), docs))
     linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")
     least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("name", "component", "least")
     of = nodes.select("name", "first").join(least, "name", "left").select("name", F.coalesce("component", "name").alias("group"), F.coalesce("least", "first").alias("component_id"))
@@ -365,14 +391,6 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return rows.join(of, "name").select("doc_id", "name", "component_id")
 
 
-def _words_name(text):
-    @F.pandas_udf("long")
-    def name(t: pd.Series) -> pd.Series:
-        return pd.Series([words_name((x or b"").lower().split()) for x in t], dtype="int64")
-
-    return name(text.cast("binary"))
-
-
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The columns of docs; of each group of near-duplicate texts (similar_groups) a row with the smallest doc_id stays.
 
