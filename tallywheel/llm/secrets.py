@@ -22,7 +22,7 @@ from tallywheel.llm._common import fold, written
 RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}"
 NEAR = 64  # characters kept on either side
 MOST_LABELLED = 10_000
-DICTIONARY_DOCS, DICTIONARY_WORDS = 1000, 300
+DICTIONARY_WORDS = 300
 
 #: Words that name a credential, words that name something else, and words that mark a placeholder.
 CREDENTIAL = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credential|private[_-]?key)"
@@ -47,12 +47,9 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "position", "f.candidate", F.coalesce("f.before", F.lit("")).alias("before"), F.coalesce("f.after", F.lit("")).alias("after"))
 
 
-def dictionary(docs: DataFrame, most_docs: int = DICTIONARY_DOCS, most_words: int = DICTIONARY_WORDS) -> list[str]:
-    """The commonest words of four letters or more in a bounded sample of documents: the most_docs first by hash of id and text."""
-    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").alias("t")).filter(F.col("t").isNotNull())
-    last = hashed.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]  # hashes only; their texts follow
-    sample = hashed.filter(F.col("h") <= F.lit(last))
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("w"))
+def dictionary(docs: DataFrame, most_words: int = DICTIONARY_WORDS) -> list[str]:
+    """The commonest words of four letters or more in all documents."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("w"))
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most_words).collect()]
 
 

@@ -210,6 +210,13 @@ def test_secrets_found_and_false_positives_removed(spark):
     assert secrets.scan(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_secret_dictionary_counts_all_documents(spark):
+    rows = [(i, "common words here" if i % 2 else "other words") for i in range(1500)] + [(2000, "rarely " * 2000), (2001, None)]
+    assert secrets.dictionary(docs_of(spark, rows), most_words=3) == ["rarely", "words", "common"]
+    sparse = [(i, f"filler{'abcdefghij'[i % 10]} text") for i in range(3000)] + [(5000 + i, "seldom") for i in range(3)]
+    assert {"seldom", "text"} <= set(secrets.dictionary(docs_of(spark, sparse)))
+
+
 def test_secret_plan_is_native(spark):
     found = secrets.with_features(secrets.find(docs_of(spark, some_docs())), ["word"])
     plan = found._jdf.queryExecution().toString()
