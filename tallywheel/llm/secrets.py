@@ -1,7 +1,7 @@
 """Secret scans: a wide finder, and a random forest that removes its false positives (DataFrame functions only).
 
-The finder takes every run of 12 characters or more of letters, digits, _ + / - that holds a digit, with what stands
-before and after it. The forest sees length, character classes and transitions, how much of the candidate dictionary
+The finder takes every run of 12 characters or more of letters, digits, _ + / - that holds a digit, every key in a
+provider's format and every value assigned to a credential's name, with what stands before and after it. The forest sees length, character classes and transitions, how much of the candidate dictionary
 words cover, path-like surroundings and the neighbouring words. It is trained on labelled findings; weak_labels() gives
 some by provider formats and assignments, where a table of reviewed findings is missing.
 
@@ -29,7 +29,17 @@ CREDENTIAL = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-
 ORDINARY = r"(?:phone|tel|card|isbn|order|invoice|version|commit|sha\d*|md5|digest|checksum|uuid|guid|revision|build)"
 PLACEHOLDER = r"(?:example|sample|dummy|test|placeholder|changeme|redacted|xxxx|your)"
 #: Published formats of provider keys.
-PROVIDER = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_\-]{35})$"
+FORMATS = r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_\-]{35})"
+PROVIDER = f"^{FORMATS}$"
+#: What stands between a credential's name and its value, and the value: up to its closing quote, or to white space without
+#: the marks that close a sentence or bracket. Names are bounded, so that the finder can look behind.
+ASSIGNED = rf"(?i:{CREDENTIAL})[\"']?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}(?:(?i:bearer|basic)\s{{1,3}})?"
+VALUE = (
+    rf"(?<=[=:>\s])(?<={ASSIGNED})(?!(?i:bearer|basic)\s)[^\s\"'=>](?:\S*[^\s,;.)\]}}>\"'])?"
+    rf"|(?<=\")(?<={ASSIGNED}\")[^\"\r\n]+|(?<=')(?<={ASSIGNED}')[^'\r\n]+"
+)
+ANY_FORMAT = rf"(?<![A-Za-z0-9]){FORMATS}(?![A-Za-z0-9])"
+PLAIN, FULL = f"{RUN}|{ANY_FORMAT}", f"{VALUE}|{RUN}|{ANY_FORMAT}"
 
 FEATURES = (
     "length", "digits", "uppers", "lowers", "marks", "transitions", "case_changes", "distinct", "hex", "number", "vowels", "dictionary",
@@ -40,8 +50,11 @@ FEATURES = (
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, position, candidate, before, after): every candidate of every whole text, numbered in each row."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).filter(F.col("t").rlike(RUN))
-    rows = rows.select("doc_id", F.regexp_extract_all("t", F.lit(RUN), F.lit(0)).alias("c"), F.transform(F.split("t", RUN, -1), lambda p: F.struct(F.right(p, F.lit(NEAR)).alias("tail"), F.left(p, F.lit(NEAR)).alias("head"))).alias("p"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), text.rlike(ASSIGNED).alias("a"))
+    # Looking behind costs much and is left to texts in which something is assigned.
+    cut = lambda pattern: F.struct(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("c"), F.split("t", pattern, -1).alias("p"))
+    rows = rows.filter(F.col("a") | F.col("t").rlike(PLAIN)).select("doc_id", F.when(F.col("a"), cut(FULL)).otherwise(cut(PLAIN)).alias("f"))
+    rows = rows.select("doc_id", F.col("f.c").alias("c"), F.transform("f.p", lambda p: F.struct(F.right(p, F.lit(NEAR)).alias("tail"), F.left(p, F.lit(NEAR)).alias("head"))).alias("p"))
     found = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.get("p", i).getField("tail").alias("before"), F.get("p", i + 1).getField("head").alias("after")))
     rows = rows.select("doc_id", F.posexplode(found).alias("position", "f"))
     return rows.select("doc_id", "position", "f.candidate", F.coalesce("f.before", F.lit("")).alias("before"), F.coalesce("f.after", F.lit("")).alias("after"))
@@ -92,7 +105,9 @@ def weak_labels(found: DataFrame) -> DataFrame:
     words; null where neither is sure."""
     c, before = F.col("candidate"), F.col("before")
     placeholder = F.lower(c).rlike(PLACEHOLDER) | F.lower(before).rlike(rf"{PLACEHOLDER}\W*$")
-    secret = (c.rlike(PROVIDER) | (before.rlike(rf"(?i){CREDENTIAL}\W{{0,6}}$") & before.rlike(r"[=:]\s*[\"']?$") & (F.length(c) >= 16))) & ~placeholder
+    assigned = before.rlike(rf"(?i){CREDENTIAL}\W{{0,6}}$") & before.rlike(r"[=:]\s*[\"']?$")
+    mixed = c.rlike(r"^(?=\S*[A-Za-z])(?=\S*[0-9!@#$%^&*])\S{6,}$")  # a value of letters with digits or marks
+    secret = (c.rlike(PROVIDER) | (assigned & ((F.length(c) >= 16) | mixed))) & ~placeholder
     ordinary = c.rlike("^[0-9+/_-]+$") | F.col("after").rlike("^@") | before.rlike(rf"(?i)\b{ORDINARY}\W{{0,6}}$") | placeholder | (F.regexp_count(c, F.lit("[0-9]")) <= 2)
     return found.withColumn("y", F.when(secret, 1).when(ordinary, 0))
 

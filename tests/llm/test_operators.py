@@ -217,6 +217,24 @@ def test_secret_dictionary_counts_all_documents(spark):
     assert {"seldom", "text"} <= set(secrets.dictionary(docs_of(spark, sparse)))
 
 
+def test_secret_candidates_of_any_form(spark):
+    akia, sk = "AKIA" + "ABCDEFGH" * 2, "sk-" + "abcdefghij" * 3
+    texts = {
+        f"key {akia} here": [akia], f"use ({sk}).": [sk], "password=hunter2!": ["hunter2!"], "set password: P@ssw0rd-x, then": ["P@ssw0rd-x"],
+        'x = {"api_key": "no digits, but spaces", "b": 1}': ["no digits, but spaces"], "pwd='a b'": ["a b"], "secret => zyx": ["zyx"],
+        "Authorization: Bearer abc.def.ghi": ["abc.def.ghi"], "token = 0123456789abcdef": ["0123456789abcdef"], "my password is long": [], "author: me": [],
+    }
+    got = {}
+    for r in secrets.find(docs_of(spark, list(enumerate(texts)))).collect():
+        got.setdefault(r["doc_id"], []).append(r["candidate"])
+    assert [got.get(i, []) for i in range(len(texts))] == list(texts.values())
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choices("abcdefghijkmnopqrstuvwxyz", k=k))
+    rows = [(i, f"we set password={word(5)}{rng.randint(1, 99)}! and went on") for i in range(60)] + [(100 + i, f"the order {rng.randint(10**14, 10**15)} came") for i in range(60)]
+    found = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs_of(spark, rows)).collect()}
+    assert found == {i: int(i < 100) for i, _ in rows}
+
+
 def test_secret_plan_is_native(spark):
     found = secrets.with_features(secrets.find(docs_of(spark, some_docs())), ["word"])
     plan = found._jdf.queryExecution().toString()
