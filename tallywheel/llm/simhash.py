@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -208,15 +208,20 @@ SHINGLE, LIKE, OF = 5, 4, 5
 #: Keys a text has: KEYED Golay-coded SimHash fingerprints of its distinct words, and BANDS of BAND_ROWS minima of its
 #: shingles. Texts of similarity s share one of the latter with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99997 at 0.8.
 KEYED, BANDS, BAND_ROWS = 4, 20, 4
-#: Odd multipliers that draw the fingerprints and minima from one hash; made by a rule.
-TURNS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) & (2**64 - 1) for i in range(KEYED + BANDS * BAND_ROWS)], np.uint64)
+#: A sketch has a bit for each of SKETCH minima. Two sketches differ in SKETCH * (1 - s) / 2 bits on average: of pairs of
+#: similarity 0.8 or more one in 10 ** 9 differs in over APART, and such pairs are never candidates, in groups of any size.
+SKETCH, APART = 128, 36
+#: Odd multipliers that draw fingerprints and minima from one hash; made by a rule.
+TURNS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) & (2**64 - 1) for i in range(KEYED + SKETCH + SHINGLE)], np.uint64)
+#: A group of related texts is compared in tiles of this many texts and shingles at most, about.
+TILE_ROWS, TILE_SHINGLES = 8192, 1 << 21
 
 
 def _mixed(hashes: np.ndarray, turn) -> np.ndarray:
     mixed = hashes * turn
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def _majority(hashes: np.ndarray, turns: np.ndarray) -> list[int]:
@@ -231,13 +236,19 @@ def _majority(hashes: np.ndarray, turns: np.ndarray) -> list[int]:
     return out
 
 
-def _band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A signed key a band, of the minima of BAND_ROWS remixed hashes each."""
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(least, _mixed(shingles[at : at + 1024, None], TURNS[KEYED:]).min(axis=0), out=least)
+def _minima(shingles: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of SKETCH multipliers."""
+    turns = TURNS[KEYED : KEYED + SKETCH, None]
+    least = np.full(SKETCH, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[None, at : at + 512] * turns).min(axis=1), out=least)
+    return least
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    """A signed key a band, of BAND_ROWS minima each."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
+    for row in least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
         keys = _mixed(keys ^ row, TURNS[0])
     return keys.view(np.int64)
 
@@ -250,143 +261,202 @@ def golay_names(fps: np.ndarray) -> np.ndarray:
     return out
 
 
+class _WordHashes(dict):
+    """The hash of each word, kept for up to 400,000 words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_WORD_HASHES = _WordHashes()
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+
+
 def words_name(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 42), "big", signed=True)
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of words; none below SHINGLE words."""
-    if len(words) < SHINGLE:
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of words, given as hashes; none below SHINGLE words."""
+    if len(hashes) < SHINGLE:
         return np.empty(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_digest
-    ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[:-SHINGLE])]
-    return np.unique(np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)]), np.uint64))
+    many = len(hashes) - SHINGLE + 1
+    total = np.zeros(many, np.uint64)
+    for j, turn in enumerate(TURNS[KEYED + SKETCH :]):
+        total = _mixed(total + hashes[j : j + many], turn)
+    return np.unique(total)
 
 
-def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray]:
-    """(hash of the words, the number of distinct shingles, KEYED word fingerprints, BANDS keys) of a whole text; the last
-    two are empty below SHINGLE words."""
+def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray, list[int]]:
+    """(hash of the words, number of distinct shingles, KEYED word fingerprints, BANDS keys, the sketch as two longs) of a
+    whole text; the last three are empty or zero below SHINGLE words."""
     words = (text or b"").lower().split()
-    shingles = shingle_set(words)
+    hashes = _word_hashes(words)
+    shingles = shingle_set(hashes)
     if not len(shingles):
-        return words_name(words), 0, [], np.empty(0, np.int64)
-    single = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in set(words)]), np.uint64)
-    return words_name(words), len(shingles), _majority(single, TURNS[:KEYED]), _band_keys(shingles)
+        return words_name(words), 0, [], np.empty(0, np.int64), [0, 0]
+    least = _minima(shingles)
+    sketch = np.packbits((_mixed(least, TURNS[1]) >> np.uint64(17)).astype(np.uint8) & 1).view(np.int64).tolist()
+    return words_name(words), len(shingles), _majority(np.unique(hashes), TURNS[:KEYED]), _band_keys(least), sketch
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, n, keys) for every row of docs."""
+    """(doc_id, name, t, n, s1, s2, keys) for every row of docs; t is the hash of the text as it stands."""
 
     def run(batches):
         for batch in batches:
-            got = [shingled(t) for t in batch.column(1).to_pylist()]
+            got = [shingled(t) for t in batch.column(2).to_pylist()]
             golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
             keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
-            columns = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "name", "n", "keys"])
+            long = lambda values: pa.array(values, pa.int64())
+            columns = [long([x[0] for x in got]), batch.column(1), long([x[1] for x in got]), long([x[4][0] for x in got]), long([x[4][1] for x in got])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "name", "t", "n", "s1", "s2", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, name long, n long, keys array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, name long, t long, n long, s1 long, s2 long, keys array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, s): the shingles of the texts of docs whose words have one of the hashes names(name), once each."""
+def shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, s): the shingles of the texts of docs whose hash is in texts(t, name), once each."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sets = [shingle_set(t.lower().split()).view(np.int64) for t in batch.column(1).to_pylist()]
+                sets = [shingle_set(_word_hashes((t or b"").lower().split())).view(np.int64) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["name", "s"])
 
-    texts = docs.select(_words_name(F.col("text")).alias("name"), F.col("text").cast("binary").alias("t")).join(names, "name")
-    return texts.groupBy("name").agg(F.first("t").alias("t")).mapInArrow(run, "name long, s array<bigint>")
-
+    found = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text")).join(texts, "t")
+    return found.groupBy("name").agg(F.first("text").alias("text")).mapInArrow(run, "name long, s array<bigint>")
 
-def _words_name(text):
-    @F.pandas_udf("long")
-    def name(t: pd.Series) -> pd.Series:
-        return pd.Series([words_name((x or b"").lower().split()) for x in t], dtype="int64")
 
-    return name(text.cast("binary"))
+def cross_links(names: np.ndarray, classes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """(a, b) names of links at LIKE / OF and more between texts of different classes, enough to join every two classes
+    that have one (a link joins its classes for what follows)."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    begin = np.cumsum(sizes) - sizes
+    marked = np.zeros(int(flat.max()) + 1, np.int8)
+    of, out = np.unique(classes, return_inverse=True)[1], []
+    for i in range(len(names) - 1):
+        rest = np.nonzero(of[i + 1 :] != of[i])[0] + i + 1
+        if not len(rest):
+            continue
+        fit = OF * np.minimum(sizes[rest], sizes[i]) >= LIKE * np.maximum(sizes[rest], sizes[i])
+        rest = rest[fit]
+        rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= APART]
+        if not len(rest):
+            continue
+        own = flat[begin[i] : begin[i] + sizes[i]]
+        marked[own] = 1
+        ends = np.cumsum(sizes[rest])
+        at = np.repeat(begin[rest] - (ends - sizes[rest]), sizes[rest]) + np.arange(ends[-1])
+        both = np.add.reduceat(marked[flat[at]].astype(np.int32), ends - sizes[rest])
+        marked[own] = 0
+        for j in rest[OF * both >= LIKE * (sizes[rest] + sizes[i] - both)].tolist():
+            if of[j] != of[i]:
+                out.append((names[i], names[j]))
+                of[of == of[j]] = of[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def similar_forest(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """(a, b) names of a spanning forest of the links among sets at LIKE / OF and more, by breadth-first search."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    own = np.split(flat, np.cumsum(sizes)[:-1])
-    marked = np.zeros(int(flat.max()) + 1, np.int32)
-    left, out = np.arange(len(names)), []
+def _near(n, m) -> Column:
+    """Whether sets of n and m shingles can have LIKE / OF of their union in common."""
+    return OF * F.least(n, m) >= LIKE * F.greatest(n, m)
 
-    def without(gone):
-        return left[~gone], flat[np.repeat(~gone, sizes[left])]
 
-    while len(left):
-        queue = [left[0]]
-        left, flat = without(left == left[0])
-        while queue and len(left):
-            at = queue.pop()
-            marked[own[at]] = 1
-            starts = np.cumsum(sizes[left]) - sizes[left]
-            both = np.add.reduceat(marked[flat], starts)
-            marked[own[at]] = 0
-            fit = OF * both >= LIKE * (sizes[left] + sizes[at] - both)
-            if fit.any():
-                out += [(names[at], names[i]) for i in left[fit]]
-                queue.extend(left[fit])
-                left, flat = without(fit)
-    return np.array(out, np.int64).reshape(-1, 2)
+def _apart(s1, s2, r1, r2) -> Column:
+    return F.bit_count(s1.bitwiseXOR(r1)) + F.bit_count(s2.bitwiseXOR(r2))
 
 
-def similar_links(texts: DataFrame, docs: DataFrame, hot: int = 12, tile: int = 8192) -> DataFrame:
-    """(a, b) names of near-duplicate texts of docs, given as texts(name, n, keys), enough that each linked group stays connected.
+def similar_links(texts: DataFrame, docs: DataFrame, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(a, b) names of near-duplicate texts of docs, given as texts(name, t, n, s1, s2, keys), enough that each linked
+    group stays connected. Rows grow with the texts, not with the pairs of a group:
 
-    Candidates share a key; a pair is verified by the exact similarity of the sets of shingles. A key of at most ``hot``
-    texts gives its pairs, one of more a spanning forest of the same links for each pair of its tiles: ``hot`` and
-    ``tile`` decide how links are made, never which texts are linked.
+    1. Stars. Of the texts that share a key, each is paired with the least name only. A star pair that may be similar
+       (by size and sketch) relates its texts; related texts make families.
+    2. Strays. Texts that share a key but no family are paired wherever they may be similar.
+    3. Each text's closest star pair and all strays are verified by the exact similarity of the sets of shingles, which
+       makes classes.
+    4. A family of several classes is compared in one place, class against class, in tiles if it is large: a text comes
+       once for each tile that it must meet, however many keys it shares. Tiles of one class don't meet.
     """
-    keyed = written(texts.select("name", "n", F.explode("keys").alias("key")), "simhash-keys")
-    counts = keyed.groupBy("key").count().filter("count > 1")
-    shared = written(keyed.join(counts, "key"), "simhash-shared")
-    plain, members = shared.filter(F.col("count") <= hot), shared.filter(F.col("count") > hot)
-    left = plain.select("key", F.col("name").alias("a"), F.col("n").alias("an"))
-    right = plain.select("key", F.col("name").alias("b"), F.col("n").alias("bn"))
-    alike = OF * F.least("an", "bn") >= LIKE * F.greatest("an", "bn")
-    pairs = written(left.join(right, "key").filter((F.col("a") < F.col("b")) & alike).select("a", "b").distinct(), "simhash-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select("name")).distinct()
+    least = F.min("name").alias("lead")
+    keyed = texts.select("name", F.explode("keys").alias("key"))
+    leads = keyed.groupBy("key").agg(least, F.max("name").alias("last")).filter("lead < last").select("key", "lead")
+    shared = written(keyed.join(leads, "key"), "simhash-shared")
+    facts = written(texts.select("name", "t", "n", "s1", "s2"), "simhash-facts")
+    theirs = facts.select(*(F.col(c).alias(f"l_{c}") for c in ("name", "n", "s1", "s2")))
+    col = F.col
+    stars = shared.filter("name <> lead").select("name", col("lead").alias("l_name")).distinct().join(facts, "name").join(theirs, "l_name")
+    stars = stars.withColumn("apart", _apart(col("s1"), col("s2"), col("l_s1"), col("l_s2"))).filter(_near(col("n"), col("l_n")) & (col("apart") <= APART))
+    stars = written(stars.select(col("name").alias("a"), col("l_name").alias("b"), "apart"), "simhash-stars")
+    family = components(stars).withColumnRenamed("component", "family")
+
+    kin = shared.select("key", "name").join(family.withColumnRenamed("node", "name"), "name", "left").withColumn("family", F.coalesce("family", "name"))
+    mixed = kin.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low < high").select("key")
+    kin = written(kin.join(mixed, "key").join(facts.drop("t"), "name"), "simhash-kin")
+    other = kin.select("key", *(col(c).alias(f"l_{c}") for c in ("name", "family", "n", "s1", "s2")))
+    may = (col("name") < col("l_name")) & (col("family") != col("l_family")) & _near(col("n"), col("l_n")) & (_apart(col("s1"), col("s2"), col("l_s1"), col("l_s2")) <= APART)
+    strays = kin.join(other, "key").filter(may).select(col("name").alias("a"), col("l_name").alias("b")).distinct()
+    closest = stars.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    pairs = written(strays.unionByName(closest), "simhash-pairs")
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(family.select(col("node").alias("name"))).distinct()
     # Tables of their own, so that texts of which no part is wanted stay where they are while the names are few.
-    sets = written(shingle_sets(docs, written(named, "simhash-named")), "simhash-sets")
-    found = pairs.join(sets.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
+    sets = written(shingle_sets(docs, written(facts.join(named, "name").select("t", "name"), "simhash-named")), "simhash-sets")
+    sets_a, sets_b = (sets.select(col("name").alias(x), col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    found = found.filter(OF * both >= LIKE * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    if not members.limit(1).count():
-        return found
-    dealt = members.withColumn("t", F.ceil(F.col("count") / tile).cast("int"))
-    dealt = dealt.withColumn("m", F.pmod(F.xxhash64("name"), F.col("t")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    dealt = dealt.select("key", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), "name").join(sets, "name")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(similar_forest(pdf["name"].to_numpy(), list(pdf["s"])), columns=["a", "b"])
-
-    return found.unionByName(written(dealt.groupBy("key", "x", "y").applyInPandas(forest, "a long, b long"), "simhash-forest"))
+    found = pairs.join(sets_a, "a").join(sets_b, "b").filter(OF * both >= LIKE * (F.size("sa") + F.size("sb") - both))
+    found = written(found.select("a", "b"), "simhash-verified")
+
+    classes = components(found).withColumnRenamed("component", "class")
+    members = family.join(classes, "node", "left").select(col("node").alias("name"), "family", F.coalesce("class", "node").alias("class"))
+    members = written(members.join(facts.select("name", "n", "s1", "s2"), "name"), "simhash-members")
+    # The largest class of a family has tiles of its own, from 0; the rest of the family has the tiles after them.
+    sized = members.groupBy("family", "class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    whole = sized.groupBy("family").agg(F.sum("c").alias("all_c"), F.sum("w").alias("all_w"), F.max(F.struct("c", "class", "w")).alias("top"))
+    whole = whole.filter((col("all_c") > 2) & (col("all_c") > col("top.c")))  # a family of two is one pair, already verified
+    tiles = lambda c, w: F.greatest(F.ceil(c / tile_rows), F.ceil(w / tile_shingles), F.lit(1)).cast("int")
+    whole = whole.select("family", col("top.class").alias("top"), tiles(col("top.c"), col("top.w")).alias("x"), tiles(col("all_c") - col("top.c"), col("all_w") - col("top.w")).alias("y"))
+    dealt = members.join(written(whole, "simhash-families"), "family").withColumn("in", col("class") == col("top"))
+    mine = F.when(col("in"), F.pmod(F.xxhash64("name"), col("x"))).otherwise(col("x") + F.pmod(F.xxhash64("name"), col("y"))).cast("int")
+    meets = F.sequence(F.when(col("in"), col("x")).otherwise(F.lit(0)), col("x") + col("y") - 1)
+    dealt = dealt.withColumn("m", mine).select("family", "class", "name", "s1", "s2", "m", F.explode(meets).alias("o"))
+    dealt = dealt.select("family", F.least("m", "o").alias("p"), F.greatest("m", "o").alias("q"), "class", "name", "s1", "s2").join(sets, "name")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketches = pdf[["s1", "s2"]].to_numpy(np.int64).view(np.uint64)
+        return pd.DataFrame(cross_links(pdf["name"].to_numpy(), pdf["class"].to_numpy(), sketches, [np.asarray(s) for s in pdf["s"]]), columns=["a", "b"])
+
+    return found.unionByName(written(dealt.groupBy("family", "p", "q").applyInPandas(compare, "a long, b long"), "simhash-crossed"))
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables (doc_id, name) of the rows of docs and (name, group, component_id) of their texts."""
+    """Tables (doc_id, name, t) of the rows of docs and (name, group, component_id) of their texts."""
     rows = written(shingle_rows(docs), "simhash-wide")
-    nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "simhash-nodes")
-    group = components(similar_links(nodes.filter("n > 0").select("name", "n", "keys"), docs))
+    same = [F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")]
+    nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), *same), "simhash-nodes")
+    group = components(similar_links(nodes.filter("n > 0"), docs))
     linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")
     least = linked.join(linked.groupBy("component").agg(F.min("first").alias("least")), "component").select("name", "component", "least")
     of = nodes.select("name", "first").join(least, "name", "left").select("name", F.coalesce("component", "name").alias("group"), F.coalesce("least", "first").alias("component_id"))
-    return rows.select("doc_id", "name"), written(of, "simhash-groups")
+    return rows.select("doc_id", "name", "t"), written(of, "simhash-groups")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, name, component_id) for every row of docs: groups of texts that are equal word for word or linked by
-    similarity of five-word shingles; component_id is the smallest doc_id of the group."""
+    similarity of five-word shingles; component_id is the smallest doc_id of the group.
+
+    Null and empty texts have no words and are equal to each other; texts of fewer than five words are near only if
+    equal. Null ids stay in their group but never name it. An empty table gives an empty result.
+    """
     rows, of = _grouped(docs)
     return rows.join(of, "name").select("doc_id", "name", "component_id")
 
@@ -396,11 +466,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows of a group that repeat that doc_id, one with the least hash of its words stays, and of those the one with the
     smallest text hash. An id that has texts of several groups stays once for each group that it names. Rows without an
-    id are kept, as nothing tells which of them to keep. An empty table gives an empty result.
+    id are kept, as nothing tells which of them to keep. Null and empty texts are one group. An empty table gives an
+    empty result.
     """
     rows, of = _grouped(docs)
-    kept = rows.join(of, "name").filter("doc_id = component_id").groupBy("group").agg(F.min("doc_id").alias("__id"), F.min("name").alias("__name"))
-    once = F.row_number().over(W.partitionBy("doc_id", "__name").orderBy(F.xxhash64("text")))
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__name", _words_name(F.col("text")))
-    keep = named.join(kept.withColumnRenamed("__id", "doc_id"), ["doc_id", "__name"], "left_semi").withColumn("__once", once).filter("__once = 1").select(*docs.columns)
+    kept = rows.join(of, "name").filter("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "name", "t")).alias("__row"))
+    kept = kept.select(F.col("__row.doc_id").alias("__id"), F.col("__row.t").alias("__text"))
+    once = F.row_number().over(W.partitionBy("__id", "__text").orderBy(F.lit(1)))
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
+    keep = named.join(kept, ["__id", "__text"], "left_semi").withColumn("__once", once).filter("__once = 1").select(*docs.columns)
     return keep.unionByName(docs.filter(F.col("doc_id").isNull()))

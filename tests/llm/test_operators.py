@@ -471,8 +471,11 @@ def test_golay_code():
         assert all(reach[i] & owned[i] for i in range(len(x)))
 
 
-@pytest.mark.parametrize("hot", [96, 1])
-def test_similar_groups(spark, hot, monkeypatch):
+TILES = [(8192, 1 << 21), (16, 4000)]
+
+
+@pytest.mark.parametrize("tiles", TILES)
+def test_similar_groups(spark, tiles, monkeypatch):
     rng = random.Random(12)
     vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
     rows = []
@@ -486,7 +489,7 @@ def test_similar_groups(spark, hot, monkeypatch):
             rows.append((g * 10 + j, " ".join(copy)))
     rows += [(900, "short text one"), (901, "Short  TEXT one"), (902, "short text two"), (903, None), (904, ""), (None, "short text one"), (905, " ".join(rng.choices(vocabulary, k=300)))]
     docs = docs_of(spark, rows)
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (hot, 16))
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", tiles)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
     assert all(got[g * 10 + j] == g * 10 for g in range(25) for j in range(4))
     assert got[901] == 900 and got[902] == 902 and got[904] == 903 and got[905] == 905
@@ -495,15 +498,21 @@ def test_similar_groups(spark, hot, monkeypatch):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [*(g * 10 for g in range(25)), 900, 902, 903, 905, None]
 
 
-def planted_groups(spark, pairs, hot=12):
-    """Whether each pair of texts ends in one group, all pairs in one table."""
-    docs = docs_of(spark, [(2 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)])
+def groups_of(spark, texts, tiles=TILES[0]):
+    """The group of each text, by its place."""
     before = simhash.similar_links.__defaults__
-    simhash.similar_links.__defaults__ = (hot, 16)
+    simhash.similar_links.__defaults__ = tiles
     try:
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+        found = simhash.similar_groups(docs_of(spark, list(enumerate(texts)))).collect()
     finally:
         simhash.similar_links.__defaults__ = before
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    return [got[i] for i in range(len(texts))]
+
+
+def planted_groups(spark, pairs, tiles=TILES[0]):
+    """Whether each pair of texts ends in one group, all pairs in one table."""
+    got = groups_of(spark, [text for pair in pairs for text in pair], tiles)
     return [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
 
 
@@ -556,7 +565,42 @@ def test_similar_pairs_do_not_depend_on_crowding(spark):
         pairs.append((" ".join(words), " ".join([*words[:at], *fresh((53, 62, 90, 120)[i % 4]), *words[at:]])))
     wanted = [jaccard(*p) >= 0.8 for p in pairs]
     assert any(wanted) and not all(wanted)
-    assert planted_groups(spark, pairs, hot=12) == planted_groups(spark, pairs, hot=1) == wanted
+    assert planted_groups(spark, pairs, TILES[0]) == planted_groups(spark, pairs, TILES[1]) == wanted
+
+
+@pytest.mark.parametrize("tiles", TILES)
+def test_similar_groups_against_brute_force(spark, tiles):
+    """Groups of copies from nearly equal to hardly alike, of 5 to 300 words, edited inside and at both ends."""
+    rng = random.Random(26)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(n)]
+    texts, passage = [], fresh(60)
+    for size, copies in [(5, 4), (8, 8), (14, 10), (30, 20), (60, 20), (120, 120), (300, 40)]:
+        base = fresh(size)
+        for _ in range(copies):
+            words = base[:]
+            for _ in range(rng.randint(0, max(1, size // 8))):
+                kind, at = rng.randrange(4), rng.randrange(len(words))
+                words[at : at + (kind < 2)] = fresh(1 - kind % 2)
+                if kind == 3:
+                    words[len(words) if rng.random() < 0.5 else 0 : 0] = fresh(1)
+            texts.append(" ".join(words))
+    texts += [" ".join([*fresh(n), *passage, *fresh(n)]) for n in (3, 6, 9, 12, 30) for _ in range(12)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if texts[i] == texts[j] or a and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = [find(i) for i in range(len(texts))]
+    assert len(set(want)) > 60 and max(Counter(want).values()) > 40
+    assert groups_of(spark, texts, tiles) == want
 
 
 def test_near_duplicates_under_a_repeated_id(spark):
