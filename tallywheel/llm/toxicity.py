@@ -1,22 +1,28 @@
 """Toxicity: a support vector machine with a gap-weighted subsequence string kernel and Nyström landmarks.
 
 The kernel of two words sums, over all common subsequences of three characters, decay ** (spans of both), with spans up
-to `SPAN`: a word with inserted or missing characters keeps most of its similarity. A sentence is the bag of its
-words, a document is labelled, and its sentences inherit the label (multiple instances): the words that labelled
-toxic documents have far more often than clean ones are the positive instances, each also with a character put in
-between; the words of clean ones are the negative instances.
+to `SPAN`: a word with inserted or missing characters keeps most of its similarity. A sentence's margin is that of its
+most toxic word, its witness.
+
+Labels are of documents, and a document's sentences inherit its label, though most sentences of a toxic document are
+harmless (multiple instances). So the machine is trained twice. The first one learns from words that sentences of toxic
+documents have far more often than chance allows (a false discovery rate over all words), each also with a character put
+in between. It then finds each labelled sentence's witness; the second one learns from the witnesses of toxic sentences
+that it holds for toxic, against the witnesses of clean sentences and the common words of clean documents.
 
 Landmarks span the kernel's feature space: K_nm K_mm^(-1/2) are the features of a linear SVM (squared hinge). As the
 kernel has an explicit feature for each triple of characters, the trained machine folds into one weight a triple, and
-scoring a word costs its length, whatever the number of landmarks. A document's score is a logistic function of its
-two most toxic distinct words, fitted on the labelled documents.
+scoring a word costs its length, whatever the number of landmarks. A document's score is a logistic function of the
+margins of its two most toxic distinct words, fitted on the labelled documents.
 
-Training reads a bounded sample of labelled documents (``MOST_DOCS`` of each class, the first by hash of the id) and
-samples of their words; scoring reads every character of every text.
+Training reads a bounded sample of labelled documents (``MOST_DOCS`` of each class, the first by hash of the id); of
+their words the machines see up to ``MOST_POSITIVE`` toxic, ``MOST_NEGATIVE`` and ``HARD`` clean ones. Scoring reads every
+character of every text.
 """
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import pandas as pd
@@ -33,6 +39,9 @@ SPAN, DECAY, LONG = 6, 0.7, 16
 SYMBOLS = 64
 NONE = -20.0  # the margin of a text without words
 CACHE = 200_000
+#: Of the words taken for toxic at first this share may be there by chance; margins count within +-EDGE.
+FALSE_SHARE, EDGE = 0.1, 3.0
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 
 #: Digits that stand for letters; all other ASCII that isn't a letter is dropped inside a word.
 LOOKALIKE = str.maketrans("0134578", "oieastb", "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "269")
@@ -166,9 +175,29 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"kernel": None, "seen": {}}
 
+    def _learn(self, words) -> None:
+        """Makes the margins of the words known."""
+        self.kernel = self.kernel or Kernel(self.alphabet)
+        fresh = [w for w in words if w not in self.seen]
+        for k in range(0, len(fresh), 8192):
+            part = fresh[k : k + 8192]
+            self.seen.update(zip(part, self.kernel.margins(part, self.weights, self.bias).tolist(), strict=True))
+
+    def margins_of(self, words: list[str]) -> np.ndarray:
+        self._learn(words)
+        return np.array([self.seen[w] for w in words])
+
+    def witnesses(self, text: str | None) -> list[str]:
+        """The most toxic word of each sentence of a text, the first by code point on ties."""
+        sentences = [x for x in map(words_of, SENTENCE_END.split(text or "")) if x]
+        self._learn(set().union(*sentences))
+        out = [min(words, key=lambda w: (-self.seen[w], w)) for words in sentences]
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        return out
+
     def tops(self, texts) -> np.ndarray:
         """(n, 2): the margins of the two most toxic distinct words of each text."""
-        self.kernel = self.kernel or Kernel(self.alphabet)
         out = np.full((len(texts), 2), NONE)
         at = 0
         while at < len(texts):
@@ -177,10 +206,7 @@ class Scorer:
                 words = words_of(texts[at + len(sets)])
                 sets.append(words)
                 fresh.update(w for w in words if w not in self.seen)
-            fresh = list(fresh)
-            for k in range(0, len(fresh), 8192):
-                part = fresh[k : k + 8192]
-                self.seen.update(zip(part, self.kernel.margins(part, self.weights, self.bias).tolist(), strict=True))
+            self._learn(fresh)
             for i, words in enumerate(sets):
                 if words:
                     best = sorted(map(self.seen.__getitem__, words))[-2:]
@@ -203,8 +229,8 @@ def _squash(tops: np.ndarray, logit: np.ndarray) -> np.ndarray:
 
 
 def _inputs(tops: np.ndarray) -> np.ndarray:
-    """The first margin counts up to 1 on either side; the second only where it, too, is toxic."""
-    return np.stack([np.clip(tops[:, 0], -1, 1), np.clip(tops[:, 1], 0, 1)], axis=1)
+    """The first margin within +-EDGE; the second counts only where it, too, is toxic."""
+    return np.stack([np.clip(tops[:, 0], -EDGE, EDGE), np.clip(tops[:, 1], 0, EDGE)], axis=1)
 
 
 def _stuffed(word: str, alphabet: str, rng) -> str:
@@ -219,6 +245,42 @@ def _sample(labels: DataFrame, label: str, most: int) -> pd.DataFrame:
     return pd.concat([rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(most).toPandas() for y in (1, 0)])
 
 
+def _told_apart(told: DataFrame) -> list[str]:
+    """The words that toxic documents have too often for chance, most telling first, MOST_POSITIVE at most; told has word,
+    toxic and clean (contexts) and their log-ratio. By Chernoff's bound on the binomial tail and Benjamini and Hochberg's rule."""
+    least = 3
+    frequent = told.filter(F.col("toxic") + F.col("clean") >= least)
+    tests, sum_toxic, sum_all = frequent.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum(F.col("toxic") + F.col("clean"))).first()
+    if not sum_toxic or sum_toxic == sum_all:
+        return []
+    share, total = sum_toxic / sum_all, F.col("toxic") + F.col("clean")
+    a = F.col("toxic") / total
+    evidence = total * (a * F.log(a / share) + F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - share))).otherwise(0.0))
+    above = frequent.filter((F.col("ratio") > 2.0) & (F.col("toxic") >= least) & (F.length("word") > 2)).withColumn("evidence", evidence)
+    rows = above.orderBy(F.desc("evidence"), "word").limit(MOST_POSITIVE).collect()
+    fit = [i for i, r in enumerate(rows) if tests * np.exp(-r["evidence"]) <= FALSE_SHARE * (i + 1)]
+    return [r["word"] for r in rows[: fit[-1] + 1]] if fit else []
+
+
+def _machine(positive: list[str], negative: list[str], seed: int) -> Scorer:
+    """A machine that tells the words positive, and these with a character put in between, from the words negative."""
+    known = set(positive)
+    bad = [w for w in dict.fromkeys(negative) if w not in known]
+    letters = pd.Series(list("".join(positive * 4 + bad))).value_counts()
+    order = sorted(letters.index, key=lambda c: (-letters[c], c))
+    alphabet = "".join(order[: SYMBOLS - 3])
+    rng = np.random.default_rng(seed)
+    good = positive + [_stuffed(w, alphabet, rng) for w in positive for _ in range(2) if len(w) > 3]
+    marks = good[: min(len(positive), LANDMARKS // 2)] + bad[: LANDMARKS // 4] + [bad[i] for i in rng.permutation(len(bad))[: LANDMARKS // 4]]
+    x, used, basis = _nystroem(Kernel(alphabet), good + bad, list(dict.fromkeys(marks)))
+    y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
+    cost = np.r_[np.full(len(good), 2.0 * len(bad) ** 0.5 / len(good) ** 0.5), np.ones(len(bad))]
+    w = _svm(x, y, cost)
+    folded = np.zeros(SYMBOLS**3, np.float32)
+    folded[used] = w[:-1] @ basis
+    return Scorer(alphabet, folded, float(w[-1]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_DOCS, seed: int = 3) -> Scorer:
     """The machine from labelled rows outside fold 1. Without both classes it is constant: the smoothed share of label 1."""
     spark = docs.sparkSession
@@ -230,58 +292,51 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     def split(batches):
         for batch in batches:
             ys, texts_ = (batch.column(i).to_pylist() for i in range(2))
-            pairs = [contexts_of(t) for t in texts_]
-            sizes = [len(x) for x in pairs]
-            flat = [p for x in pairs for p in x]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ys, np.int32), sizes)), pa.array([w for w, _ in flat], pa.string()), pa.array([b for _, b in flat], pa.string())], names=["y", "word", "before"])
-
-    # A word counts once for each word that it follows, so that copies of a document count once.
-    counts = sample.select("y", "text").mapInArrow(split, "y int, word string, before string").distinct().groupBy("word")
-    counts = written(counts.agg(F.sum("y").cast("long").alias("toxic"), F.count(F.when(F.col("y") == 0, 1)).alias("clean")), "toxic-words")
+            found, fresh, sizes = [], [], []
+            for text in texts_:
+                pairs, met = contexts_of(text), set()
+                for word, before in pairs:
+                    found.append((word, before))
+                    fresh.append(word not in met)
+                    met.add(word)
+                sizes.append(len(pairs))
+            ys = np.repeat(np.array(ys, np.int32), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ys), *(pa.array([x[k] for x in found], pa.string()) for k in range(2)), pa.array(fresh, pa.bool_())], names=["y", "word", "before", "fresh"])
+
+    # A word counts once a document and once for each word that it follows, whichever is less: neither copies of a document
+    # nor the repeats within one are evidence of their own.
+    counts = sample.select("y", "text").mapInArrow(split, "y int, word string, before string, fresh boolean").groupBy("word", "before", "y").agg(F.count(F.when(F.col("fresh"), 1)).alias("docs"))
+    said = lambda y: F.least(F.count(F.when(F.col("y") == y, 1)), F.coalesce(F.sum(F.when(F.col("y") == y, F.col("docs"))), F.lit(0))).cast("long")
+    counts = written(counts.groupBy("word").agg(said(1).alias("toxic"), said(0).alias("clean")), "toxic-words")
     n1, n0 = int((chosen["y"] == 1).sum()), int((chosen["y"] == 0).sum())
     if not n1 or not n0:
         return Scorer("", np.zeros(SYMBOLS**3, np.float32), 0.0, constant=(n1 + 1) / (n0 + n1 + 2))
     ratio = F.log((F.col("toxic") + 0.2) / n1) - F.log((F.col("clean") + 0.2) / n0)
-    least = 3 if n1 >= 100 else 2
-    told = counts.withColumn("ratio", ratio).withColumn("weight", F.col("ratio") * F.col("toxic"))
-    positive = [(r["word"], r["toxic"]) for r in told.filter((F.col("toxic") >= least) & (F.col("ratio") > 2.0) & (F.length("word") > 2)).orderBy(F.desc("weight"), "word").limit(MOST_POSITIVE).collect()]
+    told = counts.withColumn("ratio", ratio)
     clean = told.filter((F.col("clean") > 0) & (F.col("ratio") < 1.0)).select("word", "clean")
-    if not positive:
+    clear = _told_apart(told)
+    if not clear:
         return Scorer("", np.zeros(SYMBOLS**3, np.float32), 0.0, constant=(n1 + 1) / (n0 + n1 + 2))
     negative = [r["word"] for r in clean.orderBy(F.desc("clean"), "word").limit(MOST_NEGATIVE // 4).collect()]
     negative += [r["word"] for r in clean.orderBy(F.xxhash64("word")).limit(MOST_NEGATIVE).collect()]
-    # Of the associated words, keep those whose evidence isn't far below the strongest: the rest are chance.
-    top = max(c for _, c in positive)
-    positive = [(w, c) for w, c in positive if c >= max(least, 0.03 * top)]
-    letters = pd.Series(list("".join([w for w, _ in positive] * 4 + negative))).value_counts()
-    alphabet = "".join(letters.index[: SYMBOLS - 3])
-    rng = np.random.default_rng(seed)
-    machine = None
-    for turn in range(2):
-        good, bad = [w for w, _ in positive], list(dict.fromkeys(w for w in negative if w not in dict(positive)))
-        clear = len(good)
-        good += [_stuffed(w, alphabet, rng) for w in good for _ in range(2) if len(w) > 3]
-        kernel = Kernel(alphabet)
-        marks = good[: min(clear, LANDMARKS // 2)] + [bad[i] for i in rng.permutation(len(bad))[: LANDMARKS // 4]]
-        marks = list(dict.fromkeys(marks + bad[-(LANDMARKS // 4) :]))
-        x, used, basis = _nystroem(kernel, good + bad, marks)
-        y = np.r_[np.ones(len(good)), -np.ones(len(bad))]
-        cost = np.r_[np.full(len(good), 2.0 * len(bad) ** 0.5 / len(good) ** 0.5), np.ones(len(bad))]
-        w = _svm(x, y, cost)
-        folded = np.zeros(SYMBOLS**3, np.float32)
-        folded[used] = w[:-1] @ basis
-        machine = Scorer(alphabet, folded, float(w[-1]))
-        if turn == 0:  # the clean words that the first machine finds most toxic
-
-            def judge(batches, machine=machine):
-                kernel = Kernel(machine.alphabet)
-                for batch in batches:
-                    words = batch.column(0).to_pylist()
-                    got = [kernel.margins(words[k : k + 8192], machine.weights, machine.bias) for k in range(0, len(words), 8192)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], names=["word", "m"])
-
-            hard = clean.select("word").mapInArrow(judge, "word string, m double").orderBy(F.desc("m"), "word").limit(HARD).collect()
-            negative += [r["word"] for r in reversed(hard)]
+    machine = _machine(clear, negative, seed)
+    shared = spark.sparkContext.broadcast(machine)
+
+    def testify(batches):
+        for batch in batches:
+            found = [(y, w) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in shared.value.witnesses(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())], names=["y", "word"])
+
+    seen = sample.select("y", "text").mapInArrow(testify, "y int, word string").groupBy("word")
+    seen = written(seen.agg(F.sum("y").cast("long").alias("toxic"), F.count(F.when(F.col("y") == 0, 1)).alias("clean")), "toxic-witnesses")
+    # As many as the machine sees, by the number of sentences that they speak for.
+    speak = seen.filter((F.col("toxic") * n0 > F.col("clean") * n1 * 8) & (F.length("word") > 2)).orderBy(F.desc("toxic"), "word").limit(8 * MOST_POSITIVE).collect()
+    hold = machine.margins_of([r["word"] for r in speak])
+    toxic = [*clear, *(r["word"] for r, m in zip(speak, hold, strict=True) if m > 0.5 and r["word"] not in set(clear))][:MOST_POSITIVE]
+    rivals = [r["word"] for r in seen.filter(F.col("clean") * n1 >= F.col("toxic") * n0).orderBy(F.desc("clean"), F.xxhash64("word")).limit(8 * HARD).collect()]
+    rivals = [rivals[i] for i in np.argsort(-machine.margins_of(rivals), kind="stable")[:HARD]]
+    machine = _machine(toxic, [*rivals, *negative], seed)
+    forget(seen)
     shared = spark.sparkContext.broadcast(machine)
 
     def peaks(batches):
@@ -294,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     if got["y"].nunique() < 2:
         machine.constant = (n1 + 1) / (n0 + n1 + 2)
         return machine
-    # A document labelled toxic without one toxic word teaches nothing about the words.
+    # A document labelled toxic without one toxic word is mislabelled, as far as words can tell, and teaches nothing.
     tops, y = got[["a", "b"]].to_numpy(), got["y"].to_numpy(np.float64)
     seen = (y == 0) | (tops[:, 0] > 0)
     if not y[seen].any():
