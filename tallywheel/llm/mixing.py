@@ -58,25 +58,30 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 
 def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, size: str = "__size") -> DataFrame:
-    """docs, whose column `size` has each document's size, with __source_size, __target and __copies."""
+    """docs, whose column `size` has each document's size and __line its place's name, with __source_size, __target and __copies."""
     salts = int(max(1, min(MOST_SALTS, -(-docs.count() // ROWS_PER_SALT))))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    salt = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % salts
+    salt = hash32(F.col("__line")) % salts
     rows = docs.withColumns({"__key": key, "__class": size_class(F.col(size)), "__salt": salt.cast("int")})
     cell = ["__key", "__class", "__salt"]
     cells = written(rows.groupBy(*cell).agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")), "mix-cells")
     sizes = cells.groupBy(F.col("__key").alias("key")).agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    want = targets(sizes, weights, share, most).withColumnRenamed("key", "__key")
+    want = targets(sizes, weights, share, most).select(F.col("key").alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     start = F.sum("n").over(W.partitionBy("__key").orderBy("__class", "__salt")) - F.col("n")
-    placed = cells.withColumn("start", start).drop("source", "size", "n").join(want.drop("source"), "__key")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    placed = cells.select(*cell, start.alias("__start")).join(want, "__key")
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     offset = hash32(F.concat(F.lit(f"{seed}|"), F.col("__key"))) / F.lit(4294967296.0)
     text = [F.xxhash64("text")] if "text" in docs.columns else []
-    rank = F.row_number().over(W.partitionBy(*cell).orderBy(size, "doc_id", *text)) + F.col("start")
+    rank = F.row_number().over(W.partitionBy(*cell).orderBy(size, "doc_id", *text)) + F.col("__start")
     # Sort-merge, on the exchange that the row number needs anyway; the cells grow with the input and aren't for broadcast.
     out = rows.join(placed.hint("merge"), cell).withColumns({"__rank": rank, "__rate": rate, "__offset": offset})
     crossed = F.floor(F.col("__offset") + F.col("__rate") * F.col("__rank")) - F.floor(F.col("__offset") + F.col("__rate") * (F.col("__rank") - 1))
-    return out.select(*docs.columns, F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), crossed.cast("int").alias("__copies"))
+    return out.select(*docs.columns, "__source_size", "__target", crossed.cast("int").alias("__copies"))
+
+
+def line(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What places a row in its source's line: the id, or the text's MD5 where there is none, so that rows without one spread."""
+    return F.coalesce(F.col(doc_id).cast("long").cast("string"), F.md5(F.col(text).cast("binary")), F.lit(""))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
@@ -85,13 +90,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     Null or wordless texts have size 0 and the same expected copies as their source. A null source is a source of its
     own; rows without an id, repeated rows and ties are dealt like any other. An empty table gives an empty mix.
     """
-    rows = with_copies(docs.withColumn("__size", word_count(F.col("text"))), weights, share, most, seed)
+    rows = with_copies(docs.withColumns({"__size": word_count(F.col("text")), "__line": line()}), weights, share, most, seed)
     return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted)."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("__size")), "mix-sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("__size"), line().alias("__line")), "mix-sizes")
     rows = with_copies(sized, **options)
     taken = (F.col("__copies") * F.col("__size")).alias("taken")
     return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
@@ -100,12 +105,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 #: The query's rows in DuckDB: seed 7, weights 3, 1, 2, share 1.5, limit 2.
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(text), '') AS line, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), salts AS (SELECT greatest(1, least(4096, ceil(count(*) / 4096)))::BIGINT AS salts FROM sized),
 keyed AS (
   SELECT *, coalesce('s' || source, 'n') AS k,
          CASE WHEN size < 4 THEN size ELSE length(bin(size)) * 4 + (size >> (length(bin(size)) - 3)) % 4 END AS class,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT) % salts AS salt
+         (('0x' || substr(md5(line), 1, 8))::BIGINT) % salts AS salt
   FROM sized, salts
 ), sources AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY k),
 weighted AS (
