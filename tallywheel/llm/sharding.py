@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 from tallywheel.llm._common import forget, written
 
 HUB = ["__hub", "__size", "__crc"]
+INNER = [*HUB, "__linked", "__unit"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __size (UTF-8 bytes and 1), __crc (unsigned), __hub (the text's hash; null without a text) and __unit (a row's hash)."""
+    """docs with __size (UTF-8 bytes and 1), __crc (unsigned), __hub (the text's hash; a row without a text
+    has no links: __linked is false, and its hub is its id's hash, so that such rows spread) and __unit (a row's hash)."""
     text = F.col("text")
     return docs.withColumns({
         "__size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
         "__crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
-        "__hub": F.when(text.isNotNull(), F.xxhash64(text)),
+        "__linked": text.isNotNull(),
+        "__hub": F.when(text.isNotNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit("-"))),
         "__unit": F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text),
     })
 
@@ -41,7 +44,7 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
     """The groups' state (hub columns, total, c: documents in each shard) after balanced label propagation, and the load of each shard."""
     home = F.pmod(F.xxhash64("__unit", F.lit(1)), F.lit(shards))
     counts = [F.count(F.when(home == i, 1)).alias(f"c{i}") for i in range(shards)]
-    groups = rows.filter(F.col("__hub").isNotNull()).groupBy(*HUB).agg(F.count(F.lit(1)).alias("total"), *counts).filter("total > 1")
+    groups = rows.filter("__linked").groupBy(*HUB).agg(F.count(F.lit(1)).alias("total"), *counts).filter("total > 1")
     state = written(groups.select(*HUB, "total", F.array(*(f"c{i}" for i in range(shards))).alias("c")), "shard-groups")
 
     def load() -> list[float]:
@@ -99,14 +102,15 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
 def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds: int = 24) -> DataFrame:
     """rows (as keyed() gives them) with shard and slot (gapless from 0 in each shard); shard counts differ by one at most."""
     total = rows.count() if total is None else total
-    plain = [c for c in rows.columns if not c.startswith("__")]
+    plain = [c for c in rows.columns if c not in INNER]
     if not total:
         return rows.select(*plain, "__size", "__crc", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     capacity = total / shards
     state, load = propagate(rows, shards, capacity, rounds)
     # A group's documents are dealt to its shards by their place in [0, 1).
     ends = F.transform("c", lambda n, i: F.aggregate(F.slice("c", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x) / F.col("total"))
-    alloc = state.select(*HUB, "total", ends.alias("ends"))
+    alloc = state.select(*HUB, F.col("total").alias("__total"), ends.alias("__ends"))
+    total_of = F.when(F.col("__linked"), F.col("__total"))
     need = [max(0.0, capacity - x) for x in load]
     edges, at = [], 0.0
     for x in need:
@@ -115,12 +119,12 @@ def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds:
     edges[-1] = 2.0
     place = _share(F.col("__unit"), 2)
     first = lambda ends: F.least(F.lit(shards - 1), F.size(F.filter(ends, lambda e: e <= place)))
-    label = F.when(F.col("total").isNotNull(), first(F.col("ends"))).otherwise(first(F.array(*(F.lit(e) for e in edges)))).cast("int")
+    label = F.when(total_of.isNotNull(), first(F.col("__ends"))).otherwise(first(F.array(*(F.lit(e) for e in edges)))).cast("int")
     cell_rows = max(128, min(1_000_000, total // 2000))
     buckets = max(1, total // (shards * cell_rows))
-    side = F.when(F.col("total").isNotNull(), 1).when(_share(F.col("__unit"), 3) < 0.5, 0).otherwise(2)
-    bucket = F.when(F.col("total").isNotNull(), F.pmod(F.xxhash64("__hub", F.lit(4)), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("__unit", F.lit(4)), F.lit(buckets)))
-    salt = F.when(F.col("total") > cell_rows, F.pmod(F.xxhash64("__unit", F.lit(5)), F.ceil(F.col("total") / cell_rows))).otherwise(0)
+    side = F.when(total_of.isNotNull(), 1).when(_share(F.col("__unit"), 3) < 0.5, 0).otherwise(2)
+    bucket = F.when(total_of.isNotNull(), F.pmod(F.xxhash64("__hub", F.lit(4)), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("__unit", F.lit(4)), F.lit(buckets)))
+    salt = F.when(total_of > cell_rows, F.pmod(F.xxhash64("__unit", F.lit(5)), F.ceil(total_of / cell_rows))).otherwise(0)
     cell = ["__label", "__side", "__bucket", "__salt"]
     lined = rows.join(alloc.hint("merge"), HUB, "left").withColumns({"__label": label, "__side": side, "__bucket": bucket.cast("long"), "__salt": salt.cast("long")})
     cells = written(lined.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "shard-cells")
