@@ -93,6 +93,22 @@ def test_mixing_targets_are_poured(spark):
     assert got["b"] == pytest.approx((2110 * 1.5 - 220) / 3) and got["c"] == pytest.approx(2 * got["b"])
 
 
+CLASHES = "target source_size start limit total ends w c n key name t s1 s2 keys family class member label copies rank rate offset cell to part gain moves edits item_id first_word component group least once found shard_count".split()
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns of the same names as those that operators make inside stay as they are; so do names in another case."""
+    rows = [(i, " ".join(f"w{(i % 40) * 50 + j}" for j in range(30)) if i % 9 else None, "en", f"s{i % 3}", 1) for i in range(120)]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in CLASHES}).withColumn("__mine", F.lit(7))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, rows[1][1])], "item_id long, text string")
+    done = [toxicity.keep_clean(docs, labels), simhash.drop_near_duplicates(docs), decontam.drop_contaminated(docs, benchmark), mixing.mix(docs), sharding.shard(docs)]
+    for out, more in zip(done, [[], [], [], [], ["shard", "slot"]], strict=True):
+        assert out.columns == docs.columns + more
+        got = out.collect()
+        assert got and all(r[c] == c for r in got for c in CLASHES) and all(r["__mine"] == 7 for r in got)
+
+
 # -- 2 quality
 
 
@@ -422,6 +438,34 @@ def test_contamination_against_brute_force(spark):
     assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 11, 20, 30, 31, 60, 120, 200])
+def test_contamination_recall_at_the_limit(n):
+    """Items with exactly n / 5 edits of one kind, in the middle of other words."""
+    rng = random.Random(n)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n)).encode()) for i in range(25)]
+    matcher = decontam.Matcher(items)
+    for kind in range(3):
+        found = 0
+        for i, item in items:
+            words = item.decode().split()
+            for at in sorted(rng.sample(range(1, n - 1), n // 5), reverse=True):
+                words[at : at + (kind > 0)] = rng.choices(vocabulary, k=1) if kind < 2 else []
+            text = [*rng.choices(vocabulary, k=80), *words, *rng.choices(vocabulary, k=80)]
+            found += any(j == i for j, _, _ in matcher.matches(" ".join(text).encode()))
+        assert found >= 0.9 * len(items), kind
+        assert not matcher.matches(" ".join(rng.choices(vocabulary, k=400)).encode())
+
+
+def test_long_benchmark_items():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(6000)]
+    matcher = decontam.Matcher([(1, " ".join(words).encode())])
+    changed = [w if i % 7 else "other" for i, w in enumerate(words)]
+    assert [(i, e) for i, e, _ in matcher.matches(" ".join(changed).encode())] == [(1, 858)]
+    assert matcher.longest <= decontam.BLOCK
+
+
 def test_bit_parallel_edits():
     rng = random.Random(3)
     for _ in range(200):
