@@ -105,6 +105,14 @@ def after_common_prefix(child: DataFrame, parent: DataFrame, keys: Sequence[str]
 
 def latest_parent(child: DataFrame, parent: DataFrame, key: str, at: str, begun: str, child_id: str, parent_id: str) -> DataFrame:
     """(child, parent): the largest parent of the same key that began no later than the child; null without one."""
-    theirs = parent.withColumnRenamed(key, "__key")
-    on = (F.col(key) == F.col("__key")) & (F.col(begun) <= F.col(at)) & (F.col(parent_id) != F.col(child_id))
-    return child.join(theirs, on, "left").groupBy(child_id).agg(F.max(parent_id).alias(parent_id))
+    # Parents and children of a key stand in one line by time; a running maximum says what has begun. It never pairs them.
+    begins = parent.filter(F.col(key).isNotNull() & F.col(begun).isNotNull()).select(F.col(key).alias("k"), F.col(begun).alias("t"), F.lit(0).alias("asks"), F.col(parent_id).alias("id"))
+    rows = begins.unionByName(child.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("asks"), F.col(child_id).alias("id")))
+    line = W.partitionBy("k").orderBy("t", "asks")
+    so_far, before = line.rowsBetween(W.unboundedPreceding, 0), line.rowsBetween(W.unboundedPreceding, -1)
+    theirs = F.when(F.col("asks") == 0, F.col("id"))
+    rows = rows.withColumns({"top": F.max(theirs).over(so_far), "was": F.max(theirs).over(before)})
+    # The largest but one, for a child that is the largest itself.
+    lower = F.when(theirs < F.col("was"), theirs).when(theirs > F.col("was"), F.col("was"))
+    rows = rows.withColumn("next", F.max(lower).over(so_far)).filter("asks = 1")
+    return rows.groupBy(F.col("id").alias(child_id)).agg(F.max(F.when(F.col("top") == F.col("id"), F.col("next")).otherwise(F.col("top"))).alias(parent_id))

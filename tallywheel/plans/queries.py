@@ -6,6 +6,8 @@ Every result is a plain plan: one aggregation over the events, joined to small t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,22 +82,28 @@ def merge_daily(existing: DataFrame, delta: DataFrame) -> DataFrame:
     return both.groupBy("day", "client", "provider", "model").agg(*bucket_sums(), F.sum("event_count").alias("event_count"))
 
 
+def daily_rows(rows: DataFrame) -> DataFrame:
+    """Daily rows as they are read: by day, client, provider and model. The stored projection itself has no order."""
+    return rows.orderBy("day", "client", "provider", "model")
+
+
 def activity(facts_: DataFrame, granularity: str, dimension: str) -> DataFrame:
-    """(period, series): tokens, estimated cost (null if none), events and unpriced events. A sum beyond a long is an error."""
+    """(period, series), in that order: tokens, estimated cost (null if none), events and unpriced events. A sum beyond a long
+    is an error."""
     period = timeutil.PERIODS[granularity](F.col("occurred_at_unix_ms")).cast("string")
-    return facts_.groupBy(period.alias("period"), F.col(dimension).alias("series")).agg(*bucket_sums(), total_of_sums(), F.sum("estimate_nanos").cast("long").alias("estimate_nanos"), F.count(F.lit(1)).alias("event_count"), F.sum(F.col("unpriced").cast("long")).alias("unpriced_events"))
+    return facts_.groupBy(period.alias("period"), F.col(dimension).alias("series")).agg(*bucket_sums(), total_of_sums(), F.sum("estimate_nanos").cast("long").alias("estimate_nanos"), F.count(F.lit(1)).alias("event_count"), F.sum(F.col("unpriced").cast("long")).alias("unpriced_events")).orderBy("period", "series")
 
 
 def last_periods(activity_rows: DataFrame, most: int = 8) -> DataFrame:
-    """The rows of the latest periods (a chart's window); it reads only the distinct periods to find them."""
+    """The rows of the latest periods (a chart's window), the earliest of them first; it reads only the distinct periods to find them."""
     latest = activity_rows.select("period").distinct().orderBy(F.desc("period")).limit(most)
-    return activity_rows.join(F.broadcast(latest), "period", "left_semi")
+    return activity_rows.join(F.broadcast(latest), "period", "left_semi").orderBy("period", "series")
 
 
 def period_totals(activity_rows: DataFrame, metric: str = "total_tokens") -> DataFrame:
-    """Each period's total of a metric, and the largest of them (a chart's scale)."""
+    """Each period's total of a metric, and the largest of them (a chart's scale), by period."""
     totals = activity_rows.groupBy("period").agg(F.coalesce(F.sum(metric), F.lit(0)).cast("long").alias("total"))
-    return totals.join(F.broadcast(totals.agg(F.max("total").alias("largest"))))
+    return totals.join(F.broadcast(totals.agg(F.max("total").alias("largest")))).orderBy("period")
 
 
 def overview(facts_: DataFrame) -> DataFrame:
@@ -126,7 +134,7 @@ def session_spans(events: DataFrame) -> DataFrame:
 
 
 def session_summaries(facts_: DataFrame) -> DataFrame:
-    """(source, session): sums, worst confidence, providers, models, costs and span."""
+    """(source, session), the last ended first: sums, worst confidence, providers, models, costs and span."""
     rows = facts_.filter(F.col("session_id").isNotNull())
     out = rows.groupBy("source_object_id", "session_id").agg(
         F.min("occurred_at_unix_ms").alias("started_at_unix_ms"),
@@ -139,11 +147,11 @@ def session_summaries(facts_: DataFrame) -> DataFrame:
         listed("model").alias("models"),
         *money_sums(),
     )
-    return out.withColumn("duration_ms", F.col("ended_at_unix_ms") - F.col("started_at_unix_ms"))
+    return out.withColumn("duration_ms", F.col("ended_at_unix_ms") - F.col("started_at_unix_ms")).orderBy(F.desc("ended_at_unix_ms"), "source_object_id", "session_id")
 
 
 def model_usage(facts_: DataFrame) -> DataFrame:
-    """(provider, model): clients, sums, costs, pricing keys and rules, cache efficiency, share of all tokens."""
+    """(provider, model), most tokens first: clients, sums, costs, pricing keys and rules, cache efficiency, share of all tokens."""
     read, fresh = F.col("cache_read_tokens").cast("decimal(38,0)"), F.col("input_tokens").cast("decimal(38,0)")
     out = facts_.groupBy("provider", "model").agg(
         listed("client").alias("clients"),
@@ -156,7 +164,7 @@ def model_usage(facts_: DataFrame) -> DataFrame:
         listed("pricing_rule").alias("pricing_rules"),
         worst("pricing_confidence").alias("pricing_confidence"),
     )
-    return out.withColumn("cache_efficiency", ratio_percent(read, read + fresh))
+    return out.withColumn("cache_efficiency", ratio_percent(read, read + fresh)).orderBy(F.desc("total_tokens"), "provider", "model")
 
 
 def token_composition(events: DataFrame) -> DataFrame:
@@ -227,7 +235,7 @@ def source_reconciliation(events: DataFrame) -> DataFrame:
     )
     full, equal = F.col("checked_events") == F.col("event_count"), F.col("checked_tokens") == F.col("source_tokens")
     status = F.when(F.col("checked_events") == 0, "unavailable").when(full & equal, "match").when(full, "mismatch").when(equal, "partial_match").otherwise("partial_mismatch")
-    return out.withColumn("status", status)
+    return out.withColumn("status", status).orderBy("source_object_id")
 
 
 def adapter_totals(events: DataFrame, objects: DataFrame, installations: DataFrame) -> DataFrame:
@@ -237,11 +245,15 @@ def adapter_totals(events: DataFrame, objects: DataFrame, installations: DataFra
     return out.withColumn("total_tokens", add_exact(*(F.col(b) for b in BUCKETS)).cast("long"))
 
 
-def cross_check(totals: DataFrame, expectations: DataFrame) -> DataFrame:
-    """expectations (adapter_id, reference, expected_total) against adapter totals: match, mismatch or unavailable."""
+def cross_check(totals: DataFrame, expectations: DataFrame, references: Sequence[str] = ()) -> DataFrame:
+    """expectations (adapter_id, reference, expected_total) against adapter totals: match, mismatch or unavailable.
+
+    By adapter, then by the place of the reference in `references`; those not named there come last, by name.
+    """
     out = expectations.join(totals.select("adapter_id", F.col("total_tokens").alias("actual_total")), "adapter_id", "left")
     status = F.when(F.col("expected_total").isNull() | F.col("actual_total").isNull(), "unavailable").when(F.col("expected_total") == F.col("actual_total"), "match").otherwise("mismatch")
-    return out.select("adapter_id", "reference", "expected_total", "actual_total", status.alias("status"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(r) for r in references)).cast("array<string>"), F.col("reference")), F.lit(0)), F.lit(len(references) + 1))
+    return out.select("adapter_id", "reference", "expected_total", "actual_total", status.alias("status")).orderBy("adapter_id", place, "reference")
 
 
 def due_sources(objects: DataFrame, installations: DataFrame, runs: DataFrame, now_ms: int, interval_ms: int) -> DataFrame:
@@ -249,7 +261,7 @@ def due_sources(objects: DataFrame, installations: DataFrame, runs: DataFrame, n
     full = runs.filter("status = 'completed' AND mode = 'replace'").groupBy("source_object_id").agg(F.max("finished_unix_ms").alias("last_full_unix_ms"))
     mine = installations.filter("enabled").select(F.col("id").alias("installation_id"), "adapter_id")
     rows = objects.withColumnRenamed("id", "source_object_id").join(mine, "installation_id").join(full, "source_object_id", "left")
-    return rows.filter(F.col("last_full_unix_ms").isNull() | (F.col("last_full_unix_ms") <= now_ms - interval_ms)).select("adapter_id", "source_object_id", "last_full_unix_ms")
+    return rows.filter(F.col("last_full_unix_ms").isNull() | (F.col("last_full_unix_ms") <= now_ms - interval_ms)).select("adapter_id", "source_object_id", "last_full_unix_ms").orderBy("adapter_id", "source_object_id")
 
 
 def last_runs(runs: DataFrame) -> DataFrame:
@@ -297,7 +309,7 @@ def source_health(objects: DataFrame, installations: DataFrame, runs: DataFrame,
     return rows.select(
         "adapter_id", "installation_id", "source_object_id", state.alias("state"), remedy.alias("remediation"), changed.alias("records_changed"),
         F.size(warnings).cast("long").alias("warning_count"), F.coalesce("run.error", "last_error").alias("error"), "last_scan_unix_ms", "last_success_unix_ms", "last_event_unix_ms",
-    )
+    ).orderBy("adapter_id", "installation_id", F.asc_nulls_first("source_object_id"))
 
 
 def load_state(health: DataFrame, events: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ for _g in timeutil.PERIODS:
     for _d in Q.DIMENSIONS:
         register(f"activity_{_g}_{_d}", _with(_activity_sql(_g, _d)))(lambda spark, d, g=_g, dim=_d: Q.activity(V.ledger(spark, d), g, dim))
 
-register("daily_usage", _with(f"SELECT day::VARCHAR AS day, client, provider, model, {_SUMS}, count(*) AS event_count FROM facts GROUP BY ALL"))(lambda spark, d: Q.daily_usage(V.usage_events(spark, d)))
+register("daily_usage", _with(f"SELECT day::VARCHAR AS day, client, provider, model, {_SUMS}, count(*) AS event_count FROM facts GROUP BY ALL"))(lambda spark, d: Q.daily_rows(Q.daily_usage(V.usage_events(spark, d))))
 
 
 @register("daily_merge", ORACLE_SQL["daily_usage"])
@@ -232,9 +232,9 @@ def byte_offsets(spark, d):
 
 _CUMULATIVE = """
 WITH t AS (SELECT user_id, event_id, sum(v) OVER (PARTITION BY user_id, event_id // 700 ORDER BY event_id)::BIGINT AS total FROM (SELECT user_id, event_id, round(abs(value))::BIGINT AS v FROM events)),
-p AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM t)
+p AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM t WHERE total <> 0)
 SELECT user_id, event_id, CASE WHEN before IS NULL OR total < before THEN total ELSE total - before END AS delta, (before IS NOT NULL AND total < before) AS reset
-FROM p WHERE total <> 0 AND total IS DISTINCT FROM before
+FROM p WHERE total IS DISTINCT FROM before
 """
 
 

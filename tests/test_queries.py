@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallywheel.functions import identity, money, timeutil
 from tallywheel.operators import sequences
-from tallywheel.plans import registry
+from tallywheel.plans import queries, registry
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -36,6 +36,54 @@ def test_query_equals_sql(spark, oracle, name):
     assert plain(registry.QUERIES[name](spark, SF).toPandas()) == plain(oracle.sql(registry.ORACLE_SQL[name]).df())
 
 
+def test_running_totals_on_more_rows(spark):
+    """Totals of zero between others, which the smallest tables don't have."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{LARGER}/events.parquet'")
+    name = "cumulative_delta"
+    assert plain(registry.QUERIES[name](spark, LARGER).toPandas()) == plain(con.sql(registry.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name, order", [
+    ("daily_usage", ["day", "client", "provider", "model"]),
+    ("activity_daily_client", ["period", "series"]),
+    ("activity_weekly_provider", ["period", "series"]),
+    ("top_periods", ["period", "series"]),
+    ("period_totals", ["period"]),
+    ("session_summaries", ["-ended_at_unix_ms", "source_object_id", "session_id"]),
+    ("model_usage", ["-total_tokens", "provider", "model"]),
+    ("source_health", ["adapter_id", "installation_id", "source_object_id"]),
+    ("source_reconciliation", ["source_object_id"]),
+    ("cross_check", ["adapter_id", "reference"]),
+])
+def test_result_order(spark, name, order):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    key = lambda r: [(v is not None, -v if c[0] == "-" and v is not None else v or "") for c in order for v in [r[c.lstrip("-")]]]
+    assert len(rows) > 1 and rows == sorted(rows, key=key)
+
+
+def test_due_sources_in_order(spark):
+    objects = spark.createDataFrame([("s2", "i1"), ("s1", "i1"), ("s3", "i0"), ("s4", "i2")], "id string, installation_id string")
+    installations = spark.createDataFrame([("i0", "b", True), ("i1", "a", True), ("i2", "a", False)], "id string, adapter_id string, enabled boolean")
+    runs = spark.createDataFrame([("s1", "completed", "replace", 5)], "source_object_id string, status string, mode string, finished_unix_ms long")
+    due = lambda now: [r["source_object_id"] for r in queries.due_sources(objects, installations, runs, now, 10).collect()]
+    assert due(15) == ["s1", "s2", "s3"] and due(14) == ["s2", "s3"]
+
+
+def test_references_in_a_given_order(spark):
+    totals = spark.createDataFrame([("a", 5), ("b", 7)], "adapter_id string, total_tokens long")
+    stated = spark.createDataFrame([("b", "x", 7), ("a", "x", 5), ("a", "z", 4), ("a", "y", None), ("a", "w", 5)], "adapter_id string, reference string, expected_total long")
+    got = queries.cross_check(totals, stated, ["z", "y"]).collect()
+    assert [(r["adapter_id"], r["reference"], r["status"]) for r in got] == [("a", "z", "mismatch"), ("a", "y", "unavailable"), ("a", "w", "match"), ("a", "x", "match"), ("b", "x", "match")]
+
+
+def test_latest_parent(spark):
+    child = spark.createDataFrame([(1, "k", 10), (2, "k", 5), (3, "k", None), (4, None, 9), (9, "k", 20), (5, "j", 1)], "child long, id string, at long")
+    parent = spark.createDataFrame([(9, "k", 3), (8, "k", 10), (8, "k", 4), (7, "k", 2), (6, None, 1), (5, "j", 1), (99, "k", None)], "parent long, id string, begun long")
+    got = {r["child"]: r["parent"] for r in sequences.latest_parent(child, parent, "id", "at", "begun", "child", "parent").collect()}
+    assert got == {1: 9, 2: 9, 3: None, 4: None, 9: 8, 5: None}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
