@@ -15,8 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, a local one on a local
+    master only, as the executors of a cluster would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

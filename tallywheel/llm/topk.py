@@ -109,7 +109,8 @@ def best_of_pairs(queries: CoverTree, query_ids: np.ndarray, worst: np.ndarray,
         bound = dots + rq * data.norm[vb] + rv * queries.norm[qa] + rq * rv
         floors = np.array([worst[queries.points[p]].min() for p in qa]) if len(set(qa.tolist())) > 1 else np.full(len(pairs), floor)
         for i in np.argsort(bound):  # the most promising pair is next
-            if bound[i] * (1 + slack) + slack * 1e3 >= floors[i] or bound[i] >= floors[i]:
+            # Rounding of roots and sums must not prune: the tolerance widens the bound whatever its sign.
+            if bound[i] + slack * abs(bound[i]) + slack * 1e3 >= floors[i]:
                 stack.append(pairs[i])
     out = [(int(query_ids[q]), x, int(-s)) for q, mine in held.items() for s, x in sorted(mine)[:k]]
     return out

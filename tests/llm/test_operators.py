@@ -304,6 +304,25 @@ def test_top_k_is_exact(spark):
     assert got == sorted(want)
 
 
+def test_pruned_search_is_exact_whatever_the_sign():
+    """Clusters, near and far, with scores of either sign: the same k best as brute force, and fewer pairs scored."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 3000, (12, 6)).round()
+    for sign in (1, -1):
+        data = np.concatenate([c + rng.normal(0, 20, (400, 6)) for c in centres]).round()
+        asked = (sign * (centres[3] + rng.normal(0, 20, (60, 6)))).round()
+        if sign < 0:
+            data = np.concatenate([data[1200:1600], data[1200:1600] + 1])  # all scores far below zero
+        tree, queries = topk.CoverTree(data), topk.CoverTree(asked)
+        scores = asked @ data.T
+        worst = np.sort(scores, axis=1)[:, -5] - 1.0
+        found = topk.best_of_pairs(queries, -1 - np.arange(60), worst.copy(), tree, [[i] for i in range(len(data))], 5)
+        got = {}
+        for q, i, s in found:
+            got.setdefault(-1 - q, []).append((-s, i))
+        assert all(sorted(got[q])[:5] == sorted((-int(s), i) for i, s in enumerate(scores[q]))[:5] for q in range(60))
+
+
 def test_top_k_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
