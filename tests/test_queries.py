@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallywheel.functions import identity, money, timeutil
 from tallywheel.operators import sequences
-from tallywheel.plans import queries, registry
+from tallywheel.plans import journals, queries, registry  # noqa: F401  (journals registers its queries)
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
