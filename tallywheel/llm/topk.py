@@ -1,13 +1,13 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
 Vectors are indexed in blocks: the nearest of a sample of pivots (split further by hash where a pivot's cell is large)
-decides the block, and each block is a cover tree. Queries are cut into chunks with a tree each. A chunk meets every
-block; in a pair of nodes no inner product exceeds
+decides the block, and each block is a cover tree. Queries are cut into chunks with a tree each. In a pair of nodes no
+inner product exceeds
 
     cq . cv + rq |cv| + rv |cq| + rq rv        (centres c, covering radii r)
 
-so the pair is pruned if that is below the worst k-th score of the query node's queries. Every query starts with its
-k-th score over the pivot sample, which is a lower bound of the true one. The result is exact; the sample only decides
+so the pair is pruned if that is below the worst k-th score of the query node's queries. The roots are the first pairs:
+their centres and radii decide which chunk meets which block before any tree is sent. Every query starts with its k-th score over the pivot sample, which is a lower bound of the true one. The result is exact; the sample only decides
 how much is pruned.
 
 Copies of a vector are one point that carries its k + 1 smallest ids (one may be the query's own), cut before the
@@ -30,6 +30,9 @@ from tallywheel.llm._common import written
 LEAF, TINY = 128, 24
 SAMPLE, PIVOTS = 1024, 64
 BLOCK_ROWS, CHUNK_ROWS = 4096, 1024
+#: Chunks grow beyond CHUNK_ROWS rather than in number, so that their roots stay a small broadcast.
+MOST_CHUNKS = 4096
+SLACK = 1e-6
 
 
 class CoverTree:
@@ -77,10 +80,16 @@ class CoverTree:
                 self.children[node].append(self._node(int(rest[i]), rest[i : i + LEAF]))
 
 
+def may_reach(dots, rq, rv, q_norm, v_norm, floors) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, whether each pair of nodes may hold a score that reaches its floor), from the inner products of the
+    centres, the radii and the norms. Rounding must not prune: the tolerance widens the bound whatever its sign."""
+    bound = dots + rq * v_norm + rv * q_norm + rq * rv
+    return bound, bound + SLACK * np.abs(bound) + SLACK * 1e3 >= floors
+
+
 def best_of_pairs(queries: CoverTree, query_ids: np.ndarray, worst: np.ndarray, data: CoverTree, ids: list, k: int):
     """(query, id, score) arrays: of each query the k best within data that reach its worst score so far (worst is raised)."""
     held: dict[int, list[tuple[float, int]]] = {}
-    slack = 1e-6
     stack = [(0, 0)] if len(queries.centre) and len(data.centre) else []
     while stack:
         a, b = stack.pop()
@@ -106,12 +115,9 @@ def best_of_pairs(queries: CoverTree, query_ids: np.ndarray, worst: np.ndarray,
         qa, vb = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
         dots = (queries.x[queries.centre[qa]] * data.x[data.centre[vb]]).sum(1)
         rq, rv = queries.radius[qa], data.radius[vb]
-        bound = dots + rq * data.norm[vb] + rv * queries.norm[qa] + rq * rv
         floors = np.array([worst[queries.points[p]].min() for p in qa]) if len(set(qa.tolist())) > 1 else np.full(len(pairs), floor)
-        for i in np.argsort(bound):  # the most promising pair is next
-            # Rounding of roots and sums must not prune: the tolerance widens the bound whatever its sign.
-            if bound[i] + slack * abs(bound[i]) + slack * 1e3 >= floors[i]:
-                stack.append(pairs[i])
+        bound, fit = may_reach(dots, rq, rv, queries.norm[qa], data.norm[vb], floors)
+        stack += [pairs[i] for i in np.argsort(bound) if fit[i]]  # the most promising pair is next
     out = [(int(query_ids[q]), x, int(-s)) for q, mine in held.items() for s, x in sorted(mine)[:k]]
     return out
 
@@ -177,9 +183,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = CoverTree(_matrix(pdf["v"], width))
-        return pd.DataFrame({"block": [pdf["part"].iloc[0]], "tree": [pickle.dumps((tree, [[int(i) for i in x] for x in pdf["ids"]]))]})
+        return pd.DataFrame({"block": [pdf["part"].iloc[0]], "centre": [tree.x[tree.centre[0]].tolist()], "radius": [tree.radius[0]], "tree": [pickle.dumps((tree, [[int(i) for i in x] for x in pdf["ids"]]))]})
 
-    blocks = written(parts(celled, BLOCK_ROWS).groupBy("part").applyInPandas(index, "block int, tree binary"), "topk-index")
+    blocks = written(parts(celled, BLOCK_ROWS).groupBy("part").applyInPandas(index, "block int, centre array<double>, radius double, tree binary"), "topk-index")
     wanted = rows.filter(F.col("vec_id") % every == 0).distinct().mapInArrow(cells, "vec_id bigint, v array<bigint>, cell int")
 
     def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,26 +199,40 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
             got = [scores[i, j] for j in order for y in ids[j] if y != mine[i]]
             if len(got) >= k:
                 worst[i] = got[k - 1]
-        return pd.DataFrame({"chunk": [pdf["part"].iloc[0]], "queries": [pickle.dumps((tree, mine, worst))]})
+        return pd.DataFrame({"chunk": [pdf["part"].iloc[0]], "centre": [tree.x[tree.centre[0]].tolist()], "radius": [tree.radius[0]], "floor": [worst.min()], "queries": [pickle.dumps((tree, mine, worst))]})
 
-    chunks = written(parts(written(wanted, "topk-queries"), CHUNK_ROWS).groupBy("part").applyInPandas(chunk, "chunk int, queries binary"), "topk-chunks")
-    numbers = [r["chunk"] for r in chunks.select("chunk").collect()]  # one for CHUNK_ROWS queries
-    if not numbers:
+    asked = written(wanted, "topk-queries")
+    size = max(CHUNK_ROWS, -(-asked.count() // MOST_CHUNKS))
+    chunks = written(parts(asked, size).groupBy("part").applyInPandas(chunk, "chunk int, centre array<double>, radius double, floor double, queries binary"), "topk-chunks")
+    heads = chunks.select("chunk", "centre", "radius", "floor").collect()  # MOST_CHUNKS + PIVOTS rows at most, about
+    if not heads:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    roots = spark.sparkContext.broadcast((np.array([r["chunk"] for r in heads], np.int32), _matrix((r["centre"] for r in heads), width), np.array([r["radius"] for r in heads]), np.array([r["floor"] for r in heads])))
+
+    def pair(batches):
+        numbers, centres, rq, floors = roots.value
+        norms = np.sqrt((centres**2).sum(1))
+        for batch in batches:
+            for block, centre, rv in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                centre = np.array(centre)
+                met = numbers[may_reach(centres @ centre, rq, rv, norms, np.sqrt((centre**2).sum()), floors)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), block, np.int32)), pa.array(met)], names=["block", "chunk"])
+
+    pairs = written(blocks.select("block", "centre", "radius").mapInArrow(pair, "block int, chunk int"), "topk-pairs")
 
     def meet(batches):
         for batch in batches:
             for tree, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data, ids = pickle.loads(tree)
-                asked, mine, worst = pickle.loads(queries)
-                found = best_of_pairs(asked, mine, worst.copy(), data, ids, k)
+                chunk_tree, mine, worst = pickle.loads(queries)
+                found = best_of_pairs(chunk_tree, mine, worst.copy(), data, ids, k)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    # Each block against each chunk of the stated queries; a pair is one row, so it is a task's work, not a task's data.
-    pairs = blocks.withColumn("chunk", F.explode(F.array(*(F.lit(n) for n in numbers)))).join(chunks, "chunk")
-    pairs = pairs.repartition(max(1, min(20_000, len(numbers) * blocks.count())), F.col("chunk"), F.col("block")).select("tree", "queries")
-    found = pairs.mapInArrow(meet, "query_id bigint, vec_id bigint, score bigint").distinct()
+    # A pair is one row, so it is a task's work, not a task's data.
+    trees = pairs.join(blocks.select("block", "tree"), "block").join(chunks.select("chunk", "queries"), "chunk")
+    trees = trees.repartition(max(1, min(20_000, pairs.count())), F.col("chunk"), F.col("block")).select("tree", "queries")
+    found = trees.mapInArrow(meet, "query_id bigint, vec_id bigint, score bigint").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -323,6 +323,25 @@ def test_pruned_search_is_exact_whatever_the_sign():
         assert all(sorted(got[q])[:5] == sorted((-int(s), i) for i, s in enumerate(scores[q]))[:5] for q in range(60))
 
 
+def test_roots_prune_whole_blocks():
+    """Clusters as blocks: most pairs of a chunk and a block are ruled out by their roots, none that holds one of the 5 best."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 3000, (40, 8)).round()
+    blocks = [(c + rng.normal(0, 20, (50, 8))).round() for c in centres]
+    trees = [topk.CoverTree(b) for b in blocks]
+    scored = 0
+    for i, block in enumerate(blocks):
+        queries, tree = topk.CoverTree(block[:20]), trees[i]
+        scores = [block[:20] @ b.T for b in blocks]
+        worst = np.sort(np.concatenate(scores, axis=1), axis=1)[:, -5]
+        for j, other in enumerate(trees):
+            dots = np.array([queries.x[queries.centre[0]] @ other.x[other.centre[0]]])
+            _, fit = topk.may_reach(dots, queries.radius[0], other.radius[0], queries.norm[0], other.norm[0], worst.min())
+            assert fit[0] or not (scores[j] >= worst[:, None]).any()
+            scored += int(fit[0])
+    assert scored < 0.2 * len(blocks) ** 2
+
+
 def test_top_k_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
