@@ -11,6 +11,10 @@ than that - whichever way, some pair of segments has at most one error in each.
 a codeword index each (24 bits): 3 owned keys a fingerprint, about 85 reached ones. Equal keys are joined and every
 pair is verified on all 64 bits.
 
+Unrelated fingerprints share a key once there are more of them than keys, so from ``WIDE_FROM`` fingerprints on four
+segments of 16 bits are keyed by three (36 bits): 4 owned keys, about 360 reached ones. Without the segment that has
+most of three errors, the other three have one each at most and one of them has none. Both ways find the same links.
+
 Copies: equal fingerprints are one node. Keys that many fingerprints own (a large group of near copies) leave the
 join: their members are cut into tiles and each tile emits a spanning forest of its links instead of all its pairs.
 """
@@ -33,6 +37,7 @@ from tallywheel.llm._common import components, written
 GOLAY_GENERATOR = 0b110001110101
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
+WIDE_SEGMENTS, WIDE_FROM = ((48, 16), (32, 16), (16, 16), (0, 16)), 1 << 22
 
 
 def fingerprint(text: bytes | None, words_per_shingle: int = 3) -> int:
@@ -105,26 +110,33 @@ def golay_reach(words: np.ndarray, bits: int) -> np.ndarray:
     return near[:, : max(1, int((near >= 0).sum(axis=1).max(initial=1)))]
 
 
-def fuzzy_keys(fps: np.ndarray, owned: bool) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(fps: np.ndarray, owned: bool, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) arrays: the keys that each fingerprint owns, or all that it reaches."""
-    bits = fps.view(np.uint64)
-    parts = [((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64) for shift, width in SEGMENTS]
-    sets = [golay_index(p)[:, None] if owned else golay_reach(p, width) for p, (_, width) in zip(parts, SEGMENTS, strict=True)]
+    bits, segments = fps.view(np.uint64), WIDE_SEGMENTS if wide else SEGMENTS
+    parts = [((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64) for shift, width in segments]
+    own = [golay_index(p) for p in parts]
+    sets = [o[:, None] if owned else golay_reach(p, width) for o, p, (_, width) in zip(own, parts, segments, strict=True)]
+    most = len(segments) - 1
     rows, keys = [], []
-    for pair, (i, j) in enumerate(combinations(range(3), 2)):
-        a, b = sets[i][:, :, None], sets[j][:, None, :]
-        full = (a >= 0) & (b >= 0)
-        rows.append(np.nonzero(full)[0])
-        keys.append(((pair << 24) | (a << 12) | b)[full])
+    for number, chosen in enumerate(combinations(range(len(segments)), most)):
+        full, key, exact = np.True_, np.int64(number), np.bool_(not wide)
+        for place, i in enumerate(chosen):
+            a = sets[i].reshape(len(fps), *(sets[i].shape[1] if x == place else 1 for x in range(most)))
+            full = full & (a >= 0)
+            exact = exact | (a == own[i].reshape(-1, *[1] * most))  # of a wide key one segment has no error
+            key = (key << 12) | a
+        found = full & exact
+        rows.append(np.nonzero(found)[0])
+        keys.append(key[found])
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keys(nodes: DataFrame, owned: bool) -> DataFrame:
+def _keys(nodes: DataFrame, owned: bool, wide: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 4096):
-                rows, keys = fuzzy_keys(part := np.ascontiguousarray(fps[at : at + 4096]), owned)
+                rows, keys = fuzzy_keys(part := np.ascontiguousarray(fps[at : at + 4096]), owned, wide)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
     return nodes.select("fp").mapInArrow(run, "key long, fp long")
@@ -151,17 +163,18 @@ def spanning_links(fps: np.ndarray, max_bits: int) -> np.ndarray:
     return np.stack([np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])], axis=1).view(np.int64)
 
 
-def links(nodes: DataFrame, max_bits: int = 3, hot: int = 96, tile: int = 8192) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = 3, hot: int = 96, tile: int = 8192, wide_from: int = WIDE_FROM) -> DataFrame:
     """(a, b) links of distinct fingerprints nodes(fp), enough of them that each linked group stays connected.
 
     Keys with up to ``hot`` owners give all their links; a key with more gives a spanning forest of each pair of its
     tiles of about ``tile`` members. Nothing is dropped on either way.
     """
     if max_bits > 3:
-        raise ValueError("the pigeonhole over three Golay segments holds for 3 bits at most")
-    owners = written(_keys(nodes, True), "golay-owned")
+        raise ValueError("the pigeonhole over Golay segments holds for 3 bits at most")
+    wide = nodes.count() >= wide_from
+    owners = written(_keys(nodes, True, wide), "golay-owned")
     crowded = written(owners.groupBy("key").count().filter(F.col("count") > hot).select("key"), "golay-hot")
-    reach = _keys(nodes, False)
+    reach = _keys(nodes, False, wide)
     some = crowded.limit(1).count() > 0
     plain = owners.join(crowded, "key", "left_anti") if some else owners
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits

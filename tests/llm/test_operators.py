@@ -530,8 +530,8 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [96, 1])
-def test_links_keep_groups_connected(spark, hot):
+@pytest.mark.parametrize("hot, wide_from", [(96, 1 << 22), (1, 1 << 22), (96, 0), (1, 0)])
+def test_links_keep_groups_connected(spark, hot, wide_from):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 40)
     fps = {int(x) for x in base}
@@ -541,13 +541,14 @@ def test_links_keep_groups_connected(spark, hot):
             y ^= 1 << int(b)
         fps.add(y)
     fps = sorted(fps)
-    found = components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot=hot, tile=16))
+    found = components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot=hot, tile=16, wide_from=wide_from))
     got = {r["node"]: r["component"] for r in found.collect()}
     roots = brute_components(fps)
     assert [got.get(x, x) for x in fps] == [fps[r] for r in roots]
 
 
-def test_golay_code():
+@pytest.mark.parametrize("wide", [False, True])
+def test_golay_code(wide):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 300)
     for errors in range(4):
@@ -556,9 +557,9 @@ def test_golay_code():
             for b in rng.choice(63, errors, replace=False):
                 y[i] ^= np.int64(1) << np.int64(b)
         reach, owned = {}, {}
-        for i, k in zip(*simhash.fuzzy_keys(x, False), strict=True):
+        for i, k in zip(*simhash.fuzzy_keys(x, False, wide), strict=True):
             reach.setdefault(i, set()).add(k)
-        for i, k in zip(*simhash.fuzzy_keys(y, True), strict=True):
+        for i, k in zip(*simhash.fuzzy_keys(y, True, wide), strict=True):
             owned.setdefault(i, set()).add(k)
         assert all(reach[i] & owned[i] for i in range(len(x)))
 
