@@ -12,7 +12,8 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywheel.functions import identity, money, timeutil
@@ -77,11 +78,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select(n.alias("n"), u.alias("u"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("said"), "event_type")
 
 
-def _text(prefix: str, number) -> F.Column:
+def _text(prefix: str, number) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
-def _object(**fields) -> F.Column:
+def _object(**fields) -> Column:
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
@@ -90,7 +91,15 @@ def _records(spark: SparkSession, reader) -> DataFrame:
 
 
 _E = "e AS (SELECT event_id AS n, user_id AS u, epoch_us(ts) // 1000 AS ms, event_type FROM events)"
-_N, _U = F.col("n"), F.col("u")
+
+
+def _n() -> Column:
+    return F.col("n")
+
+
+def _u() -> Column:
+    return F.col("u")
+
 
 # -- lines of the ledger's own format: bad lines, blank lines, unknown fields and negative counters are left out
 
@@ -98,7 +107,7 @@ _LINE = "CASE n % 50 WHEN 7 THEN '{bad' WHEN 9 THEN '' ELSE '{\"id\":\"e-' || n
 
 
 def _own_lines(events: DataFrame) -> DataFrame:
-    return events.select(F.lit("events.jsonl").alias("file"), _N.alias("at"), F.expr(_LINE).alias("line"))
+    return events.select(F.lit("events.jsonl").alias("file"), _n().alias("at"), F.expr(_LINE).alias("line"))
 
 
 @register("journal_event_lines", f"""
@@ -129,16 +138,16 @@ FROM r WHERE r = 1""")
 def journal_wire(spark, d):
     """Wire journals in folders named by session: status updates by message id, flat usage with placeholders for models."""
     e, root = _events(spark, d), folder(spark)
-    i, o, c = _N % 211, _U % 11, _N % 7
+    i, o, c = _n() % 211, _u() % 11, _n() % 7
     seconds = F.concat((F.col("ms") - F.col("ms") % 1000).cast("string").substr(F.lit(1), F.length((F.col("ms")).cast("string")) - 3), F.lit("."), F.lpad((F.col("ms") % 1000).cast("string"), 3, "0"))
-    update = _object(type=F.lit("StatusUpdate"), payload=_object(token_usage=_object(input_other=i, output=o, input_cache_read=c, input_cache_creation=F.lit(0)), message_id=_text("m-", F.floor(_N / 60))))
+    update = _object(type=F.lit("StatusUpdate"), payload=_object(token_usage=_object(input_other=i, output=o, input_cache_read=c, input_cache_creation=F.lit(0)), message_id=_text("m-", F.floor(_n() / 60))))
     old = F.concat(F.lit('{"timestamp":'), seconds, F.lit(',"message":'), F.to_json(update), F.lit("}"))
-    named = F.when(_N % 2 == 0, _text("kimi-code/named-", _N % 9)).otherwise("__placeholder__")
+    named = F.when(_n() % 2 == 0, _text("kimi-code/named-", _n() % 9)).otherwise("__placeholder__")
     flat = F.to_json(_object(type=F.lit("usage.record"), model=named, usage=_object(inputOther=i, output=o, inputCacheRead=c, inputCacheCreation=F.lit(0)), usageScope=F.lit("turn"), time=F.col("ms")))
-    request = F.to_json(_object(type=F.lit("llm.request"), model=_text("req-", _N % 5), time=F.col("ms")))
-    line = F.when(_N % 3 == 0, old).when((_N % 3 == 1) & (_N % 4 == 1), request).otherwise(flat)
-    file = F.format_string("sessions/00000000-0000-4000-8000-%012d/wire.jsonl", _U)
-    put(e.select(file.alias("file"), _N.alias("at"), line.alias("line")), root)
+    request = F.to_json(_object(type=F.lit("llm.request"), model=_text("req-", _n() % 5), time=F.col("ms")))
+    line = F.when(_n() % 3 == 0, old).when((_n() % 3 == 1) & (_n() % 4 == 1), request).otherwise(flat)
+    file = F.format_string("sessions/00000000-0000-4000-8000-%012d/wire.jsonl", _u())
+    put(e.select(file.alias("file"), _n().alias("at"), line.alias("line")), root)
     rows = _records(spark, WireJournals(root))
     return rows.select("session_id", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens", "cache_read_tokens", "native_id", "timestamp_origin")
 
@@ -156,23 +165,23 @@ FROM b""")
 def journal_sessions(spark, d):
     """Parents and children that were forked from them, with the costs that the sources report."""
     e, root = _events(spark, d), folder(spark)
-    think = F.least(_N % 6, _U)
+    think = F.least(_n() % 6, _u())
 
     def entry(native, i):
-        cost = F.concat(F.lit("0."), F.lpad((_N % 1000).cast("string"), 3, "0"))
-        told = F.when(_N % 5 != 1, i + _U + _N % 6 + _N % 8)
-        usage = _object(input=i, output=_U + _N % 6, cacheRead=_N % 8, cacheWrite=F.lit(0), reasoning=think, totalTokens=told)
+        cost = F.concat(F.lit("0."), F.lpad((_n() % 1000).cast("string"), 3, "0"))
+        told = F.when(_n() % 5 != 1, i + _u() + _n() % 6 + _n() % 8)
+        usage = _object(input=i, output=_u() + _n() % 6, cacheRead=_n() % 8, cacheWrite=F.lit(0), reasoning=think, totalTokens=told)
         head = F.to_json(_object(type=F.lit("message"), id=native, timestamp=F.col("said")))
-        body = F.to_json(_object(role=F.lit("assistant"), provider=_text("prov-", _U % 3), model=_text("model-", _N % 4), usage=usage))
+        body = F.to_json(_object(role=F.lit("assistant"), provider=_text("prov-", _u() % 3), model=_text("model-", _n() % 4), usage=usage))
         return F.concat(F.rtrim(head, F.lit("}")), F.lit(',"message":'), F.substring_index(body, "}}", 1), F.lit(',"cost":{"total":'), cost, F.lit("}}}}"))
 
-    file, heads = lambda x: F.format_string(f"{x}-%d.jsonl", _U), e.select("u").distinct()
-    head = lambda x, **more: F.to_json(_object(type=F.lit("session"), version=F.lit(3), id=_text(f"{x}-", _U), **more))
+    file, heads = lambda x: F.format_string(f"{x}-%d.jsonl", _u()), e.select("u").distinct()
+    head = lambda x, **more: F.to_json(_object(type=F.lit("session"), version=F.lit(3), id=_text(f"{x}-", _u()), **more))
     begin = lambda x, **more: heads.select(file(x).alias("file"), F.lit(-1).cast("long").alias("at"), head(x, **more).alias("line"))
-    parents = e.select(file("p").alias("file"), _N.alias("at"), entry(_text("n-", _N), _N % 97 + 1).alias("line"))
-    native = F.when(_N % 2 == 0, _text("n-", _N)).otherwise(_text("own-", _N))
-    children = e.select(file("c").alias("file"), _N.alias("at"), entry(native, _N % 97 + 1 + (_N % 10 == 0).cast("long")).alias("line"))
-    put(begin("p").unionByName(begin("c", parentSession=F.format_string("/elsewhere/p-%d.jsonl", _U))).unionByName(parents).unionByName(children), root)
+    parents = e.select(file("p").alias("file"), _n().alias("at"), entry(_text("n-", _n()), _n() % 97 + 1).alias("line"))
+    native = F.when(_n() % 2 == 0, _text("n-", _n())).otherwise(_text("own-", _n()))
+    children = e.select(file("c").alias("file"), _n().alias("at"), entry(native, _n() % 97 + 1 + (_n() % 10 == 0).cast("long")).alias("line"))
+    put(begin("p").unionByName(begin("c", parentSession=F.format_string("/elsewhere/p-%d.jsonl", _u()))).unionByName(parents).unionByName(children), root)
     rows = _records(spark, SessionTrees(root)).withColumn("usd_nanos", F.col("costs")[0]["usd_nanos"])
     return rows.select("session_id", "native_id", "provider", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens", "cache_read_tokens", "reasoning_tokens", "source_reported_total", "confidence", "usd_nanos")
 
@@ -191,7 +200,7 @@ FROM o WHERE n % 4 <> 0 AND n % 9 <> 0 AND i + o + c > 0""")
 def journal_stream(spark, d):
     """One long stream; the last iteration of an answer has the whole usage."""
     root = folder(spark)
-    put(_events(spark, d).select(F.lit("stream.jsonl").alias("file"), _N.alias("at"), F.expr(_STREAM).alias("line")), root)
+    put(_events(spark, d).select(F.lit("stream.jsonl").alias("file"), _n().alias("at"), F.expr(_STREAM).alias("line")), root)
     return _records(spark, StreamLines(root / "stream.jsonl")).select("event_id", "session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "schema_variant")
 
 
@@ -207,17 +216,15 @@ SELECT 'r-' || u AS session_id, coalesce(model, 'unknown') AS model, ms AS occur
 FROM s WHERE u % 5 <> 4 AND (anew OR i <> pi OR o <> po)""")
 def journal_rollouts(spark, d):
     """Rollouts with running counters, a line that names the model before some of them; service rollouts are left out."""
-    from pyspark.sql import Window as W
-
     e, root = _events(spark, d), folder(spark)
-    w = W.partitionBy("u", F.floor(_N / 700)).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    e = e.withColumns({"i": F.sum(_N % 17).over(w), "o": F.sum(_N % 3).over(w)})
-    file = F.concat(F.format_string("sessions/2024/rollout-%d.jsonl", _U), F.when(_U % 3 == 0, ".zst").otherwise(""))
-    payload = _object(id=_text("r-", _U), model_provider=F.lit("openai"), originator=F.when(_U % 2 == 1, "Codex Desktop"), source=F.when(_U % 5 == 4, "mcp").otherwise("cli"))
+    w = W.partitionBy("u", F.floor(_n() / 700)).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    e = e.withColumns({"i": F.sum(_n() % 17).over(w), "o": F.sum(_n() % 3).over(w)})
+    file = F.concat(F.format_string("sessions/2024/rollout-%d.jsonl", _u()), F.when(_u() % 3 == 0, ".zst").otherwise(""))
+    payload = _object(id=_text("r-", _u()), model_provider=F.lit("openai"), originator=F.when(_u() % 2 == 1, "Codex Desktop"), source=F.when(_u() % 5 == 4, "mcp").otherwise("cli"))
     heads = e.select("u").distinct().select(file.alias("file"), F.lit(-1).cast("long").alias("at"), F.to_json(_object(timestamp=F.lit("2024-01-01T00:00:00Z"), type=F.lit("session_meta"), payload=payload)).alias("line"))
-    turns = e.filter(_N % 6 == 0).select(file.alias("file"), (_N * 2).alias("at"), F.to_json(_object(timestamp=F.col("said"), type=F.lit("turn_context"), payload=_object(model=_text("gpt-", _N % 5)))).alias("line"))
+    turns = e.filter(_n() % 6 == 0).select(file.alias("file"), (_n() * 2).alias("at"), F.to_json(_object(timestamp=F.col("said"), type=F.lit("turn_context"), payload=_object(model=_text("gpt-", _n() % 5)))).alias("line"))
     info = _object(total_token_usage=_object(input_tokens=F.col("i"), output_tokens=F.col("o"), total_tokens=F.col("i") + F.col("o")))
-    counts = e.select(file.alias("file"), (_N * 2 + 1).alias("at"), F.to_json(_object(timestamp=F.col("said"), type=F.lit("event_msg"), payload=_object(type=F.lit("token_count"), info=info))).alias("line"))
+    counts = e.select(file.alias("file"), (_n() * 2 + 1).alias("at"), F.to_json(_object(timestamp=F.col("said"), type=F.lit("event_msg"), payload=_object(type=F.lit("token_count"), info=info))).alias("line"))
     put(heads.unionByName(turns).unionByName(counts), root)
     return _records(spark, Rollouts(root)).select("session_id", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens", "client", "provider", "confidence")
 
@@ -233,12 +240,12 @@ UNION ALL SELECT 'T-' || u, 'message', 'm-' || (n % 5), 1700000000000 + u, (n +
 def journal_threads(spark, d):
     """Documents of threads: a ledger row takes its message, and the message's model where it has none itself."""
     e, root = _events(spark, d), folder(spark)
-    row = _object(timestamp=F.col("said"), model=F.when(_N % 4 != 0, _text("m-", _N % 5)), tokens=_object(input=_N + 1), toMessageId=_N + 1)
-    said = _object(role=F.lit("assistant"), messageId=_N + 1, usage=_object(model=_text("m-", _N % 5), inputTokens=_N + 1))
+    row = _object(timestamp=F.col("said"), model=F.when(_n() % 4 != 0, _text("m-", _n() % 5)), tokens=_object(input=_n() + 1), toMessageId=_n() + 1)
+    said = _object(role=F.lit("assistant"), messageId=_n() + 1, usage=_object(model=_text("m-", _n() % 5), inputTokens=_n() + 1))
     # One thread is one document: the group is what the file holds.
-    docs = e.groupBy("u").agg(F.sort_array(F.collect_list(F.when(_N % 2 == 0, _object(n=_N, x=row)))).alias("l"), F.sort_array(F.collect_list(_object(n=_N, x=said))).alias("m"))
-    doc = _object(id=_text("T-", _U), created=F.lit(1_700_000_000_000) + _U, usageLedger=_object(events=F.col("l.x")), messages=F.col("m.x"))
-    put(docs.select(F.format_string("T-%d.json", _U).alias("file"), F.lit(0).cast("long").alias("at"), F.to_json(doc).alias("line")), root)
+    docs = e.groupBy("u").agg(F.sort_array(F.collect_list(F.when(_n() % 2 == 0, _object(n=_n(), x=row)))).alias("l"), F.sort_array(F.collect_list(_object(n=_n(), x=said))).alias("m"))
+    doc = _object(id=_text("T-", _u()), created=F.lit(1_700_000_000_000) + _u(), usageLedger=_object(events=F.col("l.x")), messages=F.col("m.x"))
+    put(docs.select(F.format_string("T-%d.json", _u()).alias("file"), F.lit(0).cast("long").alias("at"), F.to_json(doc).alias("line")), root)
     rows = _records(spark, Threads(root))
     kind = F.when(F.col("native_id").startswith("to"), "ledger").otherwise("message")
     return rows.select("session_id", kind.alias("kind"), "model", "occurred_at_unix_ms", "input_tokens", "native_id", "timestamp_origin")
@@ -262,14 +269,14 @@ def scan_runs(spark, d):
     root = folder(spark)
     path, ledger = root / "events.jsonl", Ledger(spark, root / "ledger")
     lines, reader = _events(spark, d), [("own", EventLines(path))]
-    put(_own_lines(lines.filter(_N % 2 == 0)), root)
+    put(_own_lines(lines.filter(_n() % 2 == 0)), root)
     scan(ledger, reader, 1_000)
     scan(ledger, reader, 2_000)
-    put(_own_lines(lines.filter(_N % 2 == 1)), root / "more")
+    put(_own_lines(lines.filter(_n() % 2 == 1)), root / "more")
     with open(path, "ab") as whole, open(root / "more/events.jsonl", "rb") as more:
         shutil.copyfileobj(more, whole)
     scan(ledger, reader, 3_000)
-    put(_own_lines(lines.filter(_N % 3 != 0)), root)
+    put(_own_lines(lines.filter(_n() % 3 != 0)), root)
     scan(ledger, reader, 4_000)
     scan(ledger, reader, 4_000 + 86_400_000)
     return ledger.table("ingest_runs").select("id", "mode", "status", "seen", "inserted", "duplicates", "deleted")
@@ -282,7 +289,7 @@ def scan_events(spark, d):
     """What the ledger holds after a journal was read and rewritten: the events of the second file, each once."""
     root = folder(spark)
     ledger, reader = Ledger(spark, root / "ledger"), [("own", EventLines(root / "events.jsonl"))]
-    for at, kept in ((1_000, _N % 2 == 0), (2_000, _N % 3 != 0)):
+    for at, kept in ((1_000, _n() % 2 == 0), (2_000, _n() % 3 != 0)):
         put(_own_lines(_events(spark, d).filter(kept)), root)
         scan(ledger, reader, at)
     return ledger.table("usage_events").select("source_object_id", "event_id", "session_id", "client", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens")
@@ -320,13 +327,13 @@ FROM events""")
 def scalar_parsed(spark, d):
     """RFC 3339 texts (also with an offset), positive seconds, exact money and its errors, sums that stop at 64 bits, UTC text."""
     e = _events(spark, d)
-    text = lambda x: F.concat(x.cast("string"), F.lit("."), F.lpad((_N % 1000).cast("string"), 3, "0"))
-    odd = F.element_at(F.array(*(F.lit(x) for x in ("1,5", "-0.5", "0.0000000001", "18446744074", "1e2"))), (_N % 5 + 1).cast("int"))
-    largest = F.when(_N % 2 == 0, F.lit("0")).otherwise(str(money.U64_MAX)).cast("decimal(20,0)")
+    text = lambda x: F.concat(x.cast("string"), F.lit("."), F.lpad((_n() % 1000).cast("string"), 3, "0"))
+    odd = F.element_at(F.array(*(F.lit(x) for x in ("1,5", "-0.5", "0.0000000001", "18446744074", "1e2"))), (_n() % 5 + 1).cast("int"))
+    largest = F.when(_n() % 2 == 0, F.lit("0")).otherwise(str(money.U64_MAX)).cast("decimal(20,0)")
     return e.select(
         F.col("n").alias("event_id"), timeutil.rfc3339_millis(F.col("said")).alias("ms"), timeutil.rfc3339_millis(F.replace("said", F.lit("Z"), F.lit("+05:30"))).alias("shifted_ms"),
-        timeutil.seconds_millis(F.when(_N % 7 > 0, text(_N).cast("double")).otherwise(-1.5)).alias("seconds_ms"), money.parse_nanos(text(F.lit(3)))["nanos"].cast("long").alias("nanos"), money.parse_nanos(odd)["error"].alias("error"),
-        money.add_exact(largest, _N + F.when(_N % 2 == 1, 1).otherwise(0)).cast("string").alias("added"), money.add_saturating(largest, _N + F.when(_N % 2 == 1, 1).otherwise(0)).cast("string").alias("saturated"),
+        timeutil.seconds_millis(F.when(_n() % 7 > 0, text(_n()).cast("double")).otherwise(-1.5)).alias("seconds_ms"), money.parse_nanos(text(F.lit(3)))["nanos"].cast("long").alias("nanos"), money.parse_nanos(odd)["error"].alias("error"),
+        money.add_exact(largest, _n() + F.when(_n() % 2 == 1, 1).otherwise(0)).cast("string").alias("added"), money.add_saturating(largest, _n() + F.when(_n() % 2 == 1, 1).otherwise(0)).cast("string").alias("saturated"),
         timeutil.utc_text(F.col("ms")).alias("utc"),
     )
 
@@ -338,12 +345,12 @@ SELECT n AS event_id, CASE n % 3 WHEN 0 THEN NULL WHEN 1 THEN 'm-' || n ELSE 'ki
 FROM f""")
 def scalar_names(spark, d):
     """Models without prefixes and placeholders, clients by source and originator, ids in paths and file names."""
-    id = F.format_string("00000000-0000-4000-8000-%012d", _U)
-    model = F.when(_N % 3 == 0, "__none__").when(_N % 3 == 1, _text("kimi-code/m-", _N)).otherwise(_text("kimi-", _N))
-    source = F.element_at(F.array(F.lit("cli"), F.lit("vscode"), F.lit("exec"), F.lit("mcp")), (_N % 4 + 1).cast("int"))
-    file = F.concat(F.lit("rollout-2024-01-01T00-00-00-"), F.when(_N % 4 == 0, "copy_").otherwise(""), F.when(_N % 2 == 0, id).otherwise("none"), F.lit(".jsonl"))
-    path = F.concat(F.lit("/a/"), F.when(_N % 2 == 0, F.concat(F.lit("session_"), id)).otherwise(id), F.lit("/agents/main/wire.jsonl"))
+    id = F.format_string("00000000-0000-4000-8000-%012d", _u())
+    model = F.when(_n() % 3 == 0, "__none__").when(_n() % 3 == 1, _text("kimi-code/m-", _n())).otherwise(_text("kimi-", _n()))
+    source = F.element_at(F.array(F.lit("cli"), F.lit("vscode"), F.lit("exec"), F.lit("mcp")), (_n() % 4 + 1).cast("int"))
+    file = F.concat(F.lit("rollout-2024-01-01T00-00-00-"), F.when(_n() % 4 == 0, "copy_").otherwise(""), F.when(_n() % 2 == 0, id).otherwise("none"), F.lit(".jsonl"))
+    path = F.concat(F.lit("/a/"), F.when(_n() % 2 == 0, F.concat(F.lit("session_"), id)).otherwise(id), F.lit("/agents/main/wire.jsonl"))
     return _events(spark, d).select(
-        _N.alias("event_id"), identity.plain_model(model).alias("model"), identity.client_of(source, F.when(_N % 4 == 0, "Codex Desktop").when(_N % 8 == 1, "codex_vscode")).alias("client"), identity.is_interactive(source).alias("interactive"),
-        identity.session_of_path(path).alias("session_id"), identity.rollout_id(file).alias("rollout"), identity.is_uuid(F.when(_N % 5 == 0, F.concat(id, F.lit("0"))).otherwise(id)).alias("uuid"),
+        _n().alias("event_id"), identity.plain_model(model).alias("model"), identity.client_of(source, F.when(_n() % 4 == 0, "Codex Desktop").when(_n() % 8 == 1, "codex_vscode")).alias("client"), identity.is_interactive(source).alias("interactive"),
+        identity.session_of_path(path).alias("session_id"), identity.rollout_id(file).alias("rollout"), identity.is_uuid(F.when(_n() % 5 == 0, F.concat(id, F.lit("0"))).otherwise(id)).alias("uuid"),
     )
