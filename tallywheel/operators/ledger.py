@@ -5,18 +5,19 @@ either the old ledger or the new one. Conflicts are sought before anything is pu
 not at all. There is one writer at a time.
 
 Events, provenance and costs are partitioned by source, the unit of ownership: an append adds files of its source, a
-replacement rewrites that source only; the manifest in the pointer says which folders make up a table.
+replacement rewrites that source only; the manifest in the pointer says which folders make up a table. A commit takes
+many sources at once: its jobs are those of one source.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ class Checkpoint:
     parser_version: int = 1
 
 
+@dataclass
+class Commit:
+    """What is to become of one source: append or replace, the place up to which it was read, what its reader noted."""
+
+    source: str
+    mode: str = "append"
+    checkpoint: Checkpoint = field(default_factory=Checkpoint)
+    warnings: list[str] = field(default_factory=list)
+
+
 @dataclass
 class IngestReport:
     source_object_id: str
@@ -60,6 +71,15 @@ class IngestReport:
         return json.dumps(self.__dict__, indent=2)
 
 
+def status_of(row, parser_version: int) -> tuple[str, Checkpoint | None]:
+    """What a row of source_objects says: never_ingested, current (with the checkpoint) or invalidated (another parser wrote it)."""
+    if row is None or row["last_success_unix_ms"] is None:
+        return "never_ingested", None
+    if row["parser_version"] != parser_version:
+        return "invalidated", None
+    return "current", Checkpoint(row["byte_offset"], row["source_len"], row["prefix_fingerprint"], row["fingerprint"], row["parser_version"])
+
+
 def compare_again(stored: DataFrame, again: DataFrame, facts: Sequence[str], keys: Sequence[str] = tuple(KEY)) -> DataFrame:
     """The events of `again` that are stored already, with conflict: whether any fact differs (null equals null)."""
     said = F.to_json(F.struct(*facts))  # as text: what may be null differs between a batch and the ledger
@@ -69,7 +89,7 @@ def compare_again(stored: DataFrame, again: DataFrame, facts: Sequence[str], key
 
 
 def validate(records: DataFrame) -> DataFrame:
-    """(event_id, problem) of the records that the ledger refuses."""
+    """The records that the ledger refuses, with problem."""
     counts = F.array(*(F.col(b) for b in schema.BUCKETS))
     usd_needed = F.exists("costs", lambda c: c.kind.isin(REPORTED, ESTIMATE) & c.usd_nanos.isNull())
     usd_forbidden = F.exists("costs", lambda c: c.kind.isin(schema.CREDIT, UNPRICED) & c.usd_nanos.isNotNull())
@@ -81,7 +101,12 @@ def validate(records: DataFrame) -> DataFrame:
         .when(usd_forbidden, "a credit or unpriced mark has an amount")
         .when(F.exists("costs", lambda c: c.usd_nanos < 0), "a cost is negative")
     )
-    return records.select("event_id", problem.alias("problem")).filter("problem IS NOT NULL")
+    return records.withColumn("problem", problem).filter("problem IS NOT NULL")
+
+
+def part_of(source: str) -> str:
+    """The folder of a source inside a table's: a hash, as ids may hold what paths may not."""
+    return f"__part={hashlib.sha256(source.encode()).hexdigest()}"
 
 
 class Ledger:
@@ -120,15 +145,22 @@ class Ledger:
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(*(str(self.folder / p) for p in paths))
 
-    def owned(self, name: str, source: str) -> DataFrame:
-        """One source's rows of a table."""
-        paths, kind = self._parts(name).get(source, []), schema.struct(TABLES[name])
-        return self.spark.read.schema(kind).parquet(*(str(self.folder / p) for p in paths)) if paths else self.spark.createDataFrame([], kind)
-
-    def _write(self, name: str, df: DataFrame, source: str = "") -> str:
-        path = f"data/{name}/{quote(source, safe='')[:80]}-{uuid.uuid4().hex}"
-        fields = schema.struct(TABLES[name]).fields
-        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.parquet(str(self.folder / path))
+    def owned(self, name: str, *sources: str) -> DataFrame:
+        """Some sources' rows of a table."""
+        parts, kind = self._parts(name), schema.struct(TABLES[name])
+        paths = [str(self.folder / p) for s in sources for p in parts.get(s, [])]
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        """A new folder of a table, relative to the ledger's; those of OWNED tables hold one folder a source."""
+        path = f"data/{name}/{uuid.uuid4().hex}"
+        df = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct(TABLES[name]).fields))
+        if name in OWNED:
+            # Rows of a source come together, and Spark splits a source that is too large for one task.
+            df = df.withColumn("__part", F.sha2(F.col("source_object_id").cast("binary"), 256)).hint("rebalance", "__part")
+            df.write.partitionBy("__part").parquet(str(self.folder / path))
+        else:
+            df.write.parquet(str(self.folder / path))
         return path
 
     def _rewrite(self, name: str, df: DataFrame) -> list[str]:
@@ -152,9 +184,13 @@ class Ledger:
 
     def register_source(self, id: str, installation: dict, native_path: str, kind: str = "append_only_jsonl", parser_version: int = 1) -> None:
         """Adds a source and its installation; the installation's state and the source's checkpoint are kept where they exist."""
+        self.register_sources(installation, [{"id": id, "native_path": native_path, "kind": kind, "parser_version": parser_version}])
+
+    def register_sources(self, installation: dict, sources: Sequence[dict]) -> None:
+        """Adds the sources (id, native_path, kind, parser_version) of an installation, as register_source() does."""
         self._upsert("source_installations", [{"enabled": True, "permission_state": "unknown", **installation}], keep=("enabled", "permission_state"))
         checkpoint = ("fingerprint", "parser_version", "byte_offset", "source_len", "prefix_fingerprint", "last_scan_unix_ms", "last_success_unix_ms", "last_error")
-        self._upsert("source_objects", [{"id": id, "installation_id": installation["id"], "native_path": native_path, "kind": kind, "parser_version": parser_version}], keep=checkpoint)
+        self._upsert("source_objects", [{**s, "installation_id": installation["id"]} for s in sources], keep=checkpoint)
 
     def set_installation_state(self, id: str, enabled: bool, permission_state: str) -> None:
         rows = self.table("source_installations")
@@ -168,49 +204,68 @@ class Ledger:
 
     def checkpoint_status(self, source: str, parser_version: int) -> tuple[str, Checkpoint | None]:
         """never_ingested, current (with the checkpoint) or invalidated (another parser wrote it)."""
-        row = self.table("source_objects").filter(F.col("id") == source).first()
-        if row is None or row["last_success_unix_ms"] is None:
-            return "never_ingested", None
-        if row["parser_version"] != parser_version:
-            return "invalidated", None
-        return "current", Checkpoint(row["byte_offset"], row["source_len"], row["prefix_fingerprint"], row["fingerprint"], row["parser_version"])
+        return status_of(self.table("source_objects").filter(F.col("id") == source).first(), parser_version)
 
     # -- ingestion
 
-    def _run(self, source: str, mode: str, status: str, at: int, report: IngestReport | None = None, error: str | None = None, warnings: Sequence[str] = ()) -> list[str]:
-        runs = self.table("ingest_runs")
-        last = runs.agg(F.max("id")).first()[0] or 0
-        r = report or IngestReport(source, mode)
-        row = [last + 1, source, mode, status, at, at, r.seen, r.inserted, r.duplicates, r.deleted, list(warnings or r.warnings), error]
-        new = self._write("ingest_runs", self.spark.createDataFrame([row], schema.struct(TABLES["ingest_runs"])).coalesce(1))
+    def _runs(self, reports: Sequence[tuple[IngestReport, str | None]], at: int) -> list[str]:
+        """The run log with a run for each (report, error)."""
+        last = self.table("ingest_runs").agg(F.max("id")).first()[0] or 0
+        rows = [[last + n, r.source_object_id, r.mode, "failed" if error else "completed", at, at, r.seen, r.inserted, r.duplicates, r.deleted, r.warnings, error] for n, (r, error) in enumerate(reports, 1)]
+        new = self._write("ingest_runs", self.spark.createDataFrame(rows, schema.struct(TABLES["ingest_runs"])).coalesce(1))
         return [*self._parts("ingest_runs"), new]
 
     def apply(self, source: str, records: DataFrame, mode: str, at: int, checkpoint: Checkpoint | None = None, warnings: Sequence[str] = ()) -> IngestReport:
         """Appends a batch to a source or replaces its events by it, with its checkpoint and run, in one commit.
 
-        records: schema.RECORD rows. A batch that the ledger refuses leaves a failed run and changes nothing else.
+        records: schema.RECORD rows, all of them the source's. A batch that the ledger refuses leaves a failed run and
+        changes nothing else.
+        """
+        done = self.apply_all([Commit(source, mode, checkpoint or Checkpoint(), list(warnings))], records.withColumn("source_object_id", F.lit(source)), at)[source]
+        if isinstance(done, Exception):
+            raise done
+        return done
+
+    def apply_all(self, commits: Sequence[Commit], records: DataFrame, at: int) -> dict[str, IngestReport | IdentityConflict | InvalidRecord]:
+        """apply() for several sources in one commit, whose jobs don't grow with their number.
+
+        records: schema.RECORD rows of these sources, by source_object_id; rows of others are passed over. A source that
+        the ledger refuses leaves a failed run and stays as it was, while the others go in; each source's report or error.
         """
-        if mode not in ("append", "replace"):
-            raise ValueError(mode)
-        batch = records.withColumns({"source_object_id": F.lit(source), "provider": F.coalesce("provider", F.lit(""))}).persist()
+        if odd := [c.mode for c in commits if c.mode not in ("append", "replace")]:
+            raise ValueError(odd[0])
+        # A row for each source of the commit.
+        wanted = self.spark.createDataFrame([(c.source,) for c in commits], "source_object_id string")
+        batch = records.withColumn("provider", F.coalesce("provider", F.lit(""))).join(F.broadcast(wanted), "source_object_id", "left_semi").persist()
         try:
-            report, tables = self._prepared(source, batch, mode, list(warnings))
-        except (IdentityConflict, InvalidRecord) as error:
-            self._publish({"ingest_runs": self._run(source, mode, "failed", at, error=f"[ledger] {error}", warnings=list(warnings))})
-            raise
+            done, tables = self._prepared(commits, batch)
         finally:
             batch.unpersist()
-        c = checkpoint or Checkpoint()
-        mine = F.col("id") == source
-        done = {"fingerprint": c.fingerprint, "parser_version": c.parser_version, "byte_offset": c.byte_offset, "source_len": c.source_len, "prefix_fingerprint": c.prefix_fingerprint, "last_scan_unix_ms": at, "last_success_unix_ms": at, "last_error": None}
-        objects = self.table("source_objects")
-        kinds = {f.name: f.dataType for f in objects.schema.fields}
-        objects = objects.withColumns({k: F.when(mine, F.lit(v).cast(kinds[k])).otherwise(F.col(k)) for k, v in done.items()})
-        owner = [r["installation_id"] for r in self.table("source_objects").filter(mine).select("installation_id").collect()]
-        granted = F.col("id").isin(owner) if owner else F.lit(False)
-        inst = self.table("source_installations").withColumn("permission_state", F.when(granted, "granted").otherwise(F.col("permission_state")))
-        self._publish({**tables, "source_objects": self._rewrite("source_objects", objects), "source_installations": self._rewrite("source_installations", inst), "ingest_runs": self._run(source, mode, "completed", at, report)})
-        return report
+        good = [c for c in commits if isinstance(done[c.source], IngestReport)]
+        if good:
+            tables |= self._read_up_to(good, at)
+        runs = [(r, None) if isinstance(r := done[c.source], IngestReport) else (IngestReport(c.source, c.mode, warnings=c.warnings), f"[ledger] {r}") for c in commits]
+        if runs:
+            self._publish({**tables, "ingest_runs": self._runs(runs, at)})
+        return done
+
+    def _read_up_to(self, commits: Sequence[Commit], at: int) -> dict:
+        """The sources with their checkpoints, and their installations as readable ones."""
+        objects, kinds = self.table("source_objects"), {f.name: f for f in schema.struct(TABLES["source_objects"]).fields}
+        done = ("fingerprint", "parser_version", "byte_offset", "source_len", "prefix_fingerprint")
+        rows = [[c.source, *(getattr(c.checkpoint, k) for k in done)] for c in commits]
+        kind = ", ".join(f"__{k} {kinds[k].dataType.simpleString()}" for k in ("id", *done))
+        known = objects.join(F.broadcast(self.spark.createDataFrame(rows, kind)), F.col("id") == F.col("__id"), "left").persist()
+        mine, values = F.col("__id").isNotNull(), {k: F.col(f"__{k}") for k in done}
+        values |= {"last_scan_unix_ms": F.lit(at), "last_success_unix_ms": F.lit(at), "last_error": F.lit(None)}
+        owners = known.filter(mine).select(F.col("installation_id").alias("id")).distinct().withColumn("__granted", F.lit(True))
+        inst = self.table("source_installations").join(owners, "id", "left").withColumn("permission_state", F.when(F.col("__granted"), "granted").otherwise(F.col("permission_state")))
+        out = {
+            "source_objects": self._rewrite("source_objects", known.withColumns({k: F.when(mine, v).otherwise(F.col(k)) for k, v in values.items()})),
+            "source_installations": self._rewrite("source_installations", inst),
+        }
+        known.unpersist()
+        return out
 
     def append(self, source: str, records: DataFrame, at: int, **rest) -> IngestReport:
         return self.apply(source, records, "append", at, **rest)
@@ -218,58 +273,83 @@ class Ledger:
     def replace(self, source: str, records: DataFrame, at: int, **rest) -> IngestReport:
         return self.apply(source, records, "replace", at, **rest)
 
-    def _prepared(self, source: str, batch: DataFrame, mode: str, warnings: list[str]) -> tuple[IngestReport, dict]:
-        if bad := validate(batch).first():
-            raise InvalidRecord(f"{bad['event_id']}: {bad['problem']}")
-        own_costs = F.array_sort(F.transform("costs", lambda c: F.struct(c.kind, c.usd_nanos, c.confidence)))
-        batch = batch.withColumn("__costs", own_costs)
+    def _prepared(self, commits: Sequence[Commit], batch: DataFrame) -> tuple[dict, dict]:
+        """Each source's report or error, and the tables with the events of the sources that are in order."""
+        batch = batch.withColumn("__costs", F.array_sort(F.transform("costs", lambda c: F.struct(c.kind, c.usd_nanos, c.confidence))))
         facts = [*schema.FACTS, "__costs"]
-        seen = batch.count()
-        inside = batch.groupBy("event_id").agg(F.countDistinct(F.to_json(F.struct(*facts))).alias("n")).filter("n > 1").first()
-        if inside:
-            raise IdentityConflict(f"{inside['event_id']} has several facts in one batch")
-        once = batch.dropDuplicates(["event_id"])
-        deleted = 0
-        if mode == "append" and self._parts("usage_events").get(source):
-            stored = self.records(source)
-            again = compare_again(stored, once, facts)
-            if clash := again.filter("conflict").first():
-                raise IdentityConflict(f"{clash['event_id']} is stored with other facts")
-            once = once.join(stored.select("event_id"), "event_id", "left_anti")
-        elif mode == "replace":
-            deleted = self.owned("usage_events", source).count()
+        done: dict = {}
+        bad = validate(batch).groupBy("source_object_id").agg(F.min(F.struct("event_id", "problem")).alias("x"))
+        for r in bad.collect():  # a row for each source of the commit, at most; so with all that follows
+            done[r["source_object_id"]] = InvalidRecord(f"{r['x']['event_id']}: {r['x']['problem']}")
+        events = batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_json(F.struct(*facts))).alias("versions"))
+        tally = {r["source_object_id"]: r for r in events.groupBy("source_object_id").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("versions") > 1, F.struct("event_id"))).alias("odd")).collect()}
+        for source, r in tally.items():
+            if r["odd"] is not None:
+                done.setdefault(source, IdentityConflict(f"{r['odd']['event_id']} has several facts in one batch"))
+        once, held = batch.dropDuplicates(KEY), self._parts("usage_events")
+        again = [c.source for c in commits if c.mode == "append" and held.get(c.source) and c.source in tally and c.source not in done]
+        known: dict[str, int] = {}
+        if again:
+            stored = self.records(*again)
+            both = compare_again(stored, once, facts).groupBy("source_object_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("conflict"), F.struct("event_id"))).alias("clash"))
+            for r in both.collect():
+                known[r["source_object_id"]] = r["n"]
+                if r["clash"] is not None:
+                    done[r["source_object_id"]] = IdentityConflict(f"{r['clash']['event_id']} is stored with other facts")
+            once = once.join(stored.select(*KEY), KEY, "left_anti")
+        replaced = [c.source for c in commits if c.mode == "replace" and held.get(c.source) and c.source not in done]
+        deleted = {r["source_object_id"]: r["count"] for r in self.owned("usage_events", *replaced).groupBy("source_object_id").count().collect()} if replaced else {}
+        if done:
+            refused = self.spark.createDataFrame([(s,) for s in done], "source_object_id string")
+            once = once.join(F.broadcast(refused), "source_object_id", "left_anti")
+        changed: dict[str, int] = {}
+        for c in commits:
+            if c.source not in done:
+                r = tally.get(c.source)
+                seen, new = (r["seen"], r["events"] - known.get(c.source, 0)) if r else (0, 0)
+                done[c.source], changed[c.source] = IngestReport(c.source, c.mode, seen, new, seen - new, deleted.get(c.source, 0), c.warnings), new
+        if not any(changed.values()) and not replaced:
+            return done, {}
         once = once.persist()
-        inserted = once.count()
-        tables = {}
         costs = once.select(*KEY, F.explode("costs").alias("c")).select(*KEY, "c.kind", "c.usd_nanos", "c.confidence")
-        new = {"usage_events": once, "event_provenance": once, "event_costs": costs.withColumns({x: F.lit(None) for x in ("pricing_snapshot_id", "pricing_key", "pricing_rule")})}
-        for name, df in new.items():
-            parts = dict(self._parts(name))
-            mine = parts.get(source, []) if mode == "append" else []
-            # An empty replacement clears the source: it then has no folder.
-            parts[source] = [*mine, self._write(name, df, source)] if inserted else mine
+        costs = costs.withColumns({x: F.lit(None) for x in ("pricing_snapshot_id", "pricing_key", "pricing_rule")})
+        priced = {r["source_object_id"] for r in costs.select("source_object_id").distinct().collect()}
+        tables = {}
+        for name, df in {"usage_events": once, "event_provenance": once, "event_costs": costs}.items():
+            parts, new = dict(self._parts(name)), {s for s, n in changed.items() if n and (name != "event_costs" or s in priced)}
+            path = self._write(name, df) if new else ""
+            for c in commits:
+                if c.source in changed:
+                    # An empty replacement clears the source: it then has no folder.
+                    parts[c.source] = [*(parts.get(c.source, []) if c.mode == "append" else []), *([f"{path}/{part_of(c.source)}"] if c.source in new else [])]
             tables[name] = parts
         once.unpersist()
-        return IngestReport(source, mode, seen, inserted, seen - inserted, deleted, warnings), tables
+        return done, tables
 
-    def records(self, source: str) -> DataFrame:
-        """A source's events with provenance and the costs that the source itself reported."""
-        costs = self.owned("event_costs", source).filter(~F.col("kind").isin(ESTIMATE, UNPRICED))
+    def records(self, *sources: str) -> DataFrame:
+        """Some sources' events with provenance and the costs that the sources themselves reported."""
+        costs = self.owned("event_costs", *sources).filter(~F.col("kind").isin(ESTIMATE, UNPRICED))
         costs = costs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("kind", "usd_nanos", "confidence"))).alias("__costs"))
-        out = self.owned("usage_events", source).join(self.owned("event_provenance", source), KEY, "left").join(costs, KEY, "left")
+        out = self.owned("usage_events", *sources).join(self.owned("event_provenance", *sources), KEY, "left").join(costs, KEY, "left")
         return out.withColumn("__costs", F.coalesce("__costs", F.array().cast("array<struct<kind:string,usd_nanos:bigint,confidence:string>>")))
 
     def fail(self, source: str, at: int, kind: str, message: str) -> None:
         """Records that a source could not be read; its events stay. kind permission_denied marks the installation, too."""
-        text = f"[{kind}] {message}"
-        mine = F.col("id") == source
-        objects = self.table("source_objects")
-        tables = {"source_objects": self._rewrite("source_objects", objects.withColumns({"last_error": F.when(mine, text).otherwise(F.col("last_error")), "last_scan_unix_ms": F.when(mine, at).otherwise(F.col("last_scan_unix_ms"))}))}
-        if kind == "permission_denied":
-            owner = [r["installation_id"] for r in objects.filter(mine).select("installation_id").collect()]
-            inst = self.table("source_installations")
-            tables["source_installations"] = self._rewrite("source_installations", inst.withColumn("permission_state", F.when(F.col("id").isin(owner), "denied").otherwise(F.col("permission_state"))))
-        self._publish({**tables, "ingest_runs": self._run(source, "append", "failed", at, error=text)})
+        self.fail_all([(source, kind, message)], at)
+
+    def fail_all(self, failures: Sequence[tuple[str, str, str]], at: int) -> None:
+        """fail() for several (source, kind, message) in one commit."""
+        if not failures:
+            return
+        said = self.spark.createDataFrame([(s, f"[{kind}] {message}", kind) for s, kind, message in failures], "__id string, __error string, __kind string")
+        objects = self.table("source_objects").join(F.broadcast(said), F.col("id") == F.col("__id"), "left")
+        mine = F.col("__id").isNotNull()
+        tables = {"source_objects": self._rewrite("source_objects", objects.withColumns({"last_error": F.when(mine, F.col("__error")).otherwise(F.col("last_error")), "last_scan_unix_ms": F.when(mine, F.lit(at)).otherwise(F.col("last_scan_unix_ms"))}))}
+        if any(kind == "permission_denied" for _, kind, _ in failures):
+            owners = objects.filter(F.col("__kind") == "permission_denied").select(F.col("installation_id").alias("id")).distinct().withColumn("__denied", F.lit(True))
+            inst = self.table("source_installations").join(owners, "id", "left")
+            tables["source_installations"] = self._rewrite("source_installations", inst.withColumn("permission_state", F.when(F.col("__denied"), "denied").otherwise(F.col("permission_state"))))
+        self._publish({**tables, "ingest_runs": self._runs([(IngestReport(s, "append"), f"[{kind}] {message}") for s, kind, message in failures], at)})
 
     # -- pricing
 
@@ -289,11 +369,10 @@ class Ledger:
         snapshot = self.record_snapshot(dataset, at)
         facts = pricing.estimate_facts(self.table("usage_events"), dataset, snapshot)
         costs = pricing.replace_estimates(self.table("event_costs"), facts).persist()
-        parts = {}
-        for source in self._parts("usage_events"):
-            mine = costs.filter(F.col("source_object_id") == source)
-            parts[source] = [self._write("event_costs", mine, source)]
         counters = pricing.reprice_counters(costs).first().asDict()
+        priced = [r["source_object_id"] for r in costs.select("source_object_id").distinct().collect()]  # a row a source
+        path = self._write("event_costs", costs) if priced else ""
+        parts = {source: [] for source in self._parts("usage_events")} | {source: [f"{path}/{part_of(source)}"] for source in priced}
         costs.unpersist()
         self._publish({"event_costs": parts})
         return counters

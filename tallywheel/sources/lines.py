@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,19 +46,6 @@ def files_under(root: str | Path, pattern: str, recursive: bool = True) -> list[
     return sorted(p for p in (root.rglob(pattern) if recursive else root.glob(pattern)) if p.is_file())
 
 
-def prefix_hash(path: str | Path, size: int | None = None) -> str:
-    """SHA-256 of a file, or of its first bytes."""
-    digest, left = hashlib.sha256(), size
-    with open(path, "rb") as f:
-        while left is None or left > 0:
-            block = f.read(1 << 20 if left is None else min(1 << 20, left))
-            if not block:
-                break
-            digest.update(block)
-            left = None if left is None else left - len(block)
-    return digest.hexdigest()
-
-
 def unreadable(spark: SparkSession, candidates: Sequence[Candidate]) -> dict[str, str]:
     """Why a source can't be read, by key: a compressed file that breaks off or text that isn't UTF-8 fails alone."""
     out = {}
@@ -77,19 +65,42 @@ def unreadable(spark: SparkSession, candidates: Sequence[Candidate]) -> dict[str
 
 
 def _uri(path: str) -> str:
-    return Path(path).absolute().as_uri()
+    """What Spark takes for the file of this very name: its marks of patterns are escaped, nothing else is."""
+    return "file://" + re.sub(r"([*?\[\]{}\\])", r"\\\1", _absolute(path))
+
+
+def _absolute(path: str | Path) -> str:
+    return str(Path(path).absolute())
+
+
+def _place(uri: Column) -> Column:
+    """The absolute path of a file URI, which Spark writes with one slash or three."""
+    return F.url_decode(F.regexp_replace(F.replace(uri, F.lit("+"), F.lit("%2B")), r"^file:/*", "/"))
+
+
+def digests(spark: SparkSession, offsets: dict[str, int | None]) -> dict[str, tuple[int, str, str | None]]:
+    """By path: (size, SHA-256 of the file, SHA-256 of the bytes before the path's offset, or None), by the executors in one plan.
+
+    The driver gets a short row a file. A file that is gone or empty has size 0.
+    """
+    nothing = hashlib.sha256().hexdigest()
+    out = {p: (0, nothing, None if at is None else nothing) for p, at in offsets.items()}
+    if full := [p for p in offsets if os.path.isfile(p) and os.path.getsize(p)]:
+        keys = spark.createDataFrame([(p, _absolute(p), offsets[p]) for p in full], "path string, at string, offset bigint")
+        files = spark.read.format("binaryFile").load([_uri(p) for p in full]).select(F.col("content"), _place(F.col("_metadata.file_path")).alias("at"))
+        prefix = F.when(F.col("offset").isNotNull(), F.sha2(F.substring("content", F.lit(1), F.col("offset").cast("int")), 256))
+        for r in files.join(F.broadcast(keys), "at").select("path", F.octet_length("content").cast("long"), F.sha2("content", 256), prefix).collect():
+            out[r[0]] = (r[1], r[2], r[3])
+    return out
 
 
 def whole_files(spark: SparkSession, candidates: Sequence[Candidate]) -> DataFrame:
     """(source_key, path, modified_unix_ms, text) for each candidate; an empty file has the empty text."""
-    keys = spark.createDataFrame([(c.source_key, c.path, _uri(c.path), int(os.path.getmtime(c.path) * 1000)) for c in candidates], "source_key string, path string, uri string, modified_unix_ms bigint")
+    keys = spark.createDataFrame([(c.source_key, c.path, _absolute(c.path), int(os.path.getmtime(c.path) * 1000)) for c in candidates], "source_key string, path string, at string, modified_unix_ms bigint")
     full = [c.path for c in candidates if os.path.getsize(c.path)]
     if not full:
         return keys.select("source_key", "path", "modified_unix_ms", F.lit("").alias("text"))
-    # Spark writes file URIs with one slash or three; what follows them is the key.
-    bare = lambda c: F.url_decode(F.regexp_replace(c, r"^file:/*", "/"))
-    texts = spark.read.text([_uri(p) for p in full], wholetext=True).select(F.col("value").alias("text"), bare(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("at"))
-    keys = keys.withColumn("at", bare(F.replace("uri", F.lit("+"), F.lit("%2B"))))
+    texts = spark.read.text([_uri(p) for p in full], wholetext=True).select(F.col("value").alias("text"), _place(F.col("_metadata.file_path")).alias("at"))
     return keys.join(texts, "at", "left").select("source_key", "path", "modified_unix_ms", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -54,6 +54,7 @@ class Reader:
     id = ""
     parser_version = 1
     resumable = True
+    kinds: tuple[str, ...] = ("append_only_jsonl",)  # of files that it reads
 
     def discover(self) -> list[Candidate]:
         raise NotImplementedError
@@ -129,6 +130,7 @@ class EventSnapshot(Reader):
     """One document with all events; reading it replaces what it said before."""
 
     id = "reference-snapshot"
+    kinds = ("mutable_json",)
     resumable = False
 
     def __init__(self, path):

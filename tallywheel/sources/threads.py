@@ -54,6 +54,7 @@ class Threads(Reader):
     """T-*.json documents; reading one replaces what it said before."""
 
     id = "amp-threads"
+    kinds = ("mutable_json",)
     resumable = False
 
     def __init__(self, root):

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import threading
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.operators.ledger import Checkpoint, IdentityConflict, InvalidRecord, Ledger
+from tallywheel.operators.ledger import Checkpoint, Commit, Ledger, status_of
 from tallywheel.operators.pricing import RateDataset
 from tallywheel.plans import queries as Q
-from tallywheel.sources.lines import Candidate, prefix_hash, unreadable
+from tallywheel.sources.lines import Candidate, digests, unreadable
 from tallywheel.sources.readers import Reader
 
 DAY_MS = 86_400_000
+#: Sources that go into the ledger in one commit; a cancelled scan keeps the commits before.
+COMMIT_SOURCES = 256
 
 
 class Cancelled(RuntimeError):
@@ -25,9 +26,11 @@ class Cancelled(RuntimeError):
 
 @dataclass
 class Scan:
-    """What a scan did. cancel may be set by another thread; it is looked at between commits."""
+    """What a scan did so far. cancel may be set by another thread; it is looked at between commits. progress is called
+    with the scan itself after each discovery and each commit."""
 
     cancel: threading.Event = field(default_factory=threading.Event)
+    progress: Callable[[Scan], None] | None = None
     discovered: int = 0
     processed: int = 0
     failed: list[str] = field(default_factory=list)
@@ -35,96 +38,108 @@ class Scan:
     duplicates: int = 0
     deleted: int = 0
 
+    def tell(self) -> None:
+        if self.progress is not None:
+            self.progress(self)
 
-def continues(path: str, checkpoint: Checkpoint) -> bool:
-    """Whether a file still begins with the bytes that were read: only then may reading go on where it ended."""
-    offset = checkpoint.byte_offset
-    return offset is not None and checkpoint.prefix_fingerprint is not None and os.path.getsize(path) >= offset and prefix_hash(path, offset) == checkpoint.prefix_fingerprint
 
+def resumable(reader: Reader, c: Candidate) -> bool:
+    return reader.resumable and not c.path.endswith(".zst")
 
-def start_of(reader: Reader, ledger: Ledger, source: str, c: Candidate) -> tuple[str, int]:
-    """(mode, offset) for a source: append from the start or where it ended, or replace from the start."""
-    status, checkpoint = ledger.checkpoint_status(source, reader.parser_version)
-    plain = reader.resumable and not c.path.endswith(".zst")
-    if status == "never_ingested" and plain:
+
+def start_of(reader: Reader, c: Candidate, row, state: tuple[int, str, str | None], due: bool, now_ms: int, full_every_ms: int) -> tuple[str, int] | None:
+    """(mode, offset) for a source: append from the start or where it ended, replace from the start; None if there is nothing new.
+
+    row: the source in source_objects; state: the file's size, hash and hash up to where it was read (see digests()). Only
+    a file that still begins with the bytes that were read goes on where it ended.
+    """
+    status, checkpoint = status_of(row, reader.parser_version)
+    size, whole, prefix = state
+    if not resumable(reader, c):
+        if status == "current" and not due and checkpoint.fingerprint == whole:
+            return None
+        return "replace", 0
+    if status == "never_ingested":
         return "append", 0
-    if status == "current" and plain and continues(c.path, checkpoint):
-        return "append", checkpoint.byte_offset
-    return "replace", 0
+    offset = checkpoint.byte_offset if checkpoint else None
+    if offset is None or checkpoint.prefix_fingerprint is None or size < offset or prefix != checkpoint.prefix_fingerprint:
+        return "replace", 0
+    if offset and due and row["last_success_unix_ms"] <= now_ms - full_every_ms:
+        return "replace", 0
+    return None if size == offset else ("append", offset)
+
 
+def _parted(message: str) -> tuple[str, str]:
+    """A warning "[kind] text" as (kind, text)."""
+    kind, _, text = message[1:].partition("] ")
+    return kind, text
 
-def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, scan_: Scan | None = None, dataset: RateDataset | None = None, full_every_ms: int = DAY_MS) -> Scan:
+
+def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, scan_: Scan | None = None, dataset: RateDataset | None = None, full_every_ms: int = DAY_MS, commit_sources: int = COMMIT_SOURCES) -> Scan:
     """Reads everything that is new into the ledger: (installation id, reader) pairs, one plan for each reader.
 
     A file that is unchanged is not read again; one that was rewritten replaces its events; a source whose last full
     read is older than full_every_ms is read whole (a first read counts as one). A file that disappears keeps its
-    events. A source that fails is recorded and doesn't stop the others. Estimates are renewed last.
+    events. A source that fails is recorded and doesn't stop the others; candidates of a kind that the reader doesn't
+    read fail. commit_sources sources go into the ledger at a time. Estimates are renewed last.
     """
     spark, state = ledger.spark, scan_ or Scan()
     for installation, reader in readers:
         found = reader.discover()
         state.discovered += len(found)
+        state.tell()
+        if not found:
+            continue
         root = str(getattr(reader, "root", getattr(reader, "home", getattr(reader, "path", ""))))
         ids = {c.source_key: f"{reader.id}:{c.source_key}" for c in found}
-        known = {r["id"] for r in ledger.table("source_objects").select("id").collect()} if found else set()
-        for c in found:
-            if ids[c.source_key] not in known:
-                ledger.register_source(ids[c.source_key], {"id": installation, "adapter_id": reader.id, "root_path": root}, c.path, c.kind, reader.parser_version)
-        enabled = {r["id"]: r["enabled"] for r in ledger.table("source_installations").collect()}
-        if not enabled.get(installation, True):
+        # Rows of this reader's files: as many as were discovered.
+        objects = lambda: {r["id"]: r for r in ledger.table("source_objects").filter(F.col("id").startswith(f"{reader.id}:")).collect()}  # noqa: B023, E731
+        known = objects()
+        if new := [{"id": ids[c.source_key], "native_path": c.path, "kind": c.kind, "parser_version": reader.parser_version} for c in found if ids[c.source_key] not in known]:
+            ledger.register_sources({"id": installation, "adapter_id": reader.id, "root_path": root}, new)
+            known = objects()
+        if ledger.table("source_installations").filter((F.col("id") == installation) & ~F.col("enabled")).limit(1).count():
             continue
         due = {r["source_object_id"] for r in Q.due_sources(ledger.table("source_objects"), ledger.table("source_installations"), ledger.table("ingest_runs"), now_ms, full_every_ms).collect()}
-        broken = unreadable(spark, found)
-        plan: dict[str, tuple[str, int]] = {}
-        for c in found:
-            source = ids[c.source_key]
-            if c.source_key in broken:
-                kind, _, message = broken[c.source_key][1:].partition("] ")
-                ledger.fail(source, now_ms, kind, message)
-                state.failed.append(source)
-                continue
-            mode, offset = start_of(reader, ledger, source, c)
-            last = ledger.table("source_objects").filter(F.col("id") == source).first()
-            if mode == "append" and offset and source in due and (last["last_success_unix_ms"] or 0) <= now_ms - full_every_ms:
-                mode, offset = "replace", 0
-            if mode == "append" and offset and os.path.getsize(c.path) == offset:
-                continue  # nothing new
-            if not reader.resumable and last["fingerprint"] and last["fingerprint"] == prefix_hash(c.path) and source not in due:
-                continue
-            plan[c.source_key] = (mode, offset)
-        wanted = [c for c in found if c.source_key in plan]
-        if not wanted:
-            continue
-        offsets = {k: o for k, (_, o) in plan.items() if o}
-        batch = reader.read(spark, wanted, offsets or None)
-        records, said = batch.records.persist(), {}
-        for r in batch.warnings.collect():  # diagnostics of this scan's files
-            said.setdefault(r["source_key"], []).append(r["warning"])
-        ends = {r["source_key"]: r["committed_offset"] for r in batch.ends.collect()} if batch.ends is not None else {}
-        for c in wanted:
-            if state.cancel.is_set():
-                records.unpersist()
-                raise Cancelled(f"stopped after {state.processed} sources")
-            source, (mode, _) = ids[c.source_key], plan[c.source_key]
-            warnings = said.get(c.source_key, [])
-            fatal = next((w for w in warnings if w.startswith(("[schema]", "[encoding]", "[io]"))), None)
-            if fatal:
-                kind, _, message = fatal[1:].partition("] ")
-                ledger.fail(source, now_ms, kind, message)
-                state.failed.append(source)
-                continue
-            end = ends.get(c.source_key) if reader.resumable and not c.path.endswith(".zst") else None
-            checkpoint = Checkpoint(end, os.path.getsize(c.path), prefix_hash(c.path, end) if end is not None else None, prefix_hash(c.path), reader.parser_version)
-            try:
-                report = ledger.apply(source, records.filter(F.col("source_object_id") == c.source_key), mode, now_ms, checkpoint, warnings)
-            except (IdentityConflict, InvalidRecord):
-                state.failed.append(source)
-                continue
-            state.processed += 1
-            state.inserted += report.inserted
-            state.duplicates += report.duplicates
-            state.deleted += report.deleted
-        records.unpersist()
+        broken = unreadable(spark, found) | {c.source_key: f"[schema] {reader.id} doesn't read {c.kind}" for c in found if c.kind not in reader.kinds}
+        failures = [(ids[k], *_parted(said)) for k, said in broken.items()]
+        readable = [c for c in found if c.source_key not in broken]
+        states = digests(spark, {c.path: known[ids[c.source_key]]["byte_offset"] for c in readable})
+        plan = {c.source_key: start_of(reader, c, known[ids[c.source_key]], states[c.path], ids[c.source_key] in due, now_ms, full_every_ms) for c in readable}
+        wanted = [c for c in readable if plan[c.source_key]]
+        if wanted:
+            batch = reader.read(spark, wanted, {k: p[1] for k, p in plan.items() if p and p[1]} or None)
+            # By the ledger's ids: the records' own are the files' keys.
+            records, said = batch.records.withColumn("source_object_id", F.concat(F.lit(f"{reader.id}:"), "source_object_id")).persist(), {}
+            for r in batch.warnings.collect():  # diagnostics of this scan's files
+                said.setdefault(r["source_key"], []).append(r["warning"])
+            ends = {r["source_key"]: r["committed_offset"] for r in batch.ends.collect()} if batch.ends is not None else {}
+            ends = {c.source_key: ends.get(c.source_key) if resumable(reader, c) else None for c in wanted}
+            # A file without a byte to resume at has the hash from before it was read: if it changed since, it is read again.
+            states |= digests(spark, {c.path: ends[c.source_key] for c in wanted if ends[c.source_key] is not None})
+            commits = []
+            for c in wanted:
+                source, warnings, (size, whole, prefix) = ids[c.source_key], said.get(c.source_key, []), states[c.path]
+                if fatal := next((w for w in warnings if w.startswith(("[schema]", "[encoding]", "[io]"))), None):
+                    failures.append((source, *_parted(fatal)))
+                else:
+                    commits.append(Commit(source, plan[c.source_key][0], Checkpoint(ends[c.source_key], size, prefix if ends[c.source_key] is not None else None, whole, reader.parser_version), warnings))
+            for at in range(0, len(commits), commit_sources):
+                if state.cancel.is_set():
+                    records.unpersist()
+                    raise Cancelled(f"stopped after {state.processed} sources")
+                for source, report in ledger.apply_all(commits[at : at + commit_sources], records, now_ms).items():
+                    if isinstance(report, Exception):
+                        state.failed.append(source)
+                        continue
+                    state.processed += 1
+                    state.inserted += report.inserted
+                    state.duplicates += report.duplicates
+                    state.deleted += report.deleted
+                state.tell()
+            records.unpersist()
+        ledger.fail_all(failures, now_ms)
+        state.failed += [f[0] for f in failures]
     if dataset is not None and (state.inserted or state.deleted):
         ledger.reprice(dataset, now_ms)
     return state

@@ -4,12 +4,13 @@ import csv
 import json
 import os
 import threading
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallywheel import schema
-from tallywheel.operators.ledger import IdentityConflict, InvalidRecord, Ledger
+from tallywheel.operators.ledger import Checkpoint, Commit, IdentityConflict, InvalidRecord, Ledger
 from tallywheel.operators.pricing import RateDataset, estimate
 from tallywheel.plans import queries as Q
 from tallywheel.plans.export import export
@@ -211,6 +212,55 @@ def test_scan_isolates_failures(spark, tmp_path):
     assert ledger.table("usage_events").count() == 1
 
 
+def test_one_commit_of_several_sources(spark, ledger):
+    for n in range(2, 7):
+        ledger.register_source(f"s{n}", {"id": f"i{n % 2}", "adapter_id": "a1", "root_path": "/r"}, f"f{n}")
+    cost = {"costs": [("provider_reported", 5, "exact")]}
+    ledger.apply_all([Commit("s2"), Commit("s3"), Commit("s4")], record(spark, *({"source_object_id": s, "event_id": e, **cost} for s in ("s2", "s3", "s4") for e in "ab")), 1)
+    before = ledger._state()["commit"]
+    rows = [
+        {"source_object_id": "s1", "event_id": "a", "input_tokens": 4},  # new source
+        {"source_object_id": "s2", "event_id": "a", **cost}, {"source_object_id": "s2", "event_id": "c"},  # one known, one new
+        {"source_object_id": "s3", "event_id": "z"}, {"source_object_id": "s3", "event_id": "z"},  # replaced, twice the same
+        {"source_object_id": "s5", "event_id": "a", "input_tokens": -1}, {"source_object_id": "s5", "event_id": "b"},  # refused whole
+        {"source_object_id": "s6", "event_id": "a"}, {"source_object_id": "s6", "event_id": "a", "model": "other"},  # two facts
+        {"source_object_id": "s9", "event_id": "a"},  # not of this commit
+    ]
+    commits = [Commit("s1", checkpoint=Checkpoint(7, 9, "p", "w")), Commit("s2"), Commit("s3", "replace"), Commit("s4", "replace", warnings=["w"]), Commit("s5"), Commit("s6")]
+    got = ledger.apply_all(commits, record(spark, *rows), 2)
+    assert {s: (r.seen, r.inserted, r.duplicates, r.deleted) for s, r in got.items() if not isinstance(r, Exception)} == {"s1": (1, 1, 0, 0), "s2": (2, 1, 1, 0), "s3": (2, 1, 1, 2), "s4": (0, 0, 0, 2)}
+    assert isinstance(got["s5"], InvalidRecord) and isinstance(got["s6"], IdentityConflict)
+    assert ledger._state()["commit"] == before + 1
+    stored = sorted((r[0], r[1]) for r in ledger.table("usage_events").select("source_object_id", "event_id").collect())
+    assert stored == [("s1", "a"), ("s2", "a"), ("s2", "b"), ("s2", "c"), ("s3", "z")]
+    assert sorted(r[0] for r in ledger.table("event_costs").select("source_object_id").collect()) == ["s2", "s2"]
+    runs = {r["source_object_id"]: (r["id"], r["status"], r["warnings"]) for r in ledger.table("ingest_runs").filter("finished_unix_ms = 2").collect()}
+    assert runs == {s: (4 + n, "failed" if s in ("s5", "s6") else "completed", ["w"] if s == "s4" else []) for n, s in enumerate(["s1", "s2", "s3", "s4", "s5", "s6"])}
+    assert ledger.checkpoint_status("s1", 1) == ("current", Checkpoint(7, 9, "p", "w")) and ledger.checkpoint_status("s5", 1)[0] == "never_ingested"
+    with pytest.raises(IdentityConflict):
+        ledger.append("s2", record(spark, {"event_id": "a", "model": "x", **cost}), 3)
+
+
+def test_scan_of_several_files(spark, tmp_path):
+    """Several commits, progress after each, files of a kind that the reader doesn't read, names that paths must quote."""
+    home, names = tmp_path / "a b+c%41", ["session_a", "session_b", "session_c d", "session_é"]
+    for name in names:
+        put(home / f"sessions/wd/{name}/agents/main/wire.jsonl", WIRE)
+
+    class Odd(WireJournals):
+        def discover(self):
+            *good, last = super().discover()
+            return [*good, replace(last, kind="mutable_json")]
+
+    seen = []
+    got = scan(Ledger(spark, str(tmp_path / "ledger")), [("i1", Odd(home))], 1000, Scan(progress=lambda s: seen.append((s.discovered, s.processed))), commit_sources=2)
+    assert seen == [(4, 0), (4, 2), (4, 3)] and (got.processed, got.inserted, len(got.failed)) == (3, 6, 1)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    assert [r["error"] for r in ledger.table("ingest_runs").filter("status = 'failed'").collect()] == ["[schema] kimi-wire doesn't read mutable_json"]
+    assert scan(ledger, [("i1", WireJournals(home))], 2000).processed == 1  # the one that failed
+    assert scan(ledger, [("i1", WireJournals(home))], 3000).processed == 0
+
+
 def test_scan_of_lines_and_streams(spark, tmp_path):
     path = put(tmp_path / "s.jsonl", [{"type": "assistant", "message": {"usage": {"input_tokens": 10, "output_tokens": 2}}, "session_id": "s"}])
     own = put(tmp_path / "e.jsonl", [{"id": "1", "client": "c", "model": "m", "occurred_at_unix_ms": 1, "input": 1}])
