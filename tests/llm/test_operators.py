@@ -138,10 +138,52 @@ def test_quality_odd_rows(spark):
 
 
 def test_pairs_learn_an_order():
+    """The weights are where the loss over all pairs, formed one by one, is least."""
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (300, 3)), rng.normal(0, 1, (200, 3))
     w = quality.fit_pairs(good, bad)
     assert (w > 0).all()
+    again = np.random.default_rng(5)
+    d = good[again.integers(0, 300, 20_000)] - bad[again.integers(0, 200, 20_000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 1e-3 / 2 * w @ w
+    slope = [(loss(w + h) - loss(w - h)) / 2e-4 for h in 1e-4 * np.eye(3)]
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_quality_threshold_is_a_quantile():
+    rng = np.random.default_rng(1)
+    for n0, n1 in [(5, 5), (30, 70), (1, 1), (400, 3)]:
+        bad, good = rng.normal(0, 1, n0), rng.normal(1, 1, n1)
+        cut = quality.threshold(np.sort(bad), np.sort(good), n0, n1)
+        assert sum(x < cut for x in [*bad, *good]) == n0
+
+
+def test_quality_shares():
+    text = "Ab ab  cd é " * 3
+    words, data = Counter(text.lower().split()), text.lower().encode()
+    want = np.zeros(2 * quality.BUCKETS)
+    for word, n in words.items():
+        want[zlib.crc32(word.encode()) % quality.BUCKETS] += n / sum(words.values())
+    for at in range(len(data) - 2):
+        want[quality.BUCKETS + (int.from_bytes(data[at : at + 3], "big") * 0x9E3779B1 % 2**32 >> 23)] += 1 / (len(data) - 2)
+    assert np.allclose(quality.shares(text) ** 2, want)
+    assert not quality.shares(None).any() and not quality.shares("").any()
+    long = "abcdefghij " * 200_000  # several blocks
+    assert np.isclose((quality.shares(long)[quality.BUCKETS :] ** 2).sum(), 1) and (quality.shares(long)[quality.BUCKETS :] > 0).sum() <= 11
+
+
+def test_quality_of_words(spark):
+    """Documents that differ in their words alone, which no rate tells apart."""
+    rng = random.Random(8)
+    pick = lambda seed: ["".join(random.Random(seed + i).choices("abcdefgh", k=6)) for i in range(40)]
+    rows = [(i, " ".join(rng.choices(pick(0) if i % 2 else pick(100), k=50))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = quality.scores(docs_of(spark, rows), labels).toPandas()
+    held = got[got["held_out"]]
+    assert len(held) > 60 and (held["predicted"] == held["doc_id"] % 2).mean() > 0.95
+    best = quality.keep_best(docs_of(spark, rows), labels, 0.5).toPandas()
+    assert abs(len(best) - 150) <= 3 and (best["doc_id"] % 2).mean() > 0.95
+    assert quality.keep_best(docs_of(spark, []), labels).count() == 0
 
 
 # -- 3 WARC
