@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 import json
 from pathlib import Path
 
@@ -15,6 +14,7 @@ from tallywheel.plans.queries import EXPORT_COLUMNS, export_rows
 from tallywheel.schema import BUCKETS
 
 FORMAT = "usage-events-v1"
+RECONCILIATION_FORMAT = 1
 #: The names that exported fields have in JSON.
 JSON_NAMES = {
     "event_id": "eventId", "session_id": "sessionId", "occurred_at_unix_ms": "occurredAtUnixMs", "client": "client", "provider": "provider", "model": "model", "total_tokens": "totalTokens",
@@ -69,8 +69,19 @@ def export(facts: DataFrame, folder: str | Path, kind: str, now_ms: int) -> tupl
     return path, count
 
 
-def csv_text(rows: list[list]) -> str:
-    """Rows as CSV text, for small reports."""
-    out = io.StringIO()
-    csv.writer(out, lineterminator="\n").writerows(rows)
-    return out.getvalue()
+def write_reconciliation(sources: DataFrame, checks: DataFrame, path: str | Path, now_ms: int) -> int:
+    """The reconciliation report: report_sources() and cross_check() as one versioned document without paths or content.
+
+    Rows come to the driver one by one, in their order; returns the number of sources.
+    """
+    count = 0
+    with Path(path).open("w", encoding="utf-8") as f:
+        f.write(json.dumps({"format": RECONCILIATION_FORMAT, "generatedAtUnixMs": now_ms})[:-1])
+        for name, rows in (("sources", sources), ("referenceChecks", checks)):
+            f.write(f', "{name}": [')
+            for n, r in enumerate(rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).toLocalIterator()):
+                f.write((",\n" if n else "\n") + r[0])
+                count += name == "sources"
+            f.write("\n]")
+        f.write("}\n")
+    return count

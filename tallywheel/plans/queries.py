@@ -150,6 +150,22 @@ def session_summaries(facts_: DataFrame) -> DataFrame:
     return out.withColumn("duration_ms", F.col("ended_at_unix_ms") - F.col("started_at_unix_ms")).orderBy(F.desc("ended_at_unix_ms"), "source_object_id", "session_id")
 
 
+def session_sources(summaries: DataFrame, objects: DataFrame, installations: DataFrame) -> DataFrame:
+    """session_summaries() with each session's installation, adapter, and its source's kind and parser; the same order."""
+    named = objects.select(F.col("id").alias("source_object_id"), "installation_id", F.col("kind").alias("source_kind"), "parser_version")
+    named = named.join(installations.select(F.col("id").alias("installation_id"), "adapter_id"), "installation_id")
+    return summaries.join(named, "source_object_id").orderBy(F.desc("ended_at_unix_ms"), "source_object_id", "session_id")
+
+
+def report_sources(events: DataFrame, objects: DataFrame, installations: DataFrame) -> DataFrame:
+    """source_reconciliation() of every known source, with its adapter, parser and last success; one without events has zeros."""
+    named = objects.select(F.col("id").alias("source_object_id"), "installation_id", "parser_version", "last_success_unix_ms")
+    named = named.join(installations.select(F.col("id").alias("installation_id"), "adapter_id"), "installation_id").drop("installation_id")
+    out = named.join(source_reconciliation(events), "source_object_id", "left")
+    sums = [c for c in out.columns if c not in (*named.columns, "status", "checked_tokens", "source_tokens")]
+    return out.fillna(0, sums).fillna("unavailable", ["status"]).orderBy("adapter_id", "source_object_id")
+
+
 def model_usage(facts_: DataFrame) -> DataFrame:
     """(provider, model), most tokens first: clients, sums, costs, pricing keys and rules, cache efficiency, share of all tokens."""
     read, fresh = F.col("cache_read_tokens").cast("decimal(38,0)"), F.col("input_tokens").cast("decimal(38,0)")
@@ -317,8 +333,3 @@ def load_state(health: DataFrame, events: DataFrame) -> DataFrame:
     bad = health.agg(F.coalesce(F.max(F.col("state").isin("partial", "setup", "unsupported", "error", "permission_denied", "missing")), F.lit(False)).alias("bad"))
     some = events.limit(1).agg((F.count(F.lit(1)) > 0).alias("some"))
     return bad.join(some).select(F.when(F.col("bad"), "partial").when(~F.col("some"), "empty").otherwise("populated").alias("load_state"))
-
-
-def content_hash(rows: DataFrame) -> DataFrame:
-    """One row: a value that is equal for equal content, whatever its order."""
-    return rows.agg(F.bit_xor(F.xxhash64(*sorted(rows.columns))).alias("x"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("x", "n").alias("generation"))

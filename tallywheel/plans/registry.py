@@ -171,6 +171,11 @@ def cross_check(spark, d):
     return Q.cross_check(totals, totals.select("adapter_id", F.lit("own").alias("reference"), F.col("total_tokens").alias("expected_total")).unionByName(stated))
 
 
+register("session_sources", _with("SELECT u.source_object_id, session_id, installation_id, adapter_id, o.kind AS source_kind, o.parser_version, count(*) AS event_count FROM usage u JOIN (SELECT *, 'append_only_jsonl' AS kind, 1 AS parser_version FROM objects) o ON u.source_object_id = o.id JOIN installations i ON o.installation_id = i.id WHERE session_id IS NOT NULL GROUP BY ALL", _INST, _OBJ))(
+    lambda spark, d: Q.session_sources(Q.session_summaries(V.ledger(spark, d)), V.objects(spark, d).withColumns({"kind": F.lit("append_only_jsonl"), "parser_version": F.lit(1)}), V.installations(spark))
+    .select("source_object_id", "session_id", "installation_id", "adapter_id", "source_kind", "parser_version", "event_count")
+)
+
 _NOW, _EVERY = 902_100_000_000, 100_000_000
 register("due_sources", _with(f"SELECT adapter_id, o.id AS source_object_id, last_full_unix_ms FROM objects o JOIN installations i ON o.installation_id = i.id AND i.enabled LEFT JOIN (SELECT source_object_id, max(finished_unix_ms) AS last_full_unix_ms FROM runs WHERE status = 'completed' AND mode = 'replace' GROUP BY 1) r ON r.source_object_id = o.id WHERE last_full_unix_ms IS NULL OR last_full_unix_ms <= {_NOW} - {_EVERY}", _INST, _OBJ, _RUNS))(
     lambda spark, d: Q.due_sources(V.objects(spark, d), V.installations(spark), V.runs(spark, d), _NOW, _EVERY)

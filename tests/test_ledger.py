@@ -13,7 +13,7 @@ from tallywheel import schema
 from tallywheel.operators.ledger import Checkpoint, Commit, IdentityConflict, InvalidRecord, Ledger
 from tallywheel.operators.pricing import RateDataset, estimate
 from tallywheel.plans import queries as Q
-from tallywheel.plans.export import export
+from tallywheel.plans.export import export, write_reconciliation
 from tallywheel.sources.readers import EventLines, StreamLines, WireJournals
 from tallywheel.sources.threads import Threads
 from tallywheel.streaming.incremental import Cancelled, Scan, read_daily, scan, stream_daily
@@ -155,6 +155,23 @@ def test_exports(spark, ledger, tmp_path):
     assert "notes" not in path.read_text().lower() and "path" not in path.read_text().lower()
 
 
+def test_reconciliation_report_and_session_sources(spark, ledger, tmp_path):
+    ledger.register_source("s2", {"id": "i2", "adapter_id": "a2", "root_path": "/r"}, "f2", parser_version=3)
+    ledger.append("s1", record(spark, {"event_id": "a", "input_tokens": 4, "output_tokens": 1, "source_reported_total": 5, "session_id": "x"}), 9)
+    events, objects, inst = (ledger.table(t) for t in ("usage_events", "source_objects", "source_installations"))
+    totals = Q.adapter_totals(events, objects, inst)
+    checks = Q.cross_check(totals, spark.createDataFrame([("a1", "own", 5), ("a2", "own", 1)], "adapter_id string, reference string, expected_total long"))
+    assert write_reconciliation(Q.report_sources(events, objects, inst), checks, tmp_path / "r.json", 77) == 2
+    doc = json.loads((tmp_path / "r.json").read_text())
+    assert (doc["format"], doc["generatedAtUnixMs"]) == (1, 77)
+    got = [(s["adapter_id"], s["source_object_id"], s["parser_version"], s["last_success_unix_ms"], s["status"], s["event_count"], s["total_tokens"]) for s in doc["sources"]]
+    assert got == [("a1", "s1", 1, 9, "match", 1, 5), ("a2", "s2", 3, None, "unavailable", 0, 0)]
+    assert [(c["adapter_id"], c["actual_total"], c["status"]) for c in doc["referenceChecks"]] == [("a1", 5, "match"), ("a2", None, "unavailable")]
+    assert "/r" not in (tmp_path / "r.json").read_text()
+    rows = Q.session_sources(Q.session_summaries(facts(ledger)), objects, inst).collect()
+    assert [(r["session_id"], r["installation_id"], r["adapter_id"], r["source_kind"], r["parser_version"]) for r in rows] == [("x", "i1", "a1", "append_only_jsonl", 1)]
+
+
 def test_newer_ledgers_are_refused(spark, tmp_path):
     (tmp_path / "pointer.json").write_text(json.dumps({"version": 99, "commit": 0, "tables": {}}))
     with pytest.raises(ValueError, match="99"):
