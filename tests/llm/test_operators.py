@@ -268,6 +268,23 @@ def test_secrets_found_and_false_positives_removed(spark):
     assert secrets.scan(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_by_reviewed_findings(spark):
+    """The forest learns what reviewers say, where no format and no credential's name tells: mixed case is secret, hex is not."""
+    rng = random.Random(12)
+    form = lambda i: "".join(rng.choices("0123456789abcdef" if i % 2 else "abcdefghABCDEFGH0123456789", k=24)) + "7"
+    rows = [(i, f"we keep {form(i)} in the drawer, number {i}") for i in range(300)]
+    docs = docs_of(spark, rows)
+    learn, held = docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 <> 0")
+    labelled = secrets.find(learn).withColumn("y", (F.col("doc_id") % 2 == 0).cast("int")).select("candidate", "before", "after", "y")
+    got = secrets.scan(held, labelled).toPandas()
+    assert len(got) == 200 and (got["is_secret"] == (got["doc_id"] % 2 == 0)).mean() > 0.97
+    turned = secrets.scan(held, labelled.withColumn("y", 1 - F.col("y"))).toPandas()
+    assert (turned["is_secret"] == (turned["doc_id"] % 2 == 1)).mean() > 0.97
+    one = secrets.scan(held, labelled.filter("y = 1")).toPandas()
+    assert len(one) == 200 and one["score"].nunique() == 1
+    assert secrets.scan(held, labelled.limit(0)).count() == 200 and secrets.scan(held.limit(0), labelled).count() == 0
+
+
 def test_secret_dictionary_counts_all_documents(spark):
     rows = [(i, "common words here" if i % 2 else "other words") for i in range(1500)] + [(2000, "rarely " * 2000), (2001, None)]
     assert secrets.dictionary(docs_of(spark, rows), most_words=3) == ["rarely", "words", "common"]
