@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import decontam, mixing, quality, secrets, sharding, simhash, tokens, topk, toxicity, warc
+from tallywheel.llm import decontam, mixing, quality, secrets, sharding, simhash, tokens, topk, toxicity, trie, vectorcodes, warc
 from tallywheel.llm._common import table
 
 
@@ -60,6 +60,16 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of all vectors: vec_id, code, error, label_error, codebooks_sha256."""
+    return vectorcodes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing_systematic": op1_mixing_systematic,
     "op2_quality_bradley_terry": op2_quality_bradley_terry,
@@ -71,6 +81,8 @@ QUERIES = {
     "op8_toxicity_string_kernel": op8_toxicity_string_kernel,
     "op9_decontamination_cgk": op9_decontamination_cgk,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_partial_distance_codes": op11_partial_distance_codes,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +96,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 FROM r
 """,
     "op7_topk_dual_cover_tree": topk.ORACLE,
+    "op11_partial_distance_codes": vectorcodes.ORACLE,
+    "op12_conversation_trie": trie.ORACLE,
 }
