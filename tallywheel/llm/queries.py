@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywheel.llm import decontam, mixing, quality, secrets, sharding, simhash, tokens, topk, toxicity, trie, vectorcodes, warc
+from tallywheel.llm import decontam, mixing, quality, secrets, sharding, simhash, suffixes, tokens, topk, toxicity, trie, vectorcodes, warc
 from tallywheel.llm._common import table
 
 
@@ -70,6 +70,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 400 bytes that repeat: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing_systematic": op1_mixing_systematic,
     "op2_quality_bradley_terry": op2_quality_bradley_terry,
@@ -83,6 +88,7 @@ QUERIES = {
     "op10_simhash_golay": op10_simhash_golay,
     "op11_partial_distance_codes": op11_partial_distance_codes,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_suffix_run_index": op13_suffix_run_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
