@@ -224,11 +224,11 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-_SEGMENTS = "a long, b long, n long, start long, windows int, key long, s long, inner boolean"
+_SEGMENTS = "a long, b long, n long, starts array<long>, windows int, key long, s long, inner boolean"
 
 
 def _cut(texts: DataFrame, length: int, k: int, most: int) -> DataFrame:
-    """texts(a, b, n, text binary) -> the segments of each text."""
+    """texts(a, b, n, text binary) -> the segments of each text, those with equal snippets in one row with all their starts."""
 
     def run(batches):
         for batch in batches:
@@ -239,9 +239,12 @@ def _cut(texts: DataFrame, length: int, k: int, most: int) -> DataFrame:
             def out(rows, starts, pieces):
                 piece, start, *rest = segments(pieces, length, k, most)
                 row, begin = np.array(rows)[piece], np.array(starts, np.int64)[piece] + start
-                windows, key, digest, inner = rest
-                arrays = [*(pa.array(x[row], pa.int64()) for x in ids), pa.array(begin), pa.array(windows.astype(np.int32)), pa.array(key), pa.array(digest), pa.array(inner)]
-                return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n", "start", "windows", "key", "s", "inner"])
+                order = np.lexsort((begin, rest[2], rest[1], row))
+                row, begin, windows, key, digest, inner = (x[order] for x in (row, begin, *rest))
+                first = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])][: len(row)])[0]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(begin))
+                arrays = [*(pa.array(x[row[first]], pa.int64()) for x in ids), lists, pa.array(windows[first].astype(np.int32)), pa.array(key[first]), pa.array(digest[first]), pa.array(np.logical_or.reduceat(inner, first) if len(first) else inner)]
+                return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n", "starts", "windows", "key", "s", "inner"])
 
             for i in range(len(offsets) - 1):
                 size = offsets[i + 1] - offsets[i]
@@ -261,19 +264,21 @@ def _cut(texts: DataFrame, length: int, k: int, most: int) -> DataFrame:
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, grams: tuple[float, ...] = GRAMS, block: int = BLOCK) -> DataFrame:
-    """texts(a, b, n, text binary), equal texts under equal (a, b) -> (a, b, low, high): runs of starts of repeated strings.
+    """texts(a, b, n, text binary), equal texts under equal (a, b) -> (a, b, runs): each text's starts of repeated strings, as
+    sorted runs (low, high) that don't touch.
 
-    n counts how often a row stands for its text. A text's runs don't overlap; neighbouring ones may touch.
+    n counts how often a row stands for its text.
     """
     k = max(1, min(length, round(length * grams[0])))
     last = len(grams) == 1 or k == length
     cut = written(_cut(texts.filter(F.octet_length("text") >= length), length, k, 1 if last else MOST_WINDOWS), "repeats-segments")
-    shared = cut.groupBy("key").agg(F.sum("n").alias("all"), F.max("inner").alias("inner")).filter("`all` > 1 OR inner").select("key")
+    times = F.sum(F.col("n") * F.size("starts"))
+    shared = cut.groupBy("key").agg(times.alias("all"), F.max("inner").alias("inner")).filter("`all` > 1 OR inner").select("key")
     # Copies of a text are one from here on.
     places = written(cut.join(shared, "key", "left_semi"), "repeats-shared")
-    places = written(places.groupBy("a", "b", "start", "windows", "key", "s").agg(F.sum("n").alias("n")), "repeats-places")
+    places = written(places.groupBy("a", "b", "starts", "windows", "key", "s").agg(F.sum("n").alias("n")), "repeats-places")
     forget(cut)
-    snippets = places.groupBy("key", "s").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "start", "windows")).alias("at"))
+    snippets = places.groupBy("key", "s").agg(times.alias("n"), F.min(F.struct("a", "b", F.col("starts")[0].alias("start"), "windows")).alias("at"))
     snippets = written(snippets.select("key", "s", "n", "at.*"), "repeats-snippets")
     sizes = snippets.groupBy("key").agg(F.sum(F.col("windows") + length - 1).alias("bytes"))
     crowded = sizes.filter(F.lit(not last) & (F.col("bytes") > block // 4)).select("key", F.lit(True).alias("crowded"))
@@ -303,21 +308,35 @@ def repeats(texts: DataFrame, length: int = LENGTH, grams: tuple[float, ...] = G
 
     simple = held.filter("NOT crowded").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, blocks))))
     simple = simple.repartition(max(1, min(20_000, blocks)), "block").groupBy("block").applyInPandas(index, "key long, s long, low long, high long")
-    found = written(simple, "repeats-runs")
+    found = found_here = written(simple, "repeats-runs")
     if total.get(True):
         more = held.filter("crowded").select(F.col("key").alias("a"), F.col("s").alias("b"), "n", "text")
-        more = repeats(more, length, grams[1:], block)
-        found = found.unionByName(more.select(F.col("a").alias("key"), F.col("b").alias("s"), "low", "high"))
-    out = places.join(found, ["key", "s"]).select("a", "b", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    out = written(out, "repeats-found")
-    forget(places, snippets, held)
+        more = repeats(more, length, grams[1:], block).select(F.col("a").alias("key"), F.col("b").alias("s"), F.explode("runs").alias("run"))
+        found = found.unionByName(more.select("key", "s", "run.low", "run.high"))
+    # What a text gathers is its own segments.
+    out = places.join(found, ["key", "s"]).groupBy("a", "b").agg(F.collect_list(F.struct("starts", "low", "high")).alias("runs"))
+
+    def merge(batches):
+        for batch in batches:
+            lists = []
+            for mine in batch.column(2).to_pylist():
+                low = np.concatenate([np.array(r["starts"]) + r["low"] for r in mine])
+                high = np.concatenate([np.array(r["starts"]) + r["high"] for r in mine])
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.maximum.accumulate(high[order])
+                first = np.nonzero(np.r_[True, low[1:] > high[:-1]])[0]
+                lists.append([{"low": a, "high": b} for a, b in zip(low[first].tolist(), high[np.r_[first[1:], len(low)] - 1].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], names=["a", "b", "runs"])
+
+    out = written(out.mapInArrow(merge, "a long, b long, runs array<struct<low:long,high:long>>"), "repeats-found")
+    forget(places, snippets, held, found_here)
     return out
 
 
 def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """The maximal byte ranges that windows starting in [low, high) cover."""
+    """The maximal byte ranges that windows starting in sorted runs [low, high) cover."""
     out: list[list[int]] = []
-    for low, high in sorted(runs):
+    for low, high in runs:
         if out and low <= out[-1][1]:
             out[-1][1] = max(out[-1][1], high + length - 1)
         else:
@@ -334,8 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", text.alias("text")).withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit(1), "text")})
-    found = repeats(rows.select("a", "b", F.lit(1).cast("long").alias("n"), "text"), length, **how)
-    runs = found.groupBy("a", "b").agg(F.collect_list(F.struct("low", "high")).alias("runs"))  # a text's own runs
+    runs = repeats(rows.select("a", "b", F.lit(1).cast("long").alias("n"), "text"), length, **how)
 
     def run(batches):
         for batch in batches:
