@@ -6,7 +6,8 @@ not at all. There is one writer at a time.
 
 Events, provenance and costs are partitioned by source, the unit of ownership: an append adds files of its source, a
 replacement rewrites that source only; the manifest in the pointer says which folders make up a table. A commit takes
-many sources at once: its jobs are those of one source.
+many sources at once: its jobs are those of one source. With the events it publishes the daily projection, by month, and
+the sessions, by source.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ from pyspark.sql import functions as F
 
 from tallywheel import schema
 from tallywheel.operators import pricing
+from tallywheel.plans import queries as Q
 from tallywheel.schema import ESTIMATE, REPORTED, TABLES, UNPRICED
+from tallywheel.tables import forget, settled
 
-OWNED = ("usage_events", "event_provenance", "event_costs")  # by source
+#: Tables in parts that are rewritten alone, by the column that names the part.
+OWNED = {"usage_events": "source_object_id", "event_provenance": "source_object_id", "event_costs": "source_object_id", "session_parts": "source_object_id", "daily_usage_utc": "month"}
+#: Appends add their sessions as files of their own; so many, and a source's are written anew as one.
+MOST_PARTS = 16
 KEY = ["source_object_id", "event_id"]
 
 
@@ -45,6 +51,8 @@ class Checkpoint:
     prefix_fingerprint: str | None = None
     fingerprint: str | None = None
     parser_version: int = 1
+    modified_ns: int | None = None
+    parser_state: str | None = None
 
 
 @dataclass
@@ -77,7 +85,7 @@ def status_of(row, parser_version: int) -> tuple[str, Checkpoint | None]:
         return "never_ingested", None
     if row["parser_version"] != parser_version:
         return "invalidated", None
-    return "current", Checkpoint(row["byte_offset"], row["source_len"], row["prefix_fingerprint"], row["fingerprint"], row["parser_version"])
+    return "current", Checkpoint(row["byte_offset"], row["source_len"], row["prefix_fingerprint"], row["fingerprint"], row["parser_version"], row["modified_ns"], row["parser_state"])
 
 
 def compare_again(stored: DataFrame, again: DataFrame, facts: Sequence[str], keys: Sequence[str] = tuple(KEY)) -> DataFrame:
@@ -157,7 +165,7 @@ class Ledger:
         df = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct(TABLES[name]).fields))
         if name in OWNED:
             # Rows of a source come together, and Spark splits a source that is too large for one task.
-            df = df.withColumn("__part", F.sha2(F.col("source_object_id").cast("binary"), 256)).hint("rebalance", "__part")
+            df = df.withColumn("__part", F.sha2(F.col(OWNED[name]).cast("binary"), 256)).hint("rebalance", "__part")
             df.write.partitionBy("__part").parquet(str(self.folder / path))
         else:
             df.write.parquet(str(self.folder / path))
@@ -189,7 +197,7 @@ class Ledger:
     def register_sources(self, installation: dict, sources: Sequence[dict]) -> None:
         """Adds the sources (id, native_path, kind, parser_version) of an installation, as register_source() does."""
         self._upsert("source_installations", [{"enabled": True, "permission_state": "unknown", **installation}], keep=("enabled", "permission_state"))
-        checkpoint = ("fingerprint", "parser_version", "byte_offset", "source_len", "prefix_fingerprint", "last_scan_unix_ms", "last_success_unix_ms", "last_error")
+        checkpoint = ("fingerprint", "parser_version", "byte_offset", "source_len", "prefix_fingerprint", "last_scan_unix_ms", "last_success_unix_ms", "last_error", "modified_ns", "parser_state")
         self._upsert("source_objects", [{**s, "installation_id": installation["id"]} for s in sources], keep=checkpoint)
 
     def set_installation_state(self, id: str, enabled: bool, permission_state: str) -> None:
@@ -252,7 +260,7 @@ class Ledger:
     def _read_up_to(self, commits: Sequence[Commit], at: int) -> dict:
         """The sources with their checkpoints, and their installations as readable ones."""
         objects, kinds = self.table("source_objects"), {f.name: f for f in schema.struct(TABLES["source_objects"]).fields}
-        done = ("fingerprint", "parser_version", "byte_offset", "source_len", "prefix_fingerprint")
+        done = ("fingerprint", "parser_version", "byte_offset", "source_len", "prefix_fingerprint", "modified_ns", "parser_state")
         rows = [[c.source, *(getattr(c.checkpoint, k) for k in done)] for c in commits]
         kind = ", ".join(f"__{k} {kinds[k].dataType.simpleString()}" for k in ("id", *done))
         known = objects.join(F.broadcast(self.spark.createDataFrame(rows, kind)), F.col("id") == F.col("__id"), "left").persist()
@@ -323,9 +331,69 @@ class Ledger:
                     # An empty replacement clears the source: it then has no folder.
                     parts[c.source] = [*(parts.get(c.source, []) if c.mode == "append" else []), *([f"{path}/{part_of(c.source)}"] if c.source in new else [])]
             tables[name] = parts
+        tables |= self._projected([c for c in commits if c.source in changed], once, replaced)
         once.unpersist()
         return done, tables
 
+    # -- projections, kept by each commit
+
+    def _projected(self, commits: Sequence[Commit], once: DataFrame, replaced: Sequence[str]) -> dict:
+        """The daily projection and the sessions after a commit that adds `once` and deletes what `replaced` had.
+
+        The day's sums change by what is new less what is gone, and only the months that have such a change are written. A
+        session's ends can't be subtracted: they are kept by source, where a replacement makes them anew, and an append
+        adds those of its own events.
+        """
+        new = Q.daily_usage(once)
+        gone = Q.daily_usage(self.owned("usage_events", *replaced))
+        sums = [*schema.BUCKETS, "event_count"]
+        delta = new.unionByName(gone.select("day", "client", "provider", "model", *((-F.col(c)).alias(c) for c in sums)))
+        delta = Q.merge_daily(delta, delta.limit(0)).filter(" OR ".join(f"{c} <> 0" for c in sums)).withColumn("month", F.substring("day", 1, 7))
+        delta, held = settled(delta, "daily-delta"), dict(self._parts("daily_usage_utc"))
+        months = [r["month"] for r in delta.select("month").distinct().collect()]  # a row a month
+        tables = {}
+        if months:
+            days = self.owned("daily_usage_utc", *months).drop("month").unionByName(delta.drop("month"))
+            days = settled(Q.merge_daily(days, days.limit(0)).filter("event_count > 0").withColumn("month", F.substring("day", 1, 7)), "daily-months")
+            full = {r["month"] for r in days.select("month").distinct().collect()}
+            path = self._write("daily_usage_utc", days) if full else ""
+            tables["daily_usage_utc"] = held | {m: [f"{path}/{part_of(m)}"] if m in full else [] for m in months}
+            forget(days)
+        forget(delta)
+        parts, fresh = dict(self._parts("session_parts")), {c.source for c in commits if c.mode == "replace"}
+        crowded = [c.source for c in commits if c.source not in fresh and len(parts.get(c.source, [])) >= MOST_PARTS]
+        mine = Q.session_parts(once)
+        if crowded:
+            mine = Q.merged_sessions(self.owned("session_parts", *crowded).unionByName(mine))
+        mine = settled(mine, "session-parts")
+        told = {r["source_object_id"] for r in mine.select("source_object_id").distinct().collect()}
+        path = self._write("session_parts", mine) if told else ""
+        for c in commits:
+            kept = [] if c.source in fresh or c.source in crowded else parts.get(c.source, [])
+            parts[c.source] = [*kept, *([f"{path}/{part_of(c.source)}"] if c.source in told else [])]
+        forget(mine)
+        return tables | {"session_parts": parts}
+
+    def daily(self) -> DataFrame:
+        """The daily projection, as Q.daily_usage() of all events would give it."""
+        return self.table("daily_usage_utc").drop("month")
+
+    def sessions(self) -> DataFrame:
+        """(source, session) with its first and last event, as Q.session_spans() of all events would give it."""
+        out = Q.merged_sessions(self.table("session_parts"))
+        return out.select("source_object_id", "session_id", F.col("started_unix_ms").alias("started_at_unix_ms"), F.col("ended_unix_ms").alias("ended_at_unix_ms"), "client")
+
+    def rebuild_projections(self) -> None:
+        """Makes both projections anew from the events (for ledgers that were written before they were kept)."""
+        events, tables = self.table("usage_events"), {}
+        for name, df in {"daily_usage_utc": Q.daily_usage(events).withColumn("month", F.substring("day", 1, 7)), "session_parts": Q.session_parts(events)}.items():
+            df = settled(df, "rebuilt")
+            keys = [r[0] for r in df.select(OWNED[name]).distinct().collect()]  # a row a part
+            path = self._write(name, df) if keys else ""
+            tables[name] = {k: [f"{path}/{part_of(k)}"] for k in keys}
+            forget(df)
+        self._publish(tables)
+
     def records(self, *sources: str) -> DataFrame:
         """Some sources' events with provenance and the costs that the sources themselves reported."""
         costs = self.owned("event_costs", *sources).filter(~F.col("kind").isin(ESTIMATE, UNPRICED))

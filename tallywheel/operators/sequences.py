@@ -40,7 +40,8 @@ def increments(rows: DataFrame, keys: Sequence[str], order: str, counters: Seque
     """Running totals to increments.
 
     rows have the structs `total` (running counters) and `last` (the increment as reported); either may be null. Added:
-    delta (struct), emits (whether the row stands for usage), reset (the total fell).
+    delta (struct), emits (whether the row stands for usage), reset (the total fell), previous and after (the running totals
+    around the row).
 
     An equal total says nothing, whatever `last` is; a non-zero `last` is the increment; else it is the total less the
     one before, or the total itself at the start and where any counter fell. A row without a total adds its `last` to
@@ -79,6 +80,7 @@ def increments(rows: DataFrame, keys: Sequence[str], order: str, counters: Seque
         "reset": F.coalesce(emits & fell, F.lit(False)),
         "repeats": F.coalesce(equal, F.lit(False)),
         "previous": F.col("__prev"),
+        "after": F.when(F.col("__told").isNotNull(), F.col("__told")).when(loose, F.struct(*(F.least(F.coalesce(p[c], F.lit(0)).cast("decimal(38,0)") + F.coalesce(F.col("last")[c], F.lit(0)), limit).cast("long").alias(c) for c in every))).otherwise(p),
     }).drop("__told", "__group", "__base", "__any", "__added", "__prev")
 
 

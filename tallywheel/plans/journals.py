@@ -17,14 +17,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywheel.functions import identity, money, timeutil
-from tallywheel.operators.ledger import Ledger
+from tallywheel.operators import lineage
+from tallywheel.operators.ledger import Commit, Ledger
+from tallywheel.operators.pricing import RateDataset
 from tallywheel.plans.registry import register
 from tallywheel.plans.views import _read
 from tallywheel.schema import BUCKETS
+from tallywheel.sources.lines import read_lines
 from tallywheel.sources.readers import EventLines, SessionTrees, StreamLines, WireJournals
 from tallywheel.sources.rollouts import Rollouts
 from tallywheel.sources.threads import Threads
 from tallywheel.streaming.incremental import scan
+from tallywheel.tables import settled
 
 SHORT = ", ".join(BUCKETS)
 
@@ -106,23 +110,35 @@ def _u() -> Column:
 _LINE = "CASE n % 50 WHEN 7 THEN '{bad' WHEN 9 THEN '' ELSE '{\"id\":\"e-' || n || '\",\"session_id\":\"s-' || u || '\",\"client\":\"' || event_type || '\",\"model\":\"m-' || (u % 5) || '\",\"occurred_at_unix_ms\":' || ms || ',\"input\":' || (n % 211) || CASE n % 50 WHEN 11 THEN ',\"extra\":1' WHEN 13 THEN ',\"output\":-1' ELSE ',\"output\":' || u END || '}' END"
 
 
-def _own_lines(events: DataFrame) -> DataFrame:
-    return events.select(F.lit("events.jsonl").alias("file"), _n().alias("at"), F.expr(_LINE).alias("line"))
+def _own_lines(events: DataFrame, file: Column | None = None, at: Column | None = None) -> DataFrame:
+    return events.select((F.format_string("events-%d.jsonl", _u()) if file is None else file).alias("file"), (_n() if at is None else at).alias("at"), F.expr(_LINE).alias("line"))
 
 
-@register("journal_event_lines", f"""
+_LINES_SQL = f"""
 WITH {_E}, l AS (SELECT *, {_LINE} AS line FROM e),
-o AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset FROM l)
+o AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY u ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset FROM l)
+"""
+
+
+@register("journal_event_lines", _LINES_SQL + """
 SELECT 'e-' || n AS event_id, 's-' || u AS session_id, event_type AS client, 'm-' || (u % 5) AS model, ms AS occurred_at_unix_ms, (n % 211)::BIGINT AS input_tokens, u::BIGINT AS output_tokens, record_offset
 FROM o WHERE n % 50 NOT IN (7, 9, 11, 13)""")
 def journal_event_lines(spark, d):
-    """Strict event lines with the byte at which each begins."""
+    """Strict event lines, a journal for each user, with the byte at which each begins."""
     root = folder(spark)
     put(_own_lines(_events(spark, d)), root)
-    rows = _records(spark, EventLines(root / "events.jsonl"))
+    rows = _records(spark, EventLines(root))
     return rows.select("event_id", "session_id", "client", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens", "record_offset")
 
 
+@register("journal_byte_ranges", _LINES_SQL + "SELECT 'events-' || u || '.jsonl' AS source_key, record_offset, line FROM o WHERE line <> ''")
+def journal_byte_ranges(spark, d):
+    """The lines of the same journals where each file is read in ranges of 1,000 bytes, by as many tasks as that makes."""
+    root = folder(spark)
+    put(_own_lines(_events(spark, d)), root)
+    return read_lines(spark, EventLines(root).discover(), split=1000)[0].select("source_key", "record_offset", "line")
+
+
 # -- wire journals: two layouts in one file; a message id that comes again keeps its largest usage
 
 _FOLDER = "'00000000-0000-4000-8000-' || lpad(u::VARCHAR, 12, '0')"
@@ -193,40 +209,68 @@ _STREAM = "'{\"type\":\"' || CASE WHEN n % 4 = 0 THEN 'user' ELSE 'assistant' EN
 
 @register("journal_stream", f"""
 WITH {_E}, l AS (SELECT *, {_STREAM} AS line, CASE WHEN n % 5 = 0 THEN n ELSE n % 31 END AS i, CASE WHEN n % 5 = 0 THEN 0 ELSE n % 2 END AS o, CASE WHEN n % 5 = 0 THEN 3 ELSE 0 END AS c FROM e),
-o AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM l)
+o AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY u ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM l)
 SELECT 'amp-stream-v1:' || sha256('amp-stream-v1' || chr(0) || 's-' || u || chr(0) || begun) AS event_id, 's-' || u AS session_id, 'm-' || (u % 4) AS model,
        i::BIGINT AS input_tokens, o::BIGINT AS output_tokens, c::BIGINT AS cache_read_tokens, 'amp-stream-json-v1' || CASE WHEN n % 5 = 0 THEN '-iterations' ELSE '' END AS schema_variant
 FROM o WHERE n % 4 <> 0 AND n % 9 <> 0 AND i + o + c > 0""")
 def journal_stream(spark, d):
-    """One long stream; the last iteration of an answer has the whole usage."""
+    """A stream for each user; the last iteration of an answer has the whole usage."""
     root = folder(spark)
-    put(_events(spark, d).select(F.lit("stream.jsonl").alias("file"), _n().alias("at"), F.expr(_STREAM).alias("line")), root)
-    return _records(spark, StreamLines(root / "stream.jsonl")).select("event_id", "session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "schema_variant")
+    put(_events(spark, d).select(F.format_string("stream-%d.jsonl", _u()).alias("file"), _n().alias("at"), F.expr(_STREAM).alias("line")), root)
+    return _records(spark, StreamLines(root)).select("event_id", "session_id", "model", "input_tokens", "output_tokens", "cache_read_tokens", "schema_variant")
 
 
 # -- rollouts: counters that grow over a file and start anew now and then; every third file is compressed
 
 
-@register("journal_rollouts", f"""
+_ROLLOUTS = f"""
 WITH {_E}, t AS (SELECT u, n, ms, sum(n % 17) OVER w AS i, sum(n % 3) OVER w AS o, last_value(CASE WHEN n % 6 = 0 THEN 'gpt-' || (n % 5) END IGNORE NULLS) OVER (PARTITION BY u ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model FROM e WINDOW w AS (PARTITION BY u, n // 700 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 p AS (SELECT *, lag(i) OVER w AS pi, lag(o) OVER w AS po FROM t WHERE i + o > 0 WINDOW w AS (PARTITION BY u ORDER BY n)),
 s AS (SELECT *, pi IS NULL OR i < pi OR o < po AS anew FROM p)
 SELECT 'r-' || u AS session_id, coalesce(model, 'unknown') AS model, ms AS occurred_at_unix_ms, (CASE WHEN anew THEN i ELSE i - pi END)::BIGINT AS input_tokens, (CASE WHEN anew THEN o ELSE o - po END)::BIGINT AS output_tokens,
        CASE WHEN u % 2 = 0 THEN 'codex-cli' ELSE 'codex-desktop' END AS client, 'openai' AS provider, 'exact' AS confidence
-FROM s WHERE u % 5 <> 4 AND (anew OR i <> pi OR o <> po)""")
-def journal_rollouts(spark, d):
-    """Rollouts with running counters, a line that names the model before some of them; service rollouts are left out."""
-    e, root = _events(spark, d), folder(spark)
+FROM s WHERE u % 5 <> 4 AND (anew OR i <> pi OR o <> po)"""
+
+
+def _rollouts(e: DataFrame, zst: bool) -> DataFrame:
+    """(file, at, line) of rollouts with running counters and, before some reports, a line that names the model."""
     w = W.partitionBy("u", F.floor(_n() / 700)).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     e = e.withColumns({"i": F.sum(_n() % 17).over(w), "o": F.sum(_n() % 3).over(w)})
-    file = F.concat(F.format_string("sessions/2024/rollout-%d.jsonl", _u()), F.when(_u() % 3 == 0, ".zst").otherwise(""))
+    file = F.concat(F.format_string("sessions/2024/rollout-%d.jsonl", _u()), F.when((_u() % 3 == 0) & F.lit(zst), ".zst").otherwise(""))
     payload = _object(id=_text("r-", _u()), model_provider=F.lit("openai"), originator=F.when(_u() % 2 == 1, "Codex Desktop"), source=F.when(_u() % 5 == 4, "mcp").otherwise("cli"))
     heads = e.select("u").distinct().select(file.alias("file"), F.lit(-1).cast("long").alias("at"), F.to_json(_object(timestamp=F.lit("2024-01-01T00:00:00Z"), type=F.lit("session_meta"), payload=payload)).alias("line"))
     turns = e.filter(_n() % 6 == 0).select(file.alias("file"), (_n() * 2).alias("at"), F.to_json(_object(timestamp=F.col("said"), type=F.lit("turn_context"), payload=_object(model=_text("gpt-", _n() % 5)))).alias("line"))
     info = _object(total_token_usage=_object(input_tokens=F.col("i"), output_tokens=F.col("o"), total_tokens=F.col("i") + F.col("o")))
     counts = e.select(file.alias("file"), (_n() * 2 + 1).alias("at"), F.to_json(_object(timestamp=F.col("said"), type=F.lit("event_msg"), payload=_object(type=F.lit("token_count"), info=info))).alias("line"))
-    put(heads.unionByName(turns).unionByName(counts), root)
-    return _records(spark, Rollouts(root)).select("session_id", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens", "client", "provider", "confidence")
+    return heads.unionByName(turns).unionByName(counts)
+
+
+_ROLLOUT_FIELDS = ("session_id", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens", "client", "provider", "confidence")
+
+
+@register("journal_rollouts", _ROLLOUTS)
+def journal_rollouts(spark, d):
+    """Rollouts with running counters, a line that names the model before some of them; service rollouts are left out."""
+    root = folder(spark)
+    put(_rollouts(_events(spark, d), True), root)
+    return _records(spark, Rollouts(root)).select(*_ROLLOUT_FIELDS)
+
+
+@register("journal_rollouts_resumed", _ROLLOUTS)
+def journal_rollouts_resumed(spark, d):
+    """The same usage where the journals are read half-way, grow, and are read on with what the first reading left to know."""
+    root, read, offsets, states = folder(spark), [], None, None
+    reader = Rollouts(root)
+    lines = _rollouts(_events(spark, d), False)
+    last = lines.groupBy("file").agg(F.max("at").alias("last"))
+    for until in (F.col("last") / 2, F.col("last")):
+        put(lines.join(last, "file").filter(F.col("at") <= until).drop("last"), root)
+        batch = reader.read(spark, reader.discover(), offsets, states)
+        read.append(settled(batch.records.select(*_ROLLOUT_FIELDS), "resumed"))
+        offsets = {r["source_key"]: r["committed_offset"] for r in batch.ends.collect()}  # a row a journal
+        states = {r["source_key"]: r["state"] for r in batch.states.collect()}
+        batch.forget()
+    return read[0].unionByName(read[1])
 
 
 # -- thread documents: the ledger's rows and the messages say the same usage twice
@@ -251,68 +295,136 @@ def journal_threads(spark, d):
     return rows.select("session_id", kind.alias("kind"), "model", "occurred_at_unix_ms", "input_tokens", "native_id", "timestamp_origin")
 
 
-# -- the ledger and its scans, over the first of these journals
+# -- the ledger and its scans, over journals of the first kind, one for every eighth user
 
 
 _GOOD = "n % 50 NOT IN (7, 9, 11, 13)"
+_G = f"{_E}, g AS (SELECT *, u % 8 AS k FROM e)"
+
+
+def _eight() -> Column:
+    return F.format_string("events-%d.jsonl", _u() % 8)
+
+
+def _scanned(spark, root: Path, steps: list) -> Ledger:
+    """A ledger after scans of the journals at some times; a step is (time, lines to write before it or None)."""
+    ledger, reader = Ledger(spark, root / "ledger"), [("own", EventLines(root / "in"))]
+    for at, lines in steps:
+        if lines is not None:
+            put(lines, root / "in")
+        scan(ledger, reader, at)
+    return ledger
 
 
 @register("scan_runs", f"""
-WITH {_E}, c AS (SELECT count(*) FILTER (n % 2 = 0 AND {_GOOD}) AS a, count(*) FILTER (n % 2 = 1 AND {_GOOD}) AS b, count(*) FILTER (n % 3 <> 0 AND {_GOOD}) AS r FROM e)
-SELECT 1::BIGINT AS id, 'append' AS mode, 'completed' AS status, a AS seen, a AS inserted, 0::BIGINT AS duplicates, 0::BIGINT AS deleted FROM c
-UNION ALL SELECT 2, 'append', 'completed', b, b, 0, 0 FROM c
-UNION ALL SELECT 3, 'replace', 'completed', r, r, 0, a + b FROM c
-UNION ALL SELECT 4, 'replace', 'completed', r, r, 0, r FROM c""")
+WITH {_G}, c AS (SELECT k, count(*) FILTER (n % 2 = 0 AND {_GOOD}) AS a, count(*) FILTER (n % 2 = 1 AND {_GOOD}) AS b, count(*) FILTER (n % 3 <> 0 AND {_GOOD}) AS r FROM g GROUP BY k),
+s AS (SELECT *, 'reference-jsonl:events-' || k || '.jsonl' AS source_object_id FROM c)
+SELECT source_object_id, 3000::BIGINT - 2000 AS finished_unix_ms, 'append' AS mode, 'completed' AS status, a AS seen, a AS inserted, 0::BIGINT AS duplicates, 0::BIGINT AS deleted FROM s
+UNION ALL SELECT source_object_id, 3000, 'append', 'completed', b, b, 0, 0 FROM s
+UNION ALL SELECT source_object_id, 4000, 'replace', 'completed', r, r, 0, a + b FROM s
+UNION ALL SELECT source_object_id, 86404000, 'replace', 'completed', r, r, 0, r FROM s""")
 def scan_runs(spark, d):
-    """The run log of five scans of a journal: a first read, nothing new (no run), an append from the last byte, a rewritten
+    """The run log of five scans of eight journals: a first read, nothing new (no run), an append from the last byte, a rewritten
     file, a periodic full read."""
-    root = folder(spark)
-    path, ledger = root / "events.jsonl", Ledger(spark, root / "ledger")
-    lines, reader = _events(spark, d), [("own", EventLines(path))]
-    put(_own_lines(lines.filter(_n() % 2 == 0)), root)
-    scan(ledger, reader, 1_000)
-    scan(ledger, reader, 2_000)
-    put(_own_lines(lines.filter(_n() % 2 == 1)), root / "more")
-    with open(path, "ab") as whole, open(root / "more/events.jsonl", "rb") as more:
-        shutil.copyfileobj(more, whole)
-    scan(ledger, reader, 3_000)
-    put(_own_lines(lines.filter(_n() % 3 != 0)), root)
-    scan(ledger, reader, 4_000)
-    scan(ledger, reader, 4_000 + 86_400_000)
-    return ledger.table("ingest_runs").select("id", "mode", "status", "seen", "inserted", "duplicates", "deleted")
+    lines, odd = _events(spark, d), _n() % 2 == 1
+    half, whole = _own_lines(lines.filter(~odd), _eight()), _own_lines(lines, _eight(), _n() + F.when(odd, 10**12).otherwise(0))
+    ledger = _scanned(spark, folder(spark), [(1_000, half), (2_000, None), (3_000, whole), (4_000, _own_lines(lines.filter(_n() % 3 != 0), _eight())), (4_000 + 86_400_000, None)])
+    return ledger.table("ingest_runs").select("source_object_id", "finished_unix_ms", "mode", "status", "seen", "inserted", "duplicates", "deleted")
+
+
+def _rewritten(spark, d) -> Ledger:
+    return _scanned(spark, folder(spark), [(at, _own_lines(_events(spark, d).filter(kept), _eight())) for at, kept in ((1_000, _n() % 2 == 0), (2_000, _n() % 3 != 0))])
 
 
 @register("scan_events", f"""
-WITH {_E} SELECT 'reference-jsonl:events.jsonl' AS source_object_id, 'e-' || n AS event_id, 's-' || u AS session_id, event_type AS client, 'm-' || (u % 5) AS model, ms AS occurred_at_unix_ms, (n % 211)::BIGINT AS input_tokens, u::BIGINT AS output_tokens
+WITH {_E} SELECT 'reference-jsonl:events-' || (u % 8) || '.jsonl' AS source_object_id, 'e-' || n AS event_id, 's-' || u AS session_id, event_type AS client, 'm-' || (u % 5) AS model, ms AS occurred_at_unix_ms, (n % 211)::BIGINT AS input_tokens, u::BIGINT AS output_tokens
 FROM e WHERE n % 3 <> 0 AND {_GOOD}""")
 def scan_events(spark, d):
-    """What the ledger holds after a journal was read and rewritten: the events of the second file, each once."""
+    """What the ledger holds after journals were read and rewritten: the events of the second files, each once."""
+    return _rewritten(spark, d).table("usage_events").select("source_object_id", "event_id", "session_id", "client", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens")
+
+
+def _commits(spark, d) -> Ledger:
+    """Eight sources, all in one commit each time: events that overlap, late ones, a replacement by fewer, a failure."""
     root = folder(spark)
-    ledger, reader = Ledger(spark, root / "ledger"), [("own", EventLines(root / "events.jsonl"))]
-    for at, kept in ((1_000, _n() % 2 == 0), (2_000, _n() % 3 != 0)):
-        put(_own_lines(_events(spark, d).filter(kept)), root)
-        scan(ledger, reader, at)
-    return ledger.table("usage_events").select("source_object_id", "event_id", "session_id", "client", "model", "occurred_at_unix_ms", "input_tokens", "output_tokens")
+    put(_own_lines(_events(spark, d), _eight()), root / "in")
+    rows = settled(_records(spark, EventLines(root / "in")), "commit-records")
+    ledger, n = Ledger(spark, root / "ledger"), F.substring("event_id", 3, 20).cast("long")
+    names = [f"events-{k}.jsonl" for k in range(8)]
+    ledger.register_sources({"id": "i", "adapter_id": "own", "root_path": str(root)}, [{"id": s, "native_path": s, "kind": "append_only_jsonl", "parser_version": 1} for s in names])
+    ledger.apply_all([Commit(s) for s in names], rows.filter(n % 2 == 0), 10)
+    ledger.apply_all([Commit(s) for s in names], rows, 20)
+    ledger.apply_all([Commit(s, "replace") for s in names[::2]], rows.filter(n % 5 == 0), 30)
+    ledger.fail_all([(s, "permission_denied", "no access") for s in names[:1]], 40)
+    return ledger
 
 
 @register("ledger_commits", f"""
-WITH {_E}, c AS (SELECT count(*) FILTER (n % 2 = 0 AND {_GOOD}) AS a, count(*) FILTER ({_GOOD}) AS b, count(*) FILTER (n % 5 = 0 AND {_GOOD}) AS r FROM e)
-SELECT 1::BIGINT AS id, 'append' AS mode, 'completed' AS status, a AS seen, a AS inserted, 0::BIGINT AS duplicates, 0::BIGINT AS deleted, NULL::VARCHAR AS error FROM c
-UNION ALL SELECT 2, 'append', 'completed', b, b - a, a, 0, NULL FROM c
-UNION ALL SELECT 3, 'replace', 'completed', r, r, 0, b, NULL FROM c
-UNION ALL SELECT 4, 'append', 'failed', 0, 0, 0, 0, '[permission_denied] no access' FROM c""")
+WITH {_G}, c AS (SELECT 'events-' || k || '.jsonl' AS source_object_id, k, count(*) FILTER (n % 2 = 0 AND {_GOOD}) AS a, count(*) FILTER ({_GOOD}) AS b, count(*) FILTER (n % 5 = 0 AND {_GOOD}) AS r FROM g GROUP BY k)
+SELECT source_object_id, 10::BIGINT AS finished_unix_ms, 'append' AS mode, 'completed' AS status, a AS seen, a AS inserted, 0::BIGINT AS duplicates, 0::BIGINT AS deleted, NULL::VARCHAR AS error FROM c
+UNION ALL SELECT source_object_id, 20, 'append', 'completed', b, b - a, a, 0, NULL FROM c
+UNION ALL SELECT source_object_id, 30, 'replace', 'completed', r, r, 0, b, NULL FROM c WHERE k % 2 = 0
+UNION ALL SELECT source_object_id, 40, 'append', 'failed', 0, 0, 0, 0, '[permission_denied] no access' FROM c WHERE k = 0""")
 def ledger_commits(spark, d):
     """Appends that overlap count their duplicates, a replacement counts what it deletes, a failure changes nothing but the log."""
-    root = folder(spark)
-    put(_own_lines(_events(spark, d)), root)
-    rows, ledger = _records(spark, EventLines(root / "events.jsonl")), Ledger(spark, root / "ledger")
-    n = F.substring("event_id", 3, 20).cast("long")
-    ledger.register_source("s", {"id": "i", "adapter_id": "own", "root_path": str(root)}, "events.jsonl")
-    ledger.append("s", rows.filter(n % 2 == 0), 10)
-    ledger.append("s", rows, 20)
-    ledger.replace("s", rows.filter(n % 5 == 0), 30)
-    ledger.fail("s", 40, "permission_denied", "no access")
-    return ledger.table("ingest_runs").select("id", "mode", "status", "seen", "inserted", "duplicates", "deleted", "error")
+    return _commits(spark, d).table("ingest_runs").select("source_object_id", "finished_unix_ms", "mode", "status", "seen", "inserted", "duplicates", "deleted", "error")
+
+
+_HELD = f"h AS (SELECT * FROM g WHERE {_GOOD} AND (k % 2 = 1 OR n % 5 = 0))"
+_USED = "sum(n % 211)::BIGINT AS input_tokens, sum(u)::BIGINT AS output_tokens, 0::BIGINT AS cache_read_tokens, 0::BIGINT AS cache_write_tokens, 0::BIGINT AS reasoning_tokens, count(*) AS event_count"
+
+
+@register("ledger_daily", f"WITH {_G}, {_HELD} SELECT strftime(to_timestamp(ms // 1000) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, event_type AS client, '' AS provider, 'm-' || (u % 5) AS model, {_USED} FROM h GROUP BY ALL")
+def ledger_daily(spark, d):
+    """The daily projection that commits keep, after appends, late events and replacements: what a rebuild would give."""
+    return _commits(spark, d).daily()
+
+
+@register("ledger_sessions", f"WITH {_G}, {_HELD} SELECT 'events-' || k || '.jsonl' AS source_object_id, 's-' || u AS session_id, min(ms) AS started_at_unix_ms, max(ms) AS ended_at_unix_ms, arg_max(event_type, (ms, 'e-' || n)) AS client FROM h GROUP BY ALL")
+def ledger_sessions(spark, d):
+    """The sessions that commits keep: late events widen them, a replacement narrows them again."""
+    return _commits(spark, d).sessions()
+
+
+@register("ledger_reprice", f"""
+WITH {_G}, {_HELD} SELECT 'events-' || k || '.jsonl' AS source_object_id, 'e-' || n AS event_id, CASE u % 5 WHEN 4 THEN 'unpriced' ELSE 'api_equivalent_estimate' END AS kind, CASE WHEN u % 5 <> 4 THEN (n % 211) * (u % 5 + 1) + u * 10 END::BIGINT AS usd_nanos,
+       CASE WHEN u % 5 <> 4 THEN 'p/m-' || (u % 5) END AS pricing_key, 2::BIGINT AS pricing_snapshot_id FROM h""")
+def ledger_reprice(spark, d):
+    """Costs in the ledger after two repricings by other rates: the second one's alone, by its snapshot."""
+    ledger = _commits(spark, d)
+    rates = {f"p/m-{k}": (k + 1, 10, 0, 0, 0) for k in range(4)}
+    names = {f"m-{k}": f"p/m-{k}" for k in range(5)}
+    ledger.reprice(RateDataset("own", "1", {k: (7, 7, 7, 7, 7) for k in rates}, names), 50)
+    ledger.reprice(RateDataset("own", "2", rates, names), 60)
+    return ledger.table("event_costs").select("source_object_id", "event_id", "kind", "usd_nanos", "pricing_key", "pricing_snapshot_id")
+
+
+# -- lineage: each customer's orders are a chain; some close to a ring, some begin with an order that isn't there
+
+
+@register("lineage_chains", """
+WITH RECURSIVE o AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER w AS before, first_value(o_orderkey) OVER w AS first, last_value(o_orderkey) OVER w AS last, o_custkey AS c FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+l AS (SELECT child, CASE WHEN before IS NOT NULL THEN before WHEN c % 7 = 0 THEN last WHEN c % 11 = 0 THEN -child END AS parent, CASE WHEN child % 97 = 0 THEN 'cut' END AS problem,
+  CASE WHEN child % 89 = 0 THEN 'late cut' WHEN before IS NULL AND c % 7 <> 0 AND c % 11 = 0 THEN 'missing' END AS late, CASE WHEN child % 3 = 0 THEN child END AS value FROM o),
+w AS (
+  SELECT child, child AS here, [child] AS seen, NULL::BIGINT AS value, NULL::VARCHAR AS problem, NULL::BIGINT AS cycle, false AS ended FROM l
+  UNION ALL
+  SELECT w.child, l.parent, list_append(w.seen, l.parent), coalesce(w.value, l.value), CASE WHEN l.problem IS NOT NULL THEN l.problem WHEN list_contains(w.seen, l.parent) THEN NULL ELSE l.late END,
+         CASE WHEN l.problem IS NULL AND list_contains(w.seen, l.parent) THEN l.parent END, l.problem IS NOT NULL OR l.parent IS NULL OR list_contains(w.seen, l.parent) OR l.late IS NOT NULL
+  FROM w JOIN l ON l.child = w.here WHERE NOT w.ended
+)
+SELECT child, arg_max(problem, len(seen)) AS problem, CASE WHEN count(problem) = 0 AND count(cycle) = 0 THEN arg_max(value, len(seen)) END AS value, max(cycle) AS cycle FROM w GROUP BY child""")
+def lineage_chains(spark, d):
+    """Chains followed by pointer doubling: the first problem, the nearest value, or the node at which a chain meets itself."""
+    o, by = _read(spark, d, "orders"), W.partitionBy("o_custkey").orderBy("o_orderkey")
+    whole = W.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    n, c, before = F.col("o_orderkey").cast("long"), F.col("o_custkey"), F.lag("o_orderkey").over(by).cast("long")
+    o = o.select(n.alias("child"), before.alias("before"), F.last(n).over(whole).alias("last"), c.alias("c"))
+    n, c = F.col("child"), F.col("c")
+    parent = F.when(F.col("before").isNotNull(), F.col("before")).when(c % 7 == 0, F.col("last")).when(c % 11 == 0, -n)
+    late = F.when(n % 89 == 0, "late cut").when(F.col("before").isNull() & (c % 7 != 0) & (c % 11 == 0), "missing")
+    return lineage.resolve(o.select("child", parent.alias("parent"), F.when(n % 97 == 0, "cut").alias("problem"), late.alias("late"), F.when(n % 3 == 0, n).alias("value")))
 
 
 # -- values as the journals write them

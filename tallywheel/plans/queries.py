@@ -133,6 +133,19 @@ def session_spans(events: DataFrame) -> DataFrame:
     return rows.groupBy("source_object_id", "session_id").agg(F.min("occurred_at_unix_ms").alias("started_at_unix_ms"), F.max("occurred_at_unix_ms").alias("ended_at_unix_ms"), last.alias("client"))
 
 
+def session_parts(events: DataFrame) -> DataFrame:
+    """(source, session): first and last event with the last one's id and client: what merged_sessions() can merge."""
+    rows = events.filter(F.col("session_id").isNotNull())
+    last = F.max(F.struct("occurred_at_unix_ms", "event_id", "client")).alias("last")
+    return rows.groupBy("source_object_id", "session_id").agg(F.min("occurred_at_unix_ms").alias("started_unix_ms"), last).select("source_object_id", "session_id", "started_unix_ms", F.col("last.occurred_at_unix_ms").alias("ended_unix_ms"), F.col("last.event_id").alias("last_event_id"), F.col("last.client").alias("client"))
+
+
+def merged_sessions(parts: DataFrame) -> DataFrame:
+    """One row a (source, session) of several parts."""
+    last = F.max(F.struct("ended_unix_ms", "last_event_id", "client")).alias("last")
+    return parts.groupBy("source_object_id", "session_id").agg(F.min("started_unix_ms").alias("started_unix_ms"), last).select("source_object_id", "session_id", "started_unix_ms", "last.ended_unix_ms", "last.last_event_id", "last.client")
+
+
 def session_summaries(facts_: DataFrame) -> DataFrame:
     """(source, session), the last ended first: sums, worst confidence, providers, models, costs and span."""
     rows = facts_.filter(F.col("session_id").isNotNull())

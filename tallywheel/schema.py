@@ -25,7 +25,7 @@ FACTS = (
 TABLES = {
     "source_installations": "id string, adapter_id string, root_path string, platform string, discovery_method string, enabled boolean, permission_state string",
     "source_objects": "id string, installation_id string, native_path string, kind string, fingerprint string, parser_version int, byte_offset bigint, source_len bigint, "
-    "prefix_fingerprint string, last_scan_unix_ms bigint, last_success_unix_ms bigint, last_error string",
+    "prefix_fingerprint string, last_scan_unix_ms bigint, last_success_unix_ms bigint, last_error string, modified_ns bigint, parser_state string",
     "usage_events": "source_object_id string, event_id string, session_id string, client string, provider string, model string, occurred_at_unix_ms bigint, "
     + ", ".join(f"{b} bigint" for b in BUCKETS)
     + ", source_reported_total bigint, confidence string",
@@ -33,6 +33,9 @@ TABLES = {
     "event_costs": "source_object_id string, event_id string, kind string, usd_nanos bigint, pricing_snapshot_id bigint, pricing_key string, pricing_rule string, confidence string",
     "ingest_runs": "id bigint, source_object_id string, mode string, status string, started_unix_ms bigint, finished_unix_ms bigint, seen bigint, inserted bigint, duplicates bigint, deleted bigint, "
     "warnings array<string>, error string",
+    # Kept by each commit: what reading the events anew would give.
+    "daily_usage_utc": "month string, day string, client string, provider string, model string, " + ", ".join(f"{b} bigint" for b in BUCKETS) + ", event_count bigint",
+    "session_parts": "source_object_id string, session_id string, started_unix_ms bigint, ended_unix_ms bigint, last_event_id string, client string",
     "pricing_snapshots": "id bigint, source string, dataset_version string, content_hash string, fetched_at_unix_ms bigint",
 }
 

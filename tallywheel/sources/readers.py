@@ -18,7 +18,8 @@ from tallywheel.functions import identity, timeutil
 from tallywheel.functions.money import U64_MAX, parse_nanos
 from tallywheel.operators import sequences
 from tallywheel.schema import BUCKETS, RECORD, struct
-from tallywheel.sources.lines import Batch, Candidate, collected, files_under, malformed, read_lines, warn, whole_files
+from tallywheel.sources.lines import Batch, Candidate, collected, files_under, raw_lines, read_lines, whole_files
+from tallywheel.tables import settled
 
 FIELDS = [part.split(" ")[0] for part in RECORD.split(", ")]
 
@@ -48,6 +49,33 @@ def _notes(*notes) -> Column:
     return F.filter(F.array(*cols), lambda n: n.isNotNull())
 
 
+def _place(root, path) -> str:
+    """A file's path below its folder."""
+    return str(path)[len(str(root).rstrip("/")) + 1 :]
+
+
+def _under(root, *parts: str):
+    return "/".join([str(root).rstrip("/"), *parts]) if "://" in str(root) else Path(root, *parts)
+
+
+def _home_of(root):
+    """A reader's folder or file: a local path, or a URI as it is."""
+    return root if "://" in str(root) else Path(root)
+
+
+def _seeded(rows: DataFrame, states: dict[str, str] | None, kind: str) -> DataFrame:
+    """rows with __s: what their source's last reading left, null for a source that is read from its start."""
+    if not states:
+        return rows.withColumn("__s", F.lit(None).cast(kind))
+    known = rows.sparkSession.createDataFrame(list(states.items()), "source_key string, __text string")
+    return rows.join(F.broadcast(known), "source_key", "left").withColumn("__s", F.from_json("__text", kind)).drop("__text")
+
+
+def _begins(offsets: dict[str, int] | None, states: dict[str, str] | None) -> dict[str, int]:
+    """Where reading may begin: at a source's offset, if what its reader has to know is known, too."""
+    return {k: at for k, at in (offsets or {}).items() if k in (states or {})}
+
+
 class Reader:
     """The contract of a format: an id, a version of its parser, discovery and reading."""
 
@@ -56,11 +84,16 @@ class Reader:
     resumable = True
     kinds: tuple[str, ...] = ("append_only_jsonl",)  # of files that it reads
 
-    def discover(self) -> list[Candidate]:
+    def discover(self, spark: SparkSession | None = None) -> list[Candidate]:
+        """The files of this format. A reader that must look into them does so in a Spark job, where a session is given."""
         raise NotImplementedError
 
-    def read(self, spark: SparkSession, candidates: Sequence[Candidate], offsets: dict[str, int] | None = None) -> Batch:
-        """The batch of the candidates. offsets: bytes of each that are in the ledger already; only what follows becomes records."""
+    def read(self, spark: SparkSession, candidates: Sequence[Candidate], offsets: dict[str, int] | None = None, states: dict[str, str] | None = None) -> Batch:
+        """The batch of the candidates. offsets: bytes of each that are in the ledger already; only what follows becomes records.
+
+        states: what an earlier batch left (Batch.states) where those bytes end. A source that has its state is read from
+        there; a reader with memory reads a source without one whole, and keeps what is new.
+        """
         raise NotImplementedError
 
     @staticmethod
@@ -68,6 +101,18 @@ class Reader:
         return []
 
 
+def _at(when: Column, text: str) -> Column:
+    """A warning about the line at a row's place, where `when` holds."""
+    return F.when(when, F.format_string(f"byte %d: {text}", "record_offset"))
+
+
+def _states(ends: DataFrame, left: DataFrame, states: dict[str, str] | None, state: Column) -> DataFrame:
+    """(source_key, state): what a reading leaves as JSON, by source; a source of which no line was read keeps what it had."""
+    before = ends.sparkSession.createDataFrame(list((states or {}).items()), "source_key string, __was string")
+    told = left.select("source_key", F.to_json(state).alias("__now"))
+    return ends.select("source_key").join(told, "source_key", "left").join(F.broadcast(before), "source_key", "left").select("source_key", F.coalesce("__now", "__was", F.lit("{}")).alias("state"))
+
+
 def _home(env) -> Path:
     return Path(env.get("HOME") or os.path.expanduser("~"))
 
@@ -109,21 +154,28 @@ def _strict(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-class EventLines(Reader):
-    """One event a line, strict: an unknown field makes a line malformed."""
-
-    id = "reference-jsonl"
+class _LineFiles(Reader):
+    """A file of lines, or a folder of such files: a line needs nothing but itself."""
 
     def __init__(self, path):
-        self.path = Path(path)
+        self.path = _home_of(path)
+
+    def discover(self, spark=None):
+        if "://" not in str(self.path) and self.path.is_file():
+            return [Candidate(self.path.name, str(self.path))]
+        return [Candidate(_place(self.path, p), str(p)) for p in files_under(self.path, "*.jsonl")]
 
-    def discover(self):
-        return [Candidate(self.path.name, str(self.path))] if self.path.is_file() else []
 
-    def read(self, spark, candidates, offsets=None):
-        lines, warnings, ends = read_lines(spark, candidates, offsets)
+class EventLines(_LineFiles):
+    """One event a line, strict: an unknown field makes a line malformed."""
+
+    id = "reference-jsonl"
+
+    def read(self, spark, candidates, offsets=None, states=None):
+        kept = []
+        lines, warnings, ends = read_lines(spark, candidates, offsets, kept)
         rows = lines.withColumn("e", _json("line", EVENT)).withColumn("ok", _strict(F.col("line")))
-        return Batch(_own_records(rows.filter("ok")), warnings.unionByName(malformed(rows.filter("NOT ok"), "event")), ends)
+        return Batch(_own_records(rows.filter("ok")), warnings.unionByName(collected(rows.withColumn("says", F.array(_at(~F.col("ok"), "this line is no event and was passed over"))), "says")), ends, kept=kept)
 
 
 class EventSnapshot(Reader):
@@ -136,10 +188,10 @@ class EventSnapshot(Reader):
     def __init__(self, path):
         self.path = Path(path)
 
-    def discover(self):
+    def discover(self, spark=None):
         return [Candidate(self.path.name, str(self.path), "mutable_json")] if self.path.is_file() else []
 
-    def read(self, spark, candidates, offsets=None):
+    def read(self, spark, candidates, offsets=None, states=None):
         docs = whole_files(spark, candidates).withColumn("d", F.from_json("text", "events array<string>"))
         rows = docs.select("source_key", "modified_unix_ms", F.col("d.events").isNull().alias("bad"), F.explode_outer("d.events").alias("line"))
         rows = rows.withColumn("e", _json("line", EVENT)).withColumn("ok", _strict(F.col("line")) & ~F.col("bad"))
@@ -163,7 +215,7 @@ class WireJournals(Reader):
     parser_version = 2
 
     def __init__(self, root):
-        self.root = Path(root)
+        self.root = _home_of(root)
 
     @staticmethod
     def default_roots(env=None):
@@ -172,11 +224,13 @@ class WireJournals(Reader):
         share = _expanded(env["KIMI_SHARE_DIR"], env) if env.get("KIMI_SHARE_DIR") else _home(env) / ".kimi"
         return [code, share]
 
-    def discover(self):
-        return [Candidate(str(p.relative_to(self.root)), str(p)) for p in files_under(self.root / "sessions", "wire.jsonl")]
+    def discover(self, spark=None):
+        return [Candidate(_place(self.root, p), str(p)) for p in files_under(_under(self.root, "sessions"), "wire.jsonl")]
 
-    def read(self, spark, candidates, offsets=None):
-        lines, warnings, ends = read_lines(spark, candidates)
+    def read(self, spark, candidates, offsets=None, states=None):
+        """State: the model that was last requested."""
+        kept = []
+        lines, warnings, ends = read_lines(spark, candidates, _begins(offsets, states), kept)
         rows = lines.withColumn("w", _json("line", _WIRE)).withColumn("session_id", identity.session_of_path(F.col("path")))
         old = F.col("w.message.type").isNotNull() & F.col("w.timestamp").isNotNull()
         kind = F.when(old, F.col("w.message.type")).otherwise(F.col("w.type"))
@@ -186,15 +240,21 @@ class WireJournals(Reader):
         rows = rows.withColumns({"old": old, "kind": kind, **{b: zero(F.when(old, v[s]).otherwise(u[c])) for b, c, s in pairs}})
         negative = F.least(*(b for b, _, _ in pairs)) < 0
         rows = rows.withColumn("ok", F.coalesce(F.col("w").isNotNull() & F.col("w.__bad").isNull() & F.col("kind").isNotNull() & ~negative, F.lit(False)))
-        warnings = warnings.unionByName(malformed(_since(rows.filter("NOT ok"), offsets), "Kimi"))
-        rows = rows.filter("ok")
-        concrete = F.when(~F.col("old") & (F.col("kind") == "llm.request"), identity.plain_model(F.col("w.model")))
-        rows = sequences.carried(rows.withColumn("named", concrete), ["source_key"], "record_offset", {"last_model": "named"})
-        rows = _since(rows, offsets).withColumn("total", _sum(*(F.col(b) for b, _, _ in pairs)))
+        rows = rows.withColumn("named", F.when(F.col("ok") & ~F.col("old") & (F.col("kind") == "llm.request"), identity.plain_model(F.col("w.model"))))
+        rows = _seeded(sequences.carried(rows, ["source_key"], "record_offset", {"last_model": "named"}), states, "struct<last_model:string>")
+        rows = rows.withColumns({"last_model": F.coalesce("last_model", "__s.last_model"), "total": _sum(*(F.col(b) for b, _, _ in pairs))})
         update, usage = F.col("old") & (F.col("kind") == "StatusUpdate") & v.isNotNull(), ~F.col("old") & (F.col("kind") == "usage.record")
-        warnings = warnings.unionByName(warn(rows, usage & u.isNull(), "Kimi usage.record at byte %d has no usage payload; skipped", "record_offset"))
-        warnings = warnings.unionByName(warn(rows, (usage & u.isNotNull() | update) & (F.col("total") == 0), "Kimi usage at byte %d reports no tokens; skipped", "record_offset"))
-        rows = rows.filter((update | (usage & u.isNotNull())) & (F.col("total") > 0) & (F.col("total") <= F.lit(str(U64_MAX)).cast("decimal(20,0)")))
+        rows = rows.withColumns({"update": update, "flat": usage & u.isNotNull(), "says": F.array(
+            _at(~F.col("ok"), "this line is no wire record and was passed over"),
+            _at(F.col("ok") & usage & u.isNull(), "a usage record without its counts was passed over"),
+            _at(F.col("ok") & ((usage & u.isNotNull()) | update) & (F.col("total") == 0), "usage with nothing counted was passed over"),
+        )})
+        rows = settled(rows, "wire", kept)
+        left = rows.groupBy("source_key").agg(F.max_by("last_model", "record_offset").alias("last_model"))
+        after = _states(ends, left, states, F.struct("last_model"))
+        rows = _since(rows, offsets)
+        warnings = warnings.unionByName(collected(rows, "says"))
+        rows = rows.filter("ok AND (update OR flat)").filter((F.col("total") > 0) & (F.col("total") <= F.lit(str(U64_MAX)).cast("decimal(20,0)")))
         raw, scope = F.coalesce("w.model", F.lit("")), F.coalesce("w.usageScope", F.lit("turn"))
         own = identity.plain_model(raw)
         native = F.when(F.col("old"), F.nullif("w.message.payload.message_id", F.lit("")))
@@ -220,10 +280,10 @@ class WireJournals(Reader):
         total = _sum(*(F.col(b) for b in BUCKETS))
         by = W.partitionBy("source_object_id", "event_id")
         records = records.withColumns({"__total": total, "__first": F.min("record_offset").over(by), "__n": F.count(F.lit(1)).over(by)})
-        again = records.filter("__n > 1 AND native_id IS NOT NULL").select(F.col("source_object_id").alias("source_key"), F.format_string("Kimi message %s appears more than once; the largest usage was kept", "native_id").alias("warning")).distinct()
+        again = records.filter("__n > 1 AND native_id IS NOT NULL").select(F.col("source_object_id").alias("source_key"), F.format_string("of several reports of message %s, the one that counts most was taken", "native_id").alias("warning")).distinct()
         best = F.row_number().over(by.orderBy(F.desc("__total"), "record_offset"))
         records = records.withColumn("__r", best).filter("__r = 1").withColumn("record_offset", F.col("__first"))
-        return Batch(records.select(*FIELDS), warnings.unionByName(again), ends)
+        return Batch(records.select(*FIELDS), warnings.unionByName(again), ends, after, kept)
 
 
 # -- session trees
@@ -233,13 +293,17 @@ _P_USAGE = f"struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigin
 _PI = f"type string, version bigint, id string, timestamp string, parentSession string, message struct<role:string,provider:string,model:string,responseModel:string,timestamp:bigint,usage:{_P_USAGE}>, usage {_P_USAGE}"
 
 
+_PI_STATE = "struct<h:struct<version:bigint,id:string,parent:string>,heads:bigint,doubt:boolean>"
+_SIGNED = "kind", "u", "provider", "model", "timestamp"
+
+
 class SessionTrees(Reader):
     """Session files with a header each; a child session repeats entries of the one it was forked from."""
 
     id = "pi-jsonl"
 
     def __init__(self, root):
-        self.root = Path(root)
+        self.root = _home_of(root)
 
     @staticmethod
     def default_roots(env=None):
@@ -250,62 +314,79 @@ class SessionTrees(Reader):
             return [_expanded(env["PI_CODING_AGENT_DIR"], env) / "sessions"]
         return [_home(env) / ".pi" / "agent" / "sessions"]
 
-    def discover(self):
-        import json
-
-        out = []
-        for p in files_under(self.root, "*.jsonl"):
-            key = p.name
-            with open(p, encoding="utf-8", errors="replace") as f:
-                first = next((x for x in f if x.strip()), "")
-            try:
-                head = json.loads(first)
-                if head.get("type") == "session" and head.get("id"):
-                    key = f"session:{head['id']}:{p.name}"
-            except (ValueError, AttributeError):
-                pass
-            out.append(Candidate(key, str(p)))
-        return sorted(out, key=lambda c: c.source_key)
-
-    def read(self, spark, candidates, offsets=None):
-        every = {c.source_key: c for c in [*self.discover(), *candidates]}
-        lines, warnings, ends = read_lines(spark, list(every.values()))
+    def discover(self, spark=None):
+        files = [str(p) for p in files_under(self.root, "*.jsonl")]
+        if not files:
+            return []
+        # A file's key is its header's: the first line that isn't blank. A session's absence means a few files, by hand.
+        if spark is not None:
+            raw, _ = raw_lines(spark, [Candidate(p, p) for p in files], most=1 << 16)
+            first = raw.filter(F.trim(F.col("line").cast("string")) != "").groupBy("source_key").agg(F.min_by(F.col("line").cast("string"), "record_offset").alias("line"))
+            head = F.from_json("line", "type string, id string")
+            ids = {r[0]: r[1] for r in first.filter((head["type"] == "session") & (head["id"] != "")).select("source_key", head["id"]).collect()}  # a row a file
+        else:
+            ids = {p: i for p in files if (i := _header_id(p))}
+        names = {p: p.rsplit("/", 1)[-1] for p in files}
+        return sorted((Candidate(f"session:{ids[p]}:{names[p]}" if p in ids else names[p], p) for p in files), key=lambda c: c.source_key)
+
+    @staticmethod
+    def _parsed(lines: DataFrame) -> DataFrame:
         rows = lines.withColumn("p", _json("line", _PI)).withColumn("file", F.element_at(F.split("path", "/"), -1))
-        ok = F.coalesce(F.col("p").isNotNull() & F.col("p.__bad").isNull() & F.col("p.type").isNotNull(), F.lit(False))
-        rows = rows.withColumn("ok", ok)
-        mine = spark.createDataFrame([(c.source_key,) for c in candidates], "source_key string")
-        ours = lambda df: _since(df.join(F.broadcast(mine), "source_key", "left_semi"), offsets)
-        warnings, ends = warnings.join(F.broadcast(mine), "source_key", "left_semi"), ends.join(F.broadcast(mine), "source_key", "left_semi")
-        warnings = warnings.unionByName(malformed(ours(rows.filter("NOT ok")), "Pi"))
-        bad_parent = rows.filter("NOT ok").select(F.col("file").alias("parent_file")).distinct().withColumn("broken", F.lit(True))
-        rows = rows.filter("ok").withColumn("head", F.when(F.col("p.type") == "session", F.struct(F.coalesce("p.version", F.lit(1)).alias("version"), F.nullif("p.id", F.lit("")).alias("id"), F.col("p.parentSession").alias("parent"))))
-        w = W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumns({"h": F.first("head", ignorenulls=True).over(w), "heads": F.count("head").over(w)})
+        rows = rows.withColumn("ok", F.coalesce(F.col("p").isNotNull() & F.col("p.__bad").isNull() & F.col("p.type").isNotNull(), F.lit(False)))
         message = F.col("p.type") == "message"
         u = F.when(message & (F.col("p.message.role") == "assistant"), F.col("p.message.usage")).when(F.col("p.type").isin("compaction", "branch_summary"), F.col("p.usage"))
-        rows = rows.withColumn("u", u)
-        heads = ours(rows.filter("head IS NOT NULL"))
-        warnings = warnings.unionByName(warn(heads, F.col("heads") > 1, "duplicate Pi session header at byte %d; ignored", "record_offset"))
-        warnings = warnings.unionByName(warn(heads, (F.col("heads") == 1) & (F.col("h.version") > 3), "Pi session schema at byte %d is newer than version 3; usage was skipped", "record_offset"))
-        warnings = warnings.unionByName(warn(heads, (F.col("heads") == 1) & (F.col("h.version") <= 3) & F.col("h.id").isNull(), "Pi session header at byte %d has no id; usage was skipped", "record_offset"))
+        head = F.when(F.col("p.type") == "session", F.struct(F.coalesce("p.version", F.lit(1)).cast("bigint").alias("version"), F.nullif("p.id", F.lit("")).alias("id"), F.col("p.parentSession").alias("parent")))
+        signature = F.struct(F.col("p.type").alias("kind"), u.alias("u"), F.col("p.message.provider").alias("provider"), F.coalesce("p.message.responseModel", "p.message.model").alias("model"), F.col("p.message.timestamp").alias("timestamp"))
+        return rows.withColumns({"head": F.when(F.col("ok"), head), "u": F.when(F.col("ok"), u), "native": F.nullif("p.id", F.lit("")), "signature": signature})
+
+    def read(self, spark, candidates, offsets=None, states=None):
+        """State: the header, how many there were, and whether the lineage is in doubt. Of other files, parents only are read."""
+        kept = []
+        begins = _begins(offsets, states)
+        lines, warnings, ends = read_lines(spark, candidates, begins, kept)
+        rows = _seeded(self._parsed(lines), states, _PI_STATE)
+        w = W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumns({"h": F.coalesce(F.col("__s.h"), F.first("head", ignorenulls=True).over(w)), "heads": F.coalesce(F.col("__s.heads"), F.lit(0)) + F.count("head").over(w)})
+        rows = rows.withColumn("parent_file", F.element_at(F.split("h.parent", "[/\\\\]"), -1)).drop("line")
+        rows = settled(rows, "sessions", kept)
+        # The parent is a file of this name; what a child repeats unchanged from it is the parent's.
+        wanted = {r[0] for r in rows.filter("parent_file IS NOT NULL").select("parent_file").distinct().collect()}  # of these candidates
+        have = {c.path.rsplit("/", 1)[-1] for c in candidates if not begins.get(c.source_key)}
+        others = [Candidate(str(p), str(p)) for p in files_under(self.root, "*.jsonl") if str(p).rsplit("/", 1)[-1] in wanted - have]
+        family = rows.filter(F.col("file").isin(list(wanted & have)) if wanted & have else F.lit(False)).select("file", "record_offset", "ok", "head", "u", "native", "signature")
+        if others:
+            family = family.unionByName(self._parsed(read_lines(spark, others, kept=kept)[0]).select("file", "record_offset", "ok", "head", "u", "native", "signature"))
+        theirs = family.filter("u IS NOT NULL AND head IS NULL AND native IS NOT NULL").groupBy(F.col("file").alias("parent_file"), "native").agg(F.max_by("signature", "record_offset").alias("theirs"))
+        known = family.groupBy(F.col("file").alias("parent_file")).agg(F.max("ok").alias("known"), F.max(~F.col("ok")).alias("broken")).filter("known")
+        message = F.col("p.type") == "message"
         usable = F.coalesce((F.col("h.version") <= 3) & F.col("h.id").isNotNull(), F.lit(False))
-        used = rows.filter("u IS NOT NULL AND head IS NULL").withColumn("usable", usable)
-        warnings = warnings.unionByName(warn(ours(used), ~F.col("usable"), "Pi usage at byte %d appears before a supported session header; skipped", "record_offset"))
+        first = (F.col("heads") == 1) & F.col("head").isNotNull()
+        is_usage = F.col("u").isNotNull() & F.col("head").isNull()
+        fresh = _since(rows, offsets)
+        says = F.array(
+            _at(~F.col("ok"), "this line is no session record and was passed over"),
+            _at(F.col("head").isNotNull() & (F.col("heads") > 1), "another header in the same session was passed over"),
+            _at(first & (F.col("h.version") > 3), "the session's format is newer than version 3; its usage was left out"),
+            _at(first & (F.col("h.version") <= 3) & F.col("h.id").isNull(), "the session's header names no id; its usage was left out"),
+            _at(is_usage & ~usable, "usage that no readable header precedes was left out"),
+        )
+        warnings = warnings.unionByName(collected(fresh.withColumn("says", says), "says"))
         model = F.coalesce(F.nullif("p.message.responseModel", F.lit("")), F.nullif("p.message.model", F.lit("")))
-        used = used.withColumns({"native": F.nullif("p.id", F.lit("")), "signature": F.struct(F.col("p.type").alias("kind"), "u", F.col("p.message.provider").alias("provider"), F.coalesce("p.message.responseModel", "p.message.model").alias("model"), F.col("p.message.timestamp").alias("timestamp"))})
-        # The parent is a file of this name; what a child repeats unchanged from it is the parent's.
-        theirs = used.filter("native IS NOT NULL").groupBy(F.col("file").alias("parent_file"), "native").agg(F.max_by("signature", "record_offset").alias("theirs"))
-        known = rows.select(F.col("file").alias("parent_file")).distinct().withColumn("known", F.lit(True)).join(bad_parent, "parent_file", "left")
-        child = ours(used.filter("usable")).withColumn("parent_file", F.element_at(F.split("h.parent", "[/\\\\]"), -1)).join(known, "parent_file", "left").join(theirs, ["parent_file", "native"], "left")
+        child = rows.filter(is_usage & usable).join(known, "parent_file", "left").join(theirs, ["parent_file", "native"], "left")
         lost = F.col("h.parent").isNotNull() & (F.col("known").isNull() | F.coalesce("broken", F.lit(False)))
-        warnings = warnings.unionByName(child.filter(lost).select("source_key", F.lit("Pi parent session is unavailable or malformed; copied usage was retained").alias("warning")).distinct())
         resolved = F.col("theirs").isNotNull() & ~lost
-        child = child.filter(~(resolved & F.col("signature").eqNullSafe(F.col("theirs")))).withColumn("changed", resolved)
-        warnings = warnings.unionByName(warn(child, F.col("changed"), "Pi inherited entry at byte %d changed usage facts; retained as derived", "record_offset"))
+        child = child.withColumns({"lost": lost, "kept": ~(resolved & F.col("signature").eqNullSafe(F.col("theirs"))), "changed": resolved & ~F.col("signature").eqNullSafe(F.col("theirs"))})
         # From the first changed entry on the lineage is in doubt.
-        doubt = F.max("changed").over(W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0)) | lost
-        child = child.withColumn("doubt", doubt)
-        names = {"input": "input", "output": "output", "cacheRead": "cache read", "cacheWrite": "cache write", "cacheWrite1h": "one-hour cache write", "reasoning": "reasoning"}
+        so_far = W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0)
+        child = child.withColumn("doubt", F.coalesce(F.col("__s.doubt"), F.lit(False)) | F.max(F.col("changed") | F.col("lost")).over(so_far))
+        child = settled(child.drop("theirs", "broken", "known"), "session-usage", kept)
+        left = rows.groupBy("source_key").agg(F.max_by(F.struct("h", "heads"), "record_offset").alias("x"), F.max(F.coalesce(F.col("__s.doubt"), F.lit(False))).alias("was"))
+        left = left.join(child.groupBy("source_key").agg(F.max("doubt").alias("now")), "source_key", "left")
+        after = _states(ends, left, states, F.struct(F.col("x.h").alias("h"), F.col("x.heads").alias("heads"), (F.col("was") | F.coalesce("now", F.lit(False))).alias("doubt")))
+        child = _since(child, offsets)
+        warnings = warnings.unionByName(child.filter("lost").select("source_key", F.lit("the session this one was forked from can't be read; entries that may be its own were kept").alias("warning")).distinct())
+        child = child.filter("kept")
+        names = {"input": "input", "output": "output", "cacheRead": "cache reads", "cacheWrite": "cache writes", "cacheWrite1h": "hour-long cache writes", "reasoning": "reasoning"}
         n = {k: F.greatest(F.coalesce(F.col("u")[k], F.lit(0)), F.lit(0)) for k in names}
         below = {k: F.coalesce(F.col("u")[k] < 0, F.lit(False)) for k in names}
         child = child.withColumns({"input_tokens": n["input"], "output_tokens": F.greatest(n["output"] - n["reasoning"], F.lit(0)), "cache_read_tokens": n["cacheRead"], "cache_write_tokens": n["cacheWrite"], "reasoning_tokens": n["reasoning"]})
@@ -319,26 +400,27 @@ class SessionTrees(Reader):
         whole = parse_nanos(F.col("u.cost.total"))
         nanos = F.when(F.col("u.cost.total").isNotNull(), whole["nanos"]).when(valid & some, added)
         child = child.withColumns({"total": total, "told": told, "nanos": nanos.cast("bigint"), "time": F.coalesce("p.message.timestamp", timeutil.rfc3339_millis(F.col("p.timestamp")))})
-        at = "record_offset"
+        at, limit = "record_offset", F.lit(str(U64_MAX)).cast("decimal(20,0)")
         says = [
-            *(F.when(below[k], F.format_string(f"Pi {names[k]} tokens are negative at byte %d; clamped to zero", at)) for k in names),
-            F.when(n["cacheWrite1h"] > n["cacheWrite"], F.format_string("Pi one-hour cache write exceeds total cache write at byte %d", at)),
-            F.when(n["reasoning"] > n["output"], F.format_string("Pi reasoning exceeds output at byte %d; non-reasoning output was clamped to zero", at)),
-            F.when(F.col("total") == 0, F.format_string("Pi usage at byte %d reports no component tokens; skipped", at)),
-            F.when(F.col("total") > F.lit(str(U64_MAX)).cast("decimal(20,0)"), F.format_string("Pi usage at byte %d overflows the canonical total; skipped", at)),
-            F.when((F.col("total") > 0) & (F.col("told") != F.col("total")), F.format_string("Pi reported total disagrees with component tokens at byte %d", at)),
-            F.when(F.col("native").isNull(), F.format_string("legacy Pi usage at byte %d has no entry id; used offset identity", at)),
-            F.when((F.col("total") > 0) & F.col("time").isNull(), F.format_string("Pi usage at byte %d has no valid timestamp; used file modification time", at)),
-            F.when(F.col("u.cost").isNotNull() & F.col("nanos").isNull(), F.format_string("Pi provider-reported cost at byte %d has no valid total; cost was not retained", at)),
-            F.when(F.col("u.cost").isNotNull() & ~valid, F.format_string("a Pi provider-reported cost component at byte %d is invalid", at)),
-            F.when(F.col("u.cost.total").isNotNull() & valid & some & (added != whole["nanos"]), F.format_string("Pi provider-reported total cost disagrees with cost components at byte %d; retained the source total", at)),
+            _at(F.col("changed"), "an entry of the parent session has other counts here; it was kept, marked as derived"),
+            *(_at(below[k], f"a negative count of {names[k]} was taken as zero") for k in names),
+            _at(n["cacheWrite1h"] > n["cacheWrite"], "more hour-long cache writes than cache writes"),
+            _at(n["reasoning"] > n["output"], "more reasoning than output; the output besides it was taken as zero"),
+            _at(F.col("total") == 0, "usage whose counts are all zero was passed over"),
+            _at(F.col("total") > limit, "usage beyond 64 bits was passed over"),
+            _at((F.col("total") > 0) & (F.col("told") != F.col("total")), "the session's own total is not the sum of its counts"),
+            _at(F.col("native").isNull(), "an entry of the older format has no id; it is known by its place"),
+            _at((F.col("total") > 0) & F.col("time").isNull(), "no time that can be read; the file's time was taken"),
+            _at(F.col("u.cost").isNotNull() & F.col("nanos").isNull(), "the provider's price has no readable total and was left out"),
+            _at(F.col("u.cost").isNotNull() & ~valid, "a part of the provider's price can't be read"),
+            _at(F.col("u.cost.total").isNotNull() & valid & some & (added != whole["nanos"]), "the provider's price differs from the sum of its parts; its total was taken"),
         ]
         child = child.withColumn("says", F.array(*says))
         warnings = warnings.unionByName(collected(child, "says"))
         derived = F.col("doubt") | F.col("native").isNull() | (n["cacheWrite1h"] > n["cacheWrite"]) | (n["reasoning"] > n["output"]) | F.coalesce(F.col("told") != F.col("total"), F.lit(False))
         for k in names:
             derived = derived | below[k]
-        child = child.filter((F.col("total") > 0) & (F.col("total") <= F.lit(str(U64_MAX)).cast("decimal(20,0)")))
+        child = child.filter((F.col("total") > 0) & (F.col("total") <= limit))
         raw = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col("u")[k], F.lit(0)).cast("string")) for k in ("input", "output", "cacheRead", "cacheWrite", "reasoning", "totalTokens")))
         records = _records(
             child, event_id=F.concat(F.lit("pi-v1:"), "source_key", F.lit(":"), F.coalesce("native", F.concat(F.lit("legacy-offset:"), F.col(at).cast("string")))), session_id=F.col("h.id"), client=F.lit("pi"),
@@ -347,7 +429,21 @@ class SessionTrees(Reader):
             timestamp_origin=F.when(F.col("time").isNull(), "file_modified").otherwise("source"), normalization_notes=F.array(F.concat(F.lit("raw usage: "), raw)),
             costs=F.when(F.col("nanos").isNotNull(), F.array(F.struct(F.lit("provider_reported").alias("kind"), F.col("nanos").alias("usd_nanos"), F.lit("exact").alias("confidence")))).otherwise(F.array()),
         )
-        return Batch(records, warnings, ends)
+        return Batch(records, warnings, ends, after, kept)
+
+
+def _header_id(path: str) -> str | None:
+    import json
+
+    from tallywheel.sources.lines import lines_between, opened
+
+    with opened(path) as file:
+        first = next((x for _, lines, _ in lines_between(file, 0, 0, 1 << 16) for x in lines if x.strip()), b"")
+    try:
+        head = json.loads(first)
+        return (head.get("id") or None) if head.get("type") == "session" else None
+    except (ValueError, AttributeError):
+        return None
 
 
 # -- streams of a terminal client
@@ -356,19 +452,14 @@ _A_TOKENS = "input_tokens:bigint,output_tokens:bigint,cache_creation_input_token
 _A = f"type string, parent_tool_use_id string, session_id string, message struct<model:string,usage:struct<model:string,{_A_TOKENS},iterations:array<struct<model:string,{_A_TOKENS}>>>>"
 
 
-class StreamLines(Reader):
+class StreamLines(_LineFiles):
     """A stream of messages; of an answer's iterations the last one has the whole usage."""
 
     id = "amp-stream-json"
 
-    def __init__(self, path):
-        self.path = Path(path)
-
-    def discover(self):
-        return [Candidate(self.path.name, str(self.path))] if self.path.is_file() else []
-
-    def read(self, spark, candidates, offsets=None):
-        lines, warnings, ends = read_lines(spark, candidates, offsets)
+    def read(self, spark, candidates, offsets=None, states=None):
+        kept = []
+        lines, warnings, ends = read_lines(spark, candidates, offsets, kept)
         rows = lines.withColumn("a", _json("line", _A))
         u = F.col("a.message.usage")
         last = F.when(F.size(u["iterations"]) > 0, F.element_at(u["iterations"], -1))
@@ -376,18 +467,19 @@ class StreamLines(Reader):
         rows = rows.withColumns({"input_tokens": pick("input_tokens"), "output_tokens": pick("output_tokens"), "cache_read_tokens": pick("cache_read_input_tokens"), "cache_write_tokens": pick("cache_creation_input_tokens"), "reasoning_tokens": F.lit(0).cast("bigint")})
         ok = F.coalesce(F.col("a").isNotNull() & F.col("a.__bad").isNull() & F.col("a.type").isNotNull() & (F.least(*BUCKETS) >= 0), F.lit(False))
         rows = rows.withColumn("ok", ok)
-        warnings = warnings.unionByName(malformed(rows.filter("NOT ok"), "Amp"))
-        rows = rows.filter("ok").filter((F.col("a.type") == "assistant") & F.col("a.parent_tool_use_id").isNull()).withColumn("total", _sum(*(F.col(b) for b in BUCKETS)))
+        own = F.col("ok") & (F.col("a.type") == "assistant") & F.col("a.parent_tool_use_id").isNull()
+        rows = rows.withColumns({"own": own, "total": _sum(*(F.col(b) for b in BUCKETS))})
         at = "record_offset"
-        here = F.col("a.session_id").isNotNull() & F.col("a.message").isNotNull()
+        here = F.col("own") & F.col("a.session_id").isNotNull() & F.col("a.message").isNotNull()
         over = F.col("total") > F.lit(str(U64_MAX)).cast("decimal(20,0)")
-        for when, text in (
-            (F.col("a.session_id").isNull(), "Amp assistant record at byte %d has no session_id; skipped"),
-            (F.col("a.session_id").isNotNull() & F.col("a.message").isNull(), "Amp assistant record at byte %d has no message; skipped"),
-            (here & u.isNotNull() & (F.col("total") == 0), "Amp usage at byte %d reports no tokens; skipped"),
-            (here & u.isNotNull() & over, "Amp usage at byte %d overflows the canonical token total; skipped"),
-        ):
-            warnings = warnings.unionByName(warn(rows, when, text, at))
+        says = F.array(
+            _at(~F.col("ok"), "this line is no stream record and was passed over"),
+            _at(F.col("own") & F.col("a.session_id").isNull(), "an answer that names no session was passed over"),
+            _at(F.col("own") & F.col("a.session_id").isNotNull() & F.col("a.message").isNull(), "an answer without its message was passed over"),
+            _at(here & u.isNotNull() & (F.col("total") == 0), "an answer that counts nothing was passed over"),
+            _at(here & u.isNotNull() & over, "an answer beyond 64 bits was passed over"),
+        )
+        warnings = warnings.unionByName(collected(rows.withColumn("says", says), "says"))
         rows = rows.filter(here & u.isNotNull() & (F.col("total") > 0) & ~over)
         model = F.coalesce(F.when(last.isNotNull(), last["model"]).otherwise(u["model"]), "a.message.model", F.lit("unknown"))
         records = _records(
@@ -395,4 +487,4 @@ class StreamLines(Reader):
             **{b: F.col(b) for b in BUCKETS}, confidence=F.lit("exact"), schema_variant=F.when(last.isNotNull(), "amp-stream-json-v1-iterations").otherwise("amp-stream-json-v1"), timestamp_origin=F.lit("file_modified"),
             normalization_notes=_notes("the stream has no times; the file's time was used", _note(last.isNotNull(), "the last iteration was used"), _note(model == "unknown", "no model was named")),
         )
-        return Batch(records, warnings, ends)
+        return Batch(records, warnings, ends, kept=kept)

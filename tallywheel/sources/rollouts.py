@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywheel.functions import identity, timeutil
-from tallywheel.operators import sequences
+from tallywheel.operators import lineage, sequences
 from tallywheel.schema import BUCKETS
-from tallywheel.sources.lines import Batch, Candidate, collected, files_under, malformed, read_lines
-from tallywheel.sources.readers import Reader, _expanded, _home, _json, _note, _notes, _records, _since
+from tallywheel.sources.lines import Batch, Candidate, collected, files_under, read_lines
+from tallywheel.sources.readers import Reader, _at, _begins, _expanded, _home, _home_of, _json, _note, _notes, _records, _seeded, _since, _states, _under
+from tallywheel.tables import settled
 
 COUNTERS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")
 EVERY = (*COUNTERS, "total_tokens")
@@ -24,6 +24,14 @@ _C = (
 )
 
 
+_H = "struct<id:string,source:string,originator:string,provider:string,ms:bigint,fork:string,mode:string,base:struct<thread_id:string,end_ordinal_exclusive:bigint,end_byte_offset:bigint>,at:bigint>"
+#: What the next batch of a file has to know: its head and model, the counters, how many reports there were, and how far the
+#: replay of a parent has come.
+_STATE = f"struct<h:{_H},model:string,total:{_U},pos:bigint,n_expected:bigint,same:int,first_apart:bigint,lost:boolean>"
+#: A file's lineage is told by its first record, which is sought in so many bytes.
+HEAD_BYTES = 1 << 16
+
+
 class Rollouts(Reader):
     """rollout-*.jsonl files, plain or zstd, active or archived; of files with one name the most active plain one counts."""
 
@@ -31,66 +39,84 @@ class Rollouts(Reader):
     parser_version = 2
 
     def __init__(self, home):
-        self.home = Path(home)
+        self.home = _home_of(home)
 
     @staticmethod
     def default_roots(env=None):
         env = os.environ if env is None else env
         return [_expanded(env["CODEX_HOME"], env) if env.get("CODEX_HOME") else _home(env) / ".codex"]
 
-    def discover(self):
+    def discover(self, spark=None):
         best: dict[str, tuple[int, Candidate]] = {}
         for folder, rank in (("archived_sessions", 0), ("sessions", 2)):
-            for p in [*files_under(self.home / folder, "*.jsonl"), *files_under(self.home / folder, "*.jsonl.zst")]:
-                key, level = p.name.removesuffix(".zst"), rank + (p.suffix == ".jsonl")
+            for p in map(str, [*files_under(_under(self.home, folder), "*.jsonl"), *files_under(_under(self.home, folder), "*.jsonl.zst")]):
+                name = p.rsplit("/", 1)[-1]
+                key, level = name.removesuffix(".zst"), rank + name.endswith(".jsonl")
                 if key not in best or best[key][0] < level:
-                    best[key] = (level, Candidate(key, str(p)))
+                    best[key] = (level, Candidate(key, p))
         return [c for _, (_, c) in sorted(best.items())]
 
-    def read(self, spark, candidates, offsets=None):
-        every = {c.source_key: c for c in [*self.discover(), *candidates]}
-        lines, warnings, ends = read_lines(spark, list(every.values()))
-        mine = spark.createDataFrame([(c.source_key,) for c in candidates], "source_key string")
-        own = lambda df: df.join(F.broadcast(mine), "source_key", "left_semi")
-        rows = lines.withColumn("line", F.trim("line")).withColumn("c", _json("line", _C))
-        ok = F.coalesce(F.col("c").isNotNull() & F.col("c.__bad").isNull() & F.col("c.type").isNotNull(), F.lit(False))
+    @staticmethod
+    def _parsed(lines: DataFrame) -> DataFrame:
+        rows = lines.withColumn("size", F.octet_length("line") + 1).withColumn("line", F.trim("line")).withColumn("c", _json("line", _C))
         usage = lambda name: F.when(F.col(f"c.payload.info.{name}").isNotNull(), F.struct(*(F.coalesce(F.col(f"c.payload.info.{name}.{x}"), F.lit(0)).alias(x) for x in EVERY)))
-        rows = rows.withColumns({"ok": ok, "total": usage("total_token_usage"), "last": usage("last_token_usage")})
-        warnings = own(warnings).unionByName(malformed(_since(own(rows.filter("NOT ok")), offsets), "Codex"))
-        rows = rows.filter("ok").withColumn("ms", timeutil.rfc3339_millis(F.col("c.timestamp")))
-        # A file is known by its first session_meta; for lineage that must be its first record.
-        source = F.when(F.get_json_object("line", "$.payload.source").isNotNull(), F.when(F.get_json_object("line", "$.payload.source").rlike(r"^[\[{]|^(true|false|-?[0-9.]+)$"), "non_cli").otherwise(F.col("c.payload.source")))
+        ok = F.coalesce(F.col("c").isNotNull() & F.col("c.__bad").isNull() & F.col("c.type").isNotNull(), F.lit(False))
+        rows = rows.withColumns({"ok": ok, "total": usage("total_token_usage"), "last": usage("last_token_usage"), "ms": timeutil.rfc3339_millis(F.col("c.timestamp"))})
+        told = F.get_json_object("line", "$.payload.source")
+        source = F.when(told.isNotNull(), F.when(told.rlike(r"^[\[{]|^(true|false|-?[0-9.]+)$"), "non_cli").otherwise(F.col("c.payload.source")))
         head = F.struct(F.coalesce("c.payload.id", "c.payload.session_id").alias("id"), source.alias("source"), F.col("c.payload.originator").alias("originator"), F.nullif("c.payload.model_provider", F.lit("")).alias("provider"), F.col("ms").alias("ms"), F.nullif("c.payload.forked_from_id", F.lit("")).alias("fork"), F.col("c.payload.history_mode").alias("mode"), F.col("c.payload.history_base").alias("base"), F.col("record_offset").alias("at"))
-        rows = rows.withColumns({"head": F.when(F.col("c.type") == "session_meta", head), "named": F.when(F.col("c.type") == "turn_context", F.nullif("c.payload.model", F.lit("")))})
+        report = F.col("ok") & (F.col("c.type") == "event_msg") & (F.col("c.payload.type") == "token_count")
+        return rows.withColumns({
+            "head": F.when(F.col("ok") & (F.col("c.type") == "session_meta"), head.cast(_H)), "named": F.when(F.col("ok") & (F.col("c.type") == "turn_context"), F.nullif("c.payload.model", F.lit(""))),
+            "report": report, "count": F.coalesce(report & F.col("c.payload.info").isNotNull(), F.lit(False)), "signature": F.struct(F.col("c.timestamp").alias("timestamp"), "total", "last"),
+        })
+
+    @staticmethod
+    def _heads(rows: DataFrame) -> DataFrame:
+        """What the first record of each file says of it; files that begin with another record have no lineage."""
+        return rows.filter("ok").groupBy("source_key").agg(F.min_by("head", "record_offset").alias("m")).filter("m IS NOT NULL").select("source_key", "m.*")
+
+    def read(self, spark, candidates, offsets=None, states=None):
+        """State: see _STATE. A file that goes on where it ended reads what was added; of other files its ancestors are read,
+        and those only while a lineage is open (a file's first batch, or a replay that its last batch didn't end)."""
+        kept = []
+        begins = _begins(offsets, states)
+        lines, warnings, ends = read_lines(spark, candidates, begins, kept)
+        rows = _seeded(self._parsed(lines), states, _STATE)
         so_far = W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumns({"h": F.first("head", ignorenulls=True).over(so_far), "model": F.last("named", ignorenulls=True).over(so_far)})
-        heads = rows.groupBy("source_key").agg(F.min_by("head", "record_offset").alias("m")).filter("m IS NOT NULL").select("source_key", "m.*")
+        rows = rows.withColumns({"h": F.coalesce(F.col("__s.h"), F.first("head", ignorenulls=True).over(so_far)), "model": F.coalesce(F.last("named", ignorenulls=True).over(so_far), F.col("__s.model"))})
+        rows = settled(rows, "rollouts", kept)
         service = ~identity.is_interactive(F.col("h.source"))
         first_head = F.col("head").isNotNull() & (F.col("record_offset") == F.col("h.at"))
-        says = own(rows).filter(first_head & service)
-        warnings = warnings.unionByName(_since(says, offsets).select("source_key", F.lit("Codex rollout belongs to a non-interactive session source; usage was skipped").alias("warning")))
-        counts = rows.filter((F.col("c.type") == "event_msg") & (F.col("c.payload.type") == "token_count"))
-        told = F.col("c.payload.info").isNotNull()
-        silent = _since(own(counts).filter(~told & ~service), offsets)
-        warnings = warnings.unionByName(silent.select("source_key", F.format_string("Codex token_count at byte %d has no usage info; skipped", "record_offset").alias("warning")))
-        counts = counts.filter(told)
-        seeds, problems = self._pages(spark, heads, rows, counts, ends)
-        replays, lost = self._forks(heads, counts)
-        problems = problems.unionByName(lost)
-        warnings = warnings.unionByName(own(problems).select("source_key", "warning")) if not offsets else warnings
-        counts = own(counts.filter(~service))
-        counts = counts.join(F.broadcast(seeds), "source_key", "left").join(F.broadcast(problems.groupBy("source_key").agg(F.lit(True).alias("lost"))), "source_key", "left")
-        counts = sequences.positions(counts, ["source_key"], "record_offset")
-        counts = counts.withColumn("signature", F.struct(F.col("c.timestamp").alias("timestamp"), "total", "last")).join(replays, ["source_key", "pos"], "left")
-        expected = F.max("expected_count").over(W.partitionBy("source_key"))
-        same = F.min(F.col("signature").eqNullSafe(F.col("expected")).cast("int")).over(W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0))
-        counts = counts.withColumns({"n_expected": F.coalesce(expected, F.lit(0)), "same": same})
+        says = F.array(
+            _at(~F.col("ok"), "this line is no rollout record and was passed over"),
+            F.when(first_head & service, F.lit("a rollout of a service, not of a person: its usage was left out")),
+            _at(F.col("report") & ~F.col("count") & ~F.coalesce(service, F.lit(False)), "a report of counts without any was passed over"),
+        )
+        warnings = warnings.unionByName(collected(_since(rows, offsets).withColumn("says", says), "says"))
+        seeds, replays, problems = self._lineage(spark, candidates, begins, rows, ends, kept)
+        # Broken lineages are told once, with the batch in which they were followed.
+        warnings = warnings.unionByName(problems.select("source_key", "warning"))
+        counts = rows.filter(F.col("count") & ~F.coalesce(service, F.lit(False)))
+        counts = counts.join(F.broadcast(seeds), "source_key", "left").join(F.broadcast(problems.groupBy("source_key").agg(F.lit(True).alias("now_lost"))), "source_key", "left")
+        counts = counts.withColumns({"lost": F.coalesce("__s.lost", "now_lost", F.lit(False)), "seed": F.coalesce("__s.total", "seed")})
+        counts = sequences.positions(counts, ["source_key"], "record_offset").withColumn("pos", F.col("pos") + F.coalesce("__s.pos", F.lit(0)))
+        counts = counts.join(replays, ["source_key", "pos"], "left")
+        by = W.partitionBy("source_key")
+        same = F.min(F.col("signature").eqNullSafe(F.col("expected")).cast("int")).over(by.orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0))
+        counts = counts.withColumns({"n_expected": F.coalesce(F.max("expected_count").over(by), "__s.n_expected", F.lit(0)), "same": F.least(same, F.coalesce("__s.same", F.lit(1)))})
         within = F.col("pos") <= F.col("n_expected")
         counts = counts.withColumns({"replayed": within & (F.col("same") == 1), "diverges": within & (F.col("same") == 0)})
-        counts = counts.withColumn("first_apart", F.min(F.when(F.col("diverges"), F.col("pos"))).over(W.partitionBy("source_key")))
+        counts = counts.withColumn("first_apart", F.coalesce("__s.first_apart", F.min(F.when(F.col("diverges"), F.col("pos"))).over(by)))
         counts = sequences.increments(counts, ["source_key"], "record_offset", COUNTERS, seed="seed", also=("total_tokens",))
+        counts = settled(counts.drop("seed", "expected", "expected_count", "now_lost"), "rollout-counts", kept)
+        # What the next batch has to know: the last line's head and model, the last report's counters.
+        lately = rows.groupBy("source_key").agg(F.max_by(F.struct("h", "model", F.col("__s").alias("was")), "record_offset").alias("x"))
+        last = counts.groupBy("source_key").agg(F.max_by(F.struct("after", "pos", "n_expected", F.when(F.col("pos") <= F.col("n_expected"), F.col("same")).otherwise(F.coalesce(F.when(F.col("first_apart").isNotNull(), 0), F.lit(1))).alias("same"), "first_apart", "lost"), "record_offset").alias("y"))
+        left = lately.join(last, "source_key", "left").join(problems.groupBy("source_key").agg(F.lit(True).alias("lost")), "source_key", "left").join(seeds, "source_key", "left").join(replays.groupBy("source_key").agg(F.max("expected_count").alias("expects")), "source_key", "left")
+        pick = lambda now, was, *rest: F.coalesce(F.col(f"y.{now}"), F.col(f"x.was.{was}"), *rest).alias(was)
+        after = _states(ends, left, states, F.struct(F.col("x.h").alias("h"), F.col("x.model").alias("model"), pick("after", "total", F.col("seed")), pick("pos", "pos", F.lit(0).cast("long")), pick("n_expected", "n_expected", F.col("expects")), pick("same", "same", F.lit(1)), pick("first_apart", "first_apart"), pick("lost", "lost", F.col("lost"))))
         apart = F.col("pos") == F.col("first_apart")
-        at = "record_offset"
         d = {c: F.col("delta")[c] for c in EVERY}
         cached = d["cached_input_tokens"].cast("decimal(21,0)") + d["cache_write_input_tokens"]
         sums = d["input_tokens"].cast("decimal(21,0)") + d["output_tokens"]
@@ -99,18 +125,19 @@ class Rollouts(Reader):
         counts = _since(counts, offsets)
         out = F.col("emits") & ~F.col("replayed")
         counts = counts.withColumn("says", F.array(
-            F.when(apart, F.format_string("Codex legacy replay diverged after %d matched usage records; remaining records were retained", F.col("pos") - 1)),
-            F.when(~F.col("emits") & ~F.col("repeats"), F.format_string("Codex token_count at byte %d reports no tokens; skipped", at)),
-            F.when(F.col("reset"), F.format_string("Codex cumulative usage regressed at byte %d; treated it as a reset boundary", at)),
-            F.when(out & over_in, F.format_string("Codex cached input exceeds total input at byte %d; clamped uncached input to zero", at)),
-            F.when(out & over_out, F.format_string("Codex reasoning output exceeds total output at byte %d; clamped non-reasoning output to zero", at)),
-            F.when(out & wrong, F.format_string("Codex reported total disagrees with input plus output at byte %d", at)),
-            F.when(out & F.col("ms").isNull(), F.format_string("Codex usage at byte %d has no valid timestamp; used file modification time", at)),
+            F.when(apart, F.format_string("the parent's usage is repeated for %d reports only; all that follows was kept", F.col("pos") - 1)),
+            _at(~F.col("emits") & ~F.col("repeats"), "a report whose counts are all zero was passed over"),
+            _at(F.col("reset"), "a counter fell; counting begins anew here"),
+            _at(out & over_in, "more cached input than input; the rest of the input was taken as zero"),
+            _at(out & over_out, "more reasoning than output; the rest of the output was taken as zero"),
+            _at(out & wrong, "the total told is not input and output together"),
+            _at(out & F.col("ms").isNull(), "no time that can be read; the file's time was taken"),
         ))
         warnings = warnings.unionByName(collected(counts, "says"))
-        doubt = F.coalesce("lost", F.lit(False)) | F.coalesce(F.col("pos") >= F.col("first_apart"), F.lit(False))
+        doubt = F.col("lost") | F.coalesce(F.col("pos") >= F.col("first_apart"), F.lit(False))
         rows = counts.filter(out).withColumn("doubt", doubt)
         client = F.when(F.col("h").isNull(), "codex-cli").otherwise(identity.client_of(F.coalesce("h.source", F.lit("cli")), F.col("h.originator")))
+        at = "record_offset"
         legacy = F.concat(F.lit("legacy:"), F.sha2(F.concat(F.col("source_key").cast("binary"), identity.little_endian_u64(F.col(at)), F.col("line").cast("binary")), 256))
         place = F.coalesce(F.concat(F.lit("ordinal:"), F.col("c.ordinal").cast("string")), legacy)
         raw = F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), d[c].cast("string")) for c in EVERY))
@@ -122,88 +149,99 @@ class Rollouts(Reader):
             timestamp_origin=F.when(F.col("ms").isNull(), "file_modified").otherwise("source"),
             normalization_notes=_notes(_note(F.col("ms").isNull(), "no valid timestamp; the file's time was used"), F.concat(F.lit("raw usage: "), raw), _note(F.col("doubt"), "lineage could not be resolved exactly; usage was retained"), _note(client != "codex-cli", F.concat(F.lit("client "), client, F.lit(" from source "), F.coalesce("h.source", F.lit("unknown")), F.lit(" and originator "), F.coalesce("h.originator", F.lit("unknown"))))),
         )
-        return Batch(records, warnings, own(ends))
-
-    def _forks(self, heads: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(source_key, pos, expected, expected_count) of forks' replays, and (source_key, warning) of forks without a parent.
+        return Batch(records, warnings, ends, after, kept)
+
+    def _lineage(self, spark: SparkSession, candidates, begins: dict[str, int], rows: DataFrame, ends: DataFrame, kept: list) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Of the candidates whose lineage is open: (source_key, seed), the counters at which a page begins; (source_key, pos,
+        expected, expected_count), what a fork repeats; (source_key, warning), what can't be followed."""
+        nothing = spark.createDataFrame([], f"source_key string, seed {_U}"), spark.createDataFrame([], f"source_key string, pos bigint, expected struct<timestamp:string,total:{_U},last:{_U}>, expected_count bigint"), spark.createDataFrame([], "source_key string, warning string")
+        whole = [c.source_key for c in candidates if not begins.get(c.source_key)]
+        own = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in whole], "source_key string")), "source_key", "left_semi")
+        fresh = self._heads(own)
+        waiting = rows.filter((F.col("__s.n_expected") > F.col("__s.pos")) & (F.col("__s.same") == 1)).groupBy("source_key").agg(F.first("__s.h").alias("m")).select("source_key", "m.*")
+        mine = settled(fresh.unionByName(waiting).filter("fork IS NOT NULL OR base IS NOT NULL"), "lineage-heads", kept)
+        if not mine.limit(1).count():
+            return nothing
+        every = {c.source_key: c for c in [*self.discover(), *candidates]}
+        heads = settled(self._heads(self._parsed(read_lines(spark, list(every.values()), most=HEAD_BYTES, kept=kept)[0])), "all-heads", kept)
+        links, parents = self._page_links(heads), self._fork_parents(mine, heads)
+        pages = mine.filter("base IS NOT NULL").select(F.col("source_key").alias("node"))
+        above = lineage.ancestors(links.select("child", "parent"), pages).unionByName(parents.filter("parent IS NOT NULL").select(F.col("parent").alias("node"))).distinct()
+        above = settled(above, "ancestors-of-pages", kept)
+        wanted = {r["node"] for r in above.collect()} - set(whole)  # the files that these candidates descend from
+        lines, _, more = read_lines(spark, [every[k] for k in sorted(wanted)], kept=kept)
+        theirs = self._parsed(lines)
+        known = settled(theirs.unionByName(own.select(*theirs.columns)), "lineage-rows", kept)
+        chain = links.join(above.withColumnRenamed("node", "child"), "child", "left_semi")
+        seeds, broken = self._pages(chain, pages.withColumnRenamed("node", "source_key"), known, ends.unionByName(more).dropDuplicates(["source_key"]))
+        replays, lost = self._forks(mine, parents, known.filter("count"))
+        return seeds, replays, broken.unionByName(lost)
 
-        The parent has the id that the fork names and began no later; of several, the largest key. Its records up to the
-        fork's time are what the fork may repeat.
-        """
-        forks = heads.filter("fork IS NOT NULL AND base IS NULL").select("source_key", "fork", "ms", "id")
-        mine = forks.filter(~F.col("fork").eqNullSafe(F.col("id"))).select("source_key", "fork", "ms")
+    @staticmethod
+    def _fork_parents(mine: DataFrame, heads: DataFrame) -> DataFrame:
+        """(source_key, parent) of forks: the file with the id that the fork names that began no later; of several, the largest key."""
+        forks = mine.filter("fork IS NOT NULL AND base IS NULL").filter(~F.col("fork").eqNullSafe(F.col("id"))).select("source_key", "fork", "ms")
         theirs = heads.select(F.col("source_key").alias("parent"), F.col("id").alias("fork"), F.col("ms").alias("begun"))
-        found = sequences.latest_parent(mine, theirs, "fork", "ms", "begun", "source_key", "parent").join(mine, "source_key")
-        parents = counts.select(F.col("source_key").alias("parent"), "record_offset", F.col("ms").alias("at"), F.struct(F.col("c.timestamp").alias("timestamp"), "total", "last").alias("expected"))
-        replay = found.join(parents, "parent").filter(F.col("at") <= F.col("ms"))
+        return sequences.latest_parent(forks, theirs, "fork", "ms", "begun", "source_key", "parent")
+
+    def _forks(self, mine: DataFrame, parents: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(source_key, pos, expected, expected_count) of forks' replays, and (source_key, warning) of forks without a parent.
+        A parent's reports up to the fork's time are what the fork may repeat."""
+        forks = mine.filter("fork IS NOT NULL AND base IS NULL").select("source_key", "fork", "ms", "id")
+        theirs = counts.select(F.col("source_key").alias("parent"), "record_offset", F.col("ms").alias("at"), F.col("signature").alias("expected"))
+        replay = parents.join(forks.select("source_key", "ms"), "source_key").join(theirs, "parent").filter(F.col("at") <= F.col("ms"))
         replay = sequences.positions(replay, ["source_key"], "record_offset").withColumn("expected_count", F.count(F.lit(1)).over(W.partitionBy("source_key")))
         matched = replay.select("source_key").distinct().withColumn("has", F.lit(True))
-        lost = forks.join(found.select("source_key", "parent"), "source_key", "left").join(matched, "source_key", "left").filter("has IS NULL")
+        lost = forks.join(parents, "source_key", "left").join(matched, "source_key", "left").filter("has IS NULL")
         text = (
-            F.when(F.col("fork").eqNullSafe(F.col("id")), "Codex legacy fork has a self-referencing parent; replay was not deduplicated")
-            .when(F.col("parent").isNull(), F.format_string("Codex legacy parent %s is missing; replay was not deduplicated", "fork"))
-            .otherwise(F.format_string("Codex legacy parent %s has no matchable usage prefix; replay was not deduplicated", "fork"))
+            F.when(F.col("fork").eqNullSafe(F.col("id")), "this fork names itself as its parent; what it repeats could not be told")
+            .when(F.col("parent").isNull(), F.format_string("the parent %s of this fork was not found; what it repeats could not be told", "fork"))
+            .otherwise(F.format_string("the parent %s of this fork reports nothing before it; what it repeats could not be told", "fork"))
         )
         return replay.select("source_key", "pos", "expected", "expected_count"), lost.select("source_key", text.alias("warning"))
 
-    def _pages(self, spark: SparkSession, heads: DataFrame, rows: DataFrame, counts: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(source_key, seed): the counters at which a page of a thread begins, and (source_key, warning) of broken chains.
+    @staticmethod
+    def _page_links(heads: DataFrame) -> DataFrame:
+        """(child, parent, cut, ordinals, thread, mode, parent_mode) for each page, by the rollout that it continues; a rollout
+        of several files is the one of the smallest key."""
+        rollouts = heads.withColumn("rollout", identity.rollout_id(F.col("source_key"))).filter("rollout IS NOT NULL").groupBy("rollout").agg(F.min("source_key").alias("parent"))
+        pages = heads.filter("base IS NOT NULL").select(F.col("source_key").alias("child"), "mode", F.col("base.thread_id").alias("thread"), F.col("base.end_byte_offset").alias("cut"), F.col("base.end_ordinal_exclusive").alias("ordinals"))
+        modes = heads.select(F.col("source_key").alias("parent"), F.col("mode").alias("parent_mode"))
+        return pages.join(rollouts.withColumnRenamed("rollout", "thread"), "thread", "left").join(modes, "parent", "left")
+
+    @staticmethod
+    def _pages(links: DataFrame, pages: DataFrame, rows: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(source_key, seed): the counters at which a page begins, and (source_key, warning) of chains that can't be followed.
 
-        The chain of pages is followed on the driver, over a row for each file that continues another; the counters at
-        the cuts are one aggregation over the parents' records.
+        A link is good if the parent's records before the cut end there, and all have ordinals below the cut's. The seed is
+        the nearest ancestor's running counters at its cut.
         """
-        seed_kind = f"source_key string, seed {_U}"
-        pages = heads.filter("base IS NOT NULL").select("source_key", "mode", "base.*").collect()
-        if not pages:
-            return spark.createDataFrame([], seed_kind), spark.createDataFrame([], "source_key string, warning string")
-        modes = {r["source_key"]: r["mode"] for r in heads.select("source_key", "mode").collect()}
-        by_rollout = {}
-        for r in heads.select("source_key", identity.rollout_id(F.col("source_key")).alias("rollout")).filter("rollout IS NOT NULL").orderBy("source_key").collect():
-            by_rollout.setdefault(r["rollout"], r["source_key"])
-        base = {r["source_key"]: r for r in pages}
-        cuts = [(k, by_rollout[r["thread_id"]], r["end_byte_offset"], r["end_ordinal_exclusive"]) for k, r in base.items() if r["thread_id"] in by_rollout]
-        at = {}
-        if cuts:
-            pairs = spark.createDataFrame(cuts, "child string, source_key string, cut bigint, ordinals bigint")
-            before = rows.join(F.broadcast(pairs), "source_key").filter("record_offset < cut")
-            stop = F.col("record_offset") + F.octet_length("line") + 1
-            facts = before.groupBy("child").agg(F.max(stop).alias("stop"), F.max(F.col("c.ordinal").isNull()).alias("bare"), F.max(F.col("c.ordinal") >= F.col("ordinals")).alias("crosses"), F.max("cut").alias("cut"))
-            length = pairs.join(ends, "source_key", "left").select("child", F.coalesce("committed_offset", F.lit(0)).alias("length"))
-            told = counts.join(F.broadcast(pairs), "source_key").filter("record_offset < cut").groupBy("child").agg(F.sort_array(F.collect_list(F.struct("record_offset", "total", "last"))).alias("u"))
-            add = lambda s, x: F.struct(*((F.coalesce(s[c], F.lit(0)) + F.coalesce(x["last"][c], F.lit(0))).alias(c) for c in EVERY))
-            none = F.lit(None).cast(_U)
-            run = F.aggregate("u", none, lambda s, x: F.when(x["total"].isNotNull(), x["total"]).when(x["last"].isNotNull(), add(s, x)).otherwise(none).cast(_U))
-            for r in length.join(facts, "child", "left").join(told.select("child", run.alias("seed")), "child", "left").collect():
-                at[r["child"]] = r
-        seeds, warnings = [], []
-        for key in base:
-            seed, problem, seen, here = None, None, {next((i for i, k in by_rollout.items() if k == key), key)}, key
-            while here in base and problem is None:
-                b = base[here]
-                if b["mode"] != "paginated":
-                    problem = "history_base appears on a non-paginated rollout"
-                elif not b["end_ordinal_exclusive"]:
-                    problem = "parent cutoff ordinal is zero"
-                elif b["thread_id"] in seen:
-                    problem = f"lineage cycle at rollout {b['thread_id']}"
-                elif b["thread_id"] not in by_rollout:
-                    problem = f"parent rollout {b['thread_id']} is missing"
-                elif modes.get(by_rollout[b["thread_id"]]) != "paginated":
-                    problem = f"parent rollout {b['thread_id']} is not paginated"
-                elif (cut := at[here])["stop"] is not None and cut["stop"] > cut["cut"]:
-                    problem = f"parent cutoff byte {cut['cut']} is not a JSONL record boundary"
-                elif cut["length"] < b["end_byte_offset"]:
-                    problem = f"parent cutoff byte {b['end_byte_offset']} was not reached"
-                elif cut["bare"]:
-                    problem = "parent record before cutoff has no ordinal"
-                elif cut["crosses"]:
-                    problem = "a parent ordinal crosses the exclusive cutoff"
-                else:
-                    seed = seed or cut["seed"]
-                    seen.add(b["thread_id"])
-                    here = by_rollout[b["thread_id"]]
-            if problem:
-                warnings.append((key, f"Codex paginated lineage unresolved: {problem}"))
-            elif seed is not None:
-                seeds.append((key, tuple(seed)))
-        return spark.createDataFrame(seeds, seed_kind), spark.createDataFrame(warnings, "source_key string, warning string")
+        cuts = links.filter("parent IS NOT NULL").select("child", F.col("parent").alias("source_key"), "cut", "ordinals")
+        before = rows.join(cuts, "source_key").filter("record_offset < cut")
+        facts = before.groupBy("child").agg(F.max(F.col("record_offset") + F.col("size")).alias("stop"), F.max(~F.col("ok")).alias("bad"), F.max(F.col("c.ordinal").isNull()).alias("bare"), F.max(F.col("c.ordinal") >= F.col("ordinals")).alias("crosses"))
+        # The counters at the cut: the last total, and the increments that were reported without one since.
+        told = before.filter("count").select("child", "record_offset", "total", "last")
+        reset = F.col("total").isNotNull() | F.col("last").isNull()
+        since = F.max(F.when(reset, F.struct("record_offset", "total"))).over(W.partitionBy("child"))
+        told = told.withColumn("base", since).filter(F.col("base").isNull() | (F.col("record_offset") >= F.col("base.record_offset")))
+        added = {c: F.coalesce(F.sum(F.when(~reset, F.col("last")[c])), F.lit(0)) for c in EVERY}
+        held = told.groupBy("child").agg(F.first("base").alias("base"), F.max(~reset).alias("more"), *(x.alias(c) for c, x in added.items()))
+        seed = F.when(F.col("base.total").isNotNull() | F.col("more"), F.struct(*((F.coalesce(F.col("base.total")[c], F.lit(0)) + F.col(c)).alias(c) for c in EVERY)).cast(_U))
+        length = ends.select(F.col("source_key").alias("parent"), F.col("committed_offset").alias("length"))
+        checked = links.join(facts, "child", "left").join(held.select("child", seed.alias("value")), "child", "left").join(length, "parent", "left")
+        say = lambda text, *args: F.format_string(text, *args)
+        problem = F.when(~F.coalesce(F.col("mode") == "paginated", F.lit(False)), "it continues another rollout but is not kept in pages").when(
+            F.coalesce(F.col("ordinals"), F.lit(0)) == 0, "the cut in its parent is before the first record"
+        )
+        late = (
+            F.when(F.col("parent").isNull(), say("its parent %s was not found", "thread"))
+            .when(~F.coalesce(F.col("parent_mode") == "paginated", F.lit(False)), say("its parent %s is not kept in pages", "thread"))
+            .when(F.col("stop") > F.col("cut"), say("the cut at byte %d is inside a record of the parent", "cut"))
+            .when(F.coalesce("length", F.lit(0)) < F.col("cut"), say("the parent ends before the cut at byte %d", "cut"))
+            .when(F.col("bad") | F.col("bare"), "a record of the parent before the cut has no ordinal")
+            .when(F.col("crosses"), "a record of the parent before the cut has an ordinal beyond it")
+        )
+        found = lineage.resolve(checked.select("child", "parent", problem.alias("problem"), late.alias("late"), "value")).withColumnRenamed("child", "source_key").join(pages, "source_key", "left_semi")
+        ring = F.when(F.col("cycle").isNotNull(), F.format_string("its ancestors form a cycle at %s", "cycle"))
+        text = F.concat(F.lit("the pages before this one can't be followed: "), F.coalesce("problem", ring))
+        return found.filter("value IS NOT NULL").select("source_key", F.col("value").alias("seed")), found.select("source_key", text.alias("warning")).filter("warning IS NOT NULL")

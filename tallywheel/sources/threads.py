@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tallywheel.functions import identity, timeutil
 from tallywheel.functions.money import U64_MAX
+from tallywheel.operators.pairing import greedy_pairs
 from tallywheel.sources.lines import Batch, Candidate, collected, files_under, whole_files
-from tallywheel.sources.readers import Reader, _expanded, _home, _json, _note, _notes, _records, _sum
+from tallywheel.sources.readers import Reader, _expanded, _home, _home_of, _json, _note, _notes, _records, _sum
+from tallywheel.tables import settled
 
 _TOKENS = "input:bigint,output:bigint,cacheReadInputTokens:bigint,cacheCreationInputTokens:bigint"
 _USAGE = "inputTokens:bigint,outputTokens:bigint,cacheReadInputTokens:bigint,cacheCreationInputTokens:bigint"
@@ -20,34 +20,6 @@ _T = (
     f"messages array<struct<role:string,messageId:bigint,usage:struct<model:string,{_USAGE},credits:double>>>"
 )
 COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
-_PAIRED = "source_key string, kind string, pos int, model string, warning string"
-
-
-def pair(rows: pd.DataFrame) -> pd.DataFrame:
-    """One thread's rows: which stay, with the ledger's unknown models filled from the messages that match them.
-
-    Each message, in order, takes the first free ledger row with its message id, else the first with its model and
-    tokens; a message that finds none stays as usage of its own. One thread is one document, so the group is small.
-    """
-    key = rows["source_key"].iloc[0]
-    ordered = rows.sort_values("pos")
-    ledger = [r for r in ordered.to_dict("records") if r["kind"] == "ledger"]
-    free, out = [True] * len(ledger), []
-    for m in (r for r in ordered.to_dict("records") if r["kind"] == "message"):
-        same = lambda a: all(a[c] == m[c] for c in COUNTS)  # noqa: B023, E731
-        hit = next((i for i, r in enumerate(ledger) if free[i] and pd.notna(m["message_id"]) and r["message_id"] == m["message_id"]), None)
-        if hit is None:
-            hit = next((i for i, r in enumerate(ledger) if free[i] and r["model"] == m["model"] and same(r)), None)
-        if hit is None:
-            out.append((key, "message", m["pos"], m["model"], None))
-            continue
-        free[hit] = False
-        warning = None if same(ledger[hit]) else f"Amp usageLedger and assistant usage disagree for message {int(m['message_id']) if pd.notna(m['message_id']) else 0}; kept usageLedger facts"
-        if ledger[hit]["model"] == "unknown":
-            ledger[hit]["model"] = m["model"]
-        ledger[hit]["warning"] = warning
-    out += [(key, "ledger", r["pos"], r["model"], r.get("warning")) for r in ledger]
-    return pd.DataFrame(out, columns=["source_key", "kind", "pos", "model", "warning"])
 
 
 class Threads(Reader):
@@ -58,7 +30,7 @@ class Threads(Reader):
     resumable = False
 
     def __init__(self, root):
-        self.root = Path(root)
+        self.root = _home_of(root)
 
     @staticmethod
     def default_roots(env=None):
@@ -66,10 +38,13 @@ class Threads(Reader):
         data = _expanded(env["XDG_DATA_HOME"], env) if env.get("XDG_DATA_HOME") else _home(env) / ".local" / "share"
         return [data / "amp" / "threads"]
 
-    def discover(self):
-        return [Candidate(p.name, str(p), "mutable_json") for p in files_under(self.root, "T-*.json", recursive=False)]
+    def discover(self, spark=None):
+        return [Candidate(str(p).rsplit("/", 1)[-1], str(p), "mutable_json") for p in files_under(self.root, "T-*.json", recursive=False)]
 
-    def read(self, spark, candidates, offsets=None):
+    def read(self, spark, candidates, offsets=None, states=None):
+        """Records come by source, time and event id. Each message, in order, takes the first free ledger row with its message
+        id, else the first with its model and counts; a message that finds none is usage of its own."""
+        kept = []
         docs = whole_files(spark, candidates).withColumn("t", _json("text", _T))
         ok = F.coalesce(F.col("t").isNotNull() & F.col("t.__bad").isNull(), F.lit(False))
         broken = docs.filter(~ok).select("source_key", F.lit("[schema] the document is no thread").alias("warning"))
@@ -82,8 +57,7 @@ class Threads(Reader):
         g = docs.select(*base[:4], F.posexplode("messages").alias("pos", "g")).filter("g.role = 'assistant' AND g.usage IS NOT NULL")
         g = g.select(*base, F.lit("message").alias("kind"), F.lit(None).cast("string").alias("said"), F.col("g.usage.model").alias("m"), F.col("g.usage.credits").isNotNull().alias("credit"), zero("g.usage.inputTokens").alias("a"), zero("g.usage.outputTokens").alias("b"), zero("g.usage.cacheReadInputTokens").alias("c"), zero("g.usage.cacheCreationInputTokens").alias("d"), F.col("g.messageId").alias("mid"))
         rows = e.unionByName(g)
-        label = F.when(F.col("kind") == "ledger", "Amp ledger event ").otherwise("Amp assistant usage ")
-        name = F.concat(label, F.col("pos").cast("string"))
+        name = F.concat(F.when(F.col("kind") == "ledger", "row ").otherwise("message "), F.col("pos").cast("string"), F.lit(": "))
         at = timeutil.rfc3339_millis(F.col("said"))
         rows = rows.withColumns({
             "message_id": F.when(F.col("mid") > 0, F.col("mid")), "derived": F.least("a", "b", "c", "d") < 0, "model": F.coalesce(F.nullif("m", F.lit("")), F.lit("unknown")), "at": F.nullif(at, F.lit(0)),
@@ -93,18 +67,25 @@ class Threads(Reader):
         over = F.col("total") > F.lit(str(U64_MAX)).cast("decimal(20,0)")
         usable = (F.col("total") > 0) & ~over
         rows = rows.withColumn("says", F.array(
-            F.when(F.col("derived"), F.concat(name, F.lit(" contains negative token values; clamped them to zero"))),
-            F.when(F.col("total") == 0, F.concat(name, F.lit(" reports no tokens; skipped"))),
-            F.when(over, F.concat(name, F.lit(" token total overflows u64; skipped"))),
-            F.when(usable & F.col("said").isNotNull() & F.col("at").isNull(), F.concat(name, F.lit(" has an invalid timestamp; used fallback time"))),
-            F.when(usable & (F.coalesce(F.col("m"), F.lit("")) == ""), F.concat(name, F.lit(" has no model; using unknown"))),
+            F.when(F.col("derived"), F.concat(name, F.lit("negative counts were taken as zero"))),
+            F.when(F.col("total") == 0, F.concat(name, F.lit("it counts nothing and was passed over"))),
+            F.when(over, F.concat(name, F.lit("its counts go beyond 64 bits; it was passed over"))),
+            F.when(usable & F.col("said").isNotNull() & F.col("at").isNull(), F.concat(name, F.lit("its time can't be read; another was taken"))),
+            F.when(usable & (F.coalesce(F.col("m"), F.lit("")) == ""), F.concat(name, F.lit("it names no model"))),
         ))
+        rows = settled(rows, "threads", kept)
         credits = rows.groupBy("source_key").agg(F.sum(F.col("credit").cast("long")).alias("n")).filter("n > 0")
-        warnings = broken.unionByName(collected(rows, "says")).unionByName(credits.select("source_key", F.format_string("observed %d Amp credit value(s); credit semantics are undocumented and are not yet persisted as USD cost", "n").alias("warning")))
+        warnings = broken.unionByName(collected(rows, "says")).unionByName(credits.select("source_key", F.format_string("%d amounts of credit were seen; they are no prices and were not kept", "n").alias("warning")))
         rows = rows.filter(usable).drop("says")
-        paired = rows.select("source_key", "kind", "pos", "model", "message_id", *COUNTS).groupBy("source_key").applyInPandas(pair, _PAIRED).persist()
-        warnings = warnings.unionByName(paired.filter("warning IS NOT NULL").select("source_key", "warning"))
-        rows = rows.drop("model").join(paired.drop("warning"), ["source_key", "kind", "pos"])
+        side = lambda kind: rows.filter(F.col("kind") == kind).select("source_key", "pos", F.col("message_id").alias("first"), F.struct("model", *COUNTS).alias("second"))
+        pairs = settled(greedy_pairs(side("message"), side("ledger"), "source_key"), "thread-pairs", kept)
+        said = rows.filter("kind = 'message'").select("source_key", F.col("pos").alias("asker"), F.col("model").alias("other"), F.struct(*COUNTS).alias("counted"), F.coalesce("message_id", F.lit(0)).alias("id"))
+        taken = pairs.join(said, ["source_key", "asker"]).select("source_key", F.lit("ledger").alias("kind"), F.col("taken").cast("int").alias("pos"), "other", "counted", "id")
+        gone = pairs.select("source_key", F.lit("message").alias("kind"), F.col("asker").cast("int").alias("pos"))
+        rows = rows.join(gone, ["source_key", "kind", "pos"], "left_anti").join(taken, ["source_key", "kind", "pos"], "left")
+        unlike = F.col("counted").isNotNull() & (F.col("counted") != F.struct(*COUNTS))
+        warnings = warnings.unionByName(rows.filter(unlike).select("source_key", F.format_string("message %d counts otherwise than its row of the ledger; the row was taken", "id").alias("warning")))
+        rows = rows.withColumn("model", F.when(F.col("model") == "unknown", F.coalesce("other", "model")).otherwise(F.col("model")))
         origin = F.when(F.col("at").isNotNull(), "source").when(F.col("created").isNotNull(), "derived").otherwise("file_modified")
         prefix = F.when(F.col("kind") == "ledger", "toMessageId:").otherwise("messageId:")
         records = _records(
@@ -112,4 +93,4 @@ class Threads(Reader):
             occurred_at_unix_ms=F.coalesce("at", "created", "modified_unix_ms"), **{c: F.col(c) for c in COUNTS}, reasoning_tokens=F.lit(0), confidence=F.when(F.col("derived"), "derived").otherwise("exact"), native_id=F.concat(prefix, F.col("message_id").cast("string")),
             record_offset=F.lit(None), schema_variant=F.lit("amp-local-thread-v1"), timestamp_origin=origin, normalization_notes=_notes(_note(origin == "derived", "no time of its own; the thread's was used"), _note(origin == "file_modified", "no time at all; the file's was used")),
         )
-        return Batch(records, warnings)
+        return Batch(records.orderBy("source_object_id", "occurred_at_unix_ms", "event_id"), warnings, kept=kept)

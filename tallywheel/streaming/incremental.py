@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tallywheel.operators.ledger import Checkpoint, Commit, Ledger, status_of
 from tallywheel.operators.pricing import RateDataset
 from tallywheel.plans import queries as Q
-from tallywheel.sources.lines import Candidate, digests, unreadable
+from tallywheel.sources.lines import Candidate, digests, stat
 from tallywheel.sources.readers import Reader
+from tallywheel.tables import settled
 
 DAY_MS = 86_400_000
 #: Sources that go into the ledger in one commit; a cancelled scan keeps the commits before.
@@ -69,6 +70,12 @@ def start_of(reader: Reader, c: Candidate, row, state: tuple[int, str, str | Non
     return None if size == offset else ("append", offset)
 
 
+def unchanged(reader: Reader, row, now: tuple[int, int]) -> bool:
+    """Whether a file is as it was when its source was last read, by size and modification time: then nothing of it is read."""
+    status, checkpoint = status_of(row, reader.parser_version)
+    return status == "current" and row["last_error"] is None and (checkpoint.source_len, checkpoint.modified_ns) == now
+
+
 def _parted(message: str) -> tuple[str, str]:
     """A warning "[kind] text" as (kind, text)."""
     kind, _, text = message[1:].partition("] ")
@@ -78,14 +85,15 @@ def _parted(message: str) -> tuple[str, str]:
 def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, scan_: Scan | None = None, dataset: RateDataset | None = None, full_every_ms: int = DAY_MS, commit_sources: int = COMMIT_SOURCES) -> Scan:
     """Reads everything that is new into the ledger: (installation id, reader) pairs, one plan for each reader.
 
-    A file that is unchanged is not read again; one that was rewritten replaces its events; a source whose last full
-    read is older than full_every_ms is read whole (a first read counts as one). A file that disappears keeps its
-    events. A source that fails is recorded and doesn't stop the others; candidates of a kind that the reader doesn't
+    A file of the same size and time as before is not opened; of one that grew, the bytes before are hashed and the lines
+    after are read, with what the reader left to know (Batch.states); one that was rewritten replaces its events; a source
+    whose last full read is older than full_every_ms is read whole (a first read counts as one). A file that disappears keeps
+    its events. A source that fails is recorded and doesn't stop the others; candidates of a kind that the reader doesn't
     read fail. commit_sources sources go into the ledger at a time. Estimates are renewed last.
     """
     spark, state = ledger.spark, scan_ or Scan()
     for installation, reader in readers:
-        found = reader.discover()
+        found = reader.discover(spark)
         state.discovered += len(found)
         state.tell()
         if not found:
@@ -101,43 +109,52 @@ def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, sca
         if ledger.table("source_installations").filter((F.col("id") == installation) & ~F.col("enabled")).limit(1).count():
             continue
         due = {r["source_object_id"] for r in Q.due_sources(ledger.table("source_objects"), ledger.table("source_installations"), ledger.table("ingest_runs"), now_ms, full_every_ms).collect()}
-        broken = unreadable(spark, found) | {c.source_key: f"[schema] {reader.id} doesn't read {c.kind}" for c in found if c.kind not in reader.kinds}
+        row = lambda c: known[ids[c.source_key]]  # noqa: B023, E731
+        late = lambda c: ids[c.source_key] in due and (row(c)["last_success_unix_ms"] or 0) <= now_ms - full_every_ms  # noqa: B023, E731
+        there = {c.source_key: stat(c.path) for c in found}
+        broken = {c.source_key: f"[schema] {reader.id} doesn't read {c.kind}" for c in found if c.kind not in reader.kinds} | {k: "[io] the file is gone" for k, s in there.items() if s is None}
         failures = [(ids[k], *_parted(said)) for k, said in broken.items()]
-        readable = [c for c in found if c.source_key not in broken]
-        states = digests(spark, {c.path: known[ids[c.source_key]]["byte_offset"] for c in readable})
-        plan = {c.source_key: start_of(reader, c, known[ids[c.source_key]], states[c.path], ids[c.source_key] in due, now_ms, full_every_ms) for c in readable}
-        wanted = [c for c in readable if plan[c.source_key]]
+        changed = [c for c in found if c.source_key not in broken and (late(c) or not unchanged(reader, row(c), there[c.source_key]))]
+        states = digests(spark, {c.path: row(c)["byte_offset"] for c in changed})
+        plan = {c.source_key: start_of(reader, c, row(c), states[c.path], ids[c.source_key] in due, now_ms, full_every_ms) for c in changed}
+        wanted = [c for c in changed if plan[c.source_key]]
         if wanted:
-            batch = reader.read(spark, wanted, {k: p[1] for k, p in plan.items() if p and p[1]} or None)
-            # By the ledger's ids: the records' own are the files' keys.
-            records, said = batch.records.withColumn("source_object_id", F.concat(F.lit(f"{reader.id}:"), "source_object_id")).persist(), {}
+            begins = {k: p[1] for k, p in plan.items() if p and p[1]}
+            batch = reader.read(spark, wanted, begins or None, {c.source_key: row(c)["parser_state"] for c in wanted if c.source_key in begins and row(c)["parser_state"]} or None)
+            # By the ledger's ids: the records' own are the files' keys. Written once: every step of a commit reads them.
+            records = settled(batch.records.withColumn("source_object_id", F.concat(F.lit(f"{reader.id}:"), "source_object_id")), "scan-records", batch.kept)
+            said = {}
             for r in batch.warnings.collect():  # diagnostics of this scan's files
                 said.setdefault(r["source_key"], []).append(r["warning"])
             ends = {r["source_key"]: r["committed_offset"] for r in batch.ends.collect()} if batch.ends is not None else {}
             ends = {c.source_key: ends.get(c.source_key) if resumable(reader, c) else None for c in wanted}
+            left = {r["source_key"]: r["state"] for r in batch.states.collect()} if batch.states is not None else {}
             # A file without a byte to resume at has the hash from before it was read: if it changed since, it is read again.
             states |= digests(spark, {c.path: ends[c.source_key] for c in wanted if ends[c.source_key] is not None})
             commits = []
             for c in wanted:
-                source, warnings, (size, whole, prefix) = ids[c.source_key], said.get(c.source_key, []), states[c.path]
+                source, warnings, (_, whole, prefix) = ids[c.source_key], said.get(c.source_key, []), states[c.path]
                 if fatal := next((w for w in warnings if w.startswith(("[schema]", "[encoding]", "[io]"))), None):
                     failures.append((source, *_parted(fatal)))
                 else:
-                    commits.append(Commit(source, plan[c.source_key][0], Checkpoint(ends[c.source_key], size, prefix if ends[c.source_key] is not None else None, whole, reader.parser_version), warnings))
-            for at in range(0, len(commits), commit_sources):
-                if state.cancel.is_set():
-                    records.unpersist()
-                    raise Cancelled(f"stopped after {state.processed} sources")
-                for source, report in ledger.apply_all(commits[at : at + commit_sources], records, now_ms).items():
-                    if isinstance(report, Exception):
-                        state.failed.append(source)
-                        continue
-                    state.processed += 1
-                    state.inserted += report.inserted
-                    state.duplicates += report.duplicates
-                    state.deleted += report.deleted
-                state.tell()
-            records.unpersist()
+                    size, modified = there[c.source_key]
+                    goes_on = ends[c.source_key] is not None
+                    commits.append(Commit(source, plan[c.source_key][0], Checkpoint(ends[c.source_key], size, prefix if goes_on else None, whole, reader.parser_version, modified, left.get(c.source_key) if goes_on else None), warnings))
+            try:
+                for at in range(0, len(commits), commit_sources):
+                    if state.cancel.is_set():
+                        raise Cancelled(f"stopped after {state.processed} sources")
+                    for source, report in ledger.apply_all(commits[at : at + commit_sources], records, now_ms).items():
+                        if isinstance(report, Exception):
+                            state.failed.append(source)
+                            continue
+                        state.processed += 1
+                        state.inserted += report.inserted
+                        state.duplicates += report.duplicates
+                        state.deleted += report.deleted
+                    state.tell()
+            finally:
+                batch.forget()
         ledger.fail_all(failures, now_ms)
         state.failed += [f[0] for f in failures]
     if dataset is not None and (state.inserted or state.deleted):
