@@ -46,6 +46,16 @@ def forget(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame, leave: tuple[str, ...] = ()) -> Column:
+    """All columns of docs (but some) as one struct named row: a stage carries it untouched, whatever its columns are called."""
+    return F.struct(*(quoted(c) for c in docs.columns if c not in leave)).alias("row")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,8 @@ of expected copies plus one random offset a source emits a document once for eac
 
 The prefix sum never gathers a source in one task: the line is cut into cells (source, size class, salt), whose
 counts are summed first; within a cell a row number completes the sum. The number of salts follows the number of
-rows, so that a source, or a group of equal copies, that holds a third of all rows is spread over many cells.
+rows, so that a source, or a group of equal copies, that holds a third of all rows is spread over many cells; so is a
+row that is repeated as often.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywheel.llm._common import WORD, written
+from tallywheel.llm._common import WORD, as_row, written
 
 ROWS_PER_SALT, MOST_SALTS = 4096, 4096
 
@@ -57,49 +58,62 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     return rows.select("key", "source", "source_size", F.least("limit", F.col("level") * F.col("w")).alias("target"))
 
 
-def with_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, size: str = "__size") -> DataFrame:
-    """docs, whose column `size` has each document's size and __line its place's name, with __source_size, __target and __copies."""
-    salts = int(max(1, min(MOST_SALTS, -(-docs.count() // ROWS_PER_SALT))))
+def with_copies(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """rows (source, id, text_hash, size, line and whatever they carry) with source_size, target and copies.
+
+    line names a row's place; rows of one line that are more than a cell should hold are alike (they repeat an id, or a
+    text without an id), so that they may stand in any order: they are dealt to cells of their own by chance.
+    """
+    n = rows.count()
+    salts = int(max(1, min(MOST_SALTS, -(-n // ROWS_PER_SALT))))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    salt = hash32(F.col("__line")) % salts
-    rows = docs.withColumns({"__key": key, "__class": size_class(F.col(size)), "__salt": salt.cast("int")})
-    cell = ["__key", "__class", "__salt"]
-    cells = written(rows.groupBy(*cell).agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")), "mix-cells")
-    sizes = cells.groupBy(F.col("__key").alias("key")).agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    want = targets(sizes, weights, share, most).select(F.col("key").alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    start = F.sum("n").over(W.partitionBy("__key").orderBy("__class", "__salt")) - F.col("n")
-    placed = cells.select(*cell, start.alias("__start")).join(want, "__key")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    offset = hash32(F.concat(F.lit(f"{seed}|"), F.col("__key"))) / F.lit(4294967296.0)
-    text = [F.xxhash64("text")] if "text" in docs.columns else []
-    rank = F.row_number().over(W.partitionBy(*cell).orderBy(size, "doc_id", *text)) + F.col("__start")
+    rows = rows.withColumns({"key": key, "class": size_class(F.col("size")), "salt": (hash32(F.col("line")) % salts).cast("int"), "sub": F.lit(0)})
+    cell = ["key", "class", "salt", "sub"]
+    counted = lambda rows: written(rows.groupBy(*cell).agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "mix-cells")
+    cells = counted(rows)
+    full = cells.filter(F.col("n") > 4 * max(ROWS_PER_SALT, n // MOST_SALTS)).select(*cell)
+    if full.limit(1).count():
+        many = rows.join(full, cell, "left_semi").groupBy("line", "text_hash").agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") > ROWS_PER_SALT)
+        many = written(many.select(F.col("line").alias("many_line"), F.col("text_hash").alias("many_hash"), F.ceil(F.col("of") / ROWS_PER_SALT).alias("subs")), "mix-many")
+        dealt = rows.join(many, (F.col("line") == F.col("many_line")) & F.col("text_hash").eqNullSafe(F.col("many_hash")), "left")
+        # By chance, so the draw is written once: both the counts and the ranks see the same.
+        rows = written(dealt.withColumn("sub", F.coalesce(1 + F.floor(F.rand(seed) * F.col("subs")), F.lit(0)).cast("int")).drop("many_line", "many_hash", "subs"), "mix-dealt")
+        cells = counted(rows)
+    sizes = cells.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    want = targets(sizes, weights, share, most).select("key", "source_size", "target")
+    start = F.sum("n").over(W.partitionBy("key").orderBy("class", "salt", "sub")) - F.col("n")
+    placed = cells.select(*cell, start.alias("start")).join(want, "key")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = hash32(F.concat(F.lit(f"{seed}|"), F.col("key"))) / F.lit(4294967296.0)
+    rank = F.row_number().over(W.partitionBy(*cell).orderBy("size", "id", "text_hash")) + F.col("start")
     # Sort-merge, on the exchange that the row number needs anyway; the cells grow with the input and aren't for broadcast.
-    out = rows.join(placed.hint("merge"), cell).withColumns({"__rank": rank, "__rate": rate, "__offset": offset})
-    crossed = F.floor(F.col("__offset") + F.col("__rate") * F.col("__rank")) - F.floor(F.col("__offset") + F.col("__rate") * (F.col("__rank") - 1))
-    return out.select(*docs.columns, "__source_size", "__target", crossed.cast("int").alias("__copies"))
+    out = rows.join(placed.hint("merge"), cell).withColumns({"rank": rank, "rate": rate, "offset": offset})
+    crossed = F.floor(F.col("offset") + F.col("rate") * F.col("rank")) - F.floor(F.col("offset") + F.col("rate") * (F.col("rank") - 1))
+    return out.withColumn("copies", crossed.cast("int")).drop(*cell, "start", "rank", "rate", "offset")
 
 
-def line(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """What places a row in its source's line: the id, or the text's MD5 where there is none, so that rows without one spread."""
-    return F.coalesce(F.col(doc_id).cast("long").cast("string"), F.md5(F.col(text).cast("binary")), F.lit(""))
+def placed_rows(docs: DataFrame, *carried: Column) -> DataFrame:
+    """What with_copies() needs of documents. line: the id, or the text's MD5 where there is none, so that rows without one spread."""
+    id = F.col("doc_id").cast("long")
+    line = F.coalesce(id.cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
+    return docs.select(*carried, "source", id.alias("id"), F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), line.alias("line"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """The columns of docs; each row as many times as the mix takes it (none, once, or up to ceil(most) times).
 
     Null or wordless texts have size 0 and the same expected copies as their source. A null source is a source of its
-    own; rows without an id, repeated rows and ties are dealt like any other. An empty table gives an empty mix.
+    own; rows without an id, repeated rows and ties are dealt like any other. Long texts count all their words. Columns
+    of any name are carried as they are. An empty table gives an empty mix.
     """
-    rows = with_copies(docs.withColumns({"__size": word_count(F.col("text")), "__line": line()}), weights, share, most, seed)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = with_copies(placed_rows(docs, as_row(docs)), weights, share, most, seed)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted)."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("__size"), line().alias("__line")), "mix-sizes")
-    rows = with_copies(sized, **options)
-    taken = (F.col("__copies") * F.col("__size")).alias("taken")
-    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
+    rows = with_copies(written(placed_rows(docs), "mix-sizes"), **options)
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: The query's rows in DuckDB: seed 7, weights 3, 1, 2, share 1.5, limit 2.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywheel.llm._common import forget, written
+from tallywheel.llm._common import as_row, forget, written
 
 HUB = ["__hub", "__size", "__crc"]
 INNER = [*HUB, "__linked", "__unit"]
@@ -99,6 +99,16 @@ def propagate(rows: DataFrame, shards: int, capacity: float, rounds: int = 24) -
     return state, load()
 
 
+def apart(rows: DataFrame, most: int) -> DataFrame:
+    """rows where those that repeat an id and a text more than `most` times have units of their own, so that they spread over
+    cells: they are alike, so that any of them may stand anywhere. The draw is written, as counts and ranks must see the same."""
+    many = written(rows.groupBy("__unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.col("__unit").alias("many")), "shard-many")
+    if not many.limit(1).count():
+        return rows
+    out = rows.join(many, F.col("__unit") == F.col("many"), "left")
+    return written(out.withColumn("__unit", F.when(F.col("many").isNotNull(), F.xxhash64("__unit", F.floor(F.rand(3) * (1 << 40)))).otherwise(F.col("__unit"))).drop("many"), "shard-apart")
+
+
 def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds: int = 24) -> DataFrame:
     """rows (as keyed() gives them) with shard and slot (gapless from 0 in each shard); shard counts differ by one at most."""
     total = rows.count() if total is None else total
@@ -106,6 +116,8 @@ def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds:
     if not total:
         return rows.select(*plain, "__size", "__crc", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     capacity = total / shards
+    cell_rows = max(128, min(1_000_000, total // 2000))
+    rows = apart(rows, cell_rows)
     state, load = propagate(rows, shards, capacity, rounds)
     # A group's documents are dealt to its shards by their place in [0, 1).
     ends = F.transform("c", lambda n, i: F.aggregate(F.slice("c", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x) / F.col("total"))
@@ -120,7 +132,6 @@ def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds:
     place = _share(F.col("__unit"), 2)
     first = lambda ends: F.least(F.lit(shards - 1), F.size(F.filter(ends, lambda e: e <= place)))
     label = F.when(total_of.isNotNull(), first(F.col("__ends"))).otherwise(first(F.array(*(F.lit(e) for e in edges)))).cast("int")
-    cell_rows = max(128, min(1_000_000, total // 2000))
     buckets = max(1, total // (shards * cell_rows))
     side = F.when(total_of.isNotNull(), 1).when(_share(F.col("__unit"), 3) < 0.5, 0).otherwise(2)
     bucket = F.when(total_of.isNotNull(), F.pmod(F.xxhash64("__hub", F.lit(4)), F.lit(buckets))).otherwise(F.pmod(F.xxhash64("__unit", F.lit(4)), F.lit(buckets)))
@@ -133,7 +144,7 @@ def assign(rows: DataFrame, shards: int = 16, total: int | None = None, rounds:
     start = F.sum("n").over(W.partitionBy("__label").orderBy("__side", "__bucket", "__salt")) - F.col("n")
     start = start + F.element_at(F.array(*(F.lit(b).cast("long") for b in begins)), F.col("__label") + 1)
     starts = cells.select(*cell, start.alias("__start"))
-    order = W.partitionBy(*cell).orderBy(*HUB, "__unit", "doc_id")
+    order = W.partitionBy(*cell).orderBy(*HUB, "__unit")
     rank = F.row_number().over(order) - 1 + F.col("__start")
     ranked = lined.join(starts.hint("merge"), cell).withColumn("__rank", rank)
     each, more = divmod(total, shards)
@@ -148,10 +159,11 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """The columns of docs with shard and slot.
 
     Null texts have no links and size 1; empty texts are equal texts and link. Repeated rows, ties and null ids are rows
-    like any other. Columns of docs named shard or slot are replaced. An empty table gives an empty result.
+    like any other; long texts are hashed whole. Columns of docs named shard or slot are replaced, those of any other name
+    are carried as they are. An empty table gives an empty result.
     """
-    docs = docs.drop("shard", "slot")
-    return assign(keyed(docs), shards, docs.count()).drop("__size", "__crc")
+    rows = keyed(docs.select(as_row(docs, ("shard", "slot")), "doc_id", "text"))
+    return assign(rows.drop("doc_id", "text"), shards, docs.count()).select("row.*", "shard", "slot")
 
 
 def shard_report(docs: DataFrame, shards: int = 16) -> DataFrame:

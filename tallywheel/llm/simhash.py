@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywheel.llm._common import components, written
+from tallywheel.llm._common import as_row, components, written
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_GENERATOR = 0b110001110101
@@ -479,13 +479,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows of a group that repeat that doc_id, one with the least hash of its words stays, and of those the one with the
     smallest text hash. An id that has texts of several groups stays once for each group that it names. Rows without an
-    id are kept, as nothing tells which of them to keep. Null and empty texts are one group. An empty table gives an
-    empty result.
+    id are kept, as nothing tells which of them to keep. Null and empty texts are one group. Columns of any name are
+    carried as they are; long texts are read whole. An empty table gives an empty result.
     """
     rows, of = _grouped(docs)
-    kept = rows.join(of, "name").filter("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "name", "t")).alias("__row"))
-    kept = kept.select(F.col("__row.doc_id").alias("__id"), F.col("__row.t").alias("__text"))
-    once = F.row_number().over(W.partitionBy("__id", "__text").orderBy(F.lit(1)))
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64("text")})
-    keep = named.join(kept, ["__id", "__text"], "left_semi").withColumn("__once", once).filter("__once = 1").select(*docs.columns)
-    return keep.unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = rows.join(of, "name").filter("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "name", "t")).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("id"), F.col("x.t").alias("text_hash"))
+    named = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    # A row that is repeated often is one row a task before it is shuffled.
+    once = named.join(kept, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.select("row").unionByName(named.filter("id IS NULL").select("row")).select("row.*")

@@ -147,7 +147,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     fewer than k candidates all are returned. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = written(whole_vectors(vectors, scale), "topk-vectors")
+    rows = written(whole_vectors(vectors, scale).distinct(), "topk-vectors")  # a row that is repeated often is one
     few = F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))
     points = rows.withColumn("n", few).filter(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     points = written(points, "topk-points")
@@ -186,7 +186,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
         return pd.DataFrame({"block": [pdf["part"].iloc[0]], "centre": [tree.x[tree.centre[0]].tolist()], "radius": [tree.radius[0]], "tree": [pickle.dumps((tree, [[int(i) for i in x] for x in pdf["ids"]]))]})
 
     blocks = written(parts(celled, BLOCK_ROWS).groupBy("part").applyInPandas(index, "block int, centre array<double>, radius double, tree binary"), "topk-index")
-    wanted = rows.filter(F.col("vec_id") % every == 0).distinct().mapInArrow(cells, "vec_id bigint, v array<bigint>, cell int")
+    wanted = rows.filter(F.col("vec_id") % every == 0).mapInArrow(cells, "vec_id bigint, v array<bigint>, cell int")
 
     def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = shared.value

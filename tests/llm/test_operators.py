@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -94,19 +95,26 @@ def test_mixing_targets_are_poured(spark):
 
 
 CLASHES = "target source_size start limit total ends w c n key name t s1 s2 keys family class member label copies rank rate offset cell to part gain moves edits item_id first_word component group least once found shard_count".split()
+#: Every string in the code of the stages that could be an inner name, besides those.
+CLASHES += sorted(
+    {x for m in (mixing, sharding, simhash, decontam, toxicity) for x in re.findall(r'"(_{0,2}[a-z][a-z_0-9]*)"', inspect.getsource(m))}
+    - {*CLASHES, *(c.split()[0] for c in DOCS.split(", ")), "shard", "slot"}
+)
+CLASHES += ["a.b", "x`y", "__Key", "row.*", "Size"]
+CLASHES = list({c.lower(): c for c in CLASHES}.values())
 
 
 def test_stages_with_clashing_columns(spark):
     """Columns of the same names as those that operators make inside stay as they are; so do names in another case."""
     rows = [(i, " ".join(f"w{(i % 40) * 50 + j}" for j in range(30)) if i % 9 else None, "en", f"s{i % 3}", 1) for i in range(120)]
-    docs = docs_of(spark, rows).withColumns({c: F.lit(c) for c in CLASHES}).withColumn("__mine", F.lit(7))
+    docs = docs_of(spark, rows).select("*", *(F.lit(c).alias(c) for c in CLASHES)).withColumn("__mine_too", F.lit(7))
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
     benchmark = spark.createDataFrame([(1, rows[1][1])], "item_id long, text string")
     done = [toxicity.keep_clean(docs, labels), simhash.drop_near_duplicates(docs), decontam.drop_contaminated(docs, benchmark), mixing.mix(docs), sharding.shard(docs)]
     for out, more in zip(done, [[], [], [], [], ["shard", "slot"]], strict=True):
         assert out.columns == docs.columns + more
         got = out.collect()
-        assert got and all(r[c] == c for r in got for c in CLASHES) and all(r["__mine"] == 7 for r in got)
+        assert got and all(r[c] == c for r in got for c in CLASHES) and all(r["__mine_too"] == 7 for r in got)
 
 
 # -- 2 quality
@@ -773,3 +781,24 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 102: 100, 300: 200, 200: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- one row that is repeated as often as a third of a large table
+
+
+def test_a_repeated_row_is_many_cells(spark, monkeypatch):
+    rows = [(7, "the same words", "en", "s0")] * 20_000 + [(100 + i, f"word {i}", "en", "s1") for i in range(3_000)]
+    docs = docs_of(spark, rows).repartition(4)
+    seen = {}
+    for module in (mixing, sharding):
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, real=real: seen.setdefault(name, []).append(real(df, name)) or seen[name][-1])
+    monkeypatch.setattr(mixing, "ROWS_PER_SALT", 1000)
+    got = mixing.mix_report(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).filter("doc_id = 7").first()
+    source = mixing.mix_report(docs).filter("doc_id = 7").first()
+    assert got["n"] == 20_000 and abs(got["taken"] - source["target"]) <= 6
+    assert seen["mix-cells"][-1].agg(F.max("n")).first()[0] <= 1500
+    placed = sharding.shard(docs).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in placed) == sorted([23_000 // 16] * 8 + [23_000 // 16 + 1] * 8)
+    assert seen["shard-cells"][-1].agg(F.max("n")).first()[0] <= 600
+    assert simhash.drop_near_duplicates(docs.filter("doc_id < 110")).count() <= 11
