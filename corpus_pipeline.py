@@ -18,7 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest doc_id, of each group of similar five-word shingles (0.8 and more, by SimHash)."""
+    """One document, with the smallest doc_id, of each group of similar five-word shingles (0.8 and more). Candidates share a
+    Golay key of a SimHash fingerprint or a MinHash key, which has most of the recall; each link is verified exactly."""
     return simhash.drop_near_duplicates(docs)
 
 
