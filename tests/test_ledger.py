@@ -265,8 +265,8 @@ def test_scan_of_several_files(spark, tmp_path):
         put(home / f"sessions/wd/{name}/agents/main/wire.jsonl", WIRE)
 
     class Odd(WireJournals):
-        def discover(self):
-            *good, last = super().discover()
+        def discover(self, spark=None):
+            *good, last = super().discover(spark)
             return [*good, replace(last, kind="mutable_json")]
 
     seen = []
