@@ -190,6 +190,10 @@ class Ledger:
         """Adds an installation, or overwrites it with its state."""
         self._upsert("source_installations", [{"id": id, "adapter_id": adapter_id, "root_path": root_path, "enabled": enabled, "permission_state": permission_state, **rest}])
 
+    def register_installations(self, rows: Sequence[dict]) -> None:
+        """Adds installations (id, adapter_id, root_path); those that are known keep their state."""
+        self._upsert("source_installations", [{"enabled": True, "permission_state": "unknown", **r} for r in rows], keep=("enabled", "permission_state"))
+
     def register_source(self, id: str, installation: dict, native_path: str, kind: str = "append_only_jsonl", parser_version: int = 1) -> None:
         """Adds a source and its installation; the installation's state and the source's checkpoint are kept where they exist."""
         self.register_sources(installation, [{"id": id, "native_path": native_path, "kind": kind, "parser_version": parser_version}])

@@ -44,7 +44,7 @@ def folder(spark: SparkSession) -> Path:
     return out
 
 
-def put(rows: DataFrame, root: Path) -> None:
+def put(rows: DataFrame, root: Path, modified_s: int | None = None) -> None:
     """Writes rows(file, at, line) as files under root, lines in order of at; a file appears whole, once. *.zst is compressed."""
     base = str(root)
 
@@ -53,6 +53,8 @@ def put(rows: DataFrame, root: Path) -> None:
 
         def done():
             out.close()
+            if modified_s is not None:
+                os.utime(f"{path}.{draft}", (modified_s, modified_s))
             os.replace(f"{path}.{draft}", path)
 
         draft = uuid.uuid4().hex

@@ -116,9 +116,11 @@ register("reprice_facts", _with("SELECT source_object_id, event_id, CASE WHEN un
 )
 register("reprice_counters", _with("SELECT count(*) FILTER (NOT unpriced) AS priced, count(*) FILTER (unpriced) AS unpriced FROM facts"))(lambda spark, d: pricing.reprice_counters(pricing.estimate_facts(V.usage_events(spark, d), pricing.RateDataset())))
 register("unpriced_models", _with(f"SELECT provider, model, count(*) AS event_count, {_TOTAL}, {_list('pricing_rule')} AS rules FROM facts WHERE unpriced GROUP BY 1, 2"))(lambda spark, d: Q.unpriced_models(V.ledger(spark, d)))
-register("rate_card", _with("SELECT r.pricing_key, ri::BIGINT * 1000000 AS input_per_million, ro::BIGINT * 1000000 AS output_per_million, rr::BIGINT * 1000000 AS cache_read_per_million, rw::BIGINT * 1000000 AS cache_write_per_million, rz::BIGINT * 1000000 AS reasoning_per_million, coalesce(a.aliases, '') AS aliases FROM rates r LEFT JOIN (SELECT pricing_key, string_agg(name, ',' ORDER BY name) AS aliases FROM rates WHERE pricing_rule <> 'exact' GROUP BY 1) a USING (pricing_key) WHERE r.pricing_rule = 'exact'"))(
-    lambda spark, d: pricing.rate_card(spark, pricing.RateDataset())
-)
+@register("rate_card", _with("SELECT r.pricing_key, ri::BIGINT * 1000000 AS input_per_million, ro::BIGINT * 1000000 AS output_per_million, rr::BIGINT * 1000000 AS cache_read_per_million, rw::BIGINT * 1000000 AS cache_write_per_million, rz::BIGINT * 1000000 AS reasoning_per_million, coalesce(a.aliases, '') AS aliases, u.event_count FROM rates r JOIN (SELECT pricing_key, count(*) AS event_count FROM facts WHERE pricing_key IS NOT NULL GROUP BY 1) u USING (pricing_key) LEFT JOIN (SELECT pricing_key, string_agg(name, ',' ORDER BY name) AS aliases FROM rates WHERE pricing_rule <> 'exact' GROUP BY 1) a USING (pricing_key) WHERE r.pricing_rule = 'exact'"))
+def rate_card(spark, d):
+    """The rates that the events were priced by, with how many of them each priced."""
+    used = V.ledger(spark, d).filter("pricing_key IS NOT NULL").groupBy("pricing_key").agg(F.count(F.lit(1)).alias("event_count"))
+    return pricing.rate_card(spark, pricing.RateDataset()).join(used, "pricing_key")
 
 
 def _snapshots(spark):
@@ -176,9 +178,11 @@ register("session_sources", _with("SELECT u.source_object_id, session_id, instal
     .select("source_object_id", "session_id", "installation_id", "adapter_id", "source_kind", "parser_version", "event_count")
 )
 
-_NOW, _EVERY = 902_100_000_000, 100_000_000
-register("due_sources", _with(f"SELECT adapter_id, o.id AS source_object_id, last_full_unix_ms FROM objects o JOIN installations i ON o.installation_id = i.id AND i.enabled LEFT JOIN (SELECT source_object_id, max(finished_unix_ms) AS last_full_unix_ms FROM runs WHERE status = 'completed' AND mode = 'replace' GROUP BY 1) r ON r.source_object_id = o.id WHERE last_full_unix_ms IS NULL OR last_full_unix_ms <= {_NOW} - {_EVERY}", _INST, _OBJ, _RUNS))(
-    lambda spark, d: Q.due_sources(V.objects(spark, d), V.installations(spark), V.runs(spark, d), _NOW, _EVERY)
+#: Full reads of src-2 end in June of the last year, src-5 never had one; the others' are late enough.
+_NOW, _EVERY, _JUNE = 902_100_000_000, 100_000_000, 896_659_200_000
+_READ = f"(source_object_id <> 'src-5' OR mode <> 'replace') AND (source_object_id <> 'src-2' OR finished_unix_ms < {_JUNE})"
+register("due_sources", _with(f"SELECT adapter_id, o.id AS source_object_id, last_full_unix_ms FROM objects o JOIN installations i ON o.installation_id = i.id AND i.enabled LEFT JOIN (SELECT source_object_id, max(finished_unix_ms) AS last_full_unix_ms FROM runs WHERE status = 'completed' AND mode = 'replace' AND {_READ} GROUP BY 1) r ON r.source_object_id = o.id WHERE last_full_unix_ms IS NULL OR last_full_unix_ms <= {_NOW} - {_EVERY}", _INST, _OBJ, _RUNS))(
+    lambda spark, d: Q.due_sources(V.objects(spark, d), V.installations(spark), V.runs(spark, d).filter(_READ), _NOW, _EVERY)
 )
 _HEALTH = """
 SELECT i.adapter_id, i.id AS installation_id, o.id AS source_object_id, state,
