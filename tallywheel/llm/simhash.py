@@ -323,13 +323,15 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, name, t, n, s1, s2, keys) for every row of docs; t is the hash of the text as it stands."""
 
     def run(batches):
-        for batch in batches:
-            got = [shingled(t) for t in batch.column(2).to_pylist()]
-            golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
-            keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
-            long = lambda values: pa.array(values, pa.int64())
-            columns = [long([x[0] for x in got]), batch.column(1), long([x[1] for x in got]), long([x[4][0] for x in got]), long([x[4][1] for x in got])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "name", "t", "n", "s1", "s2", "keys"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # texts and keys of so many rows at once
+                batch = whole.slice(at, 512)
+                got = [shingled(t) for t in batch.column(2).to_pylist()]
+                golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
+                keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
+                long = lambda values: pa.array(values, pa.int64())
+                columns = [long([x[0] for x in got]), batch.column(1), long([x[1] for x in got]), long([x[4][0] for x in got]), long([x[4][1] for x in got])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "name", "t", "n", "s1", "s2", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, name long, t long, n long, s1 long, s2 long, keys array<bigint>")
