@@ -34,6 +34,8 @@ REPEATS, SAMPLES, BLOCK = 32, 3, 30
 #: Benchmarks go to the executors in blocks of this many bytes at most, one pass over the documents for each block.
 BLOCK_BYTES = 16 << 20
 PAIR_BITS = 22
+#: Items of up to SHORT words have masks of 16 KB at most, which are kept for KEPT items at a time.
+SHORT, KEPT = 512, 2048
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -75,6 +77,23 @@ def edit_distance_within(pattern: dict, n: int, words: list) -> tuple[int, int]:
     return best, at
 
 
+class Places:
+    """The words of a long item, with a mask for each word that is asked for."""
+
+    def __init__(self, words: np.ndarray):
+        self.order = np.argsort(words, kind="stable")
+        self.words = words[self.order]
+
+    def get(self, word: int, default: int = 0) -> int:
+        low, high = np.searchsorted(self.words, [word, word + 1])
+        if low == high:
+            return default
+        at = self.order[low:high]
+        bits = np.zeros(int(at.max()) + 1, np.uint8)
+        bits[at] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 class Matcher:
     """The items of one benchmark block, made ready to be sought in texts."""
 
@@ -100,12 +119,7 @@ class Matcher:
         self.sizes = np.array([len(w) for _, _, w in self.blocks], np.int64)
         self.allowed = np.array([len(w) * self.edits(len(self.items[i][1])) // len(self.items[i][1]) for i, _, w in self.blocks], np.int64)
         self.needed = self.sizes - 1 - 2 * self.allowed
-        self.masks = []
-        for _, w in self.items:
-            mask: dict[int, int] = {}
-            for j, x in enumerate(w.tolist()):
-                mask[x] = mask.get(x, 0) | 1 << j
-            self.masks.append(mask)
+        self.near: dict[int, dict[int, int]] = {}
         lengths = sorted(set(self.sizes.tolist()))
         rng = np.random.default_rng(seed)
         # Sampled steps of each class and repetition: a block of n words is walked in 2n steps on average.
@@ -119,6 +133,21 @@ class Matcher:
         order = np.argsort(flat, kind="stable")
         self.keys, self.owners = flat[order], owner[order]
 
+    def mask(self, item: int) -> dict[int, int] | Places:
+        """The positions of each word of an item as a bit mask: made where an item is verified, so that what is broadcast grows
+        with the benchmark's words. Masks of a short item are kept, for so many items; a long item's are made one by one."""
+        words = self.items[item][1]
+        if len(words) > SHORT:
+            return Places(words)
+        if item not in self.near:
+            if len(self.near) >= KEPT:
+                self.near.clear()
+            mask: dict[int, int] = {}
+            for j, x in enumerate(words.tolist()):
+                mask[x] = mask.get(x, 0) | 1 << j
+            self.near[item] = mask
+        return self.near[item]
+
     def edits(self, n: int) -> int:
         return int(n * self.share + 1e-9)
 
@@ -224,7 +253,7 @@ class Matcher:
                 continue  # inside what was verified for the item already
             low = max(0, start - 2 * k - 1)
             done[item] = start + 1 + k
-            edits, end = edit_distance_within(self.masks[item], n, words[low : max(0, start + n + 3 * k + 2)].tolist())
+            edits, end = edit_distance_within(self.mask(item), n, words[low : max(0, start + n + 3 * k + 2)].tolist())
             if edits <= k and (item not in best or edits < best[item][0]):
                 best[item] = (edits, max(0, low + end - n + 1))
         return [(self.items[i][0], e, s) for i, (e, s) in sorted(best.items())]

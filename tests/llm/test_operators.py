@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import inspect
+import pickle
 import random
 import re
 import zlib
@@ -579,6 +580,7 @@ def test_bit_parallel_edits():
         for j, x in enumerate(item):
             masks[x] = masks.get(x, 0) | 1 << j
         assert decontam.edit_distance_within(masks, len(item), words)[0] == brute_edits(item, words)
+        assert decontam.edit_distance_within(decontam.Places(np.array(item)), len(item), words) == decontam.edit_distance_within(masks, len(item), words)
 
 
 # -- 10 SimHash
@@ -802,3 +804,11 @@ def test_a_repeated_row_is_many_cells(spark, monkeypatch):
     assert sorted(r["count"] for r in placed) == sorted([23_000 // 16] * 8 + [23_000 // 16 + 1] * 8)
     assert seen["shard-cells"][-1].agg(F.max("n")).first()[0] <= 600
     assert simhash.drop_near_duplicates(docs.filter("doc_id < 110")).count() <= 11
+
+
+def test_what_a_benchmark_block_takes_grows_with_its_words():
+    """An item of 20,000 distinct words takes no mask of each of them (27 MB in all) before it is verified."""
+    rng = random.Random(5)
+    size = lambda n: len(pickle.dumps(decontam.Matcher([(1, " ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(n)).encode())])))
+    empty, small, large = (size(n) for n in (40, 5_000, 20_000))
+    assert large - empty < 5 * (small - empty) and large - empty < 16e6
