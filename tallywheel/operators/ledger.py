@@ -20,10 +20,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywheel import schema
+from tallywheel.functions import timeutil
 from tallywheel.operators import pricing
 from tallywheel.plans import queries as Q
 from tallywheel.schema import ESTIMATE, REPORTED, TABLES, UNPRICED
@@ -96,12 +97,12 @@ def compare_again(stored: DataFrame, again: DataFrame, facts: Sequence[str], key
     return both.withColumn("conflict", said != F.col("__stored")).drop("__stored")
 
 
-def validate(records: DataFrame) -> DataFrame:
-    """The records that the ledger refuses, with problem."""
+def problem_of() -> Column:
+    """Why the ledger refuses a record; null if it doesn't."""
     counts = F.array(*(F.col(b) for b in schema.BUCKETS))
     usd_needed = F.exists("costs", lambda c: c.kind.isin(REPORTED, ESTIMATE) & c.usd_nanos.isNull())
     usd_forbidden = F.exists("costs", lambda c: c.kind.isin(schema.CREDIT, UNPRICED) & c.usd_nanos.isNotNull())
-    problem = (
+    return (
         F.when(F.col("event_id").isNull() | F.col("client").isNull() | F.col("model").isNull() | F.col("occurred_at_unix_ms").isNull(), "a required field is missing")
         .when(F.exists(counts, lambda n: n.isNull() | (n < 0)) | (F.col("source_reported_total") < 0), "a token count is missing or negative")
         .when(~F.col("confidence").isin(*schema.CONFIDENCE), "unknown confidence")
@@ -109,7 +110,11 @@ def validate(records: DataFrame) -> DataFrame:
         .when(usd_forbidden, "a credit or unpriced mark has an amount")
         .when(F.exists("costs", lambda c: c.usd_nanos < 0), "a cost is negative")
     )
-    return records.withColumn("problem", problem).filter("problem IS NOT NULL")
+
+
+def validate(records: DataFrame) -> DataFrame:
+    """The records that the ledger refuses, with problem."""
+    return records.withColumn("problem", problem_of()).filter("problem IS NOT NULL")
 
 
 def part_of(source: str) -> str:
@@ -133,8 +138,8 @@ class Ledger:
         pointer = self.folder / "pointer.json"
         return json.loads(pointer.read_text()) if pointer.exists() else {"version": schema.VERSION, "commit": 0, "tables": {}}
 
-    def _publish(self, tables: dict) -> None:
-        state = self._state()
+    def _publish(self, tables: dict, **more) -> None:
+        state = self._state() | more
         state["tables"].update(tables)
         state["commit"] += 1
         draft = self.folder / f"pointer-{uuid.uuid4().hex}.json"
@@ -171,6 +176,11 @@ class Ledger:
             df.write.parquet(str(self.folder / path))
         return path
 
+    def _added(self, path: str, keys) -> dict[str, str]:
+        """By key the folder of each part that a write has made; a key without rows has none."""
+        made = {x.name for x in (self.folder / path).iterdir()}
+        return {k: f"{path}/{part_of(k)}" for k in keys if part_of(k) in made}
+
     def _rewrite(self, name: str, df: DataFrame) -> list[str]:
         """A small table, whole."""
         return [self._write(name, df.coalesce(1))]
@@ -258,7 +268,8 @@ class Ledger:
             tables |= self._read_up_to(good, at)
         runs = [(r, None) if isinstance(r := done[c.source], IngestReport) else (IngestReport(c.source, c.mode, warnings=c.warnings), f"[ledger] {r}") for c in commits]
         if runs:
-            self._publish({**tables, "ingest_runs": self._runs(runs, at)})
+            waiting = sorted({*self._state().get("unpriced", []), *(c.source for c in good)})
+            self._publish({**tables, "ingest_runs": self._runs(runs, at)}, unpriced=waiting)
         return done
 
     def _read_up_to(self, commits: Sequence[Commit], at: int) -> dict:
@@ -290,14 +301,17 @@ class Ledger:
         batch = batch.withColumn("__costs", F.array_sort(F.transform("costs", lambda c: F.struct(c.kind, c.usd_nanos, c.confidence))))
         facts = [*schema.FACTS, "__costs"]
         done: dict = {}
-        bad = validate(batch).groupBy("source_object_id").agg(F.min(F.struct("event_id", "problem")).alias("x"))
-        for r in bad.collect():  # a row for each source of the commit, at most; so with all that follows
-            done[r["source_object_id"]] = InvalidRecord(f"{r['x']['event_id']}: {r['x']['problem']}")
-        events = batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_json(F.struct(*facts))).alias("versions"))
-        tally = {r["source_object_id"]: r for r in events.groupBy("source_object_id").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("versions") > 1, F.struct("event_id"))).alias("odd")).collect()}
+        month = F.substring(timeutil.day(F.col("occurred_at_unix_ms")).cast("string"), 1, 7)
+        each = batch.withColumns({"__problem": problem_of(), "__month": month}).groupBy(*KEY)
+        events = each.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_json(F.struct(*facts))).alias("versions"), F.min("__problem").alias("problem"), F.collect_set("__month").alias("months"))
+        odd, bad = F.min(F.when(F.col("versions") > 1, F.struct("event_id"))), F.min(F.when(F.col("problem").isNotNull(), F.struct("event_id", "problem")))
+        told = events.groupBy("source_object_id").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("events"), odd.alias("odd"), bad.alias("bad"), F.array_distinct(F.flatten(F.collect_set("months"))).alias("months"))
+        tally = {r["source_object_id"]: r for r in told.collect()}  # a row for each source of the commit, at most; so with all that follows
         for source, r in tally.items():
-            if r["odd"] is not None:
-                done.setdefault(source, IdentityConflict(f"{r['odd']['event_id']} has several facts in one batch"))
+            if r["bad"] is not None:
+                done[source] = InvalidRecord(f"{r['bad']['event_id']}: {r['bad']['problem']}")
+            elif r["odd"] is not None:
+                done[source] = IdentityConflict(f"{r['odd']['event_id']} has several facts in one batch")
         once, held = batch.dropDuplicates(KEY), self._parts("usage_events")
         again = [c.source for c in commits if c.mode == "append" and held.get(c.source) and c.source in tally and c.source not in done]
         known: dict[str, int] = {}
@@ -310,7 +324,8 @@ class Ledger:
                     done[r["source_object_id"]] = IdentityConflict(f"{r['clash']['event_id']} is stored with other facts")
             once = once.join(stored.select(*KEY), KEY, "left_anti")
         replaced = [c.source for c in commits if c.mode == "replace" and held.get(c.source) and c.source not in done]
-        deleted = {r["source_object_id"]: r["count"] for r in self.owned("usage_events", *replaced).groupBy("source_object_id").count().collect()} if replaced else {}
+        gone = self.owned("usage_events", *replaced).groupBy("source_object_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(month).alias("months")).collect() if replaced else []
+        deleted = {r["source_object_id"]: r["n"] for r in gone}
         if done:
             refused = self.spark.createDataFrame([(s,) for s in done], "source_object_id string")
             once = once.join(F.broadcast(refused), "source_object_id", "left_anti")
@@ -325,57 +340,45 @@ class Ledger:
         once = once.persist()
         costs = once.select(*KEY, F.explode("costs").alias("c")).select(*KEY, "c.kind", "c.usd_nanos", "c.confidence")
         costs = costs.withColumns({x: F.lit(None) for x in ("pricing_snapshot_id", "pricing_key", "pricing_rule")})
-        priced = {r["source_object_id"] for r in costs.select("source_object_id").distinct().collect()}
         tables = {}
         for name, df in {"usage_events": once, "event_provenance": once, "event_costs": costs}.items():
-            parts, new = dict(self._parts(name)), {s for s, n in changed.items() if n and (name != "event_costs" or s in priced)}
-            path = self._write(name, df) if new else ""
+            parts, new = dict(self._parts(name)), {s for s, n in changed.items() if n}
+            made = self._added(self._write(name, df), new) if new else {}
             for c in commits:
                 if c.source in changed:
                     # An empty replacement clears the source: it then has no folder.
-                    parts[c.source] = [*(parts.get(c.source, []) if c.mode == "append" else []), *([f"{path}/{part_of(c.source)}"] if c.source in new else [])]
+                    parts[c.source] = [*(parts.get(c.source, []) if c.mode == "append" else []), *([made[c.source]] if c.source in made else [])]
             tables[name] = parts
-        tables |= self._projected([c for c in commits if c.source in changed], once, replaced)
+        months = {m for s, n in changed.items() if n for m in tally[s]["months"]} | {m for r in gone if r["source_object_id"] in changed for m in r["months"]}
+        tables |= self._projected([c for c in commits if c.source in changed], once, replaced, sorted(months))
         once.unpersist()
         return done, tables
 
     # -- projections, kept by each commit
 
-    def _projected(self, commits: Sequence[Commit], once: DataFrame, replaced: Sequence[str]) -> dict:
-        """The daily projection and the sessions after a commit that adds `once` and deletes what `replaced` had.
+    def _projected(self, commits: Sequence[Commit], once: DataFrame, replaced: Sequence[str], months: Sequence[str]) -> dict:
+        """The daily projection and the sessions after a commit that adds `once` and deletes what `replaced` had, in these months.
 
-        The day's sums change by what is new less what is gone, and only the months that have such a change are written. A
+        A day's sums change by what is new less what is gone, and only the months that have such a change are written. A
         session's ends can't be subtracted: they are kept by source, where a replacement makes them anew, and an append
         adds those of its own events.
         """
-        new = Q.daily_usage(once)
-        gone = Q.daily_usage(self.owned("usage_events", *replaced))
-        sums = [*schema.BUCKETS, "event_count"]
-        delta = new.unionByName(gone.select("day", "client", "provider", "model", *((-F.col(c)).alias(c) for c in sums)))
-        delta = Q.merge_daily(delta, delta.limit(0)).filter(" OR ".join(f"{c} <> 0" for c in sums)).withColumn("month", F.substring("day", 1, 7))
-        delta, held = settled(delta, "daily-delta"), dict(self._parts("daily_usage_utc"))
-        months = [r["month"] for r in delta.select("month").distinct().collect()]  # a row a month
         tables = {}
         if months:
-            days = self.owned("daily_usage_utc", *months).drop("month").unionByName(delta.drop("month"))
-            days = settled(Q.merge_daily(days, days.limit(0)).filter("event_count > 0").withColumn("month", F.substring("day", 1, 7)), "daily-months")
-            full = {r["month"] for r in days.select("month").distinct().collect()}
-            path = self._write("daily_usage_utc", days) if full else ""
-            tables["daily_usage_utc"] = held | {m: [f"{path}/{part_of(m)}"] if m in full else [] for m in months}
-            forget(days)
-        forget(delta)
+            gone = Q.daily_usage(self.owned("usage_events", *replaced))
+            less = gone.select("day", "client", "provider", "model", *((-F.col(c)).alias(c) for c in [*schema.BUCKETS, "event_count"]))
+            days = Q.merge_daily(self.owned("daily_usage_utc", *months).drop("month").unionByName(less), Q.daily_usage(once)).filter("event_count > 0")
+            made = self._added(self._write("daily_usage_utc", days.withColumn("month", F.substring("day", 1, 7))), months)
+            tables["daily_usage_utc"] = dict(self._parts("daily_usage_utc")) | {m: [made[m]] if m in made else [] for m in months}
         parts, fresh = dict(self._parts("session_parts")), {c.source for c in commits if c.mode == "replace"}
         crowded = [c.source for c in commits if c.source not in fresh and len(parts.get(c.source, [])) >= MOST_PARTS]
         mine = Q.session_parts(once)
         if crowded:
             mine = Q.merged_sessions(self.owned("session_parts", *crowded).unionByName(mine))
-        mine = settled(mine, "session-parts")
-        told = {r["source_object_id"] for r in mine.select("source_object_id").distinct().collect()}
-        path = self._write("session_parts", mine) if told else ""
+        made = self._added(self._write("session_parts", mine), [c.source for c in commits])
         for c in commits:
             kept = [] if c.source in fresh or c.source in crowded else parts.get(c.source, [])
-            parts[c.source] = [*kept, *([f"{path}/{part_of(c.source)}"] if c.source in told else [])]
-        forget(mine)
+            parts[c.source] = [*kept, *([made[c.source]] if c.source in made else [])]
         return tables | {"session_parts": parts}
 
     def daily(self) -> DataFrame:
@@ -438,13 +441,19 @@ class Ledger:
 
     def reprice(self, dataset: pricing.RateDataset, at: int) -> dict[str, int]:
         """Estimates every event anew; the costs that sources reported stay as they are."""
-        snapshot = self.record_snapshot(dataset, at)
-        facts = pricing.estimate_facts(self.table("usage_events"), dataset, snapshot)
-        costs = pricing.replace_estimates(self.table("event_costs"), facts).persist()
+        return self._priced(dataset, self.record_snapshot(dataset, at), list(self._parts("usage_events")))
+
+    def price_changed(self, dataset: pricing.RateDataset, at: int) -> dict[str, int]:
+        """Estimates the events of the sources that changed since the last pricing, if that was by the same dataset; else all."""
+        snapshot, state = self.record_snapshot(dataset, at), self._state()
+        return self._priced(dataset, snapshot, state.get("unpriced", []) if state.get("priced_by") == snapshot else list(self._parts("usage_events")))
+
+    def _priced(self, dataset: pricing.RateDataset, snapshot: int, sources: Sequence[str]) -> dict[str, int]:
+        facts = pricing.estimate_facts(self.owned("usage_events", *sources), dataset, snapshot)
+        costs = settled(pricing.replace_estimates(self.owned("event_costs", *sources), facts), "priced")
         counters = pricing.reprice_counters(costs).first().asDict()
-        priced = [r["source_object_id"] for r in costs.select("source_object_id").distinct().collect()]  # a row a source
-        path = self._write("event_costs", costs) if priced else ""
-        parts = {source: [] for source in self._parts("usage_events")} | {source: [f"{path}/{part_of(source)}"] for source in priced}
-        costs.unpersist()
-        self._publish({"event_costs": parts})
+        made = self._added(self._write("event_costs", costs), sources) if sources else {}
+        forget(costs)
+        parts = self._parts("event_costs") | {source: [made[source]] if source in made else [] for source in sources}
+        self._publish({"event_costs": parts}, priced_by=snapshot, unpriced=[])
         return counters

@@ -158,7 +158,7 @@ def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, sca
         ledger.fail_all(failures, now_ms)
         state.failed += [f[0] for f in failures]
     if dataset is not None and (state.inserted or state.deleted):
-        ledger.reprice(dataset, now_ms)
+        ledger.price_changed(dataset, now_ms)
     return state
 
 
