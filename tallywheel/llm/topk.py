@@ -32,6 +32,8 @@ SAMPLE, PIVOTS = 1024, 64
 BLOCK_ROWS, CHUNK_ROWS = 4096, 1024
 #: Chunks grow beyond CHUNK_ROWS rather than in number, so that their roots stay a small broadcast.
 MOST_CHUNKS = 4096
+#: Chunks that meet a block in one task, one after another.
+TOGETHER = 32
 SLACK = 1e-6
 
 
@@ -221,18 +223,24 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     pairs = written(blocks.select("block", "centre", "radius").mapInArrow(pair, "block int, chunk int"), "topk-pairs")
 
     def meet(batches):
+        data = ids = None
         for batch in batches:
             for tree, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, ids = pickle.loads(tree)
+                if tree is not None:  # stands before the chunks that it meets
+                    data, ids = pickle.loads(tree)
+                    continue
                 chunk_tree, mine, worst = pickle.loads(queries)
                 found = best_of_pairs(chunk_tree, mine, worst.copy(), data, ids, k)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    # A pair is one row, so it is a task's work, not a task's data.
-    trees = pairs.join(blocks.select("block", "tree"), "block").join(chunks.select("chunk", "queries"), "chunk")
-    trees = trees.repartition(max(1, min(20_000, pairs.count())), F.col("chunk"), F.col("block")).select("tree", "queries")
-    found = trees.mapInArrow(meet, "query_id bigint, vec_id bigint, score bigint").distinct()
+    # A tree is sent once for TOGETHER chunks, which follow it as a stream; what a task holds is one tree and one chunk.
+    met = pairs.withColumn("lot", F.floor(F.col("chunk") / TOGETHER))
+    trees = met.select("block", "lot").distinct().join(blocks.select("block", "tree"), "block").select("block", "lot", F.lit(-1).alias("chunk"), "tree", F.lit(None).cast("binary").alias("queries"))
+    asks = met.join(chunks.select("chunk", "queries"), "chunk").select("block", "lot", "chunk", F.lit(None).cast("binary").alias("tree"), "queries")
+    lots = max(1, min(20_000, met.select("block", "lot").distinct().count()))
+    stream = trees.unionByName(asks).repartition(lots, "block", "lot").sortWithinPartitions("block", "lot", "chunk").select("tree", "queries")
+    found = stream.mapInArrow(meet, "query_id bigint, vec_id bigint, score bigint").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
