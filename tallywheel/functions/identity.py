@@ -57,9 +57,8 @@ def is_interactive(source: Column) -> Column:
     return source.isNull() | source.isin(*INTERACTIVE)
 
 
-def fnv1a64(data: bytes) -> int:
-    """The 64-bit FNV-1a hash, for names of small driver-side documents."""
-    h = 0xCBF29CE484222325
+def fnv1a64(data: bytes, h: int = 0xCBF29CE484222325) -> int:
+    """The 64-bit FNV-1a hash, for names of driver-side documents; h: that of what comes before."""
     for b in data:
         h = ((h ^ b) * 0x100000001B3) & (2**64 - 1)
     return h

@@ -64,7 +64,11 @@ def export(facts: DataFrame, folder: str | Path, kind: str, now_ms: int) -> tupl
     draft = folder / f".draft-{now_ms}.{kind}"
     count = write_json(facts, draft, now_ms) if kind == "json" else write_csv(facts, draft)
     stamp = facts.sparkSession.range(1).select(F.date_format(F.timestamp_millis(F.lit(now_ms).cast("long")), "yyyyMMdd-HHmmss")).first()[0]
-    path = folder / f"events-{stamp}-{fnv1a64(draft.read_bytes()):016x}.{kind}"
+    digest = fnv1a64(b"")
+    with draft.open("rb") as f:
+        while block := f.read(1 << 20):
+            digest = fnv1a64(block, digest)
+    path = folder / f"events-{stamp}-{digest:016x}.{kind}"
     draft.replace(path)
     return path, count
 

@@ -131,6 +131,8 @@ def test_threads(spark, tmp_path):
     (tmp_path / "T-3.json").write_text(json.dumps({"messages": [message(-4, 3), message(0, 4) | {"usage": {"inputTokens": 0}}]}))
     (tmp_path / "other.json").write_text("{}")
     rows, warnings, _ = got(spark, Threads(tmp_path))
+    in_order = [(r["source_object_id"], r["occurred_at_unix_ms"], r["event_id"]) for r in Threads(tmp_path).read(spark, Threads(tmp_path).discover()).records.collect()]
+    assert in_order == sorted(in_order) and len(in_order) == len(rows)
     one = sorted((r for r in rows if r["session_id"] == "T-1"), key=lambda r: r["occurred_at_unix_ms"])
     assert [(r["input_tokens"], r["model"], r["cache_read_tokens"]) for r in one] == [(7, "model-b", 7), (20, "unknown", 0), (10, "model-a", 0)]
     assert [r["timestamp_origin"] for r in one] == ["derived", "source", "source"]
