@@ -221,11 +221,13 @@ SHINGLE, LIKE, OF = 5, 4, 5
 #: Keys a text has: KEYED Golay-coded SimHash fingerprints of its distinct words, and BANDS of BAND_ROWS minima of its
 #: shingles. Texts of similarity s share one of the latter with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99997 at 0.8.
 KEYED, BANDS, BAND_ROWS = 4, 20, 4
-#: A sketch has a bit for each of SKETCH minima. Two sketches differ in SKETCH * (1 - s) / 2 bits on average: of pairs of
-#: similarity 0.8 or more one in 10 ** 9 differs in over APART, and such pairs are never candidates, in groups of any size.
-SKETCH, APART = 128, 36
+#: A sketch has four bits for each of SKETCH minima, in 8 longs. Two sketches differ in SKETCH * (1 - s) * 15 / 16 places on
+#: average: of pairs of similarity 0.8 or more one in 10 ** 9 differs in over APART, and such pairs are never candidates, in
+#: groups of any size. Of pairs of similarity 0.43 (texts that share a template of 60%) one in 200 is a candidate.
+SKETCH, APART = 128, 53
 #: Odd multipliers that draw fingerprints and minima from one hash; made by a rule.
 TURNS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) & (2**64 - 1) for i in range(KEYED + SKETCH + SHINGLE)], np.uint64)
+NIBBLES = np.uint64(0x1111111111111111)
 #: A group of related texts is compared in tiles of this many texts and shingles at most, about.
 TILE_ROWS, TILE_SHINGLES = 8192, 1 << 21
 
@@ -307,20 +309,21 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingled(text: bytes | None) -> tuple[int, int, list[int], np.ndarray, list[int]]:
-    """(hash of the words, number of distinct shingles, KEYED word fingerprints, BANDS keys, the sketch as two longs) of a
+    """(hash of the words, number of distinct shingles, KEYED word fingerprints, BANDS keys, the sketch as longs) of a
     whole text; the last three are empty or zero below SHINGLE words."""
     words = (text or b"").lower().split()
     hashes = _word_hashes(words)
     shingles = shingle_set(hashes)
     if not len(shingles):
-        return words_name(words), 0, [], np.empty(0, np.int64), [0, 0]
+        return words_name(words), 0, [], np.empty(0, np.int64), [0] * (SKETCH // 16)
     least = _minima(shingles)
-    sketch = np.packbits((_mixed(least, TURNS[1]) >> np.uint64(17)).astype(np.uint8) & 1).view(np.int64).tolist()
+    four = (_mixed(least, TURNS[1]) >> np.uint64(17)).astype(np.uint8) & 15
+    sketch = (four[::2] << 4 | four[1::2]).view(np.int64).tolist()
     return words_name(words), len(shingles), _majority(np.unique(hashes), TURNS[:KEYED]), _band_keys(least), sketch
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, t, n, s1, s2, keys) for every row of docs; t is the hash of the text as it stands."""
+    """(doc_id, name, t, n, sketch, keys) for every row of docs; t is the hash of the text as it stands."""
 
     def run(batches):
         for whole in batches:
@@ -330,11 +333,12 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
                 golay = iter(golay_names(np.array([x[2] for x in got if x[2]], np.int64).reshape(-1, KEYED)))
                 keys = [np.concatenate([next(golay), x[3]]) if x[2] else x[3] for x in got]
                 long = lambda values: pa.array(values, pa.int64())
-                columns = [long([x[0] for x in got]), batch.column(1), long([x[1] for x in got]), long([x[4][0] for x in got]), long([x[4][1] for x in got])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "name", "t", "n", "s1", "s2", "keys"])
+                columns = [long([x[0] for x in got]), batch.column(1), long([x[1] for x in got])]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([x[4] for x in got], keys)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *lists], names=["doc_id", "name", "t", "n", "sketch", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, name long, t long, n long, s1 long, s2 long, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, name long, t long, n long, sketch array<bigint>, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -365,7 +369,10 @@ def cross_links(names: np.ndarray, classes: np.ndarray, sketches: np.ndarray, se
             continue
         fit = OF * np.minimum(sizes[rest], sizes[i]) >= LIKE * np.maximum(sizes[rest], sizes[i])
         rest = rest[fit]
-        rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= APART]
+        unlike = sketches[rest] ^ sketches[i]
+        unlike |= unlike >> np.uint64(2)
+        unlike |= unlike >> np.uint64(1)
+        rest = rest[np.bitwise_count(unlike & NIBBLES).sum(axis=1) <= APART]
         if not len(rest):
             continue
         own = flat[begin[i] : begin[i] + sizes[i]]
@@ -386,12 +393,19 @@ def _near(n, m) -> Column:
     return OF * F.least(n, m) >= LIKE * F.greatest(n, m)
 
 
-def _apart(s1, s2, r1, r2) -> Column:
-    return F.bit_count(s1.bitwiseXOR(r1)) + F.bit_count(s2.bitwiseXOR(r2))
+def _apart(a: Column, b: Column) -> Column:
+    """In how many places of four bits two sketches differ."""
+    out = F.lit(0)
+    for i in range(SKETCH // 16):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(int(NIBBLES))))
+    return out
 
 
 def similar_links(texts: DataFrame, docs: DataFrame, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """(a, b) names of near-duplicate texts of docs, given as texts(name, t, n, s1, s2, keys), enough that each linked
+    """(a, b) names of near-duplicate texts of docs, given as texts(name, t, n, sketch, keys), enough that each linked
     group stays connected. Rows grow with the texts, not with the pairs of a group:
 
     1. Stars. Of the texts that share a key, each is paired with the least name only. A star pair that may be similar
@@ -406,19 +420,19 @@ def similar_links(texts: DataFrame, docs: DataFrame, tile_rows: int = TILE_ROWS,
     keyed = texts.select("name", F.explode("keys").alias("key"))
     leads = keyed.groupBy("key").agg(least, F.max("name").alias("last")).filter("lead < last").select("key", "lead")
     shared = written(keyed.join(leads, "key"), "simhash-shared")
-    facts = written(texts.select("name", "t", "n", "s1", "s2"), "simhash-facts")
-    theirs = facts.select(*(F.col(c).alias(f"l_{c}") for c in ("name", "n", "s1", "s2")))
+    facts = written(texts.select("name", "t", "n", "sketch"), "simhash-facts")
+    theirs = facts.select(*(F.col(c).alias(f"l_{c}") for c in ("name", "n", "sketch")))
     col = F.col
     stars = shared.filter("name <> lead").select("name", col("lead").alias("l_name")).distinct().join(facts, "name").join(theirs, "l_name")
-    stars = stars.withColumn("apart", _apart(col("s1"), col("s2"), col("l_s1"), col("l_s2"))).filter(_near(col("n"), col("l_n")) & (col("apart") <= APART))
+    stars = stars.withColumn("apart", _apart(col("sketch"), col("l_sketch"))).filter(_near(col("n"), col("l_n")) & (col("apart") <= APART))
     stars = written(stars.select(col("name").alias("a"), col("l_name").alias("b"), "apart"), "simhash-stars")
     family = components(stars).withColumnRenamed("component", "family")
 
     kin = shared.select("key", "name").join(family.withColumnRenamed("node", "name"), "name", "left").withColumn("family", F.coalesce("family", "name"))
     mixed = kin.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low < high").select("key")
     kin = written(kin.join(mixed, "key").join(facts.drop("t"), "name"), "simhash-kin")
-    other = kin.select("key", *(col(c).alias(f"l_{c}") for c in ("name", "family", "n", "s1", "s2")))
-    may = (col("name") < col("l_name")) & (col("family") != col("l_family")) & _near(col("n"), col("l_n")) & (_apart(col("s1"), col("s2"), col("l_s1"), col("l_s2")) <= APART)
+    other = kin.select("key", *(col(c).alias(f"l_{c}") for c in ("name", "family", "n", "sketch")))
+    may = (col("name") < col("l_name")) & (col("family") != col("l_family")) & _near(col("n"), col("l_n")) & (_apart(col("sketch"), col("l_sketch")) <= APART)
     strays = kin.join(other, "key").filter(may).select(col("name").alias("a"), col("l_name").alias("b")).distinct()
     closest = stars.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     pairs = written(strays.unionByName(closest), "simhash-pairs")
@@ -433,7 +447,7 @@ def similar_links(texts: DataFrame, docs: DataFrame, tile_rows: int = TILE_ROWS,
 
     classes = components(found).withColumnRenamed("component", "class")
     members = family.join(classes, "node", "left").select(col("node").alias("name"), "family", F.coalesce("class", "node").alias("class"))
-    members = written(members.join(facts.select("name", "n", "s1", "s2"), "name"), "simhash-members")
+    members = written(members.join(facts.select("name", "n", "sketch"), "name"), "simhash-members")
     # The largest class of a family has tiles of its own, from 0; the rest of the family has the tiles after them.
     sized = members.groupBy("family", "class").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     whole = sized.groupBy("family").agg(F.sum("c").alias("all_c"), F.sum("w").alias("all_w"), F.max(F.struct("c", "class", "w")).alias("top"))
@@ -443,11 +457,11 @@ def similar_links(texts: DataFrame, docs: DataFrame, tile_rows: int = TILE_ROWS,
     dealt = members.join(written(whole, "simhash-families"), "family").withColumn("in", col("class") == col("top"))
     mine = F.when(col("in"), F.pmod(F.xxhash64("name"), col("x"))).otherwise(col("x") + F.pmod(F.xxhash64("name"), col("y"))).cast("int")
     meets = F.sequence(F.when(col("in"), col("x")).otherwise(F.lit(0)), col("x") + col("y") - 1)
-    dealt = dealt.withColumn("m", mine).select("family", "class", "name", "s1", "s2", "m", F.explode(meets).alias("o"))
-    dealt = dealt.select("family", F.least("m", "o").alias("p"), F.greatest("m", "o").alias("q"), "class", "name", "s1", "s2").join(sets, "name")
+    dealt = dealt.withColumn("m", mine).select("family", "class", "name", "sketch", "m", F.explode(meets).alias("o"))
+    dealt = dealt.select("family", F.least("m", "o").alias("p"), F.greatest("m", "o").alias("q"), "class", "name", "sketch").join(sets, "name")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketches = pdf[["s1", "s2"]].to_numpy(np.int64).view(np.uint64)
+        sketches = np.stack(pdf["sketch"].to_list()).astype(np.int64).view(np.uint64)
         return pd.DataFrame(cross_links(pdf["name"].to_numpy(), pdf["class"].to_numpy(), sketches, [np.asarray(s) for s in pdf["s"]]), columns=["a", "b"])
 
     return found.unionByName(written(dealt.groupBy("family", "p", "q").applyInPandas(compare, "a long, b long"), "simhash-crossed"))
@@ -456,7 +470,7 @@ def similar_links(texts: DataFrame, docs: DataFrame, tile_rows: int = TILE_ROWS,
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (doc_id, name, t) of the rows of docs and (name, group, component_id) of their texts."""
     rows = written(shingle_rows(docs), "simhash-wide")
-    same = [F.first(c).alias(c) for c in ("n", "s1", "s2", "keys")]
+    same = [F.first(c).alias(c) for c in ("n", "sketch", "keys")]
     nodes = written(rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), *same), "simhash-nodes")
     group = components(similar_links(nodes.filter("n > 0"), docs))
     linked = nodes.select("name", "first").join(group.withColumnRenamed("node", "name"), "name")

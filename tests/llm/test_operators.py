@@ -812,3 +812,26 @@ def test_what_a_benchmark_block_takes_grows_with_its_words():
     size = lambda n: len(pickle.dumps(decontam.Matcher([(1, " ".join("".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(n)).encode())])))
     empty, small, large = (size(n) for n in (40, 5_000, 20_000))
     assert large - empty < 5 * (small - empty) and large - empty < 16e6
+
+
+def test_sketches_tell_a_template_from_copies(spark):
+    """Texts that share a template of 60% are hardly ever candidates; pairs of similarity 0.8 always are."""
+    rng = random.Random(31)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmno", k=6)) for _ in range(n)]
+    template = fresh(90)
+    texts = [" ".join([*template, *fresh(60)]) for _ in range(120)]
+    near = []
+    for _ in range(60):
+        words, at = fresh(300), rng.randrange(240)
+        near += [" ".join(words), " ".join(words[:at] + words[at + 52 :])]
+    rows = simhash.shingle_rows(docs_of(spark, list(enumerate(texts + near)))).collect()
+    held = {r["doc_id"]: np.array(r["sketch"], np.int64).view(np.uint64) for r in rows}
+
+    def apart(a, b):
+        return sum(bool((int(x) ^ int(y)) >> s & 15) for x, y in zip(held[a], held[b], strict=True) for s in range(0, 64, 4))
+
+    pairs = [(a, b) for a in range(120) for b in range(a)]
+    assert sum(apart(a, b) <= simhash.APART for a, b in pairs) < 0.02 * len(pairs)
+    assert all(apart(120 + 2 * i, 121 + 2 * i) <= simhash.APART for i in range(60))
+    df = spark.createDataFrame([(held[a].view(np.int64).tolist(), held[b].view(np.int64).tolist(), apart(a, b)) for a, b in pairs[:300]], "a array<long>, b array<long>, n int")
+    assert df.filter(simhash._apart(F.col("a"), F.col("b")) != F.col("n")).count() == 0
