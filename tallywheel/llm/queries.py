@@ -35,7 +35,7 @@ def op5_secret_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of equal counts: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """All documents in 16 shards of equal counts: doc_id, size, text_crc32, law, shard, slot, grown_shard, cut_links."""
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 

@@ -167,7 +167,12 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def shard_report(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null: the law isn't key)."""
-    rows = written(keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "shard-rows")
-    out = assign(rows, shards)
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null: the law isn't key), cut_links: how many documents of
+    the same text are in other shards (each a link that is cut; the sum counts each link from both ends)."""
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    rows = written(rows.withColumn("linked_by", F.when(F.col("__linked"), F.struct(*HUB))), "shard-rows")
+    out = written(assign(rows, shards), "shard-assigned")
+    inside = out.filter("linked_by IS NOT NULL").groupBy("linked_by", "shard").agg(F.count(F.lit(1)).alias("here"))
+    inside = inside.withColumn("cut", F.sum("here").over(W.partitionBy("linked_by")) - F.col("here")).filter("cut > 0")  # a row a shard, at most
+    out = out.join(inside.select("linked_by", "shard", "cut"), ["linked_by", "shard"], "left")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("cut", F.lit(0)).cast("long").alias("cut_links"))

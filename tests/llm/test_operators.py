@@ -835,3 +835,25 @@ def test_sketches_tell_a_template_from_copies(spark):
     assert all(apart(120 + 2 * i, 121 + 2 * i) <= simhash.APART for i in range(60))
     df = spark.createDataFrame([(held[a].view(np.int64).tolist(), held[b].view(np.int64).tolist(), apart(a, b)) for a, b in pairs[:300]], "a array<long>, b array<long>, n int")
     assert df.filter(simhash._apart(F.col("a"), F.col("b")) != F.col("n")).count() == 0
+
+
+def test_cut_links_against_brute_force(spark):
+    """Every cut link is counted; few are cut, of the links that a placing by chance would cut nearly all."""
+    rng = random.Random(8)
+    texts = [f"text {g} " * 3 for g, n in enumerate([1] * 200 + [2] * 60 + [5] * 40 + [30] * 6 + [300]) for _ in range(n)] + [None] * 20 + [""] * 9
+    rng.shuffle(texts)
+    got = sharding.shard_report(docs_of(spark, list(enumerate(texts))), 8).collect()
+    where = {r["doc_id"]: r["shard"] for r in got}
+    mates = Counter((texts[i], s) for i, s in where.items())
+    total = Counter(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["cut_links"] == (0 if text is None else total[text] - mates[text, r["shard"]])
+    sizes = Counter(where.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    # The one group that is larger than a shard has to be cut; it needs three shards at least.
+    big = f"text {306} " * 3
+    assert total[big] == 300 > 2 * max(sizes.values()) and len({s for t, s in mates if t == big}) >= 3
+    others = sum(r["cut_links"] for r in got if texts[r["doc_id"]] is not None and total[texts[r["doc_id"]]] < 300)
+    by_chance = sum(n * (n - 1) * 7 / 8 for t, n in total.items() if t is not None and n < 300)
+    assert others < 0.1 * by_chance
