@@ -37,6 +37,8 @@ from tallywheel.llm._common import as_row, components, written
 GOLAY_GENERATOR = 0b110001110101
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
+#: Crowded keys that are sent to every executor; more of them are joined by a shuffle.
+MOST_SENT = 1 << 17
 WIDE_SEGMENTS, WIDE_FROM = ((48, 16), (32, 16), (16, 16), (0, 16)), 1 << 22
 
 
@@ -175,13 +177,14 @@ def links(nodes: DataFrame, max_bits: int = 3, hot: int = 96, tile: int = 8192,
     owners = written(_keys(nodes, True, wide), "golay-owned")
     crowded = written(owners.groupBy("key").count().filter(F.col("count") > hot).select("key"), "golay-hot")
     reach = _keys(nodes, False, wide)
-    some = crowded.limit(1).count() > 0
+    some = crowded.count()
     plain = owners.join(crowded, "key", "left_anti") if some else owners
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
-    found = reach.join(plain.withColumnRenamed("fp", "other"), "key").filter((F.col("fp") != F.col("other")) & near)
+    # Reached keys are many more than Spark expects of their fingerprints: unhinted, it would broadcast them all.
+    found = reach.hint("merge").join(plain.withColumnRenamed("fp", "other"), "key").filter((F.col("fp") != F.col("other")) & near)
     found = found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     if some:
-        members = written(reach.join(crowded, "key"), "golay-members")
+        members = written(reach.join(F.broadcast(crowded) if some <= MOST_SENT else crowded.hint("merge"), "key"), "golay-members")
         tiles = members.groupBy("key").count().select("key", F.ceil(F.col("count") / tile).cast("int").alias("n"))
         mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
         dealt = members.join(tiles, "key").withColumn("m", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

@@ -857,3 +857,11 @@ def test_cut_links_against_brute_force(spark):
     others = sum(r["cut_links"] for r in got if texts[r["doc_id"]] is not None and total[texts[r["doc_id"]]] < 300)
     by_chance = sum(n * (n - 1) * 7 / 8 for t, n in total.items() if t is not None and n < 300)
     assert others < 0.1 * by_chance
+
+
+def test_reached_keys_are_not_broadcast(spark):
+    """About 85 keys a fingerprint come out of a task; a broadcast of them all would fill the driver."""
+    nodes = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plan = simhash.links(nodes)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
