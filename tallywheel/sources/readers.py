@@ -350,10 +350,13 @@ class SessionTrees(Reader):
         rows = rows.withColumn("parent_file", F.element_at(F.split("h.parent", "[/\\\\]"), -1)).drop("line")
         rows = settled(rows, "sessions", kept)
         # The parent is a file of this name; what a child repeats unchanged from it is the parent's.
-        wanted = {r[0] for r in rows.filter("parent_file IS NOT NULL").select("parent_file").distinct().collect()}  # of these candidates
+        parents = rows.filter("parent_file IS NOT NULL").select(F.col("parent_file").alias("file")).distinct()
         have = {c.path.rsplit("/", 1)[-1] for c in candidates if not begins.get(c.source_key)}
-        others = [Candidate(str(p), str(p)) for p in files_under(self.root, "*.jsonl") if str(p).rsplit("/", 1)[-1] in wanted - have]
-        family = rows.filter(F.col("file").isin(list(wanted & have)) if wanted & have else F.lit(False)).select("file", "record_offset", "ok", "head", "u", "native", "signature")
+        wanted = {r[0] for r in parents.collect()} - have  # of these candidates, at most
+        others = [Candidate(str(p), str(p)) for p in files_under(self.root, "*.jsonl") if str(p).rsplit("/", 1)[-1] in wanted] if wanted else []
+        family = rows.select("file", "record_offset", "ok", "head", "u", "native", "signature").join(parents, "file", "left_semi")
+        if begins:
+            family = family.join(spark.createDataFrame([(name,) for name in sorted(have)], "file string"), "file", "left_semi")
         if others:
             family = family.unionByName(self._parsed(read_lines(spark, others, kept=kept)[0]).select("file", "record_offset", "ok", "head", "u", "native", "signature"))
         theirs = family.filter("u IS NOT NULL AND head IS NULL AND native IS NOT NULL").groupBy(F.col("file").alias("parent_file"), "native").agg(F.max_by("signature", "record_offset").alias("theirs"))
@@ -372,7 +375,10 @@ class SessionTrees(Reader):
         )
         warnings = warnings.unionByName(collected(fresh.withColumn("says", says), "says"))
         model = F.coalesce(F.nullif("p.message.responseModel", F.lit("")), F.nullif("p.message.model", F.lit("")))
-        child = rows.filter(is_usage & usable).join(known, "parent_file", "left").join(theirs, ["parent_file", "native"], "left")
+        # Sessions without a parent stay out of the joins, whose null keys would meet in one task.
+        usage, kinds = rows.filter(is_usage & usable), dict(theirs.dtypes)
+        alone = usage.filter("parent_file IS NULL").withColumns({"known": F.lit(None).cast("boolean"), "broken": F.lit(None).cast("boolean"), "theirs": F.lit(None).cast(kinds["theirs"])})
+        child = usage.filter("parent_file IS NOT NULL").join(known, "parent_file", "left").join(theirs, ["parent_file", "native"], "left").unionByName(alone)
         lost = F.col("h.parent").isNotNull() & (F.col("known").isNull() | F.coalesce("broken", F.lit(False)))
         resolved = F.col("theirs").isNotNull() & ~lost
         child = child.withColumns({"lost": lost, "kept": ~(resolved & F.col("signature").eqNullSafe(F.col("theirs"))), "changed": resolved & ~F.col("signature").eqNullSafe(F.col("theirs"))})

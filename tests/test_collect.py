@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 import zstandard
 
+from tallywheel.sources import readers
 from tallywheel.sources.readers import EventLines, EventSnapshot, SessionTrees, StreamLines, WireJournals
 from tallywheel.sources.rollouts import Rollouts
 from tallywheel.sources.threads import Threads
@@ -231,3 +232,22 @@ def test_default_roots():
 @pytest.mark.parametrize("reader", [WireJournals, SessionTrees, Threads, Rollouts])
 def test_nothing_to_discover(reader, tmp_path):
     assert reader(tmp_path / "none").discover() == []
+
+
+def test_parents_are_no_part_of_a_plan(spark, tmp_path, monkeypatch):
+    """Forks find their parents by a join: no plan of a reading grows with the number of files."""
+    for k in range(6):
+        for name, parent in ((f"p{k}", ""), (f"c{k}", f',"parentSession":"/elsewhere/p{k}.jsonl"')):
+            usage = '{"type":"message","id":"n1","message":{"role":"assistant","model":"m","usage":{"input":1,"output":2}}}'
+            (tmp_path / f"{name}.jsonl").write_text(f'{{"type":"session","version":3,"id":"{name}"{parent}}}\n{usage}\n{usage.replace("n1", "own") if parent else ""}\n')
+    plans, settled = [], readers.settled
+
+    def told(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settled(df, *rest)
+
+    monkeypatch.setattr(readers, "settled", told)
+    reader = readers.SessionTrees(tmp_path)
+    batch = reader.read(spark, reader.discover(spark))
+    assert sorted((r["session_id"], r["native_id"], r["confidence"]) for r in batch.records.collect()) == sorted([(f"p{k}", "n1", "exact") for k in range(6)] + [(f"c{k}", "own", "exact") for k in range(6)])
+    assert plans and not any(f"p{k}.jsonl" in plan for plan in plans for k in range(6))
