@@ -58,3 +58,13 @@ def test_ancestors(spark):
 
 def test_no_links(spark):
     assert lineage.resolve(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_rounds_grow_with_the_longest_chain(spark, monkeypatch):
+    """Many short rings take few rounds, however many links there are."""
+    made, settled = [], lineage.settled
+    monkeypatch.setattr(lineage, "settled", lambda df, name, *rest: made.append(name) or settled(df, name, *rest))
+    rows = [(4 * i + j, 4 * i + (j + 1) % 4 if i % 2 else (4 * i + j - 1 if j else None), None, None, 4 * i + j if j == 0 else None) for i in range(500) for j in range(4)]
+    got = {r["child"]: (r["problem"], r["value"], r["cycle"]) for r in lineage.resolve(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == walked(rows)
+    assert made.count("lineage-rings") <= 4 and made.count("lineage") <= 5
