@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 import json
+import os
+import shutil
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +38,77 @@ def json_lines(facts: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("event"))
 
 
+def _write(lines: DataFrame, path: Path, head: bytes, tail: bytes, between: bytes = b"") -> int:
+    """One file of head, all lines in their order, and tail; `between` is put before each line, without its first byte before the
+    first one. Returns the number of lines.
+
+    lines: one column of text in order. Tasks write each part of the rows as a file beside the path, and copy it to its place
+    in the one file; the driver gets a row a part. The folder is one that the driver and all executors see.
+    """
+    base, drafts = str(path), f"{path}.parts-{uuid.uuid4().hex}"
+    os.makedirs(drafts)
+
+    def parts(batches):
+        number, count, size, mine = TaskContext.get().partitionId(), 0, 0, f"{uuid.uuid4().hex}"
+        with open(f"{drafts}/{mine}", "wb") as out:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    rows = batch.column(0).slice(at, 4096).cast(pa.binary()).to_pylist()
+                    size += out.write(b"".join([between + row for row in rows]))
+                    count += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([mine]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["part", "file", "size", "count"])
+
+    kind = "part long, file string, size long, count long"
+    made = sorted(r[:] for r in lines.mapInArrow(parts, kind).collect() if r["count"])  # a row a part
+    places, end, skip = [], len(head), min(1, len(between))
+    for _, file, size, _ in made:
+        places.append((file, skip, end))
+        end, skip = end + size - skip, 0
+    with open(base, "wb") as out:
+        out.write(head)
+        out.truncate(end)
+        out.seek(end)
+        out.write(tail)
+
+    def copied(batches):
+        for batch in batches:
+            for file, skip, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open(f"{drafts}/{file}", "rb") as part, open(base, "r+b") as out:
+                    part.seek(skip)
+                    out.seek(at)
+                    shutil.copyfileobj(part, out, 1 << 20)
+            yield batch.slice(0, 0)
+
+    if places:
+        rows = lines.sparkSession.createDataFrame(places, "file string, skip long, at long")
+        rows.repartition(len(places)).mapInArrow(copied, rows.schema).write.format("noop").mode("overwrite").save()
+    shutil.rmtree(drafts)
+    return sum(count for *_, count in made)
+
+
 def write_json(facts: DataFrame, path: Path, now_ms: int) -> int:
-    """An envelope with all events; rows come to the driver one by one and go straight to the file."""
+    """An envelope with all events."""
     count = facts.count()
-    with path.open("w", encoding="utf-8") as f:
-        f.write(json.dumps({"format": FORMAT, "generatedAtUnixMs": now_ms, "eventCount": count})[:-1] + ', "events": [')
-        for i, r in enumerate(json_lines(facts).toLocalIterator()):
-            f.write((",\n" if i else "\n") + r["event"])
-        f.write("\n]}\n")
+    head = json.dumps({"format": FORMAT, "generatedAtUnixMs": now_ms, "eventCount": count})[:-1] + ', "events": ['
+    _write(json_lines(facts), path, head.encode(), b"\n]}\n", b",\n")
     return count
 
 
+def _csv(column: str, kind: str):
+    """A value as CSV: quoted where it must be."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text) if kind == "string" else text
+
+
+def csv_lines(facts: DataFrame) -> DataFrame:
+    """One line an event."""
+    rows = ordered(facts)
+    return rows.select(F.concat(F.concat_ws(",", *(_csv(c, kind) for c, kind in rows.dtypes)), F.lit("\n")).alias("line"))
+
+
 def write_csv(facts: DataFrame, path: Path) -> int:
     """A header and one line an event; a value is quoted only where it must be."""
-    count = 0
-    with path.open("w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
-        out.writerow(EXPORT_COLUMNS)
-        for r in ordered(facts).toLocalIterator():
-            out.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in r])
-            count += 1
-    return count
+    return _write(csv_lines(facts), path, (",".join(EXPORT_COLUMNS) + "\n").encode(), b"")
 
 
 def export(facts: DataFrame, folder: str | Path, kind: str, now_ms: int) -> tuple[Path, int]:

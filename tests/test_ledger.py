@@ -298,3 +298,28 @@ def test_streaming_projection_equals_a_rebuild(spark, tmp_path):
         stream_daily(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "daily"), str(tmp_path / "cp")).start().awaitTermination()
     cols = ["day", "client", "provider", "model", *schema.BUCKETS, "event_count"]
     assert sorted(map(tuple, read_daily(spark, str(tmp_path / "daily")).select(*cols).collect())) == sorted(map(tuple, Q.daily_usage(events).select(*cols).collect()))
+
+
+def test_exports_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Rows of an export don't come to the driver; what is written is what a plain writer writes."""
+    import csv
+    import io
+
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from tallywheel.plans import export as x
+
+    odd = [None, "", 'a "b"', "c,d", "e\nf", "g\rh", "ü"]
+    rows = spark.range(0, 700, 1, 7).withColumn("text", F.element_at(F.array(*(F.lit(t) for t in odd)), (F.col("id") % 7 + 1).cast("int")))
+    rows = rows.select("id", "text", (F.col("id") % 2 == 0).alias("even")).orderBy("id")
+    monkeypatch.setattr(x, "ordered", lambda facts: facts)
+    monkeypatch.setattr(x, "EXPORT_COLUMNS", tuple(rows.columns))
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    assert x.write_csv(rows, tmp_path / "a.csv") == 700
+    plain = io.StringIO()
+    out = csv.writer(plain, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
+    out.writerows([rows.columns, *([k, odd[k % 7] or "", str(k % 2 == 0).lower()] for k in range(700))])
+    assert (tmp_path / "a.csv").read_bytes() == plain.getvalue().encode()
+    assert x.write_csv(rows.limit(0), tmp_path / "b.csv") == 0 and (tmp_path / "b.csv").read_text() == "id,text,even\n"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "b.csv"]
