@@ -258,11 +258,13 @@ class Ledger:
             raise ValueError(odd[0])
         # A row for each source of the commit.
         wanted = self.spark.createDataFrame([(c.source,) for c in commits], "source_object_id string")
-        batch = records.withColumn("provider", F.coalesce("provider", F.lit(""))).join(F.broadcast(wanted), "source_object_id", "left_semi").persist()
+        batch = records.withColumn("provider", F.coalesce("provider", F.lit(""))).join(F.broadcast(wanted), "source_object_id", "left_semi")
+        # Read by several jobs, each of which takes the columns it needs: a table, unless the records come from one.
+        held = [] if getattr(records, "_settled_at", None) else [settled(batch, "commit-batch")]
         try:
-            done, tables = self._prepared(commits, batch)
+            done, tables = self._prepared(commits, held[0] if held else batch)
         finally:
-            batch.unpersist()
+            forget(*held)
         good = [c for c in commits if isinstance(done[c.source], IngestReport)]
         if good:
             tables |= self._read_up_to(good, at)
@@ -337,7 +339,8 @@ class Ledger:
                 done[c.source], changed[c.source] = IngestReport(c.source, c.mode, seen, new, seen - new, deleted.get(c.source, 0), c.warnings), new
         if not any(changed.values()) and not replaced:
             return done, {}
-        once = once.persist()
+        # A table and no cache: what reads a cache keeps the partitions of the shuffle before it, however small they are.
+        once = settled(once, "commit-events")
         costs = once.select(*KEY, F.explode("costs").alias("c")).select(*KEY, "c.kind", "c.usd_nanos", "c.confidence")
         costs = costs.withColumns({x: F.lit(None) for x in ("pricing_snapshot_id", "pricing_key", "pricing_rule")})
         tables = {}
@@ -351,7 +354,7 @@ class Ledger:
             tables[name] = parts
         months = {m for s, n in changed.items() if n for m in tally[s]["months"]} | {m for r in gone if r["source_object_id"] in changed for m in r["months"]}
         tables |= self._projected([c for c in commits if c.source in changed], once, replaced, sorted(months))
-        once.unpersist()
+        forget(once)
         return done, tables
 
     # -- projections, kept by each commit

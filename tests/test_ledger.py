@@ -302,10 +302,8 @@ def test_streaming_projection_equals_a_rebuild(spark, tmp_path):
 
 def test_exports_are_written_by_tasks(spark, tmp_path, monkeypatch):
     """Rows of an export don't come to the driver; what is written is what a plain writer writes."""
-    import csv
     import io
 
-    from pyspark.sql import DataFrame
     from pyspark.sql import functions as F
 
     from tallywheel.plans import export as x
@@ -315,7 +313,7 @@ def test_exports_are_written_by_tasks(spark, tmp_path, monkeypatch):
     rows = rows.select("id", "text", (F.col("id") % 2 == 0).alias("even")).orderBy("id")
     monkeypatch.setattr(x, "ordered", lambda facts: facts)
     monkeypatch.setattr(x, "EXPORT_COLUMNS", tuple(rows.columns))
-    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)
     assert x.write_csv(rows, tmp_path / "a.csv") == 700
     plain = io.StringIO()
     out = csv.writer(plain, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
@@ -323,3 +321,19 @@ def test_exports_are_written_by_tasks(spark, tmp_path, monkeypatch):
     assert (tmp_path / "a.csv").read_bytes() == plain.getvalue().encode()
     assert x.write_csv(rows.limit(0), tmp_path / "b.csv") == 0 and (tmp_path / "b.csv").read_text() == "id,text,even\n"
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.csv", "b.csv"]
+
+
+def test_commits_cache_no_records(spark, tmp_path, monkeypatch):
+    """What a commit reads several times is a table: the partitions of what is cached stay as many as a shuffle has."""
+    from tallywheel.plans.checks import records_of
+
+    frame = type(spark.range(0))
+    cached, persist = [], frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *how: cached.append(self.columns) or persist(self, *how))
+    ledger = Ledger(spark, tmp_path / "ledger")
+    ledger.register_sources({"id": "i", "adapter_id": "own", "root_path": "/r"}, [{"id": "src-0", "native_path": "f", "kind": "append_only_jsonl", "parser_version": 1}])
+    rows = records_of(spark.range(40).selectExpr("id AS n", "0L AS u", "id * 1000 AS ms", "'x' AS event_type"))
+    assert ledger.append("src-0", rows, 1).inserted == 40
+    again = ledger.append("src-0", rows, 2)
+    assert (again.inserted, again.duplicates) == (0, 40) and ledger.table("usage_events").count() == 40
+    assert cached and not any("event_id" in columns for columns in cached)
