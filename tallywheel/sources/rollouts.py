@@ -13,7 +13,7 @@ from tallywheel.operators import lineage, sequences
 from tallywheel.schema import BUCKETS
 from tallywheel.sources.lines import Batch, Candidate, collected, files_under, read_lines
 from tallywheel.sources.readers import Reader, _at, _begins, _expanded, _home, _home_of, _json, _note, _notes, _records, _seeded, _since, _states, _under
-from tallywheel.tables import settled
+from tallywheel.tables import settled, tasks_for
 
 COUNTERS = ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")
 EVERY = (*COUNTERS, "total_tokens")
@@ -28,6 +28,7 @@ _H = "struct<id:string,source:string,originator:string,provider:string,ms:bigint
 #: What the next batch of a file has to know: its head and model, the counters, how many reports there were, and how far the
 #: replay of a parent has come.
 _STATE = f"struct<h:{_H},model:string,total:{_U},pos:bigint,n_expected:bigint,same:int,first_apart:bigint,lost:boolean>"
+_EXPECTED = f"struct<timestamp:string,total:{_U},last:{_U}>"
 #: A file's lineage is told by its first record, which is sought in so many bytes.
 HEAD_BYTES = 1 << 16
 
@@ -58,6 +59,7 @@ class Rollouts(Reader):
 
     @staticmethod
     def _parsed(lines: DataFrame) -> DataFrame:
+        """What is needed of each line: the line itself stays behind, as windows by file sort these rows."""
         rows = lines.withColumn("size", F.octet_length("line") + 1).withColumn("line", F.trim("line")).withColumn("c", _json("line", _C))
         usage = lambda name: F.when(F.col(f"c.payload.info.{name}").isNotNull(), F.struct(*(F.coalesce(F.col(f"c.payload.info.{name}.{x}"), F.lit(0)).alias(x) for x in EVERY)))
         ok = F.coalesce(F.col("c").isNotNull() & F.col("c.__bad").isNull() & F.col("c.type").isNotNull(), F.lit(False))
@@ -66,15 +68,18 @@ class Rollouts(Reader):
         source = F.when(told.isNotNull(), F.when(told.rlike(r"^[\[{]|^(true|false|-?[0-9.]+)$"), "non_cli").otherwise(F.col("c.payload.source")))
         head = F.struct(F.coalesce("c.payload.id", "c.payload.session_id").alias("id"), source.alias("source"), F.col("c.payload.originator").alias("originator"), F.nullif("c.payload.model_provider", F.lit("")).alias("provider"), F.col("ms").alias("ms"), F.nullif("c.payload.forked_from_id", F.lit("")).alias("fork"), F.col("c.payload.history_mode").alias("mode"), F.col("c.payload.history_base").alias("base"), F.col("record_offset").alias("at"))
         report = F.col("ok") & (F.col("c.type") == "event_msg") & (F.col("c.payload.type") == "token_count")
-        return rows.withColumns({
-            "head": F.when(F.col("ok") & (F.col("c.type") == "session_meta"), head.cast(_H)), "named": F.when(F.col("ok") & (F.col("c.type") == "turn_context"), F.nullif("c.payload.model", F.lit(""))),
-            "report": report, "count": F.coalesce(report & F.col("c.payload.info").isNotNull(), F.lit(False)), "signature": F.struct(F.col("c.timestamp").alias("timestamp"), "total", "last"),
-        })
+        count = F.coalesce(report & F.col("c.payload.info").isNotNull(), F.lit(False))
+        legacy = F.concat(F.lit("legacy:"), F.sha2(F.concat(F.col("source_key").cast("binary"), identity.little_endian_u64(F.col("record_offset")), F.col("line").cast("binary")), 256))
+        return rows.select(
+            "source_key", "modified_unix_ms", "record_offset", "size", "ok", "ms", "total", "last", F.col("c.timestamp").alias("timestamp"), F.col("c.ordinal").alias("ordinal"), F.when(count & F.col("c.ordinal").isNull(), legacy).alias("legacy"),
+            F.when(F.col("ok") & (F.col("c.type") == "session_meta"), head.cast(_H)).alias("head"), F.when(F.col("ok") & (F.col("c.type") == "turn_context"), F.nullif("c.payload.model", F.lit(""))).alias("named"), report.alias("report"), count.alias("count"),
+        )
 
     @staticmethod
     def _heads(rows: DataFrame) -> DataFrame:
         """What the first record of each file says of it; files that begin with another record have no lineage."""
-        return rows.filter("ok").groupBy("source_key").agg(F.min_by("head", "record_offset").alias("m")).filter("m IS NOT NULL").select("source_key", "m.*")
+        first = rows.filter("ok").groupBy("source_key").agg(F.min("record_offset").alias("record_offset"))
+        return rows.filter("head IS NOT NULL").join(first, ["source_key", "record_offset"]).select("source_key", "head.*")
 
     def read(self, spark, candidates, offsets=None, states=None):
         """State: see _STATE. A file that goes on where it ended reads what was added; of other files its ancestors are read,
@@ -82,8 +87,11 @@ class Rollouts(Reader):
         kept = []
         begins = _begins(offsets, states)
         lines, warnings, ends = read_lines(spark, candidates, begins, kept)
-        rows = _seeded(self._parsed(lines), states, _STATE)
-        so_far = W.partitionBy("source_key").orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0)
+        tasks = tasks_for(kept[-1])
+        rows = _seeded(self._parsed(lines).repartition(tasks, "source_key"), states, _STATE)
+        in_order = W.partitionBy("source_key").orderBy("record_offset")
+        so_far, latest = in_order.rowsBetween(W.unboundedPreceding, 0), F.lead("record_offset").over(in_order).isNull()
+        rows = rows.withColumns({"begun": F.min(F.when(F.col("ok"), F.col("record_offset"))).over(so_far), "latest": latest})
         rows = rows.withColumns({"h": F.coalesce(F.col("__s.h"), F.first("head", ignorenulls=True).over(so_far)), "model": F.coalesce(F.last("named", ignorenulls=True).over(so_far), F.col("__s.model"))})
         rows = settled(rows, "rollouts", kept)
         service = ~identity.is_interactive(F.col("h.source"))
@@ -97,25 +105,32 @@ class Rollouts(Reader):
         seeds, replays, problems = self._lineage(spark, candidates, begins, rows, ends, kept)
         # Broken lineages are told once, with the batch in which they were followed.
         warnings = warnings.unionByName(problems.select("source_key", "warning"))
-        counts = rows.filter(F.col("count") & ~F.coalesce(service, F.lit(False)))
+        counts = rows.filter(F.col("count") & ~F.coalesce(service, F.lit(False))).select("source_key", "modified_unix_ms", "record_offset", "ms", "total", "last", "timestamp", "ordinal", "legacy", "h", "model", "__s")
+        counts = counts.repartition(tasks, "source_key")
         counts = counts.join(F.broadcast(seeds), "source_key", "left").join(F.broadcast(problems.groupBy("source_key").agg(F.lit(True).alias("now_lost"))), "source_key", "left")
         counts = counts.withColumns({"lost": F.coalesce("__s.lost", "now_lost", F.lit(False)), "seed": F.coalesce("__s.total", "seed")})
         counts = sequences.positions(counts, ["source_key"], "record_offset").withColumn("pos", F.col("pos") + F.coalesce("__s.pos", F.lit(0)))
-        counts = counts.join(replays, ["source_key", "pos"], "left")
+        if replays is not None:
+            counts = counts.join(replays, ["source_key", "pos"], "left").repartition(tasks, "source_key")
+        else:
+            counts = counts.withColumns({"expected": F.lit(None).cast(_EXPECTED), "expected_count": F.lit(None).cast("bigint")})
         by = W.partitionBy("source_key")
-        same = F.min(F.col("signature").eqNullSafe(F.col("expected")).cast("int")).over(by.orderBy("record_offset").rowsBetween(W.unboundedPreceding, 0))
+        same = F.min(F.struct("timestamp", "total", "last").eqNullSafe(F.col("expected")).cast("int")).over(so_far)
         counts = counts.withColumns({"n_expected": F.coalesce(F.max("expected_count").over(by), "__s.n_expected", F.lit(0)), "same": F.least(same, F.coalesce("__s.same", F.lit(1)))})
         within = F.col("pos") <= F.col("n_expected")
         counts = counts.withColumns({"replayed": within & (F.col("same") == 1), "diverges": within & (F.col("same") == 0)})
         counts = counts.withColumn("first_apart", F.coalesce("__s.first_apart", F.min(F.when(F.col("diverges"), F.col("pos"))).over(by)))
-        counts = sequences.increments(counts, ["source_key"], "record_offset", COUNTERS, seed="seed", also=("total_tokens",))
+        counts = sequences.increments(counts, ["source_key"], "record_offset", COUNTERS, seed="seed", also=("total_tokens",)).withColumn("latest", latest)
         counts = settled(counts.drop("seed", "expected", "expected_count", "now_lost"), "rollout-counts", kept)
         # What the next batch has to know: the last line's head and model, the last report's counters.
-        lately = rows.groupBy("source_key").agg(F.max_by(F.struct("h", "model", F.col("__s").alias("was")), "record_offset").alias("x"))
-        last = counts.groupBy("source_key").agg(F.max_by(F.struct("after", "pos", "n_expected", F.when(F.col("pos") <= F.col("n_expected"), F.col("same")).otherwise(F.coalesce(F.when(F.col("first_apart").isNotNull(), 0), F.lit(1))).alias("same"), "first_apart", "lost"), "record_offset").alias("y"))
-        left = lately.join(last, "source_key", "left").join(problems.groupBy("source_key").agg(F.lit(True).alias("lost")), "source_key", "left").join(seeds, "source_key", "left").join(replays.groupBy("source_key").agg(F.max("expected_count").alias("expects")), "source_key", "left")
+        lately = rows.filter("latest").select("source_key", F.struct("h", "model", F.col("__s").alias("was")).alias("x"))
+        last = counts.filter("latest").select("source_key", F.struct("after", "pos", "n_expected", F.when(F.col("pos") <= F.col("n_expected"), F.col("same")).otherwise(F.coalesce(F.when(F.col("first_apart").isNotNull(), 0), F.lit(1))).alias("same"), "first_apart", "lost").alias("y"))
+        left = lately.join(last, "source_key", "left").join(problems.groupBy("source_key").agg(F.lit(True).alias("lost")), "source_key", "left").join(seeds, "source_key", "left")
+        expects = F.lit(None).cast("bigint")
+        if replays is not None:
+            left, expects = left.join(replays.groupBy("source_key").agg(F.max("expected_count").alias("expects")), "source_key", "left"), F.col("expects")
         pick = lambda now, was, *rest: F.coalesce(F.col(f"y.{now}"), F.col(f"x.was.{was}"), *rest).alias(was)
-        after = _states(ends, left, states, F.struct(F.col("x.h").alias("h"), F.col("x.model").alias("model"), pick("after", "total", F.col("seed")), pick("pos", "pos", F.lit(0).cast("long")), pick("n_expected", "n_expected", F.col("expects")), pick("same", "same", F.lit(1)), pick("first_apart", "first_apart"), pick("lost", "lost", F.col("lost"))))
+        after = _states(ends, left, states, F.struct(F.col("x.h").alias("h"), F.col("x.model").alias("model"), pick("after", "total", F.col("seed")), pick("pos", "pos", F.lit(0).cast("long")), pick("n_expected", "n_expected", expects), pick("same", "same", F.lit(1)), pick("first_apart", "first_apart"), pick("lost", "lost", F.col("lost"))))
         apart = F.col("pos") == F.col("first_apart")
         d = {c: F.col("delta")[c] for c in EVERY}
         cached = d["cached_input_tokens"].cast("decimal(21,0)") + d["cache_write_input_tokens"]
@@ -137,28 +152,26 @@ class Rollouts(Reader):
         doubt = F.col("lost") | F.coalesce(F.col("pos") >= F.col("first_apart"), F.lit(False))
         rows = counts.filter(out).withColumn("doubt", doubt)
         client = F.when(F.col("h").isNull(), "codex-cli").otherwise(identity.client_of(F.coalesce("h.source", F.lit("cli")), F.col("h.originator")))
-        at = "record_offset"
-        legacy = F.concat(F.lit("legacy:"), F.sha2(F.concat(F.col("source_key").cast("binary"), identity.little_endian_u64(F.col(at)), F.col("line").cast("binary")), 256))
-        place = F.coalesce(F.concat(F.lit("ordinal:"), F.col("c.ordinal").cast("string")), legacy)
+        place = F.coalesce(F.concat(F.lit("ordinal:"), F.col("ordinal").cast("string")), "legacy")
         raw = F.concat_ws(", ", *(F.concat(F.lit(f"{c}="), d[c].cast("string")) for c in EVERY))
         records = _records(
             rows, event_id=F.concat(F.lit("codex-v2:"), identity.sha256_of(F.col("source_key"), place)), session_id=F.coalesce(F.nullif("h.id", F.lit("")), "source_key"), client=client, provider=F.col("h.provider"), model=F.coalesce("model", F.lit("unknown")),
             occurred_at_unix_ms=F.coalesce("ms", "modified_unix_ms"), input_tokens=F.greatest(d["input_tokens"] - cached, F.lit(0)), output_tokens=F.greatest(d["output_tokens"] - d["reasoning_output_tokens"], F.lit(0)),
             cache_read_tokens=d["cached_input_tokens"], cache_write_tokens=d["cache_write_input_tokens"], reasoning_tokens=d["reasoning_output_tokens"], source_reported_total=F.nullif(d["total_tokens"], F.lit(0)),
-            confidence=F.when(F.col("doubt") | over_in | over_out | wrong, "derived").otherwise("exact"), native_id=F.when(F.col("c.ordinal").isNotNull(), place), schema_variant=F.lit("codex-rollout-v2"),
+            confidence=F.when(F.col("doubt") | over_in | over_out | wrong, "derived").otherwise("exact"), native_id=F.when(F.col("ordinal").isNotNull(), place), schema_variant=F.lit("codex-rollout-v2"),
             timestamp_origin=F.when(F.col("ms").isNull(), "file_modified").otherwise("source"),
             normalization_notes=_notes(_note(F.col("ms").isNull(), "no valid timestamp; the file's time was used"), F.concat(F.lit("raw usage: "), raw), _note(F.col("doubt"), "lineage could not be resolved exactly; usage was retained"), _note(client != "codex-cli", F.concat(F.lit("client "), client, F.lit(" from source "), F.coalesce("h.source", F.lit("unknown")), F.lit(" and originator "), F.coalesce("h.originator", F.lit("unknown"))))),
         )
         return Batch(records, warnings, ends, after, kept)
 
-    def _lineage(self, spark: SparkSession, candidates, begins: dict[str, int], rows: DataFrame, ends: DataFrame, kept: list) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _lineage(self, spark: SparkSession, candidates, begins: dict[str, int], rows: DataFrame, ends: DataFrame, kept: list) -> tuple[DataFrame, DataFrame | None, DataFrame]:
         """Of the candidates whose lineage is open: (source_key, seed), the counters at which a page begins; (source_key, pos,
-        expected, expected_count), what a fork repeats; (source_key, warning), what can't be followed."""
-        nothing = spark.createDataFrame([], f"source_key string, seed {_U}"), spark.createDataFrame([], f"source_key string, pos bigint, expected struct<timestamp:string,total:{_U},last:{_U}>, expected_count bigint"), spark.createDataFrame([], "source_key string, warning string")
+        expected, expected_count), what a fork repeats, None if no lineage is open; (source_key, warning), what can't be followed."""
+        nothing = spark.createDataFrame([], f"source_key string, seed {_U}"), None, spark.createDataFrame([], "source_key string, warning string")
         whole = [c.source_key for c in candidates if not begins.get(c.source_key)]
         own = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in whole], "source_key string")), "source_key", "left_semi")
-        fresh = self._heads(own)
-        waiting = rows.filter((F.col("__s.n_expected") > F.col("__s.pos")) & (F.col("__s.same") == 1)).groupBy("source_key").agg(F.first("__s.h").alias("m")).select("source_key", "m.*")
+        fresh = own.filter("head IS NOT NULL AND record_offset = begun").select("source_key", "head.*")
+        waiting = rows.filter("latest").filter((F.col("__s.n_expected") > F.col("__s.pos")) & (F.col("__s.same") == 1)).select("source_key", "__s.h.*")
         mine = settled(fresh.unionByName(waiting).filter("fork IS NOT NULL OR base IS NOT NULL"), "lineage-heads", kept)
         if not mine.limit(1).count():
             return nothing
@@ -188,7 +201,7 @@ class Rollouts(Reader):
         """(source_key, pos, expected, expected_count) of forks' replays, and (source_key, warning) of forks without a parent.
         A parent's reports up to the fork's time are what the fork may repeat."""
         forks = mine.filter("fork IS NOT NULL AND base IS NULL").select("source_key", "fork", "ms", "id")
-        theirs = counts.select(F.col("source_key").alias("parent"), "record_offset", F.col("ms").alias("at"), F.col("signature").alias("expected"))
+        theirs = counts.select(F.col("source_key").alias("parent"), "record_offset", F.col("ms").alias("at"), F.struct("timestamp", "total", "last").alias("expected"))
         replay = parents.join(forks.select("source_key", "ms"), "source_key").join(theirs, "parent").filter(F.col("at") <= F.col("ms"))
         replay = sequences.positions(replay, ["source_key"], "record_offset").withColumn("expected_count", F.count(F.lit(1)).over(W.partitionBy("source_key")))
         matched = replay.select("source_key").distinct().withColumn("has", F.lit(True))
@@ -218,7 +231,7 @@ class Rollouts(Reader):
         """
         cuts = links.filter("parent IS NOT NULL").select("child", F.col("parent").alias("source_key"), "cut", "ordinals")
         before = rows.join(cuts, "source_key").filter("record_offset < cut")
-        facts = before.groupBy("child").agg(F.max(F.col("record_offset") + F.col("size")).alias("stop"), F.max(~F.col("ok")).alias("bad"), F.max(F.col("c.ordinal").isNull()).alias("bare"), F.max(F.col("c.ordinal") >= F.col("ordinals")).alias("crosses"))
+        facts = before.groupBy("child").agg(F.max(F.col("record_offset") + F.col("size")).alias("stop"), F.max(~F.col("ok")).alias("bad"), F.max(F.col("ordinal").isNull()).alias("bare"), F.max(F.col("ordinal") >= F.col("ordinals")).alias("crosses"))
         # The counters at the cut: the last total, and the increments that were reported without one since.
         told = before.filter("count").select("child", "record_offset", "total", "last")
         reset = F.col("total").isNotNull() | F.col("last").isNull()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (tests, notebooks).
 LOCAL_FOLDER = "/tmp/checkpoints"
+#: Rows that a task sorts, about.
+TASK_ROWS = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +32,12 @@ def settled(df: DataFrame, name: str, kept: list[DataFrame] | None = None) -> Da
     return out
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """How many tasks rows are dealt to, so that what one of them sorts doesn't grow with the table (it counts the rows, which
+    a Parquet table knows)."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that settled() made and nothing reads any more."""
     for df in tables:

@@ -7,6 +7,8 @@ from collections import Counter
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from tallywheel.sources import readers
 from tallywheel.sources.readers import EventLines, EventSnapshot, SessionTrees, StreamLines, WireJournals
 from tallywheel.sources.rollouts import Rollouts
@@ -214,6 +216,23 @@ def test_rollout_forks_and_pages(spark, tmp_path):
     assert "was not found" in text and "repeated for 0 reports only" in text and "cycle" in text and "inside a record" in text and len(warnings) == 4
 
 
+def test_tasks_of_rollouts_dont_grow(spark, tmp_path, monkeypatch):
+    """What a task sorts is bounded by rows, whatever the table's size, and has no lines in it: plain, forked and read on."""
+    for k in range(40):
+        rollout(tmp_path, f"rollout-{k}.jsonl", [meta(f"s{k}", T.format(3), **({"forked_from_id": "s0"} if k % 4 == 1 else {})), TURN, *(count(T.format(n), (k + n, n)) for n in range(2, 9))])
+    from tallywheel import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 20)
+    batch = Rollouts(tmp_path).read(spark, Rollouts(tmp_path).discover())
+    assert batch.records.count() == 7 * 40
+    sorted_ones = [t for t in batch.kept if {"latest", "h"} <= set(t.columns)]
+    assert len(sorted_ones) == 2
+    for table in sorted_ones:
+        assert "line" not in table.columns
+        rows = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert sum(rows) in (9 * 40, 7 * 40) and max(rows) <= 5 * 9, rows
+
+
 def test_rollout_discovery(tmp_path):
     for folder, name in (("archived_sessions", "rollout-a.jsonl"), ("sessions", "rollout-a.jsonl.zst"), ("sessions", "rollout-b.jsonl"), ("sessions", "rollout-b.jsonl.zst"), ("archived_sessions", "rollout-c.jsonl.zst")):
         put(tmp_path / folder / name, [])
