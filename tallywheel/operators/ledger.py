@@ -58,7 +58,10 @@ class Checkpoint:
 
 @dataclass
 class Commit:
-    """What is to become of one source: append or replace, the place up to which it was read, what its reader noted."""
+    """What is to become of one source: append or replace, the place up to which it was read, what the run log is to say.
+
+    warnings: a few, in the caller's order; those of a reader, which may be many, are rows that apply_all() takes.
+    """
 
     source: str
     mode: str = "append"
@@ -92,8 +95,9 @@ def status_of(row, parser_version: int) -> tuple[str, Checkpoint | None]:
 def compare_again(stored: DataFrame, again: DataFrame, facts: Sequence[str], keys: Sequence[str] = tuple(KEY)) -> DataFrame:
     """The events of `again` that are stored already, with conflict: whether any fact differs (null equals null)."""
     said = F.to_json(F.struct(*facts))  # as text: what may be null differs between a batch and the ledger
+    # Events meet events by a shuffle: a Parquet file is small beside its rows, so that by its size Spark would broadcast it.
     theirs = stored.select(*keys, said.alias("__stored"))
-    both = again.join(theirs, list(keys))
+    both = again.join(theirs.hint("merge"), list(keys))
     return both.withColumn("conflict", said != F.col("__stored")).drop("__stored")
 
 
@@ -150,7 +154,15 @@ class Ledger:
         return self._state()["tables"].get(name, {} if name in OWNED else [])
 
     def table(self, name: str) -> DataFrame:
-        """The table as last published."""
+        """The table as last published. A run has all its warnings, in one array; ingest_warnings has those of scans as rows."""
+        out = self._stored(name)
+        if name != "ingest_runs" or not self._parts("ingest_warnings"):
+            return out
+        # A subquery, which Spark leaves out where a run's warnings aren't asked for.
+        said = self._stored("ingest_warnings").filter(F.col("run_id") == F.col("id").outer()).select(F.array_sort(F.collect_list("warning"))).scalar()
+        return out.withColumn("warnings", F.concat("warnings", F.coalesce(said, F.array().cast("array<string>"))))
+
+    def _stored(self, name: str) -> DataFrame:
         parts = self._parts(name)
         paths = [p for own in parts.values() for p in own] if isinstance(parts, dict) else parts
         kind = schema.struct(TABLES[name])
@@ -230,12 +242,17 @@ class Ledger:
 
     # -- ingestion
 
-    def _runs(self, reports: Sequence[tuple[IngestReport, str | None]], at: int) -> list[str]:
-        """The run log with a run for each (report, error)."""
-        last = self.table("ingest_runs").agg(F.max("id")).first()[0] or 0
+    def _runs(self, reports: Sequence[tuple[IngestReport, str | None]], at: int, warnings: DataFrame | None = None) -> dict[str, list[str]]:
+        """The run log with a run for each (report, error), and the warnings (source_object_id, warning) of these runs."""
+        last = self._stored("ingest_runs").agg(F.max("id")).first()[0] or 0
         rows = [[last + n, r.source_object_id, r.mode, "failed" if error else "completed", at, at, r.seen, r.inserted, r.duplicates, r.deleted, r.warnings, error] for n, (r, error) in enumerate(reports, 1)]
         new = self._write("ingest_runs", self.spark.createDataFrame(rows, schema.struct(TABLES["ingest_runs"])).coalesce(1))
-        return [*self._parts("ingest_runs"), new]
+        tables = {"ingest_runs": [*self._parts("ingest_runs"), new]}
+        if warnings is not None:
+            # A row for each source of the commit; the warnings go from task to file.
+            ids = self.spark.createDataFrame([(row[1], row[0]) for row in rows], "source_object_id string, run_id bigint")
+            tables["ingest_warnings"] = [*self._parts("ingest_warnings"), self._write("ingest_warnings", warnings.join(F.broadcast(ids), "source_object_id"))]
+        return tables
 
     def apply(self, source: str, records: DataFrame, mode: str, at: int, checkpoint: Checkpoint | None = None, warnings: Sequence[str] = ()) -> IngestReport:
         """Appends a batch to a source or replaces its events by it, with its checkpoint and run, in one commit.
@@ -248,11 +265,12 @@ class Ledger:
             raise done
         return done
 
-    def apply_all(self, commits: Sequence[Commit], records: DataFrame, at: int) -> dict[str, IngestReport | IdentityConflict | InvalidRecord]:
+    def apply_all(self, commits: Sequence[Commit], records: DataFrame, at: int, warnings: DataFrame | None = None) -> dict[str, IngestReport | IdentityConflict | InvalidRecord]:
         """apply() for several sources in one commit, whose jobs don't grow with their number.
 
         records: schema.RECORD rows of these sources, by source_object_id; rows of others are passed over. A source that
         the ledger refuses leaves a failed run and stays as it was, while the others go in; each source's report or error.
+        warnings: (source_object_id, warning) rows for the run log, beside those of the commits; they are not in the reports.
         """
         if odd := [c.mode for c in commits if c.mode not in ("append", "replace")]:
             raise ValueError(odd[0])
@@ -271,7 +289,7 @@ class Ledger:
         runs = [(r, None) if isinstance(r := done[c.source], IngestReport) else (IngestReport(c.source, c.mode, warnings=c.warnings), f"[ledger] {r}") for c in commits]
         if runs:
             waiting = sorted({*self._state().get("unpriced", []), *(c.source for c in good)})
-            self._publish({**tables, "ingest_runs": self._runs(runs, at)}, unpriced=waiting)
+            self._publish({**tables, **self._runs(runs, at, warnings)}, unpriced=waiting)
         return done
 
     def _read_up_to(self, commits: Sequence[Commit], at: int) -> dict:
@@ -324,7 +342,7 @@ class Ledger:
                 known[r["source_object_id"]] = r["n"]
                 if r["clash"] is not None:
                     done[r["source_object_id"]] = IdentityConflict(f"{r['clash']['event_id']} is stored with other facts")
-            once = once.join(stored.select(*KEY), KEY, "left_anti")
+            once = once.join(stored.select(*KEY).hint("merge"), KEY, "left_anti")
         replaced = [c.source for c in commits if c.mode == "replace" and held.get(c.source) and c.source not in done]
         gone = self.owned("usage_events", *replaced).groupBy("source_object_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set(month).alias("months")).collect() if replaced else []
         deleted = {r["source_object_id"]: r["n"] for r in gone}
@@ -408,7 +426,7 @@ class Ledger:
         """Some sources' events with provenance and the costs that the sources themselves reported."""
         costs = self.owned("event_costs", *sources).filter(~F.col("kind").isin(ESTIMATE, UNPRICED))
         costs = costs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("kind", "usd_nanos", "confidence"))).alias("__costs"))
-        out = self.owned("usage_events", *sources).join(self.owned("event_provenance", *sources), KEY, "left").join(costs, KEY, "left")
+        out = self.owned("usage_events", *sources).join(self.owned("event_provenance", *sources).hint("merge"), KEY, "left").join(costs.hint("merge"), KEY, "left")
         return out.withColumn("__costs", F.coalesce("__costs", F.array().cast("array<struct<kind:string,usd_nanos:bigint,confidence:string>>")))
 
     def fail(self, source: str, at: int, kind: str, message: str) -> None:
@@ -427,7 +445,7 @@ class Ledger:
             owners = objects.filter(F.col("__kind") == "permission_denied").select(F.col("installation_id").alias("id")).distinct().withColumn("__denied", F.lit(True))
             inst = self.table("source_installations").join(owners, "id", "left")
             tables["source_installations"] = self._rewrite("source_installations", inst.withColumn("permission_state", F.when(F.col("__denied"), "denied").otherwise(F.col("permission_state"))))
-        self._publish({**tables, "ingest_runs": self._runs([(IngestReport(s, "append"), f"[{kind}] {message}") for s, kind, message in failures], at)})
+        self._publish({**tables, **self._runs([(IngestReport(s, "append"), f"[{kind}] {message}") for s, kind, message in failures], at)})
 
     # -- pricing
 

@@ -123,9 +123,10 @@ def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, sca
             batch = reader.read(spark, wanted, begins or None, {c.source_key: row(c)["parser_state"] for c in wanted if c.source_key in begins and row(c)["parser_state"]} or None)
             # By the ledger's ids: the records' own are the files' keys. Written once: every step of a commit reads them.
             records = settled(batch.records.withColumn("source_object_id", F.concat(F.lit(f"{reader.id}:"), "source_object_id")), "scan-records", batch.kept)
-            said = {}
-            for r in batch.warnings.collect():  # diagnostics of this scan's files
-                said.setdefault(r["source_key"], []).append(r["warning"])
+            # As many as there are odd lines: they stay a table, of which the driver gets what bars a file (of several, the first by its byte).
+            warnings = settled(batch.warnings.select(F.concat(F.lit(f"{reader.id}:"), "source_key").alias("source_object_id"), "warning"), "scan-warnings", batch.kept)
+            fatal = F.when(F.col("warning").rlike(r"^\[(schema|encoding|io)\]"), F.struct(F.length("warning"), "warning"))
+            said = {r["source_object_id"]: r["fatal"] for r in warnings.groupBy("source_object_id").agg(F.min(fatal)["warning"].alias("fatal")).collect()}
             ends = {r["source_key"]: r["committed_offset"] for r in batch.ends.collect()} if batch.ends is not None else {}
             ends = {c.source_key: ends.get(c.source_key) if resumable(reader, c) else None for c in wanted}
             left = {r["source_key"]: r["state"] for r in batch.states.collect()} if batch.states is not None else {}
@@ -133,18 +134,19 @@ def scan(ledger: Ledger, readers: Sequence[tuple[str, Reader]], now_ms: int, sca
             states |= digests(spark, {c.path: ends[c.source_key] for c in wanted if ends[c.source_key] is not None})
             commits = []
             for c in wanted:
-                source, warnings, (_, whole, prefix) = ids[c.source_key], said.get(c.source_key, []), states[c.path]
-                if fatal := next((w for w in warnings if w.startswith(("[schema]", "[encoding]", "[io]"))), None):
-                    failures.append((source, *_parted(fatal)))
+                source, (_, whole, prefix) = ids[c.source_key], states[c.path]
+                if said.get(source):
+                    failures.append((source, *_parted(said[source])))
                 else:
                     size, modified = there[c.source_key]
                     goes_on = ends[c.source_key] is not None
-                    commits.append(Commit(source, plan[c.source_key][0], Checkpoint(ends[c.source_key], size, prefix if goes_on else None, whole, reader.parser_version, modified, left.get(c.source_key) if goes_on else None), warnings))
+                    commits.append(Commit(source, plan[c.source_key][0], Checkpoint(ends[c.source_key], size, prefix if goes_on else None, whole, reader.parser_version, modified, left.get(c.source_key) if goes_on else None)))
             try:
                 for at in range(0, len(commits), commit_sources):
                     if state.cancel.is_set():
                         raise Cancelled(f"stopped after {state.processed} sources")
-                    for source, report in ledger.apply_all(commits[at : at + commit_sources], records, now_ms).items():
+                    some = commits[at : at + commit_sources]
+                    for source, report in ledger.apply_all(some, records, now_ms, warnings if any(c.source in said for c in some) else None).items():
                         if isinstance(report, Exception):
                             state.failed.append(source)
                             continue

@@ -337,3 +337,46 @@ def test_commits_cache_no_records(spark, tmp_path, monkeypatch):
     again = ledger.append("src-0", rows, 2)
     assert (again.inserted, again.duplicates) == (0, 40) and ledger.table("usage_events").count() == 40
     assert cached and not any("event_id" in columns for columns in cached)
+
+
+def test_warnings_of_a_scan_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """Two files with many odd lines, one with two lines that aren't UTF-8: the run log has every warning, the driver none."""
+    good = '{"id":"e-%d","session_id":"s","client":"c","model":"m","occurred_at_unix_ms":1,"input":%d}'
+    for name, odd in (("a", 400), ("b", 300), ("fine", 0)):
+        put(tmp_path / f"in/{name}.jsonl", [good % (n, n) if n % 2 == 0 else "{bad" for n in range(odd * 2 or 2)][: odd * 2 or 1])
+    (tmp_path / "in/latin.jsonl").write_bytes(b"{bad\n" * 3 + b"\xff\n" + b"{bad\n" * 30 + b"\xff\n")
+    got, sent, kind, make = [], [], type(spark.range(0)), type(spark).createDataFrame
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: got.append(collect(df)) or got[-1])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *rest, **more: sent.append(str(data)) or make(self, data, *rest, **more))
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    done = scan(ledger, [("i", EventLines(tmp_path / "in"))], 1)
+    monkeypatch.undo()
+    assert (done.processed, done.inserted, done.failed) == (3, 701, ["reference-jsonl:latin.jsonl"])
+    assert max(len(rows) for rows in got) <= 10 and not any("passed over" in str(x) for x in [*got, *sent])
+    runs = {r["source_object_id"][16:-6]: r for r in ledger.table("ingest_runs").collect()}
+    assert {k: (len(r["warnings"]), len(set(r["warnings"])), r["status"]) for k, r in runs.items()} == {"a": (400, 400, "completed"), "b": (300, 300, "completed"), "fine": (0, 0, "completed"), "latin": (0, 0, "failed")}
+    assert runs["latin"]["error"] == "[encoding] bytes at 15 are not UTF-8"
+    stored = {(r["run_id"], r["source_object_id"], r["warning"]) for r in ledger.table("ingest_warnings").collect()}
+    assert stored == {(r["id"], r["source_object_id"], w) for r in runs.values() for w in r["warnings"]}
+    health = Q.source_health(*(ledger.table(t) for t in ("source_objects", "source_installations", "ingest_runs", "usage_events"))).collect()
+    assert {r["source_object_id"][16:-6]: (r["state"], r["warning_count"]) for r in health} == {"a": ("partial", 400), "b": ("partial", 300), "fine": ("healthy", 0), "latin": ("error", 0)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "run_id" not in plan(ledger.table("ingest_runs").select("id", "status")) and "run_id" in plan(ledger.table("ingest_runs"))
+    with (tmp_path / "in/a.jsonl").open("a") as file:
+        file.write("{bad\n")
+    scan(ledger, [("i", EventLines(tmp_path / "in"))], 2)
+    ledger.append("reference-jsonl:fine.jsonl", record(spark).limit(0), 3, warnings=["z", "y"])
+    last = {r["source_object_id"][16:-6]: r["warnings"] for r in ledger.table("ingest_runs").filter("id > 4").collect()}
+    assert len(last["a"]) == 1 and last["fine"] == ["z", "y"]
+
+
+def test_events_meet_events_by_a_shuffle(spark, ledger):
+    """Commits don't broadcast a source's events, however small their files are."""
+    from tallywheel.operators.ledger import compare_again
+
+    ledger.append("s1", record(spark, {"event_id": "a", "costs": [("provider_reported", 5, "exact")]}, {"event_id": "b"}), 1)
+    stored = ledger.records("s1")
+    both = compare_again(stored, stored, ["model", "__costs"])
+    assert {r["event_id"]: r["conflict"] for r in both.collect()} == {"a": False, "b": False}
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
